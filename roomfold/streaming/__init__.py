@@ -1,0 +1,4 @@
+"""No streaming operators: every job works on complete captures.
+
+The order-dependent selections live in ``roomfold.operators.folds``.
+"""
