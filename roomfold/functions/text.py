@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, functions as F
 
 # Damage label aliases.
 DAMAGE_ALIASES = [
@@ -43,17 +43,10 @@ def damage_key(label: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(label), "[\\s_]+", " "))
 
 
-def alias_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(DAMAGE_ALIASES, "alias string, damage_type string")
-
-
-def with_damage_type(df: DataFrame, label: str) -> DataFrame:
+def damage_type(label: Column) -> Column:
     """Exact alias lookup; anything else, such as ``water bottle``, stays unknown."""
-    aliases = F.broadcast(alias_table(df.sparkSession))  # 16 rows
-    return (df.withColumn("_alias", damage_key(F.col(label)))
-            .join(aliases, F.col("_alias") == F.col("alias"), "left")
-            .withColumn("damage_type", F.coalesce("damage_type", F.lit("unknown")))
-            .drop("_alias", "alias"))
+    aliases = F.create_map(*[F.lit(word) for pair in DAMAGE_ALIASES for word in pair])
+    return F.coalesce(F.try_element_at(aliases, damage_key(label)), F.lit("unknown"))
 
 
 def number_text(value: Column, precision: int, suffix: str) -> Column:

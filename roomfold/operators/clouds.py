@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from roomfold.config import FrameConfig, GeometryConfig
 from roomfold.functions.rigid import is_finite
@@ -137,7 +137,10 @@ def drop_outliers(points: DataFrame, keys: list[str], point_id: str, k: int, rat
     return points.join(kept, [*keys, point_id], "left_semi")
 
 
-@F.pandas_udf("struct<nx double, ny double, nz double, residual double>")
+AXIS = T.StructType([T.StructField(name, T.DoubleType()) for name in ("nx", "ny", "nz", "residual")])
+
+
+@F.pandas_udf(AXIS)
 def least_axis(moments: pd.DataFrame) -> pd.DataFrame:
     """Least eigenvector and eigenvalue of 3x3 covariances given as xx, yy, zz, xy, xz, yz."""
     m = moments.to_numpy(dtype=float)

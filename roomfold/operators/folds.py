@@ -40,16 +40,19 @@ def blocked_fold(df: DataFrame, keys: list[str], seq: str, step: Step, out_schem
     def run(pdf: pd.DataFrame, state: dict | None) -> pd.DataFrame:
         pdf = pdf.sort_values(seq, kind="stable")
         rows, after = step(pdf, state)
-        out = rows.reindex(columns=columns)
+        out = rows.astype(object)
+        out = out.where(out.notna(), None)
         out["_is_state"] = False
+        for c in state_cols:
+            out[f"_s_{c}"] = None
         last = {c: None for c in columns}
         last.update({k: pdf[k].iloc[0] for k in key_order})
         last["_is_state"] = True
         last.update({f"_s_{c}": after[c] for c in state_cols})
         for k in key_order:
             out[k] = pdf[k].iloc[0]
-        tail = pd.DataFrame([last], columns=columns)
-        return pd.concat([out.astype(object), tail.astype(object)], ignore_index=True)
+        tail = pd.DataFrame([last], columns=columns, dtype=object)
+        return pd.concat([out[columns].astype(object), tail], ignore_index=True)
 
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
         return run(pdf, None)

@@ -21,7 +21,8 @@ BROADCAST_ROW_LIMIT = 200_000
 
 def build_session(master: str = "local[*]", shuffle_partitions: int | None = None,
                   app: str = "roomfold") -> SparkSession:
-    builder = SparkSession.builder.master(master).appName(app).config("spark.ui.enabled", "false")
+    builder = SparkSession.builder.master(master).appName(app).config("spark.ui.enabled", "false") \
+        .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "20g")
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
     if shuffle_partitions:
