@@ -11,6 +11,8 @@ from roomfold import schemas
 
 def conform(value: Column, have: T.DataType, want: T.DataType) -> Column:
     """Reorder and complete struct fields to a declared type; missing ones are null."""
+    if have.simpleString() == want.simpleString():
+        return value
     if isinstance(want, T.StructType):
         if not isinstance(have, T.StructType):
             return F.lit(None).cast(want)
@@ -36,7 +38,9 @@ def with_parts(df: DataFrame, keys: list[str], limit: int, salt: str) -> DataFra
 def listed(df: DataFrame, keys: list[str], entry: str, order: str, limit: int, name: str) -> DataFrame:
     """Ordered child lists per (keys, part)."""
     parts = with_parts(df.withColumn("_order", F.col(order)), keys, limit, "_order")
-    return parts.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(F.struct("_order", entry))).alias("_l")) \
+    by_order = lambda a, b: F.when(a["_order"] < b["_order"], -1).when(a["_order"] > b["_order"], 1).otherwise(0)
+    entries = F.array_sort(F.collect_list(F.struct("_order", entry)), by_order)
+    return parts.groupBy(*keys, "part").agg(entries.alias("_l")) \
         .select(*keys, "part", F.transform("_l", lambda e: e[entry]).alias(name))
 
 

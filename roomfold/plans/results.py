@@ -82,10 +82,10 @@ PROFILE = f"(SELECT 'lidar' AS tier, measurement_type, avg(value) / 50 AS err FR
 
 
 @query("measurement_intervals", f"""SELECT capture_id, measurement_id, method AS confidence_method, round(value, 6) AS value,
- round(CASE WHEN half IS NOT NULL THEN greatest(0, value - half) END, 6) AS lower_bound,
- round(CASE WHEN half IS NOT NULL THEN CASE WHEN unit = 'degree' THEN least(360, value + half) ELSE value + half END END, 6) AS upper_bound FROM (
+ round(1e-9 + CASE WHEN half IS NOT NULL THEN greatest(0, value - half) END, 6) AS lower_bound,
+ round(1e-9 + CASE WHEN half IS NOT NULL THEN CASE WHEN unit = 'degree' THEN least(360, value + half) ELSE value + half END END, 6) AS upper_bound FROM (
  SELECT r.*, CASE WHEN err IS NOT NULL THEN err WHEN mad > 0 THEN 1.96 * 1.4826 * mad WHEN res > 0 THEN 1.96 * res
-  ELSE value * CASE r.tier WHEN 'photo' THEN 0.1 WHEN 'video' THEN 0.08 ELSE 0.04 END END AS half,
+  ELSE value * CASE r.tier WHEN 'photo' THEN 0.1::DOUBLE WHEN 'video' THEN 0.08::DOUBLE ELSE 0.04::DOUBLE END END AS half,
  CASE WHEN err IS NOT NULL THEN 'benchmark_calibrated' WHEN mad > 0 THEN 'multi_view_dispersion' WHEN res > 0 THEN 'geometry_residual'
   ELSE 'tier_prior_uncalibrated' END AS method FROM {ROWS} r LEFT JOIN {PROFILE} p ON p.tier = r.tier AND p.measurement_type = r.measurement_type) t""")
 def measurement_intervals(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,7 +94,8 @@ def measurement_intervals(spark: SparkSession, sf: str) -> DataFrame:
         (F.avg("value") / 50).alias("absolute_error"), F.lit(0.95).alias("profile_level"))
     out = ops.apply_confidence(rows, profile, ConfidenceConfig(allow_tier_prior=True))
     return out.select("capture_id", "measurement_id", "confidence_method",
-                      *[F.round(c, 6).alias(c) for c in ("value", "lower_bound", "upper_bound")])
+                      F.round("value", 6).alias("value"),
+                      *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("lower_bound", "upper_bound")])
 
 
 @query("confidence_methods", f"""SELECT capture_id, list_sort(list_distinct(list(CASE WHEN mad > 0 THEN 'multi_view_dispersion' WHEN res > 0 THEN 'geometry_residual'

@@ -31,7 +31,7 @@ def main() -> None:
             print(f"{'FAIL' if diff else 'OK  '} {name} {len(got[1])} {took:.1f}s duck {time.time() - start:.1f}s {diff or ''}",
                   flush=True)
         except Exception as error:  # noqa: BLE001 - report every query
-            print(f"ERR  {name} {type(error).__name__}: {' '.join(str(error).split())[-700:]}", flush=True)
+            print(f"ERR  {name} {type(error).__name__}: {' '.join(str(error).split())[:500]}", flush=True)
 
 
 if __name__ == "__main__":
