@@ -103,6 +103,15 @@ def mask_samples(mask: DataFrame, keys: list[str], step: int, low: float, high:
             .filter(is_finite(F.col(z)) & F.col(z).between(low, high)))
 
 
+def mask_depth(mask: DataFrame, depth: DataFrame, frame_keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Mask pixels with their depth sample, and masks whose frame has no depth of that shape."""
+    joined = mask.join(depth, [*frame_keys, "row", "col"])
+    shape = lambda df, name: df.groupBy(*frame_keys).agg(F.max("row").alias(f"{name}_rows"), F.max("col").alias(f"{name}_cols"))
+    sizes = shape(mask, "m").join(shape(depth, "d"), frame_keys, "left")
+    bad = sizes.filter(F.col("d_rows").isNull() | (F.col("m_rows") > F.col("d_rows")) | (F.col("m_cols") > F.col("d_cols")))
+    return joined, bad.select(*frame_keys, F.lit("OPENING_DEPTH_UNAVAILABLE").alias("code"))
+
+
 def photo_rejection(cfg: PhotoConfig = PhotoConfig()) -> Column:
     """First failing test of a photo, null when it is usable."""
     c = F.col

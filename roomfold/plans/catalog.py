@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from roomfold.plans import algebra, clouds, frames, results, stitching  # noqa: F401
+from roomfold.plans import algebra, clouds, floorplan, frames, openings, results, stitching  # noqa: F401
 from roomfold.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
