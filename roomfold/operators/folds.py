@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from roomfold.config import FrameConfig, PhotoConfig, VideoConfig
 from roomfold.operators.ordering import positions, top_per_group
-from roomfold.session import cut
+from roomfold.session import cut, fresh
 
 Step = Callable[[pd.DataFrame, dict | None], tuple[pd.DataFrame, dict]]
 
@@ -78,12 +78,12 @@ def blocked_fold(df: DataFrame, keys: list[str], seq: str, step: Step, out_schem
             # A closed state is constant: every remaining block is independent.
             rest = blocks.filter(F.col("_block") >= number).join(closed.select(*keys), keys, "left_semi")
             copies = rest.select(*keys, "_block").distinct().join(closed, keys)
-            finished = (rest.groupBy(*keys, "_block").cogroup(copies.groupBy(*keys, "_block"))
+            finished = (rest.groupBy(*keys, "_block").cogroup(fresh(copies).groupBy(*keys, "_block"))
                         .applyInPandas(lambda a, b: later(a.drop(columns="_block"), b), schema))
             outputs.append(cut(finished).filter(~F.col("_is_state")))
         states = states.filter(~F.col("_s_closed"))
         part = blocks.filter(F.col("_block") == number).drop("_block").join(states.select(*keys), keys, "left_semi")
-        result = cut(part.groupBy(*keys).cogroup(states.groupBy(*keys)).applyInPandas(later, schema))
+        result = cut(part.groupBy(*keys).cogroup(fresh(states).groupBy(*keys)).applyInPandas(later, schema))
         outputs.append(result.filter(~F.col("_is_state")))
         states = result.filter("_is_state")
     merged = outputs[0]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from roomfold.config import StitchConfig
 from roomfold.functions import rigid
 from roomfold.operators.ordering import best_per_group, top_per_group
-from roomfold.session import cut
+from roomfold.session import cut, fresh
 
 KEY = "property_id"
 
@@ -252,4 +252,4 @@ def refine_layout(poses: DataFrame, edges: DataFrame, roots: DataFrame,
 
     nodes = poses.join(roots, KEY)
     used = edges.select(KEY, "connection_id", "room_a", "room_b", "relative_transform", "score")
-    return nodes.groupBy(KEY).cogroup(used.groupBy(KEY)).applyInPandas(solve, schema)
+    return nodes.groupBy(KEY).cogroup(fresh(used).groupBy(KEY)).applyInPandas(solve, schema)

