@@ -261,7 +261,7 @@ def merge_walls(walls: DataFrame, members: DataFrame, keys: list[str], cfg: Geom
     mapping = cut(walls.select(*plane).withColumn("into", F.col("plane_no")))
     sets = cut(members.join(walls.select(*plane), plane, "left_semi"))
     for _ in range(max_rounds):
-        fitted = fit_moments(alive)
+        fitted = cut(fit_moments(alive))
         current = sets.join(mapping, plane).drop("plane_no").withColumnRenamed("into", "plane_no").dropDuplicates([*plane, "point_id"])
         side = lambda s: fitted.select(*keys, *[F.col(c).alias(f"{s}_{c}") for c in ("plane_no", "nx", "ny", "nz", "cx", "cy", "cz", "offset")])
         pairs = side("a").join(side("b"), keys).filter(F.col("a_plane_no") < F.col("b_plane_no"))
@@ -288,7 +288,7 @@ def merge_walls(walls: DataFrame, members: DataFrame, keys: list[str], cfg: Geom
         renamed = step.select(*keys, F.col("plane_no").alias("into"), "_to")
         mapping = cut(mapping.join(renamed, [*keys, "into"], "left").withColumn("into", F.coalesce("_to", "into")).select(*plane, "into"))
     current = sets.join(mapping, plane).drop("plane_no").withColumnRenamed("into", "plane_no").dropDuplicates([*plane, "point_id"])
-    return fit_moments(alive), current
+    return cut(fit_moments(alive)), current
 
 
 def wall_segments(described: DataFrame, keys: list[str]) -> DataFrame:
@@ -387,27 +387,27 @@ def room_geometry(points: DataFrame, keys: list[str], cfg: GeometryConfig = Geom
     from roomfold.operators.frames import transform_points
     plane = [*keys, "plane_no"]
     members = cut(extract_planes(points, keys, cfg))
-    planes = fit_planes(members, plane)
+    # Per-plane tables are tiny; materialising them keeps later plans small.
+    planes = cut(fit_planes(members, plane))
     planes = cut(planes.join(plane_areas(members, planes, plane), plane))
     source_floor = cut(choose_floor(planes, points, keys, cfg))
-    leveling = floor_leveling(source_floor, keys)
+    leveling = cut(floor_leveling(source_floor, keys))
     level_points = cut(transform_points(points, leveling, keys, "leveling"))
     level_members = cut(transform_points(members, leveling, keys, "leveling"))
-    refit = fit_planes(level_members, plane).join(planes.select(*plane, "area"), plane)
-    refit = cut(refit)
+    refit = cut(cut(fit_planes(level_members, plane)).join(planes.select(*plane, "area"), plane))
     floors = refit.join(source_floor.select(*plane), plane, "left_semi")
     tops = level_points.groupBy(*keys).agg(F.percentile("z", F.lit(1 - cfg.quantile)).alias("top"), F.count("*").alias("points"))
+    tops = cut(tops)
     sizes = tops.select(*keys, "points")
     ceilings = cut(choose_ceiling(refit, floors, tops, keys, cfg))
     taken = floors.select(*plane).unionByName(ceilings.select(*plane))
     others = refit.join(taken, plane, "left_anti")
-    walls, rejected = select_walls(descriptors(level_members, others, sizes, keys, cfg), keys, cfg)
-    walls = cut(walls)
+    walls, rejected = select_walls(cut(descriptors(level_members, others, sizes, keys, cfg)), keys, cfg)
     merged, wall_members = merge_walls(walls, level_members, keys, cfg)
     wall_members = cut(wall_members)
-    segments = cut(wall_segments(descriptors(wall_members, merged, sizes, keys, cfg), keys))
-    rings = close_polygons(segments, wall_crossings(segments, keys, cfg), keys, cfg)
-    heights = ceiling_height(floors, ceilings, keys)
+    segments = cut(wall_segments(cut(descriptors(wall_members, merged, sizes, keys, cfg)), keys))
+    rings = cut(close_polygons(segments, cut(wall_crossings(segments, keys, cfg)), keys, cfg))
+    heights = cut(ceiling_height(floors, ceilings, keys))
     structural = level_members.join(taken, plane, "left_semi").select(*keys, "point_id").unionByName(
         wall_members.select(*keys, "point_id")).distinct().groupBy(*keys).agg(F.count("*").alias("explained"))
     counts = walls.groupBy(*keys).agg(F.count("*").alias("_eligible"))

@@ -42,9 +42,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise an iterative intermediate in the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise an iterative intermediate as a table in the shared checkpoint folder.
+
+    A written table drops both the lineage and the constraints the optimizer would carry
+    from round to round, and later steps read only the columns they need.
+    """
+    spark = df.sparkSession
+    path = stage_path(spark, "stage")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fresh(df: DataFrame) -> DataFrame:
