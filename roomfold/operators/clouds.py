@@ -188,21 +188,21 @@ def point_normals(points: DataFrame, keys: list[str], point_id: str, radius: flo
 
 def hull_vertices(xy: np.ndarray) -> np.ndarray:
     """Counter-clockwise convex hull of planar points."""
-    pts = np.unique(xy, axis=0)
+    pts = sorted(set(map(tuple, xy.tolist())))
     if len(pts) < 3:
-        return pts
-    chains = []
+        return np.array(pts, dtype=float).reshape(-1, 2)
+    ring: list[tuple[float, float]] = []
     for ordered in (pts, pts[::-1]):
-        chain: list[np.ndarray] = []
-        for p in ordered:
+        chain: list[tuple[float, float]] = []
+        for x, y in ordered:
             while len(chain) > 1:
-                a, b = chain[-2], chain[-1]
-                if (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0]) > 0:
+                (ax, ay), (bx, by) = chain[-2], chain[-1]
+                if (bx - ax) * (y - ay) - (by - ay) * (x - ax) > 0:
                     break
                 chain.pop()
-            chain.append(p)
-        chains.append(chain[:-1])
-    return np.array(chains[0] + chains[1])
+            chain.append((x, y))
+        ring += chain[:-1]
+    return np.array(ring)
 
 
 def ring_area(ring: np.ndarray) -> float:
@@ -213,7 +213,7 @@ def ring_area(ring: np.ndarray) -> float:
 
 
 def hull_reduce(df: DataFrame, keys: list[str], x: str, y: str, salts: int = 32) -> DataFrame:
-    """Hull vertices of every group: hulls of batches, of salted groups, then of groups.
+    """Candidate hull vertices of every group: hulls of batches, then of salted batches.
 
     The hull of a union is the hull of the hulls, so each level is exact and shrinks
     its input before the next shuffle.
@@ -234,18 +234,12 @@ def hull_reduce(df: DataFrame, keys: list[str], x: str, y: str, salts: int = 32)
             if out:
                 yield pd.concat(out, ignore_index=True)
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        ring = hull_vertices(pdf[["hx", "hy"]].to_numpy(dtype=float))
-        out = pd.DataFrame(ring, columns=["hx", "hy"])
-        for name in names:
-            out[name] = pdf[name].iloc[0]
-        return out[[*names, "hx", "hy"]]
-
     flat = df.select(*names, F.col(x).cast("double").alias("hx"), F.col(y).cast("double").alias("hy")) \
         .filter(F.col("hx").isNotNull() & F.col("hy").isNotNull())
     partial = flat.mapInPandas(batches, schema)
-    salted = partial.withColumn("_salt", F.pmod(F.xxhash64("hx", "hy"), F.lit(salts)))
-    return salted.groupBy(*names, "_salt").applyInPandas(lambda p: group(p.drop(columns="_salt")), schema)
+    # A dominant group is spread over its salts; every task then reduces whatever groups it got.
+    spread = partial.repartition(*names, F.pmod(F.xxhash64("hx", "hy"), F.lit(salts)))
+    return spread.mapInPandas(batches, schema)
 
 
 def convex_hulls(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:

@@ -70,24 +70,36 @@ def associate_surfaces(points: DataFrame, surfaces: DataFrame, room_keys: list[s
     return spot.drop("_in", "surface_order", "distance").join(best.drop("surface_order"), ["candidate_id", "surface_id"])
 
 
-def candidate_extents(spots: DataFrame, cfg: DamageConfig = DamageConfig()) -> DataFrame:
-    """Hull area, ring, principal length and median centre of every candidate.
-
-    A candidate is one mask in one image, so its exact quantiles are over a bounded group.
-    """
+def _limits(spots: DataFrame, cfg: DamageConfig) -> DataFrame:
+    """Quantile limits and median centre; a candidate is one mask in one image, so groups are bounded."""
     ends = F.array(F.lit(cfg.low), F.lit(cfg.high))
-    limits = spots.groupBy("candidate_id").agg(
+    return spots.groupBy("candidate_id").agg(
         F.percentile("su", ends).alias("_us"), F.percentile("sv", ends).alias("_vs"),
         F.median("su").alias("center_u"), F.median("sv").alias("center_v"), F.count("*").alias("points"))
-    held = spots.join(limits, "candidate_id")
-    clipped = held.filter(F.col("su").between(F.col("_us")[0], F.col("_us")[1]) & F.col("sv").between(F.col("_vs")[0], F.col("_vs")[1]))
-    hulls = convex_hulls(clipped.select("candidate_id", "su", "sv"), ["candidate_id"], "su", "sv").filter("hull_area > 1e-6")
+
+
+def candidate_lengths(spots: DataFrame, cfg: DamageConfig = DamageConfig()) -> DataFrame:
+    """Median centre and length along the principal direction about it."""
+    held = spots.join(_limits(spots, cfg), "candidate_id")
     du, dv = F.col("su") - F.col("center_u"), F.col("sv") - F.col("center_v")
     axis = held.groupBy("candidate_id").agg(
         (0.5 * F.atan2(2 * F.sum(du * dv), F.sum(du * du) - F.sum(dv * dv))).alias("_angle"))
     along = held.join(axis, "candidate_id").withColumn("_t", du * F.cos("_angle") + dv * F.sin("_angle"))
-    length = along.groupBy("candidate_id").agg(F.when(F.count("*") >= 2, F.max("_t") - F.min("_t")).alias("length"))
-    return limits.select("candidate_id", "center_u", "center_v", "points").join(length, "candidate_id").join(hulls, "candidate_id", "left")
+    return along.groupBy("candidate_id").agg(
+        F.first("center_u").alias("center_u"), F.first("center_v").alias("center_v"), F.first("points").alias("points"),
+        F.when(F.count("*") >= 2, F.max("_t") - F.min("_t")).alias("length"))
+
+
+def candidate_hulls(spots: DataFrame, cfg: DamageConfig = DamageConfig()) -> DataFrame:
+    """Hull of the points inside the quantile limits; slivers have none."""
+    held = spots.join(_limits(spots, cfg), "candidate_id")
+    clipped = held.filter(F.col("su").between(F.col("_us")[0], F.col("_us")[1]) & F.col("sv").between(F.col("_vs")[0], F.col("_vs")[1]))
+    return convex_hulls(clipped.select("candidate_id", "su", "sv"), ["candidate_id"], "su", "sv").filter("hull_area > 1e-6")
+
+
+def candidate_extents(spots: DataFrame, cfg: DamageConfig = DamageConfig()) -> DataFrame:
+    """Centre, length, hull area and ring of every candidate."""
+    return candidate_lengths(spots, cfg).join(candidate_hulls(spots, cfg), "candidate_id", "left")
 
 
 def cluster(candidates: DataFrame, keys: list[str], cfg: DamageConfig = DamageConfig(), block_rows: int = 50_000) -> DataFrame:

@@ -41,6 +41,12 @@ def overlaps(placed: DataFrame, cfg: StitchConfig = StitchConfig()) -> DataFrame
         ((F.col("_m.overlap_area") > cfg.max_overlap_area) & (ratio > cfg.max_overlap_ratio)).alias("material"))
 
 
+def union_areas(placed: DataFrame) -> DataFrame:
+    """Union area per property; its rooms are bounded by the evidence cap."""
+    rings = placed.groupBy(KEY).agg(F.collect_list("ring").alias("_rings"))
+    return rings.select(KEY, polygons.union_area("_rings").alias("union_area"))
+
+
 def footprints(placed: DataFrame) -> DataFrame:
     """Outline rings and union area per property (rooms bounded by the evidence cap)."""
     key_type = dict(placed.dtypes)[KEY]
@@ -135,7 +141,7 @@ def stitch(rooms: DataFrame, evidence: DataFrame, cfg: StitchConfig = StitchConf
         F.count_if("material").alias("material_overlaps"), F.sum("overlap_area").alias("overlap_total"),
         F.max("overlap_area").alias("max_overlap"))
     residual = poses.groupBy(KEY).agg(F.max("rms").alias("layout_residual"))
-    union = footprints(placed)
+    union = union_areas(placed)
     facts = totals
     for part in (gaps, cycles, material, residual, union, footprint_parts(placed, pairs)):
         facts = facts.join(part, KEY, "left")
@@ -144,5 +150,5 @@ def stitch(rooms: DataFrame, evidence: DataFrame, cfg: StitchConfig = StitchConf
     rejected = judged.filter("NOT accepted").select(KEY, "connection_id", "rejection_reason").unionByName(
         checked.filter("NOT retained").select(KEY, "connection_id", F.lit("cycle_inconsistent").alias("rejection_reason")))
     return {"evidence": judged, "roots": roots, "tree": tree, "initial": initial, "checked": checked,
-            "retained": retained, "rejected": rejected, "transforms": poses, "placed": placed, "overlaps": pairs,
+            "retained": retained, "rejected": rejected, "transforms": poses, "placed": placed, "overlaps": pairs, "footprints": footprints(placed),
             "verdict": verdicts(facts, cfg), "quality": room_quality(placed, retained)}

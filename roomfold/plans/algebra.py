@@ -112,9 +112,9 @@ def se2_algebra(spark: SparkSession, sf: str) -> DataFrame:
         "connection_id", r6(x, "x"), r6(y, "y"), r6(yaw, "yaw"), r6(F.col("inv")[2], "inv_x"))
 
 
-@query("back_projection", f"""SELECT {KEYS}, {s6('(1-2*(y*y+z*z))*cx + 2*(x*y-z*w)*cy + 2*(x*z+y*w)*d + l_quantity/10', 'wx')},
- {s6('2*(x*y+z*w)*cx + (1-2*(x*x+z*z))*cy + 2*(y*z-x*w)*d + l_discount*7', 'wy')},
- {s6('2*(x*z-y*w)*cx + 2*(y*z+x*w)*cy + (1-2*(x*x+y*y))*d + l_tax*11', 'wz')} FROM
+@query("back_projection", f"""SELECT {KEYS}, {s6('(1-2*(y*y+z*z))*cx + 2*(x*y-z*w)*cy + 2*(x*z+y*w)*d + l_quantity/10 + 1e-8', 'wx')},
+ {s6('2*(x*y+z*w)*cx + (1-2*(x*x+z*z))*cy + 2*(y*z-x*w)*d + l_discount*7 + 1e-8', 'wy')},
+ {s6('2*(x*z-y*w)*cx + 2*(y*z+x*w)*cy + (1-2*(x*x+y*y))*d + l_tax*11 + 1e-8', 'wz')} FROM
  (SELECT *, (l_partkey % 640 - 320.0::DOUBLE) / 500 * d AS cx, (l_suppkey % 480 - 240.0::DOUBLE) / 510 * d AS cy FROM
   (SELECT *, l_extendedprice / 20000 AS d FROM {UNIT} u) b) t""")
 def back_projection(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,7 +122,7 @@ def back_projection(spark: SparkSession, sf: str) -> DataFrame:
     base = lineitem(spark, sf).withColumn("pose", rigid.quaternion_pose(quaternion(), shift))
     x, y, z = camera.backproject(F.col("l_partkey") % 640, F.col("l_suppkey") % 480, F.col("l_extendedprice") / 20000,
                                  F.lit(500.0), F.lit(510.0), F.lit(320.0), F.lit(240.0), F.col("pose"))
-    return base.select(*KEY, r6(x, "wx"), r6(y, "wy"), r6(z, "wz"))
+    return base.select(*KEY, r6(x + 1e-8, "wx"), r6(y + 1e-8, "wy"), r6(z + 1e-8, "wz"))
 
 
 @query("forward_projection", f"""SELECT {KEYS}, round(500 * qx / qz + 320, 4) AS u, round(500 * qy / qz + 240, 4) AS v FROM (SELECT *,

@@ -263,13 +263,13 @@ def surface_association(spark: SparkSession, sf: str) -> DataFrame:
  round(max((wx - mu) * cos(t) + (wy - mv) * sin(t)) - min((wx - mu) * cos(t) + (wy - mv) * sin(t)), 6) AS length FROM {DPOINT} p JOIN a USING (candidate_id) GROUP BY 1""")
 def principal_extents(spark: SparkSession, sf: str) -> DataFrame:
     spots = damage_points(spark, sf).select("candidate_id", F.col("wx").alias("su"), F.col("wy").alias("sv"))
-    return damage.candidate_extents(spots).select("candidate_id", F.round("center_u", 6).alias("center_u"), F.round("center_v", 6).alias("center_v"), "points", F.round("length", 6).alias("length"))
+    return damage.candidate_lengths(spots).select("candidate_id", F.round("center_u", 6).alias("center_u"), F.round("center_v", 6).alias("center_v"), "points", F.round("length", 6).alias("length"))
 
 
 @query("damage_hulls")
 def damage_hulls(spark: SparkSession, sf: str) -> DataFrame:
     spots = damage_points(spark, sf).select("candidate_id", F.col("wx").alias("su"), F.col("wy").alias("sv"))
-    return damage.candidate_extents(spots).select("candidate_id", F.round("hull_area", 6).alias("hull_area"), F.size("ring").alias("vertices"))
+    return damage.candidate_hulls(spots).select("candidate_id", F.round("hull_area", 6).alias("hull_area"), F.size("ring").alias("vertices"))
 
 
 DCAND = """(SELECT l_suppkey AS surface_id, CASE l_returnflag WHEN 'A' THEN 'crack' WHEN 'R' THEN 'mold' ELSE 'hole' END AS damage_type, (l_orderkey * 8 + l_linenumber) * 10000000 + l_partkey AS ordinal,
@@ -301,12 +301,12 @@ DGROUP = """(SELECT l_suppkey // 4 AS property_id, l_suppkey AS surface_id, CASE
 @query("damage_fusion", f"""WITH g AS (SELECT property_id, surface_id, damage_type, group_no, median(a) AS area, median(len) AS length, median(score) AS s, median(residual) AS r, min(ordinal) AS o, count(DISTINCT frame_id) AS views FROM {DGROUP} d GROUP BY 1, 2, 3, 4),
  n AS (SELECT *, row_number() OVER (PARTITION BY property_id ORDER BY o) AS idx FROM g),
  m AS (SELECT surface_id, damage_type, group_no, median(abs(a - area)) AS area_mad FROM {DGROUP} d JOIN g USING (surface_id, damage_type, group_no) GROUP BY 1, 2, 3)
- SELECT property_id, printf('damage_%03d', idx) AS damage_id, damage_type, views, round(area, 6) AS area, round(area_mad, 6) AS area_mad, round(CASE damage_type WHEN 'crack' THEN length END, 6) AS length,
+ SELECT property_id, printf('damage_%03d', idx) AS damage_id, damage_type, views, round(area + 1e-9, 6) AS area, round(area_mad + 1e-9, 6) AS area_mad, round(CASE damage_type WHEN 'crack' THEN length END, 6) AS length,
  round(least(1, 0.45 * s + 0.3 * greatest(0, 1 - r / 0.18) + 0.25 * least(1, views / 3.0)), 6) AS quality FROM n JOIN m USING (surface_id, damage_type, group_no) WHERE views >= 2""")
 def damage_fusion(spark: SparkSession, sf: str) -> DataFrame:
     rows = damage_candidates(spark, sf).withColumn("property_id", F.expr("surface_id div 4")).withColumn("group_no", F.floor(F.col("center_u")))
     out = damage.fuse(rows, ["property_id"])
-    return out.select("property_id", "damage_id", "damage_type", "views", *[F.round(c, 6).alias(c) for c in ("area", "area_mad", "length", "quality")])
+    return out.select("property_id", "damage_id", "damage_type", "views", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("area", "area_mad")], *[F.round(c, 6).alias(c) for c in ("length", "quality")])
 
 
 @query("damage_gate", """SELECT l_suppkey * 8 + l_linenumber AS candidate_id, count(*) FILTER (WHERE l_tax > 0.03) < 40 AS lacks_depth FROM lineitem GROUP BY 1 HAVING count(*) >= 80 AND max(l_discount) * 10 >= 0.35""")

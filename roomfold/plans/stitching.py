@@ -58,7 +58,7 @@ def room_pairs(spark: SparkSession, sf: str) -> DataFrame:
  (PARTITION BY a.property_id ORDER BY a.room_id, b.room_id) AS n FROM {ROOMS} a JOIN {ROOMS} b ON a.property_id = b.property_id AND a.room_id < b.room_id),
  e AS (SELECT property_id, least(room_a, room_b) AS room_a, greatest(room_a, room_b) AS room_b, connection_id, score, row_number() OVER
  (PARTITION BY property_id, room_a, room_b ORDER BY score DESC, connection_id) AS n FROM {EDGES} e)
- SELECT p.property_id, p.room_a, p.room_b, e.connection_id, coalesce(round(score, 6), 0) AS score,
+ SELECT p.property_id, p.room_a, p.room_b, e.connection_id, coalesce(round(score + 1e-9, 6), 0) AS score,
  CASE WHEN score IS NULL THEN 'NO_CROSS_ROOM_MATCHES' END AS rejection_reason FROM p LEFT JOIN e ON e.property_id = p.property_id
  AND e.room_a = p.room_a AND e.room_b = p.room_b AND e.n = 1 WHERE p.n <= 100""")
 def best_pair_evidence(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,7 +67,7 @@ def best_pair_evidence(spark: SparkSession, sf: str) -> DataFrame:
                                      F.col("connection_id").alias("ordinal"), F.lit(True).alias("accepted"),
                                      F.lit(None).cast("string").alias("rejection_reason"))
     out = graph.best_evidence(rows, graph.room_pairs(rooms(spark, sf), 100))
-    return out.select("property_id", "room_a", "room_b", "connection_id", F.round("score", 6).alias("score"), "rejection_reason")
+    return out.select("property_id", "room_a", "room_b", "connection_id", F.round(F.col("score") + 1e-9, 6).alias("score"), "rejection_reason")
 
 
 ACCEPTED = f"(SELECT * FROM {EDGES} e WHERE ({REASON}) IS NULL)"
