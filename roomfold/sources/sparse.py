@@ -21,18 +21,18 @@ def _plain(lines: DataFrame) -> DataFrame:
 def read_cameras(spark: SparkSession, path: str) -> DataFrame:
     """Pinhole cameras; any other model is kept as a null focal length for the caller to reject."""
     f = F.col("f")
-    pinhole = (f[1] == "PINHOLE") & (F.size(f) == 8)
+    pinhole = (F.get(f, F.lit(1)) == "PINHOLE") & (F.size(f) == 8)
     value = lambda i: F.when(pinhole, F.get(f, F.lit(i)).cast("double"))
     return _plain(_lines(spark, path)).select(
-        "capture_id", f[0].cast("int").alias("camera_id"), f[2].cast("int").alias("width"), f[3].cast("int").alias("height"),
+        "capture_id", F.get(f, F.lit(0)).cast("int").alias("camera_id"), F.get(f, F.lit(2)).cast("int").alias("width"), F.get(f, F.lit(3)).cast("int").alias("height"),
         value(4).alias("fx"), value(5).alias("fy"), value(6).alias("cx"), value(7).alias("cy"))
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:
     f = F.col("f")
     return _plain(_lines(spark, path)).select(
-        "capture_id", f[0].cast("long").alias("point_id"), f[1].cast("double").alias("px"), f[2].cast("double").alias("py"), f[3].cast("double").alias("pz"),
-        f[7].cast("double").alias("reprojection_error"))
+        "capture_id", F.get(f, F.lit(0)).cast("long").alias("point_id"), F.get(f, F.lit(1)).cast("double").alias("px"), F.get(f, F.lit(2)).cast("double").alias("py"), F.get(f, F.lit(3)).cast("double").alias("pz"),
+        F.get(f, F.lit(7)).cast("double").alias("reprojection_error"))
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
@@ -50,12 +50,12 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     body = numbered.filter(F.col("n") % 2 == 1).select("capture_id", (F.col("n") - 1).alias("n"), F.col("line").alias("observations"))
     f = F.col("f")
     paired = header.withColumn("f", F.split(F.trim("line"), "\\s+", 10)).join(body, ["capture_id", "n"], "left")
-    q = [f[i].cast("double") for i in (2, 3, 4, 1)]
-    t = tuple(f[i].cast("double") for i in (5, 6, 7))
+    q = [F.get(f, F.lit(i)).cast("double") for i in (2, 3, 4, 1)]
+    t = tuple(F.get(f, F.lit(i)).cast("double") for i in (5, 6, 7))
     unit = F.abs(rigid.quaternion_norm(*q) - 1.0) <= 1e-3
-    safe = ~f[9].contains("/") & ~f[9].isin(".", "..")
+    safe = ~F.get(f, F.lit(9)).contains("/") & ~F.get(f, F.lit(9)).isin(".", "..")
     return paired.select(
-        "capture_id", f[0].cast("int").alias("image_id"), f[8].cast("int").alias("camera_id"), f[9].alias("filename"),
+        "capture_id", F.get(f, F.lit(0)).cast("int").alias("image_id"), F.get(f, F.lit(8)).cast("int").alias("camera_id"), F.get(f, F.lit(9)).alias("filename"),
         F.when(unit & safe, rigid.invert(rigid.quaternion_pose(tuple(q), t))).alias("camera_to_world"), "observations")
 
 
