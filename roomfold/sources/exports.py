@@ -32,7 +32,7 @@ def read_odometry(spark: SparkSession, path: str) -> DataFrame:
 
 def read_camera_matrix(spark: SparkSession, path: str) -> DataFrame:
     """Focal lengths and centre of a headerless 3x3 matrix file per capture."""
-    whole = spark.read.option("wholetext", "true").text(path)
+    whole = spark.read.text(path, wholetext=True)
     cells = F.filter(F.transform(F.split("value", "[,\\s]+"), lambda v: v.try_cast("double")), lambda v: v.isNotNull())
     folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
     return whole.select(folder.alias("capture_id"), cells.alias("m")).select(

@@ -9,7 +9,7 @@ from roomfold.functions import rigid
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """Numbered lines of every model file; a file is one capture's model."""
-    whole = spark.read.option("wholetext", "true").text(path)
+    whole = spark.read.text(path, wholetext=True)
     folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
     return whole.select(folder.alias("capture_id"), F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
 
@@ -41,7 +41,7 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     Comments are dropped, the remaining lines alternate. Poses are inverted to camera-to-world;
     a quaternion off unit length or an unsafe file name leaves the pose null.
     """
-    whole = spark.read.option("wholetext", "true").text(path)
+    whole = spark.read.text(path, wholetext=True)
     folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
     # Blank lines before the first header are noise; later blanks are empty observation lists.
     lines = F.filter(F.split("value", "\r?\n"), lambda l: ~l.startswith("#"))
