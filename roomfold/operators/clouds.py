@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -212,34 +210,27 @@ def ring_area(ring: np.ndarray) -> float:
     return float(abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2.0)
 
 
-def hull_reduce(df: DataFrame, keys: list[str], x: str, y: str, salts: int = 32) -> DataFrame:
-    """Candidate hull vertices of every group: hulls of batches, then of salted batches.
+def hull_reduce(df: DataFrame, keys: list[str], x: str, y: str, block: int = 20_000) -> DataFrame:
+    """Candidate hull vertices of every group, from pieces of at most about ``block`` points.
 
-    The hull of a union is the hull of the hulls, so each level is exact and shrinks
-    its input before the next shuffle.
+    The hull of a union is the hull of the hulls, so a dominant group is reduced in
+    pieces side by side and only their corners meet.
     """
     names = [f.name for f in df.schema.fields if f.name in keys]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keys) \
         + ", hx double, hy double"
 
-    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            out = []
-            for key, rows in pdf.groupby(names, dropna=False, sort=False):
-                ring = hull_vertices(rows[["hx", "hy"]].to_numpy(dtype=float))
-                block = pd.DataFrame(ring, columns=["hx", "hy"])
-                for name, value in zip(names, key if isinstance(key, tuple) else (key,)):
-                    block.insert(0, name, value)
-                out.append(block[[*names, "hx", "hy"]])
-            if out:
-                yield pd.concat(out, ignore_index=True)
+    def piece(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(hull_vertices(pdf[["hx", "hy"]].to_numpy(dtype=float)), columns=["hx", "hy"])
+        for name in names:
+            out[name] = pdf[name].iloc[0]
+        return out[[*names, "hx", "hy"]]
 
     flat = df.select(*names, F.col(x).cast("double").alias("hx"), F.col(y).cast("double").alias("hy")) \
         .filter(F.col("hx").isNotNull() & F.col("hy").isNotNull())
-    partial = flat.mapInPandas(batches, schema)
-    # A dominant group is spread over its salts; every task then reduces whatever groups it got.
-    spread = partial.repartition(*names, F.pmod(F.xxhash64("hx", "hy"), F.lit(salts)))
-    return spread.mapInPandas(batches, schema)
+    sizes = flat.groupBy(*names).agg(F.ceil(F.count("*") / block).alias("_parts"))
+    salted = flat.join(sizes, names).withColumn("_salt", F.pmod(F.xxhash64("hx", "hy"), F.col("_parts"))).drop("_parts")
+    return salted.groupBy(*names, "_salt").applyInPandas(piece, schema)
 
 
 def convex_hulls(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
