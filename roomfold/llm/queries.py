@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from roomfold.llm import langid
+from roomfold.llm import decontaminate, dedup, langid, licenses, sharding
 from roomfold.llm.arrow import id_remainder
 from roomfold.plans.tables import table
 
@@ -23,3 +23,37 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs.select("doc_id", "text", "lang", langid.held_out(F.col("doc_id")).alias("held_out"))
     model = langid.train(rows.where("not held_out"), "text", "lang")
     return langid.predict(rows, "text", model, ["doc_id", "held_out"])
+
+
+@query
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = dedup.near_duplicates(docs, settings=dedup.Settings(words=3, similarity=85, bands=34, rows=8))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"),
+                        F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+
+
+@query
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    own = F.transform("detections", lambda d: d["label"])
+    best = F.array_max(F.transform("detections", lambda d: d["confidence"]))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word",
+        F.array_join(F.array_sort(F.array_distinct("base")), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_distinct(F.concat("base", own))), ",").alias("labels"),
+        F.coalesce(best, F.lit(0.0)).alias("score"))
+
+
+@query
+def op4_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shards(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot",
+                        "grown_shard")
+
+
+@query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "item_id", "shared", "n_item",
+                        (F.col("shared") / F.col("n_item")).alias("containment"))
