@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from roomfold.llm import decontaminate, dedup, langid, licenses, sharding
+from roomfold.llm import decontaminate, dedup, extract, langid, licenses, sharding
 from roomfold.llm.arrow import id_remainder
 from roomfold.plans.tables import table
 
@@ -57,3 +57,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), "item_id", "shared", "n_item",
                         (F.col("shared") / F.col("n_item")).alias("containment"))
+
+
+@query
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = extract.extract(pages, extract.learn(pages), keep=["url"])
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
