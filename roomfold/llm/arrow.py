@@ -35,7 +35,8 @@ def map_chunks(df: DataFrame, text: str, schema: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in kernel(chunks(batches, text)):
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+            yield pa.RecordBatch.from_arrays([
+                c if isinstance(c := out[f.name], pa.Array) else pa.array(c, type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 

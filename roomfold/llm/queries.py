@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from roomfold.llm import decontaminate, dedup, extract, langid, licenses, sharding
+from roomfold.llm import decontaminate, dedup, extract, langid, licenses, lm, pieces, quality, search, sharding
 from roomfold.llm.arrow import id_remainder
 from roomfold.plans.tables import table
 
@@ -64,3 +64,34 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     found = extract.extract(pages, extract.learn(pages), keep=["url"])
     return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = quality.classify(docs, quality.train(docs), keep=["doc_id"])
+    return found.select("doc_id", F.col("quality_score").alias("score"), F.col("quality_keep").alias("kept"))
+
+
+@query
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode(table(spark, sf_dir, "documents"), keep=["doc_id", "text"])
+    decoded = pieces.decode(encoded)
+    return decoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
+                          (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+@query
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = lm.score(docs, ~lm.held_out(F.col("doc_id")))
+    return found.select(F.col("id").alias("doc_id"), (~F.col("training")).alias("held_out"), "n_tokens", "n_known",
+                        "train_tokens", "base_score", "score")
+
+
+@query
+def op9_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    asked = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    found = search.top_k(docs, asked)
+    return found.select("query_id", "rank", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
