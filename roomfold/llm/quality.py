@@ -12,19 +12,18 @@ from pyspark.sql import DataFrame, functions as F
 from roomfold.llm.arrow import map_chunks
 from roomfold.llm.shingles import hashed_words, mix, shingle_hashes
 
-BAD, GOOD, ABSTAIN = 0, 1, 2
+BAD, FINE, ABSTAIN = 0, 1, 2
 
-#: Labellers: measure, and the limits from which it votes. A value beyond ``bad`` votes bad, one on the
-#: other side of ``good`` votes good, anything between abstains.
+#: Labellers: a measure and the limit beyond which it votes bad. It abstains where its measure is undefined.
 LABELLERS = {
-    "symbols": (0.15, 0.02),        # symbol characters per word; more is worse
-    "capitals": (0.3, 0.1),         # upper case among letters
-    "repetition": (0.5, 0.15),      # repeated word triples
-    "repeated_lines": (0.3, 0.0),   # repeated lines
-    "bars": (0.15, 0.01),           # column bars per word
-    "exclamations": (0.2, 0.02),    # exclamation marks per word
-    "open_lines": (0.6, 0.1),       # lines that end without a full stop, question or exclamation mark
-    "digits": (0.4, 0.05),          # digits among letters and digits
+    "symbols": 0.15,        # symbol characters per word
+    "capitals": 0.3,        # upper case among letters
+    "repetition": 0.5,      # repeated word triples
+    "repeated_lines": 0.6,  # repeated lines
+    "bars": 0.15,           # column bars per word
+    "exclamations": 0.2,    # exclamation marks per word
+    "open_lines": 0.6,      # lines that end without a full stop, question or exclamation mark
+    "digits": 0.6,          # digits among letters and digits
 }
 _SYMBOLS = "#$%&*@^~=+<>{}[]\\_"
 
@@ -35,14 +34,16 @@ class Settings:
     #: Expected number of rows that the linear scorer is fitted on; labels come from the model over all rows.
     train_rows: int = 6000
     em_rounds: int = 60
+    #: Largest rate of bad votes of a labeller on good texts.
+    most_wrong: float = 0.01
     descent_rounds: int = 250
     threshold: float = 0.5
 
 
 @dataclass(frozen=True)
 class Model:
-    prior: float
-    accuracies: dict[str, tuple[float, float]]  # of each labeller when it votes: on bad texts, on good texts
+    prior: float  # share of good texts
+    rates: dict[str, tuple[float, float]]  # of each labeller: its bad votes among bad texts, and among good ones
     weights: np.ndarray
     bias: float
     settings: Settings
@@ -94,39 +95,41 @@ def measures(texts: list[str | None]) -> tuple[np.ndarray, list[np.ndarray]]:
             1 - len(set(lines)) / len(lines) if len(lines) >= 4 else np.nan,
             counts[ord("|")] / n, counts[ord("!")] / n,
             sum(x[-1] not in ".!?\"')]…»”:" for x in lines) / len(lines),
-            digits / (letters + digits) if letters + digits else np.nan)
+            digits / (letters + digits) if letters + digits >= 30 else np.nan)
     return rows, shapes
 
 
 def votes(rows: np.ndarray) -> np.ndarray:
-    limits = np.array(list(LABELLERS.values()))
     with np.errstate(invalid="ignore"):
-        return np.where(np.isnan(rows), ABSTAIN, np.where(rows > limits[:, 0], BAD, np.where(rows <= limits[:, 1], GOOD, ABSTAIN)))
+        return np.where(np.isnan(rows), ABSTAIN, np.where(rows > np.array(list(LABELLERS.values())), BAD, FINE))
 
 
-def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int) -> tuple[float, np.ndarray, np.ndarray]:
-    """Expectation-maximisation over vote patterns: share of good texts, P(vote | class) and P(good | pattern).
+def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int, most_wrong: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expectation-maximisation over vote patterns: class shares, P(vote | class) and P(good | pattern).
 
-    Starts from the mean vote of each pattern. Classes keep their meaning because a labeller's votes are
-    smoothed towards being right more often than not.
+    Class 0 are good texts; since bad texts are bad in different ways, each labeller also starts a class of its
+    own, which EM then fits to the votes that go together. Labellers are independent given the class, and one
+    that abstains says nothing. On good texts a labeller is wrong at a rate of at most ``most_wrong``.
     """
     n = patterns.shape[1]
-    cast = (patterns != ABSTAIN).sum(axis=1)
-    good = np.where(cast > 0, (patterns == GOOD).sum(axis=1) / np.maximum(cast, 1), 0.5)
-    # one bad vote among good ones is a suspicion already
-    good = np.where((patterns == BAD).any(axis=1), good * 0.5, good)
-    one_hot = patterns[:, :, None] == np.arange(3)
-    favour = np.array([[2.0, 0.5, 1.0], [0.5, 2.0, 1.0]])
+    bad = patterns == BAD
+    any_bad = bad.any(axis=1)
+    share = np.zeros((n + 1, len(patterns)))
+    share[0] = np.where(any_bad, 0.1, 1.0)
+    share[1:] = (0.9 * bad / np.maximum(bad.sum(axis=1), 1)[:, None]).T
+    one_hot = patterns[:, :, None] == np.arange(2)
     for _ in range(rounds):
-        mass = np.stack([counts * (1 - good), counts * good])
-        prior = (mass[1].sum() + 1) / (counts.sum() + 2)
-        table = np.einsum("cp,plv->clv", mass, one_hot) + favour[:, None, :]
+        mass = share * counts
+        prior = (mass.sum(axis=1) + 0.01) / (counts.sum() + 0.01 * (n + 1))
+        table = np.einsum("cp,plv->clv", mass, one_hot) + 0.05
         table /= table.sum(axis=2, keepdims=True)
-        logs = np.log(table)
-        by_class = np.stack([logs[c][np.arange(n), patterns].sum(axis=1) for c in (0, 1)])
-        odds = by_class[1] - by_class[0] + np.log(prior) - np.log1p(-prior)
-        good = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
-    return prior, table, good
+        table[0, :, BAD] = np.minimum(table[0, :, BAD], most_wrong)
+        table[0, :, FINE] = 1 - table[0, :, BAD]
+        logs = np.concatenate([np.log(table), np.zeros((n + 1, n, 1))], axis=2)
+        odds = np.stack([logs[c][np.arange(n), patterns].sum(axis=1) for c in range(n + 1)]) + np.log(prior)[:, None]
+        odds = np.exp(odds - odds.max(axis=0))
+        share = odds / odds.sum(axis=0)
+    return prior, table, share[0]
 
 
 def features(rows: np.ndarray, shapes: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,10 +199,10 @@ def train(docs: DataFrame, text: str = "text", settings: Settings = Settings())
     if not counted:
         return Model(0.5, {}, np.zeros(1 << settings.bits), 0.0, settings)
     patterns, counts = np.array([p for p, _ in counted]), np.array([n for _, n in counted], float)
-    prior, table, good = fit_labellers(patterns, counts, settings.em_rounds)
+    prior, table, good = fit_labellers(patterns, counts, settings.em_rounds, settings.most_wrong)
     posterior = {p: float(g) for (p, _), g in zip(counted, good)}
-    accuracies = {name: (table[0, i, BAD] / table[0, i, :2].sum(), table[1, i, GOOD] / table[1, i, :2].sum())
-                  for i, name in enumerate(LABELLERS)}
+    ill = np.einsum("c,cl->l", prior[1:], table[1:, :, BAD]) / prior[1:].sum()
+    rates = {name: (float(ill[i]), float(table[0, i, BAD])) for i, name in enumerate(LABELLERS)}
     share = min(1.0, settings.train_rows / counts.sum())
     sample = rows.where((F.xxhash64("text").bitwiseAND(F.lit((1 << 24) - 1))) < F.lit(int(share * (1 << 24)) + 1))
 
@@ -217,7 +220,7 @@ def train(docs: DataFrame, text: str = "text", settings: Settings = Settings())
     offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
     flat = lambda name: np.array([v for x in got[name].to_pylist() for v in x])
     weights, bias = _descend(offsets, flat("bucket").astype(np.int64), flat("value"), got["target"].to_numpy(), settings)
-    return Model(prior, accuracies, weights, bias, settings)
+    return Model(float(prior[0]), rates, weights, bias, settings)
 
 
 def scores(texts: list[str | None], model: Model) -> list[float]:
