@@ -8,7 +8,7 @@ import sys
 import time
 
 from roomfold.plans.catalog import QUERIES
-from roomfold.session import build_session
+from roomfold.session import build_session, drop_stages
 
 # One query per stage of the pipeline; BENCH_QUERIES=all times every registered query.
 HEADLINE = [
@@ -26,7 +26,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     wanted = os.environ.get("BENCH_QUERIES")
     names = list(QUERIES) if wanted == "all" else wanted.split(",") if wanted else [n for n in HEADLINE if n in QUERIES]
-    spark = build_session(f"local[{cpus}]", int(cpus) if cpus.isdigit() else 8)
+    spark = build_session(f"local[{cpus}]", int(cpus) if cpus.isdigit() else 8, driver_memory="20g")
     spark.sparkContext.setLogLevel("OFF")
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("sum(l_quantity)").collect()
     seconds = {}
@@ -34,6 +34,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        drop_stages(spark)
         print(name, seconds[name], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec",
                       "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),

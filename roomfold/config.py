@@ -194,7 +194,7 @@ class StitchConfig:
     max_overlap_ratio: float = 0.02
     boundary_distance: float = 0.35
     cycle_error: float = 0.35
-    max_pairs: int = 100
+    max_pairs: int | None = None  # accepted edges of a property; none: all
 
 
 @dataclass(frozen=True)

@@ -34,9 +34,12 @@ def voxel_sums(points: DataFrame, keys: list[str], size: int, coords: list[str])
 
 
 def fuse_frames(points: DataFrame, keys: list[str], cfg: FrameConfig = FrameConfig()) -> tuple[DataFrame, DataFrame]:
-    """All posed frames in one voxel grid; captures over the point budget become issues."""
+    """All posed frames in one voxel grid, and an issue row for every capture over the point budget.
+
+    Nothing is left out: what to do with such a capture is up to the caller.
+    """
     fused = voxel_downsample(points, keys, cfg.fusion_voxel)
-    return over_budget(fused, keys, cfg.max_fused_points, "FUSION_POINT_BUDGET_EXCEEDED")
+    return fused, over_budget(fused, keys, cfg.max_fused_points, "FUSION_POINT_BUDGET_EXCEEDED")[1]
 
 
 def over_budget(points: DataFrame, keys: list[str], limit: int, code: str) -> tuple[DataFrame, DataFrame]:

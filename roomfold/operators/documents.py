@@ -29,39 +29,26 @@ def _typed(df: DataFrame, column: str, ddl: str) -> DataFrame:
     return df.withColumn(column, conform(F.col(column), df.schema[column].dataType, schemas.field(ddl)))
 
 
-def with_parts(df: DataFrame, keys: list[str], limit: int, salt: str) -> DataFrame:
-    """Number groups above ``limit`` children in parts, so no list grows without bound."""
-    sizes = df.groupBy(*keys).agg(F.ceil(F.count("*") / limit).alias("_parts"))
-    return df.join(sizes, keys).withColumn("part", F.pmod(F.xxhash64(salt), F.col("_parts")).cast("int")).drop("_parts")
-
-
-def listed(df: DataFrame, keys: list[str], entry: str, order: str, limit: int, name: str) -> DataFrame:
-    """Ordered child lists per (keys, part)."""
-    parts = with_parts(df.withColumn("_order", F.col(order)), keys, limit, "_order")
+def listed(df: DataFrame, keys: list[str], entry: str, order: str, name: str) -> DataFrame:
+    """One ordered child list per owner."""
     by_order = lambda a, b: F.when(a["_order"] < b["_order"], -1).when(a["_order"] > b["_order"], 1).otherwise(0)
-    entries = F.array_sort(F.collect_list(F.struct("_order", entry)), by_order)
-    return parts.groupBy(*keys, "part").agg(entries.alias("_l")) \
-        .select(*keys, "part", F.transform("_l", lambda e: e[entry]).alias(name))
+    entries = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_order"), F.col(entry).alias("_entry"))), by_order)
+    return df.groupBy(*keys).agg(entries.alias("_l")).select(*keys, F.transform("_l", lambda e: e["_entry"]).alias(name))
 
 
-def assemble_results(rooms: DataFrame, walls: DataFrame, openings: DataFrame, damages: DataFrame,
-                     limit: int = 100) -> DataFrame:
-    """Result documents of single-room captures.
+def assemble_results(rooms: DataFrame, walls: DataFrame, openings: DataFrame, damages: DataFrame) -> DataFrame:
+    """Result documents of single-room captures: one document per capture, whatever its size.
 
-    A document lists at most about ``limit`` walls, openings or damages (the plane budget
-    of a room); a capture beyond that continues in further documents with the same
-    capture id, part by part, so nothing is dropped and no list is unbounded.
+    A document is one row by its format; it lists what was found in one capture, not a corpus.
     """
     walls, openings = _typed(walls, "wall", schemas.WALL), _typed(openings, "opening", schemas.OPENING)
     damages = _typed(damages, "damage", schemas.DAMAGE)
-    wall_lists = listed(walls, ["capture_id"], "wall", "wall.wall_id", limit, "walls")
-    opening_lists = listed(openings, ["capture_id"], "opening", "opening.opening_id", limit, "openings")
-    damage_lists = listed(damages, ["capture_id"], "damage", "damage.damage_id", limit, "damages")
-    children = wall_lists.join(opening_lists, ["capture_id", "part"], "full").join(
-        damage_lists, ["capture_id", "part"], "full")
-    base = rooms.join(children, "capture_id", "left").withColumn("part", F.coalesce("part", F.lit(0)))
-    first = F.col("part") == 0
-    area = F.when(first, F.col("floor_area"))
+    wall_lists = listed(walls, ["capture_id"], "wall", "wall.wall_id", "walls")
+    opening_lists = listed(openings, ["capture_id"], "opening", "opening.opening_id", "openings")
+    damage_lists = listed(damages, ["capture_id"], "damage", "damage.damage_id", "damages")
+    base = rooms.join(wall_lists, "capture_id", "left").join(opening_lists, "capture_id", "left").join(
+        damage_lists, "capture_id", "left")
+    area = F.col("floor_area")
     ids = lambda column, field: F.transform(column, lambda e: e[field])
     room = F.struct(
         "room_id", F.lit("unknown").alias("room_type"),
@@ -69,7 +56,7 @@ def assemble_results(rooms: DataFrame, walls: DataFrame, openings: DataFrame, da
         F.col("walls"), ids(F.col("openings"), "opening_id").alias("opening_ids"),
         ids(F.col("damages"), "damage_id").alias("damage_ids"))
     shaped = base.select(
-        "capture_id", "part", F.lit(schemas.SCHEMA_VERSION_RULE).alias("schema_version"),
+        "capture_id", F.lit(schemas.SCHEMA_VERSION_RULE).alias("schema_version"),
         F.struct("capture_id", "tier").alias("capture"),
         F.struct(F.concat(F.lit("property:"), "capture_id").alias("property_id"), F.array(room).alias("rooms"),
                  F.col("openings"), area.alias("total_floor_area")).alias("property"),
@@ -101,16 +88,16 @@ def to_sorted_json(documents: DataFrame) -> DataFrame:
                             F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
 
 
-def room_document(segments: DataFrame, rooms: DataFrame, limit: int = 100) -> DataFrame:
+def room_document(segments: DataFrame, rooms: DataFrame) -> DataFrame:
     """Rooms of a property with ``room:wall`` ids, built from wall segments and room facts."""
     length = F.struct(F.col("length").alias("value"), F.lit("m").alias("unit"))
     wall = F.struct(F.concat_ws(":", "room_id", "wall_id").alias("wall_id"), "room_id",
                     F.struct(F.col("x0").alias("x"), F.col("y0").alias("y")).alias("start_point"),
                     F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")).alias("end_point"),
                     length.alias("length"))
-    lists = listed(segments.withColumn("wall", wall), ["property_id", "room_id"], "wall", "wall_id", limit, "walls")
+    lists = listed(segments.withColumn("wall", wall), ["property_id", "room_id"], "wall", "wall_id", "walls")
     return rooms.join(lists, ["property_id", "room_id"], "left").select(
-        "property_id", "room_id", F.coalesce("part", F.lit(0)).alias("part"),
+        "property_id", "room_id",
         F.concat(F.col("room_id").cast("string"), F.lit(":floor")).alias("floor_id"),
         F.when(F.col("has_ceiling"), F.concat(F.col("room_id").cast("string"), F.lit(":ceiling"))).alias("ceiling_id"),
         "walls")

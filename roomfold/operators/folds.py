@@ -1,7 +1,8 @@
 """Order-dependent greedy selections as folds over bounded blocks.
 
 ``blocked_fold`` walks every group in blocks of ``block_rows`` consecutive
-positions. All groups advance together; what crosses a block border is a small
+positions. Blocks without rows do not count: a group takes its turns through the
+blocks it has. All groups advance together; what crosses a block border is a small
 state row. A group of normal size needs one block, hence one pass. Once a group's
 state can no longer change (``closed``) its remaining blocks run side by side.
 """
@@ -12,11 +13,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from roomfold.config import FrameConfig, PhotoConfig, VideoConfig
 from roomfold.operators.ordering import positions, top_per_group
-from roomfold.session import cut, fresh
+from roomfold.session import cut, fresh, stage_path
 
 Step = Callable[[pd.DataFrame, dict | None], tuple[pd.DataFrame, dict]]
 
@@ -63,26 +64,32 @@ def blocked_fold(df: DataFrame, keys: list[str], seq: str, step: Step, out_schem
         return run(left, {c: right[f"_s_{c}"].iloc[0] for c in state_cols})
 
     blocks = df.withColumn("_block", F.floor(F.col(seq) / block_rows))
-    last_block = blocks.agg(F.max("_block")).first()[0]
-    if not last_block:
+    if not blocks.agg(F.max("_block")).first()[0]:
         done = df.groupBy(*keys).applyInPandas(first, schema)
         return done.filter(~F.col("_is_state")).select(*key_order, *out_cols)
 
-    blocks = cut(blocks)
-    result = cut(blocks.filter("_block = 0").drop("_block").groupBy(*keys).applyInPandas(first, schema))
+    # A group's n-th block that has rows is its n-th turn, wherever it starts and whatever gaps it has.
+    turns = blocks.select(*keys, "_block").distinct().withColumn(
+        "_turn", (F.row_number().over(Window.partitionBy(*keys).orderBy("_block")) - 1).cast("int"))
+    spark, path = df.sparkSession, stage_path(df.sparkSession, "turns")
+    staged = blocks.join(turns, [*keys, "_block"]).drop("_block")
+    staged.write.partitionBy("_turn").parquet(path)
+    blocks = spark.read.schema(staged.schema).parquet(path)  # a turn is read alone
+    last_turn = blocks.agg(F.max("_turn")).first()[0]
+    result = cut(blocks.filter("_turn = 0").drop("_turn").groupBy(*keys).applyInPandas(first, schema))
     outputs = [result.filter(~F.col("_is_state"))]
     states = result.filter("_is_state")
-    for number in range(1, int(last_block) + 1):
+    for number in range(1, int(last_turn) + 1):
         closed = states.filter("_s_closed")
         if not closed.isEmpty():
             # A closed state is constant: every remaining block is independent.
-            rest = blocks.filter(F.col("_block") >= number).join(closed.select(*keys), keys, "left_semi")
-            copies = rest.select(*keys, "_block").distinct().join(closed, keys)
-            finished = (rest.groupBy(*keys, "_block").cogroup(fresh(copies).groupBy(*keys, "_block"))
-                        .applyInPandas(lambda a, b: later(a.drop(columns="_block"), b), schema))
+            rest = blocks.filter(F.col("_turn") >= number).join(closed.select(*keys), keys, "left_semi")
+            copies = rest.select(*keys, "_turn").distinct().join(closed, keys)
+            finished = (rest.groupBy(*keys, "_turn").cogroup(fresh(copies).groupBy(*keys, "_turn"))
+                        .applyInPandas(lambda a, b: later(a.drop(columns="_turn"), b), schema))
             outputs.append(cut(finished).filter(~F.col("_is_state")))
         states = states.filter(~F.col("_s_closed"))
-        part = blocks.filter(F.col("_block") == number).drop("_block").join(states.select(*keys), keys, "left_semi")
+        part = blocks.filter(F.col("_turn") == number).drop("_turn").join(states.select(*keys), keys, "left_semi")
         result = cut(part.groupBy(*keys).cogroup(fresh(states).groupBy(*keys)).applyInPandas(later, schema))
         outputs.append(result.filter(~F.col("_is_state")))
         states = result.filter("_is_state")
@@ -208,37 +215,73 @@ def select_photos(df: DataFrame, keys: list[str], cfg: PhotoConfig = PhotoConfig
             .select(*keys, seq, "selected", "rejection_reason"))
 
 
+def islands(spots: DataFrame, keys: list[str], coords: list[str], radius: float) -> DataFrame:
+    """Adds ``_island``: spots of different islands lie further apart than ``radius``.
+
+    Along each coordinate in turn a run of occupied cells, one radius wide, ends where a cell is empty:
+    nothing can bridge two cells that are not neighbours. Only distinct cells are ordered, never rows.
+    """
+    out = spots.withColumn("_island", F.lit(0).cast("long"))
+    for c in coords:
+        owner = [*keys, "_island"]
+        cell = F.floor(F.col(c) / radius)
+        order = Window.partitionBy(*owner).orderBy("_cell")
+        cells = out.select(*owner, cell.alias("_cell")).distinct()
+        starts = cells.withColumn("_new", (F.col("_cell") - F.lag("_cell").over(order) > 1).cast("int"))
+        runs = starts.withColumn("_run", F.sum(F.coalesce("_new", F.lit(0))).over(order)).drop("_new")
+        # the first cell of a run names it, together with the island it lies in
+        first = runs.withColumn("_first", F.min("_cell").over(Window.partitionBy(*owner, "_run")))
+        named = first.select(*owner, "_cell", F.xxhash64("_island", "_first").alias("_named"))
+        out = out.withColumn("_cell", cell).join(named, [*owner, "_cell"]).drop("_cell", "_island").withColumnRenamed("_named", "_island")
+    return out
+
+
 def leader_groups(df: DataFrame, keys: list[str], coords: list[str], order: list[str], radius: float,
                   bucket: str, block_rows: int = 50_000) -> DataFrame:
     """First-fit groups: join the earliest group whose *first member* is within ``radius``.
 
     Rows with equal coordinates always share a group, so each distinct coordinate is
     folded once, at the place of its earliest row; ``bucket`` names a column that does
-    not decrease along ``order`` and spreads the ranking of a large key. Returns the
-    distinct coordinates with group_no (1-based, in creation order) and is_leader order.
+    not decrease along ``order`` and spreads the ranking of a large key. Islands that no
+    radius bridges are folded side by side, each with its own leaders; groups are then
+    numbered over the whole key in the order of their leaders. Returns the distinct
+    coordinates with group_no (1-based, in creation order) and is_leader order.
     """
     spots = df.groupBy(*keys, *coords).agg(
         F.min(F.struct(F.col(bucket).alias("b"), *[F.col(o) for o in order])).alias("_first"))
-    ranked = positions(spots.withColumn("_b", F.col("_first.b")), keys, ["_first"], F.col("_b"), "_pos")
+    parted = islands(spots.withColumn("_b", F.col("_first.b")), keys, coords, radius)
+    ranked = positions(parted, [*keys, "_island"], ["_first"], F.col("_b"), "_pos")
 
     def step(pdf: pd.DataFrame, state: dict | None) -> tuple[pd.DataFrame, dict]:
         width = len(coords)
-        leaders = np.asarray(state["leaders"], dtype=float).reshape(-1, width) if state else np.empty((0, width))
+        leaders = list(np.asarray(state["leaders"], dtype=float).reshape(-1, width)) if state else []
+        stack = np.empty((max(16, 2 * len(leaders)), width))
+        if leaders:
+            stack[:len(leaders)] = leaders
+        count = len(leaders)
         points = pdf[coords].to_numpy(dtype=float)
         labels = np.empty(len(points), dtype=np.int64)
         opened = np.zeros(len(points), bool)
         for i, point in enumerate(points):
-            gap = np.abs(leaders - point)[:, 0] if width == 1 else np.linalg.norm(leaders - point, axis=1)
+            away = stack[:count] - point
+            gap = np.abs(away)[:, 0] if width == 1 else np.linalg.norm(away, axis=1)
             near = np.flatnonzero(gap <= radius)
             if len(near):
                 labels[i] = near[0] + 1
             else:
-                leaders = np.vstack([leaders, point])
-                labels[i], opened[i] = len(leaders), True
+                if count == len(stack):
+                    stack = np.concatenate((stack, np.empty_like(stack)))
+                stack[count] = point
+                count += 1
+                labels[i], opened[i] = count, True
         rows = pdf[coords].copy()
-        rows["group_no"], rows["opens"] = labels, opened
-        return rows, {"leaders": list(leaders.ravel()), "closed": False}
-
-    return blocked_fold(ranked.select(*keys, "_pos", *coords), keys, "_pos", step,
-                        ", ".join(f"{c} double" for c in coords) + ", group_no long, opens boolean",
-                        "leaders array<double>, closed boolean", block_rows)
+        rows["local_no"], rows["opens"] = labels, opened
+        return rows, {"leaders": list(stack[:count].ravel()), "closed": False}
+
+    folded = cut(blocked_fold(ranked.select(*keys, "_island", "_pos", *coords), [*keys, "_island"], "_pos", step,
+                              ", ".join(f"{c} double" for c in coords) + ", local_no long, opens boolean",
+                              "leaders array<double>, closed boolean", block_rows))
+    leaders = folded.filter("opens").join(parted.select(*keys, *coords, "_first", "_b"), [*keys, *coords])
+    numbered = positions(leaders, keys, ["_first"], F.col("_b"), "_no").select(
+        *keys, "_island", "local_no", (F.col("_no") + 1).alias("group_no"))
+    return folded.join(numbered, [*keys, "_island", "local_no"]).select(*keys, *coords, "group_no", "opens")

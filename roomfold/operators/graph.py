@@ -14,19 +14,20 @@ from roomfold.session import cut, fresh
 KEY = "property_id"
 
 
-def room_pairs(rooms: DataFrame, limit: int) -> DataFrame:
-    """First ``limit`` sorted room pairs of every property.
+def room_pairs(rooms: DataFrame, limit: int | None = None) -> DataFrame:
+    """Sorted room pairs of every property; with ``limit`` only the first so many of each.
 
     Pairs are numbered arithmetically from room ranks, so only the wanted ones exist;
     no room beyond rank ``limit`` can take part in them.
     """
     ids = rooms.select(KEY, "room_id").distinct()
     sizes = ids.groupBy(KEY).agg(F.count("*").alias("_n"))
-    ranked = top_per_group(ids, [KEY], [F.col("room_id")], limit + 1, "_rank") \
-        .withColumn("_i", F.col("_rank") - 1).drop("_rank").join(sizes, KEY)
+    order = Window.partitionBy(KEY).orderBy("room_id")
+    ranks = top_per_group(ids, [KEY], [F.col("room_id")], limit + 1, "_rank") if limit else ids.withColumn("_rank", F.row_number().over(order))
+    ranked = ranks.withColumn("_i", F.col("_rank") - 1).drop("_rank").join(sizes, KEY)
     i, n = F.col("_i"), F.col("_n")
     start = i * (n - 1) - F.floor(i * (i - 1) / 2)  # pairs of earlier rooms
-    room_for = F.least(n - 1 - i, F.lit(limit) - start)
+    room_for = F.least(n - 1 - i, F.lit(limit) - start) if limit else n - 1 - i
     firsts = ranked.withColumn("_m", room_for).filter(F.col("_m") > 0).select(
         KEY, F.col("room_id").alias("room_a"), F.explode(F.sequence((i + 1).cast("long"), i + F.col("_m"))).alias("_j"))
     seconds = ranked.select(KEY, F.col("room_id").alias("room_b"), F.col("_i").cast("long").alias("_j"))
@@ -34,20 +35,25 @@ def room_pairs(rooms: DataFrame, limit: int) -> DataFrame:
 
 
 def screen_evidence(evidence: DataFrame, rooms: DataFrame, cfg: StitchConfig = StitchConfig()) -> DataFrame:
-    """Accept or reject the first ``max_pairs`` evidence rows of every property.
+    """Accept or reject every evidence row.
 
-    An existing rejection reason is kept, except for unknown rooms.
+    An existing rejection reason is kept, except for unknown rooms. Where ``max_pairs`` is set, at most so
+    many rows of a property stay accepted, the best scores first; the others are rejected for the budget.
     """
-    head = top_per_group(evidence, [KEY], [F.col("ordinal")], cfg.max_pairs)
     known = rooms.select(KEY, "room_id").distinct()
     side = lambda name: known.select(KEY, F.col("room_id").alias(name), F.lit(True).alias(f"_{name}"))
-    joined = head.join(side("room_a"), [KEY, "room_a"], "left").join(side("room_b"), [KEY, "room_b"], "left")
+    joined = evidence.join(side("room_a"), [KEY, "room_a"], "left").join(side("room_b"), [KEY, "room_b"], "left")
     reason = (F.when(F.col("_room_a").isNull() | F.col("_room_b").isNull(), "unknown_room")
               .when(F.col("relative_transform").isNull(), F.coalesce("rejection_reason", F.lit("relative_transform_unavailable")))
               .when(~F.col("accepted") | (F.col("score") < cfg.acceptance),
                     F.coalesce("rejection_reason", F.lit("below_acceptance_threshold"))))
-    return (joined.withColumn("rejection_reason", reason).withColumn("accepted", F.col("rejection_reason").isNull())
-            .drop("_room_a", "_room_b"))
+    judged = joined.withColumn("rejection_reason", reason).drop("_room_a", "_room_b")
+    if cfg.max_pairs:
+        best = top_per_group(judged.filter("rejection_reason IS NULL"), [KEY], [F.col("score").desc(), F.col("ordinal")], cfg.max_pairs)
+        kept = best.select(KEY, "ordinal", F.lit(True).alias("_kept"))
+        judged = judged.join(kept, [KEY, "ordinal"], "left").withColumn("rejection_reason", F.when(
+            F.col("_kept").isNull(), F.coalesce("rejection_reason", F.lit("pair_budget")))).drop("_kept")
+    return judged.withColumn("accepted", F.col("rejection_reason").isNull())
 
 
 def best_evidence(frame_pairs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -104,27 +110,34 @@ def choose_root(rooms: DataFrame, edges: DataFrame) -> DataFrame:
                                           F.col("room_id")]).select(KEY, F.col("room_id").alias("root"))
 
 
-def spanning_edges(edges: DataFrame) -> DataFrame:
+def spanning_edges(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Maximum spanning forest: an edge joins two groups that no better edge joined before.
 
-    Screening leaves at most ``max_pairs`` edges per property, so each property's ordered
-    edges are folded once inside the engine: the state is the label of every room.
+    Each round takes the best edge of every group of rooms, by (score, smaller connection id), and merges
+    the groups it joins; groups at least halve in number, and no property is gathered in one row.
     """
-    ordered = edges.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct(
-        (-F.col("score")).alias("rank"), F.col("connection_id").alias("id"), F.col("room_a").alias("a"),
-        F.col("room_b").alias("b")))).alias("_edges"))
-    rooms = F.array_distinct(F.concat(F.transform("_edges", lambda e: e["a"]), F.transform("_edges", lambda e: e["b"])))
-    start = F.struct(F.map_from_arrays(rooms, rooms).alias("label"),
-                     F.slice(F.transform("_edges", lambda e: e["id"]), 1, 0).alias("tree"))
-
-    def step(state: Column, edge: Column) -> Column:
-        la, lb = state["label"][edge["a"]], state["label"][edge["b"]]
-        merged = F.transform_values(state["label"], lambda _, value: F.when(value == lb, la).otherwise(value))
-        return F.when(la == lb, state).otherwise(F.struct(
-            merged.alias("label"), F.concat(state["tree"], F.array(edge["id"])).alias("tree")))
-
-    tree = ordered.select(KEY, F.explode(F.aggregate("_edges", start, step)["tree"]).alias("connection_id"))
-    return edges.join(tree, [KEY, "connection_id"], "left_semi")
+    ends = cut(edges.select(KEY, "connection_id", "room_a", "room_b", "score"))
+    alive = ends.select(KEY, "connection_id", "score", F.col("room_a").alias("ga"), F.col("room_b").alias("gb"))
+    chosen = []
+    rank = [F.col("score").desc(), F.col("connection_id")]
+    for _ in range(max_rounds):
+        alive = cut(alive.filter("ga <> gb"))
+        if alive.isEmpty():
+            break
+        sides = alive.withColumn("g", F.explode(F.array("ga", "gb")))
+        best = cut(best_per_group(sides, [KEY, "g"], rank).select(KEY, "connection_id", "ga", "gb").distinct())
+        chosen.append(best.select(KEY, "connection_id"))
+        groups = alive.select(KEY, F.explode(F.array("ga", "gb")).alias("room_id")).distinct()
+        merged = components(groups, best.select(KEY, F.col("ga").alias("room_a"), F.col("gb").alias("room_b")))
+        label = lambda g: merged.select(KEY, F.col("room_id").alias(g), F.col("component").alias(f"_{g}"))
+        alive = alive.join(label("ga"), [KEY, "ga"]).join(label("gb"), [KEY, "gb"]).select(
+            KEY, "connection_id", "score", F.col("_ga").alias("ga"), F.col("_gb").alias("gb"))
+    else:
+        raise ValueError("spanning forest did not settle; raise max_rounds")
+    tree = ends.select(KEY, "connection_id").limit(0)
+    for part in chosen:
+        tree = tree.unionByName(part)
+    return edges.join(tree.distinct(), [KEY, "connection_id"], "left_semi")
 
 
 def layout(roots: DataFrame, tree: DataFrame, max_levels: int = 200) -> DataFrame:
@@ -144,6 +157,8 @@ def layout(roots: DataFrame, tree: DataFrame, max_levels: int = 200) -> DataFram
         if frontier.isEmpty():
             break
         placed.append(frontier)
+    else:
+        raise ValueError("layout did not settle; raise max_levels")
     out = placed[0]
     for level in placed[1:]:
         out = out.unionByName(level)
@@ -175,7 +190,7 @@ def refine_layout(poses: DataFrame, edges: DataFrame, roots: DataFrame,
                   cfg: StitchConfig = StitchConfig()) -> DataFrame:
     """Huber-weighted layout with the root fixed, plus the RMS residual per property.
 
-    Screening bounds a property to ``max_pairs`` edges and so to that many rooms plus one.
+    A property's accepted edges are solved together.
     """
     room_type = dict(poses.dtypes)["room_id"]
     schema = f"{KEY} {dict(poses.dtypes)[KEY]}, room_id {room_type}, pose array<double>, rms double"

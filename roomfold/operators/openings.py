@@ -198,7 +198,7 @@ def link_openings(openings: DataFrame, connections: DataFrame, edges: DataFrame,
 
     ``openings`` has room_id, mx, my (midpoint) and ordinal; ``edges`` are polygon edges per
     room. Distances are found by joins; only the exclusive choice is folded, in opening order,
-    over the few connections of a room.
+    over the connections within tolerance. An opening without any keeps its row, unlinked.
     """
     p = property_key
     free = connections.filter("opening_id IS NULL")
@@ -209,17 +209,18 @@ def link_openings(openings: DataFrame, connections: DataFrame, edges: DataFrame,
     reach = pairs.join(other, [p, "other"]).withColumn("_d", segment_distance(
         F.col("mx"), F.col("my"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")))
     gaps = reach.groupBy(p, "opening_id", "ordinal", "connection_id", "connection_order", "other").agg(F.min("_d").alias("_d"))
-    # An opening tries its nearest free connection only, so every option up to a taken one matters.
-    options = gaps.groupBy(p, "opening_id", "ordinal").agg(F.array_sort(F.collect_list(F.struct(
+    # An opening takes its nearest free connection if that lies within tolerance; farther ones are never taken.
+    near = gaps.filter(F.col("_d") <= cfg.boundary_tolerance).groupBy(p, "opening_id", "ordinal").agg(F.array_sort(F.collect_list(F.struct(
         F.col("_d").alias("d"), F.col("connection_order").cast("double").alias("o"), F.col("connection_id").cast("string").alias("c"),
         F.col("other").cast("string").alias("r")))).alias("options"))
+    options = near.withColumn("seq", F.col("ordinal"))
 
     def step(pdf: pd.DataFrame, state: dict | None) -> tuple[pd.DataFrame, dict]:
         taken = set(state["taken"]) if state else set()
         rows = []
         for opening, choices in zip(pdf["opening_id"], pdf["options"]):
             left = [o for o in choices if o["c"] not in taken]
-            if left and left[0]["d"] <= cfg.boundary_tolerance:
+            if left:
                 taken.add(left[0]["c"])
                 rows.append((opening, left[0]["c"], left[0]["r"], left[0]["d"]))
             else:
@@ -228,9 +229,10 @@ def link_openings(openings: DataFrame, connections: DataFrame, edges: DataFrame,
         return out, {"taken": sorted(taken), "closed": False}
 
     kind = dict(openings.dtypes)["opening_id"]
-    return blocked_fold(options.withColumn("seq", F.col("ordinal")), [p], "seq", step,
-                        f"opening_id {kind}, connection_id string, linked_room string, distance double",
-                        "taken array<string>, closed boolean", block_rows)
+    linked = blocked_fold(options, [p], "seq", step,
+                          f"opening_id {kind}, connection_id string, linked_room string, distance double",
+                          "taken array<string>, closed boolean", block_rows)
+    return openings.select(p, "opening_id").join(linked, [p, "opening_id"], "left")
 
 
 def typed_connections(connections: DataFrame, links: DataFrame, openings: DataFrame, property_key: str = "property_id") -> DataFrame:
@@ -255,8 +257,6 @@ def drop_previous(openings: DataFrame, connections: DataFrame, keys: list[str],
                   .withColumn("opening_id", F.when(~was, F.col("opening_id"))).drop("_old"))
 
 
-def ids_by_owner(rows: DataFrame, keys: list[str], value: str, name: str, limit: int = 1000) -> DataFrame:
-    """Sorted id lists written back onto their owner, in numbered parts above ``limit`` ids."""
-    from roomfold.operators.documents import with_parts
-    parts = with_parts(rows, keys, limit, value)
-    return parts.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(value)).alias(name))
+def ids_by_owner(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Sorted id list of every owner, one row per owner whatever its length."""
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias(name))

@@ -84,14 +84,19 @@ def _hypotheses(remaining: DataFrame, keys: list[str], iterations: int, seed: in
     """Planes through seeded triples of points.
 
     Every draw names a random rank; ranks come from a hash order kept to the wanted
-    prefix, found by a hash threshold first so only a small sample is ever ordered.
+    prefix, found by a hash threshold first so only a small sample is ever ordered. A cloud
+    of fewer points than the draws need is drawn from again, each time in another order.
     """
     want = 3 * iterations
+    counts = remaining.groupBy(*keys).agg(F.greatest(F.count("*"), F.lit(3)).alias("_count"))
+    again = F.sequence(F.lit(0), F.least(F.ceil(F.lit(1.5 * want) / F.col("_count")), F.lit(want)).cast("int") - 1)
+    remaining = remaining.join(counts, keys).select(*remaining.columns, F.explode(
+        F.when(F.col("_count") < want, again).otherwise(F.array(F.lit(0)))).alias("_draw"))
     sizes = remaining.groupBy(*keys).agg(F.count("*").alias("_size"))
-    draw = F.pmod(F.xxhash64(F.col("point_id"), F.lit(seed), F.lit(round_no)), F.lit(1 << 40)) / float(1 << 40)
+    draw = F.pmod(F.xxhash64(F.col("point_id"), F.lit(seed), F.lit(round_no), F.col("_draw")), F.lit(1 << 40)) / float(1 << 40)
     sampled = remaining.join(sizes, keys).withColumn("_h", draw) \
         .filter(F.col("_h") <= F.lit(want * 1.5 + 50) / F.col("_size"))
-    order = Window.partitionBy(*keys).orderBy("_h", "point_id")
+    order = Window.partitionBy(*keys).orderBy("_draw", "_h", "point_id")
     ranked = sampled.withColumn("_r", F.row_number().over(order) - 1).filter(F.col("_r") < want)
     triples = ranked.groupBy(*keys, F.floor(F.col("_r") / 3).cast("int").alias("hypothesis")).agg(
         F.array_sort(F.collect_list(F.struct("_r", "x", "y", "z"))).alias("_t")).filter(F.size("_t") == 3)
@@ -287,6 +292,8 @@ def merge_walls(walls: DataFrame, members: DataFrame, keys: list[str], cfg: Geom
         alive = cut(moved.groupBy(*plane).agg(*[F.sum(c).alias(c) for c in SUMS]))
         renamed = step.select(*keys, F.col("plane_no").alias("into"), "_to")
         mapping = cut(mapping.join(renamed, [*keys, "into"], "left").withColumn("into", F.coalesce("_to", "into")).select(*plane, "into"))
+    else:
+        raise ValueError("walls did not settle; raise max_rounds")
     current = sets.join(mapping, plane).drop("plane_no").withColumnRenamed("into", "plane_no").dropDuplicates([*plane, "point_id"])
     return cut(fit_moments(alive)), current
 

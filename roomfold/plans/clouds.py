@@ -28,11 +28,12 @@ def voxel_sums(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("frame_fusion", f"""WITH v AS (SELECT capture_id, floor(x_mm / 1000.0::DOUBLE / 0.03) AS vx, floor(y_mm / 1000.0::DOUBLE / 0.03) AS vy, floor(z_mm / 1000.0::DOUBLE / 0.03) AS vz,
  count(*) AS n, avg(x_mm / 1000.0::DOUBLE) AS x FROM {POINTS} p GROUP BY 1, 2, 3, 4)
- SELECT capture_id, count(*) AS cells, sum(n)::BIGINT AS points, round(avg(x), 6) AS mean_x FROM v GROUP BY 1 HAVING count(*) <= 2000""")
+ SELECT capture_id, count(*) AS cells, sum(n)::BIGINT AS points, round(avg(x), 6) AS mean_x, CASE WHEN count(*) > 2000 THEN 'FUSION_POINT_BUDGET_EXCEEDED' END AS issue FROM v GROUP BY 1""")
 def frame_fusion(spark: SparkSession, sf: str) -> DataFrame:
-    fused, _ = clouds.fuse_frames(metric_points(spark, sf), ["capture_id"], FrameConfig(max_fused_points=2000))
-    return fused.groupBy("capture_id").agg(F.count("*").alias("cells"), F.sum("n").alias("points"),
+    fused, issues = clouds.fuse_frames(metric_points(spark, sf), ["capture_id"], FrameConfig(max_fused_points=2000))
+    sums = fused.groupBy("capture_id").agg(F.count("*").alias("cells"), F.sum("n").alias("points"),
                                            F.round(F.avg("x"), 6).alias("mean_x"))
+    return sums.join(issues.select("capture_id", F.col("code").alias("issue")), "capture_id", "left")
 
 
 @query("point_budget_issues", f"""SELECT capture_id, 'POINT_BUDGET_EXCEEDED' AS code, count(*) AS points FROM {POINTS} p GROUP BY 1 HAVING count(*) > 600""")

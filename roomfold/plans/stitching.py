@@ -41,32 +41,29 @@ REASON = """CASE WHEN room_a = 'm02' OR room_b = 'm02' THEN 'unknown_room'
  WHEN score < 0.35 THEN CASE WHEN connection_id % 13 = 0 THEN 'kept_reason' ELSE 'below_acceptance_threshold' END END"""
 
 
-@query("evidence_screening", f"""SELECT property_id, connection_id, r IS NULL AS accepted, r AS rejection_reason FROM (SELECT *, {REASON} AS r,
- row_number() OVER (PARTITION BY property_id ORDER BY connection_id) AS n FROM {EDGES} e) t WHERE n <= 8""")
+@query("evidence_screening", f"""SELECT property_id, connection_id, r IS NULL AS accepted, r AS rejection_reason FROM (SELECT *, {REASON} AS r FROM {EDGES} e) t""")
 def evidence_screening(spark: SparkSession, sf: str) -> DataFrame:
-    out = graph.screen_evidence(evidence(spark, sf), rooms(spark, sf), StitchConfig(max_pairs=8))
+    out = graph.screen_evidence(evidence(spark, sf), rooms(spark, sf))
     return out.select("property_id", "connection_id", "accepted", "rejection_reason")
 
 
-@query("room_pairs", f"""SELECT property_id, room_a, room_b FROM (SELECT a.property_id, a.room_id AS room_a, b.room_id AS room_b, row_number() OVER
- (PARTITION BY a.property_id ORDER BY a.room_id, b.room_id) AS n FROM {ROOMS} a JOIN {ROOMS} b ON a.property_id = b.property_id AND a.room_id < b.room_id) t WHERE n <= 20""")
+@query("room_pairs", f"""SELECT a.property_id, a.room_id AS room_a, b.room_id AS room_b FROM {ROOMS} a JOIN {ROOMS} b ON a.property_id = b.property_id AND a.room_id < b.room_id""")
 def room_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.room_pairs(rooms(spark, sf), 20)
+    return graph.room_pairs(rooms(spark, sf))
 
 
-@query("best_pair_evidence", f"""WITH p AS (SELECT a.property_id, a.room_id AS room_a, b.room_id AS room_b, row_number() OVER
- (PARTITION BY a.property_id ORDER BY a.room_id, b.room_id) AS n FROM {ROOMS} a JOIN {ROOMS} b ON a.property_id = b.property_id AND a.room_id < b.room_id),
+@query("best_pair_evidence", f"""WITH p AS (SELECT a.property_id, a.room_id AS room_a, b.room_id AS room_b FROM {ROOMS} a JOIN {ROOMS} b ON a.property_id = b.property_id AND a.room_id < b.room_id),
  e AS (SELECT property_id, least(room_a, room_b) AS room_a, greatest(room_a, room_b) AS room_b, connection_id, score, row_number() OVER
  (PARTITION BY property_id, room_a, room_b ORDER BY score DESC, connection_id) AS n FROM {EDGES} e)
  SELECT p.property_id, p.room_a, p.room_b, e.connection_id, coalesce(round(score + 1e-9, 6), 0) AS score,
  CASE WHEN score IS NULL THEN 'NO_CROSS_ROOM_MATCHES' END AS rejection_reason FROM p LEFT JOIN e ON e.property_id = p.property_id
- AND e.room_a = p.room_a AND e.room_b = p.room_b AND e.n = 1 WHERE p.n <= 100""")
+ AND e.room_a = p.room_a AND e.room_b = p.room_b AND e.n = 1""")
 def best_pair_evidence(spark: SparkSession, sf: str) -> DataFrame:
     rows = P.edges(spark, sf).select("property_id", F.least("room_a", "room_b").alias("room_a"),
                                      F.greatest("room_a", "room_b").alias("room_b"), "connection_id", "score",
                                      F.col("connection_id").alias("ordinal"), F.lit(True).alias("accepted"),
                                      F.lit(None).cast("string").alias("rejection_reason"))
-    out = graph.best_evidence(rows, graph.room_pairs(rooms(spark, sf), 100))
+    out = graph.best_evidence(rows, graph.room_pairs(rooms(spark, sf)))
     return out.select("property_id", "room_a", "room_b", "connection_id", F.round(F.col("score") + 1e-9, 6).alias("score"), "rejection_reason")
 
 

@@ -17,14 +17,19 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# Stage tables written so far, in the order of writing.
+_STAGES: list[str] = []
+
 # Largest side, in rows, that is ever hinted as a broadcast after being counted.
 BROADCAST_ROW_LIMIT = 200_000
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int | None = None,
-                  app: str = "roomfold") -> SparkSession:
+                  app: str = "roomfold", driver_memory: str | None = None) -> SparkSession:
     builder = SparkSession.builder.master(master).appName(app).config("spark.ui.enabled", "false") \
-        .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "20g")
+        .config("spark.ui.showConsoleProgress", "false")
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
     if shuffle_partitions:
@@ -32,14 +37,26 @@ def build_session(master: str = "local[*]", shuffle_partitions: int | None = Non
     return builder.getOrCreate()
 
 
+def shared_folder(master: str, configured: str | None) -> str:
+    """The folder for stage tables: the configured one, or a temporary one on a local master only.
+
+    Anywhere else executors would write to disks of their own, so a missing setting is an error.
+    """
+    if configured:
+        return configured
+    if master == "local" or master.startswith("local["):
+        return tempfile.mkdtemp(prefix="spark-roomfold-")
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a temporary one only when none is set."""
+    """Folder named by ``spark.checkpoint.dir``."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-roomfold-"))
+    context.setCheckpointDir(shared_folder(context.master, configured))
     return context.getCheckpointDir()
 
 
@@ -62,4 +79,15 @@ def fresh(df: DataFrame) -> DataFrame:
 
 def stage_path(spark: SparkSession, name: str) -> str:
     """A fresh folder for a stage table beneath the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _STAGES.append(path)
+    return path
+
+
+def drop_stages(spark: SparkSession) -> int:
+    """Delete the stage tables of this driver; results that still read from them must have been written before."""
+    gone = 0
+    while _STAGES:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(_STAGES.pop())
+        gone += bool(folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True))
+    return gone

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from roomfold.functions import rigid
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Numbered lines of every model file; a file is one capture's model."""
-    whole = spark.read.text(path, wholetext=True)
-    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
-    return whole.select(folder.alias("capture_id"), F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
+    """Lines of every model file with their order in it; a file is one capture's model and is never one row.
+
+    Rows of a split come in the order of the file, and splits by where they begin.
+    """
+    return spark.read.text(path).select(
+        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("capture_id"),
+        F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row")).alias("n"),
+        F.regexp_replace("value", "\r$", "").alias("line"))
 
 
 def _plain(lines: DataFrame) -> DataFrame:
@@ -38,18 +42,20 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """Registered images: a header line, then its observation line, which may be empty.
 
-    Comments are dropped, the remaining lines alternate. Poses are inverted to camera-to-world;
-    a quaternion off unit length or an unsafe file name leaves the pose null.
+    Comments are dropped. A blank line either is the empty observation of the header before it or is
+    noise where a header is due; after it a header is due in any case. So inside a run of lines that
+    are not blank, headers and observations alternate from the first one on. Poses are inverted to
+    camera-to-world; a quaternion off unit length or an unsafe file name leaves the pose null.
     """
-    whole = spark.read.text(path, wholetext=True)
-    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
-    # Blank lines before the first header are noise; later blanks are empty observation lists.
-    lines = F.filter(F.split("value", "\r?\n"), lambda l: ~l.startswith("#"))
-    numbered = whole.select(folder.alias("capture_id"), F.posexplode(lines).alias("n", "line"))
-    header = numbered.filter(F.col("n") % 2 == 0).filter(F.trim("line") != "")
-    body = numbered.filter(F.col("n") % 2 == 1).select("capture_id", (F.col("n") - 1).alias("n"), F.col("line").alias("observations"))
+    in_file = Window.partitionBy("capture_id").orderBy("n")
+    lines = _lines(spark, path).filter(~F.col("line").startswith("#")).withColumn("k", F.row_number().over(in_file))
+    blank = F.trim("line") == ""
+    placed = lines.withColumn("blank", blank).withColumn(
+        "run", F.coalesce(F.max(F.when(blank, F.col("k"))).over(in_file), F.lit(0))).withColumn(
+        "observations", F.coalesce(F.lead(F.trim("line")).over(in_file), F.lit("")))
+    paired = placed.filter(~F.col("blank") & ((F.col("k") - F.col("run")) % 2 == 1)).withColumn(
+        "f", F.split(F.trim("line"), "\\s+", 10))
     f = F.col("f")
-    paired = header.withColumn("f", F.split(F.trim("line"), "\\s+", 10)).join(body, ["capture_id", "n"], "left")
     q = [F.get(f, F.lit(i)).cast("double") for i in (2, 3, 4, 1)]
     t = tuple(F.get(f, F.lit(i)).cast("double") for i in (5, 6, 7))
     unit = F.abs(rigid.quaternion_norm(*q) - 1.0) <= 1e-3
@@ -59,6 +65,15 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
         F.when(unit & safe, rigid.invert(rigid.quaternion_pose(tuple(q), t))).alias("camera_to_world"), "observations")
 
 
+def model_faults(images: DataFrame, cameras: DataFrame) -> DataFrame:
+    """What makes a capture's model unusable: (capture_id, code), once per kind of fault."""
+    tokens = F.size(F.filter(F.split(F.trim(F.coalesce("observations", F.lit(""))), "\\s+"), lambda v: v != ""))
+    bad_pose = images.filter(F.col("camera_to_world").isNull()).select("capture_id", F.lit("SPARSE_IMAGE_INVALID").alias("code"))
+    bad_rows = images.filter(tokens % 3 != 0).select("capture_id", F.lit("SPARSE_OBSERVATIONS_MALFORMED").alias("code"))
+    bad_camera = cameras.filter(F.col("fx").isNull()).select("capture_id", F.lit("SPARSE_CAMERA_UNSUPPORTED").alias("code"))
+    return bad_pose.unionByName(bad_rows).unionByName(bad_camera).distinct()
+
+
 def observations(images: DataFrame) -> DataFrame:
     """Triples x, y, point id; negative ids are unmatched features."""
     parts = F.filter(F.split(F.trim(F.coalesce("observations", F.lit(""))), "\\s+"), lambda v: v != "")
@@ -70,8 +85,9 @@ def observations(images: DataFrame) -> DataFrame:
 
 
 def registered_frames(images: DataFrame, cameras: DataFrame) -> DataFrame:
-    """Frames with calibration; name order is frame order."""
-    return images.drop("observations").join(cameras, ["capture_id", "camera_id"])
+    """Frames with calibration; name order is frame order. A capture whose model has a fault has none."""
+    faulty = model_faults(images, cameras).select("capture_id")
+    return images.drop("observations").join(cameras, ["capture_id", "camera_id"]).join(faulty, "capture_id", "left_anti")
 
 
 def match_statistics(images: DataFrame, keypoints: DataFrame, geometries: DataFrame) -> tuple[DataFrame, DataFrame]:

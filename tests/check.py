@@ -12,7 +12,7 @@ from tests.compare import connection, difference, spark_rows, sql_rows
 
 def main() -> None:
     sf_dir, parts = f"/root/testdata/sf{sys.argv[1]}", sys.argv[2:]
-    spark = build_session("local[8]", 8)
+    spark = build_session("local[8]", 8, driver_memory="20g")
     spark.sparkContext.setLogLevel("OFF")
     con = connection(sf_dir)
     for name, fn in QUERIES.items():
