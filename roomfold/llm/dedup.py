@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from hashlib import blake2b
 
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from roomfold.llm.arrow import map_chunks
 from roomfold.llm.linking import components
@@ -30,7 +31,9 @@ class Settings:
     similarity: int = 80
     bands: int = 34
     rows: int = 6
-    max_rounds: int = 12
+    #: Members and bytes of one block when a cluster is compared block by block.
+    block_rows: int = 256
+    block_bytes: int = 16_000_000
 
 
 def _signature_group(sets: list[np.ndarray], width: int) -> np.ndarray:
@@ -114,27 +117,94 @@ def sketch(docs: DataFrame, key: str, text: str, settings: Settings) -> DataFram
     return map_chunks(rows, "text", "id long, n_shingles long, digest binary, bands array<long>", run)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, settings: Settings) -> DataFrame:
-    """The pairs ``u``, ``v`` whose full shingle sets reach the similarity."""
-    wanted = pairs.select("u").union(pairs.select("v")).distinct()
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(
-        wanted.withColumnRenamed("u", "id"), "id", "left_semi")
-    both = pairs.join(texts.selectExpr("id u", "text text_u"), "u").join(texts.selectExpr("id v", "text text_v"), "v")
+def _exactly(x: np.ndarray, y: np.ndarray, similarity: int) -> bool:
+    if 100 * min(len(x), len(y)) < similarity * max(len(x), len(y)):
+        return False
+    common = len(x) + len(y) - len(np.union1d(x, y))
+    return 100 * common >= similarity * (len(x) + len(y) - common)
+
+
+def verify(pairs: DataFrame, settings: Settings) -> DataFrame:
+    """Adds ``linked`` to rows with ``text_u`` and ``text_v``: whether the full shingle sets reach the similarity."""
+    names = [c for c in pairs.columns if c != "text_v"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema if f.name in names)
 
     def run(parts: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for part in parts:
             distinct = sorted({*part["text_u"], *part["text_v"]})
             sets = dict(zip(distinct, shingle_sets(distinct, settings.words)))
-            keep = []
-            for i, (a, b) in enumerate(zip(part["text_u"], part["text_v"])):
-                x, y = sets[a], sets[b]
-                if 100 * min(len(x), len(y)) >= settings.similarity * max(len(x), len(y)):
-                    common = len(x) + len(y) - len(np.union1d(x, y))
-                    if 100 * common >= settings.similarity * (len(x) + len(y) - common):
-                        keep.append(i)
-            yield {"u": [part["u"][i] for i in keep], "v": [part["v"][i] for i in keep]}
+            linked = [_exactly(sets[a], sets[b], settings.similarity) for a, b in zip(part["text_u"], part["text_v"])]
+            yield {n: part[n] for n in names} | {"linked": linked}
+
+    return map_chunks(pairs, "text_u", f"{schema}, linked boolean", run)
+
+
+def compare_blocks(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]], joined: set[int],
+                   similarity: int) -> list[tuple[int, int]]:
+    """Links between two blocks of (id, set) that connect what is not yet connected; ``joined`` ids are one already."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    top = min(joined, default=None)
+    for i in joined:
+        parent[i] = top
+    sizes = np.array([len(s) for _, s in left])
+    flat = np.concatenate([s for _, s in left])
+    owner = np.repeat(np.arange(len(left)), sizes)
+    order = np.argsort(flat, kind="stable")
+    values, begin, counts = np.unique(flat[order], return_index=True, return_counts=True)
+    owner = owner[order]
+    found = []
+    for i, s in right:
+        place = np.minimum(np.searchsorted(values, s), len(values) - 1)
+        hit = place[values[place] == s]
+        n = counts[hit]
+        index = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[hit], n)
+        common = np.bincount(owner[index], minlength=len(left))
+        for k in np.flatnonzero(100 * common >= similarity * (sizes + len(s) - common)):
+            a, b = find(left[k][0]), find(i)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                found.append((left[k][0], i))
+    return found
+
 
-    return map_chunks(both, "text_u", "u long, v long", run)
+def _within_clusters(judged: DataFrame, settings: Settings) -> DataFrame:
+    """Links of the members that are not linked to their hub, compared exactly with all other members.
+
+    A cluster is dealt into blocks of bounded count and bytes; a task holds one block of unlinked members and one
+    of any, and returns a spanning set of links, never the pairs.
+    """
+    size = F.octet_length("text_u")
+    alone = ~F.col("linked")
+    sums = judged.groupBy("cluster").agg(
+        F.count("*").alias("_n"), F.sum(size).alias("_bytes"), F.count_if(alone).alias("_m"),
+        F.sum(F.when(alone, size)).alias("_loose")).where("_n > 1 and _m > 0")
+
+    def blocks(n: str, amount: str):
+        return F.greatest(F.ceil(F.col(n) / settings.block_rows), F.ceil(F.col(amount) / settings.block_bytes)).cast("int")
+
+    rows = judged.join(sums.select("cluster", blocks("_n", "_bytes").alias("_all"), blocks("_m", "_loose").alias("_few")), "cluster")
+    slot = F.xxhash64("u")
+    every = F.sequence(F.lit(0), F.col("_all") - 1)
+    few = F.sequence(F.lit(0), F.col("_few") - 1)
+    left = rows.where(alone).select("cluster", F.pmod(slot, "_few").cast("int").alias("i"), F.explode(every).alias("j"),
+                                    F.lit(True).alias("left"), "u", "linked", F.col("text_u").alias("text"))
+    right = rows.select("cluster", F.explode(few).alias("i"), F.pmod(slot, "_all").cast("int").alias("j"),
+                        F.lit(False).alias("left"), "u", "linked", F.col("text_u").alias("text"))
+
+    def compare(group: pa.Table) -> pa.Table:
+        ids, side, linked = (group[n].to_pylist() for n in ("u", "left", "linked"))
+        sets = shingle_sets(group["text"].to_pylist(), settings.words)
+        halves = [[(i, s) for i, s, at in zip(ids, sets, side) if at is wanted and len(s)] for wanted in (True, False)]
+        found = compare_blocks(*halves, {i for i, x in zip(ids, linked) if x}, settings.similarity) if all(halves) else []
+        return pa.table({"u": pa.array([a for a, _ in found], pa.int64()), "v": pa.array([b for _, b in found], pa.int64())})
+
+    return left.union(right).groupBy("cluster", "i", "j").applyInArrow(compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
@@ -145,49 +215,51 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
     and stand alone; a row with a null id is linked with nothing and gets a null component. Rows that
     repeat an id count as one document. Other columns of ``docs`` are not looked at.
 
-    Equal sets become one class, represented by its smallest id. Inside each band bucket the classes
-    are not paired with each other: all are verified against one centre; buckets whose classes are
-    still in different components get further centres, four times as many each round and from the
-    smaller components first, until every two classes of different components have been compared. A
-    bucket of near copies thus needs as many comparisons as it has members. Band rows of buckets with
-    one class are dropped before anything is joined.
+    Equal sets become one class, represented by its smallest id; band buckets of one class are dropped.
+    In a bucket the class that meets the most others over all its buckets is the hub; every class joins
+    the cluster of its best hub and is verified against it, so a group of near copies costs one comparison
+    each. Classes that miss their hub are compared exactly with the whole cluster, block by block. Last,
+    buckets that hold several clusters and several components are settled pair by pair across clusters,
+    leaving out the members of the bucket's largest cluster among themselves. Every two classes that share
+    a bucket are thus compared or known to be connected.
     """
     sketches = stage(sketch(docs, key, text, settings))
     classes = sketches.where("n_shingles > 0 and id is not null").groupBy("digest").agg(
         F.min("id").alias("rep"), F.first("bands").alias("bands"))
     rows = classes.select("rep", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.min("rep").alias("u"), F.max("rep").alias("_last")).where("u <> _last")
-    members = stage(rows.join(shared.select("band", "u"), "band").select("band", "rep", "u"))
-    tried = members.select("band", F.col("u").alias("rep")).distinct()
-    pairs = members.where("rep <> u").selectExpr("u", "rep v").distinct()
-    members = members.select("band", "rep").distinct()
-    links = stage(verify(stage(pairs), docs, key, text, settings))
+    shared = rows.groupBy("band").agg(F.min("rep").alias("_a"), F.max("rep").alias("_b"), F.count("*").alias("size")).where("_a <> _b")
+    members = stage(rows.join(shared.select("band", "size"), "band"))
+    met = members.groupBy("rep").agg(F.sum(F.col("size") - 1).alias("met"))
+    ranked = members.select("band", "rep").join(met, "rep")
+    best = F.struct("met", (-F.col("rep")).alias("back"))
+    hubs = ranked.groupBy("band").agg(F.max(best).alias("hub"))
+    placed = stage(members.select("band", "rep").join(hubs, "band").groupBy("rep").agg((-F.max("hub")["back"]).alias("cluster")))
+    homes = placed.union(placed.select(F.col("cluster").alias("rep"), "cluster")).groupBy("rep").agg(
+        F.collect_set("cluster").alias("clusters"))
+    texts = stage(docs.select(F.col(key).cast("long").alias("u"), F.col(text).alias("text")).where("text is not null").join(
+        homes.withColumnRenamed("rep", "u"), "u"))
+    centre = texts.where(F.array_contains("clusters", F.col("u"))).select(F.col("u").alias("cluster"), F.col("text").alias("text_v"))
+    around = texts.select("u", F.explode("clusters").alias("cluster"), F.col("text").alias("text_u")).where("u <> cluster")
+    judged = stage(verify(around.join(centre, "cluster"), settings))
+    links = judged.where("linked").select("u", F.col("cluster").alias("v")).union(_within_clusters(judged, settings))
+    links = stage(links)
     groups = components(links)
-    for turn in range(1, settings.max_rounds):
-        placed = members.join(groups.withColumnRenamed("u", "rep"), "rep", "left").withColumn(
-            "component", F.coalesce("component", "rep"))
-        mixed = placed.groupBy("band").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where(
-            "_a <> _b").select("band")
-        placed = stage(placed.join(mixed, "band"))
-        sizes = placed.groupBy("band", "component").agg(F.count("*").alias("size"))
-        largest = sizes.groupBy("band").agg(F.max_by("component", F.struct("size", "component")).alias("largest"))
-        pending = placed.join(tried, ["band", "rep"], "left_anti").join(sizes, ["band", "component"]).join(
-            largest, "band").where("component <> largest")
-        first = Window.partitionBy("band").orderBy("size", "rep")
-        chosen = stage(pending.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= 4 ** (turn + 1)).select(
-            "band", F.col("rep").alias("u"), F.col("component").alias("_of")))
-        if chosen.isEmpty():
-            break
-        others = placed.join(tried, ["band", "rep"], "left_anti")
-        pairs = chosen.join(others, "band").where("component <> _of").select(
-            F.least("u", "rep").alias("u"), F.greatest("u", "rep").alias("v")).distinct()
-        found = stage(verify(stage(pairs), docs, key, text, settings))
-        tried = stage(tried.union(chosen.select("band", "u")))
-        if not found.isEmpty():
-            links = links.union(found)
-            groups = components(links)
-    else:
-        raise ValueError("band buckets are not settled; raise max_rounds")
+
+    where = members.select("band", "rep").join(placed, "rep").join(groups.withColumnRenamed("u", "rep"), "rep", "left").withColumn(
+        "component", F.coalesce("component", "rep"))
+    sizes = where.groupBy("band", "cluster").agg(F.count("*").alias("n"), F.min("component").alias("_a"), F.max("component").alias("_b"))
+    mixed = sizes.groupBy("band").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("largest"), F.count("*").alias("_k"),
+                                      F.min("_a").alias("_a"), F.max("_b").alias("_b")).where("_k > 1 and _a <> _b")
+    where = stage(where.join(mixed.select("band", "largest"), "band"))
+    some = where.where("cluster <> largest").select("band", F.col("rep").alias("u"), F.col("cluster").alias("_c"), F.col("component").alias("_g"))
+    across = some.join(where, "band").where("cluster <> _c and component <> _g and cluster <> u and rep <> _c").select(
+        F.least("u", "rep").alias("u"), F.greatest("u", "rep").alias("v")).distinct()
+    plain = texts.select("u", "text")
+    both = stage(across).join(plain.withColumnRenamed("text", "text_u"), "u").join(
+        plain.select(F.col("u").alias("v"), F.col("text").alias("text_v")), "v")
+    found = stage(verify(both, settings).where("linked").select("u", "v"))
+    if not found.isEmpty():
+        groups = components(links.union(found))
     named = sketches.join(classes.select("digest", "rep"), "digest", "left").join(
         groups.withColumnRenamed("u", "rep"), "rep", "left")
     return named.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce(
