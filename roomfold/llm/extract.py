@@ -176,12 +176,17 @@ def region(found: list[Node], learned: dict[str, float]) -> tuple[int, int]:
 
 
 def main_text(html: str | None, learned: dict[str, float]) -> str:
-    """Blocks of the best region, one line each; an article that the region touches is taken whole.
+    """Blocks of the best region, one line each; a block or an article that the region touches is taken whole.
 
     Texts that stand in menus, headers, footers, sidebars, notices, adverts, forms or comments are left out.
     """
     found = nodes(html)
     first, last = region(found, learned)
+    if first < last:
+        while first and not found[first - 1].breaks:
+            first -= 1
+        while last < len(found) and not found[last].breaks:
+            last += 1
     touched = {n.content for n in found[first:last] if n.feature[:5] == "word:" and n.words and not n.dropped} - {0}
     blocks, parts = [], []
     for i, node in enumerate(found):
