@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from roomfold.llm import decontaminate, dedup, extract, langid, licenses, lm, pieces, quality, search, sharding
-from roomfold.llm.arrow import id_remainder
+from roomfold.llm import decontaminate, dedup, extract, langid, licenses, lm, pieces, quality, search, sharding, sql
 from roomfold.plans.tables import table
 
 QUERIES = {}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_near_dedup": sql.NEAR_DEDUP, "op7_decontamination": sql.DECONTAMINATION, "op9_exact_search": sql.EXACT_SEARCH}
 
 
 def query(fn):
