@@ -7,18 +7,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from roomfold.config import ConfidenceConfig
 from roomfold.functions.scores import lower_bound
 from roomfold.operators.quantiles import weighted_quantiles
-from roomfold.session import BROADCAST_ROW_LIMIT
 
 # Interval multipliers (normal 95 % quantile and the MAD consistency factor).
 NORMAL_95 = 1.96
 MAD_TO_SIGMA = 1.4826
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast hint only after counting; a larger side keeps its shuffle join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def _entry(identifier: Column, room: Column, surface: Column, kind: str, value: Column, metadata: Column) -> Column:
     number = lambda key: F.try_element_at(metadata, F.lit(key)).try_cast("double").alias(key)
     return F.struct(
@@ -115,7 +109,7 @@ def apply_confidence(measures: DataFrame, profiles: DataFrame | None,
             .withColumn("profile_level", F.lit(None).cast("double"))
     else:
         wanted = profiles.select("tier", "measurement_type", "absolute_error", "profile_level")
-        joined = measures.join(small_side(wanted), ["tier", "measurement_type"], "left")
+        joined = measures.join(wanted, ["tier", "measurement_type"], "left")
     kind = F.col("measurement_type")
     mad = (F.when(kind.contains("area"), F.col("area_mad_m2"))
            .when(kind == "opening_width", F.col("width_mad_m")).otherwise(F.col("height_mad_m")))

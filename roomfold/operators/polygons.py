@@ -66,8 +66,8 @@ def _crossing_xs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore", invalid="ignore"):
         t = (d[..., 0] * s[None, :, 1] - d[..., 1] * s[None, :, 0]) / cross
         u = (d[..., 0] * r[:, None, 1] - d[..., 1] * r[:, None, 0]) / cross
-    hit = np.isfinite(t) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
-    return (p[:, None, 0] + t * r[:, None, 0])[hit]
+        hit = np.isfinite(t) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
+        return (p[:, None, 0] + t * r[:, None, 0])[hit]
 
 
 def _spans(ring: np.ndarray, x: float) -> np.ndarray:
@@ -124,31 +124,53 @@ def boundary_gap(a: np.ndarray, b: np.ndarray) -> float:
 
 def shared_length(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-9) -> float:
     """Length over which two boundaries coincide."""
-    total = 0.0
-    for p, q in zip(*_segments(a)):
-        length = float(np.linalg.norm(q - p))
-        if length <= tolerance:
-            continue
-        u = (q - p) / length
-        for r, s in zip(*_segments(b)):
-            off = [abs((v - p)[0] * u[1] - (v - p)[1] * u[0]) for v in (r, s)]
-            if max(off) <= tolerance:
-                lo, hi = sorted(float((v - p) @ u) for v in (r, s))
-                total += max(0.0, min(length, hi) - max(0.0, lo))
-    return total
+    (p, q), (r, s) = _segments(a), _segments(b)
+    length = np.linalg.norm(q - p, axis=1)
+    real = length > tolerance
+    p, q, length = p[real], q[real], length[real]
+    u = (q - p) / length[:, None]
+    off = [np.abs((v[None, :, 0] - p[:, None, 0]) * u[:, None, 1] - (v[None, :, 1] - p[:, None, 1]) * u[:, None, 0]) for v in (r, s)]
+    along = [((v[None] - p[:, None]) * u[:, None]).sum(axis=2) for v in (r, s)]
+    both = np.minimum(length[:, None], np.maximum(*along)) - np.maximum(0.0, np.minimum(*along))
+    return float(np.maximum(both, 0.0)[np.maximum(*off) <= tolerance].sum())
+
+
+def _span_table(ring: np.ndarray, xs: np.ndarray) -> np.ndarray:
+    """Ordinates where vertical lines meet a ring, paired inside-out: (line, span, 2), padded with infinities."""
+    nxt = np.roll(ring, -1, axis=0)
+    over = (ring[None, :, 0] <= xs[:, None]) != (nxt[None, :, 0] <= xs[:, None])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        y = ring[:, 1] + (xs[:, None] - ring[:, 0]) / (nxt[:, 0] - ring[:, 0]) * (nxt[:, 1] - ring[:, 1])
+    y = np.sort(np.where(over, y, np.inf), axis=1)
+    return y[:, :max(2, int(over.sum(axis=1).max(initial=0)))].reshape(len(xs), -1, 2)
+
+
+def overlap_area(a: np.ndarray, b: np.ndarray) -> float:
+    """Area that two rings share, all slabs at once."""
+    xs = np.unique(np.concatenate([a[:, 0], b[:, 0], _crossing_xs(a, b)]))
+    if len(xs) < 2:
+        return 0.0
+    middle = (xs[:-1] + xs[1:]) / 2.0
+    one, two = _span_table(a, middle)[:, :, None], _span_table(b, middle)[:, None]
+    with np.errstate(invalid="ignore"):
+        both = np.minimum(one[..., 1], two[..., 1]) - np.maximum(one[..., 0], two[..., 0])
+    return float((np.nan_to_num(np.maximum(both, 0.0)).sum(axis=(1, 2)) * np.diff(xs)).sum())
 
 
-PAIR = T.StructType([T.StructField(n, T.DoubleType()) for n in ("overlap_area", "boundary_distance", "shared_length")])
+PAIR = T.StructType([T.StructField(n, T.DoubleType()) for n in ("overlap_area", "shared_length")])
 
 
 @F.pandas_udf(PAIR)
 def pair_measures(first: pd.Series, second: pd.Series) -> pd.DataFrame:
-    """Overlap area, boundary distance and shared boundary length of ring pairs."""
-    rows = []
-    for one, two in zip(first, second):
-        a, b = as_array(one), as_array(two)
-        rows.append((slab_area([a, b], 2), boundary_gap(a, b), shared_length(a, b)))
-    return pd.DataFrame(rows, columns=["overlap_area", "boundary_distance", "shared_length"])
+    """Overlap area and shared boundary length of ring pairs."""
+    rings = [(as_array(one), as_array(two)) for one, two in zip(first, second)]
+    return pd.DataFrame([(overlap_area(a, b), shared_length(a, b)) for a, b in rings], columns=["overlap_area", "shared_length"])
+
+
+@F.pandas_udf(T.DoubleType())
+def pair_gap(first: pd.Series, second: pd.Series) -> pd.Series:
+    """Smallest distance between the boundaries of ring pairs."""
+    return pd.Series([boundary_gap(as_array(one), as_array(two)) for one, two in zip(first, second)], dtype=float)
 
 
 @F.pandas_udf(T.DoubleType())

@@ -42,13 +42,13 @@ def overlaps(placed: DataFrame, cfg: StitchConfig = StitchConfig()) -> DataFrame
 
 
 def union_areas(placed: DataFrame) -> DataFrame:
-    """Union area per property; its rooms are bounded by the evidence cap."""
+    """Union area per property; a property's rooms are measured together."""
     rings = placed.groupBy(KEY).agg(F.collect_list("ring").alias("_rings"))
     return rings.select(KEY, polygons.union_area("_rings").alias("union_area"))
 
 
 def footprints(placed: DataFrame) -> DataFrame:
-    """Outline rings and union area per property (rooms bounded by the evidence cap)."""
+    """Outline rings and union area per property (a property's rooms are traced together)."""
     key_type = dict(placed.dtypes)[KEY]
     schema = f"{KEY} {key_type}, union_area double, outlines array<array<array<double>>>"
 
@@ -73,8 +73,7 @@ def boundary_distances(retained: DataFrame, placed: DataFrame) -> DataFrame:
     """Distance between the boundaries of the two rooms of every retained edge."""
     ring = lambda side, name: placed.select(KEY, F.col("room_id").alias(side), F.col("ring").alias(name))
     both = retained.join(ring("room_a", "ring_a"), [KEY, "room_a"]).join(ring("room_b", "ring_b"), [KEY, "room_b"])
-    return both.select(KEY, "connection_id", polygons.pair_measures("ring_a", "ring_b")["boundary_distance"]
-                       .alias("boundary_distance"))
+    return both.select(KEY, "connection_id", polygons.pair_gap("ring_a", "ring_b").alias("boundary_distance"))
 
 
 def room_quality(rooms: DataFrame, retained: DataFrame) -> DataFrame:

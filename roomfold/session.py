@@ -20,9 +20,6 @@ DEFAULTS = {
 # Stage tables written so far, in the order of writing.
 _STAGES: list[str] = []
 
-# Largest side, in rows, that is ever hinted as a broadcast after being counted.
-BROADCAST_ROW_LIMIT = 200_000
-
 
 def build_session(master: str = "local[*]", shuffle_partitions: int | None = None,
                   app: str = "roomfold", driver_memory: str | None = None) -> SparkSession:

@@ -72,10 +72,12 @@ def calibrated_frames(frames: DataFrame, poses: DataFrame, intrinsics: DataFrame
     return frames.join(poses, key).join(intrinsics, "capture_id").join(depth.select(*key), key, "left_semi")
 
 
-def structural_points(clouds: DataFrame, keys: list[str], maximum: int = 600_000) -> DataFrame:
-    """Points of the preferred cloud of every capture (corrected before raw), thinned evenly above a maximum."""
+def structural_points(clouds: DataFrame, keys: list[str], maximum: int | None = None) -> DataFrame:
+    """Points of the preferred cloud of every capture (corrected before raw); with ``maximum`` thinned evenly above it."""
     rank = F.when(F.col("variant") == "corrected", 0).when(F.col("variant") == "raw", 1).otherwise(2)
     variants = best_per_group(clouds.select(*keys, "variant").distinct(), keys, [rank])
     chosen = clouds.join(variants, [*keys, "variant"], "left_semi")
+    if maximum is None:
+        return chosen
     ranked = positions(chosen, keys, ["point_id"], F.floor(F.col("point_id") / 100_000), "_seq", "_total")
     return stride_above(ranked, "_seq", "_total", maximum).drop("_seq", "_total")
