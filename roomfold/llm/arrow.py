@@ -5,19 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-#: Characters of text that a kernel sees at once; one longer text comes alone.
+#: Bytes of text that a kernel sees at once; one longer text comes alone.
 CHUNK_CHARS = 1 << 20
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_CHARS) -> Iterator[dict[str, list]]:
-    """Columns as lists, cut so that the texts of a chunk have about ``limit`` characters."""
+    """Columns as lists, cut so that the texts (or lists) of a chunk have about ``limit`` bytes (or entries)."""
     for batch in batches:
         names = batch.schema.names
-        lengths = [len(v) if v is not None else 0 for v in batch.column(text).to_pylist()]
+        column = batch.column(text)
+        measure = pc.list_value_length if pa.types.is_list(column.type) else pc.binary_length
+        lengths = pc.fill_null(measure(column), 0).to_pylist()
         start, held = 0, 0
         for i, n in enumerate(lengths):
             if i > start and held + n > limit:

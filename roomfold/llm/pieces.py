@@ -19,8 +19,8 @@ SPACE = "▁"
 # Piece types and model types of the file format.
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 _UNIGRAM, _BPE = 1, 2
-#: Remembered paths and piece pairs of one Python worker; beyond that the memory starts afresh.
-_PATHS, _PAIRS = 250_000, 500_000
+#: Remembered paths, piece pairs and beginnings of one Python worker; beyond that the memory starts afresh.
+_PATHS, _PAIRS, _ENDS = 200_000, 400_000, 500_000
 
 
 class Transducer:
@@ -54,11 +54,11 @@ class Transducer:
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == _UNKNOWN)
         self.fallback = any(self.bytes)
         self.missing = max(self.weight[i] for i in normal) + 10
-        #: arcs: every prefix of a piece; -1 where the prefix is no piece itself
+        #: arcs into a position: every ending of a piece; -1 where the ending is no piece itself
         self.arcs: dict[str, int] = {}
         for i in normal:
             for n in range(1, len(self.pieces[i])):
-                self.arcs.setdefault(self.pieces[i][:n], -1)
+                self.arcs.setdefault(self.pieces[i][n:], -1)
         self.arcs |= {self.pieces[i]: i for i in normal}
         names = [self.pieces[i] for i in normal]
         # no piece spans a mark that follows other characters, nor a control character that is in no piece
@@ -70,6 +70,7 @@ class Transducer:
                     else b"" for i, p in enumerate(model.pieces)]
         self.raw[self.unknown] = " ⁇ ".encode()
         self.paths: dict[str, tuple[int, ...]] = {}
+        self.ends: dict[str, int] = {}
         self.pairs: dict[int, bool] = {}  # of left << 21 | right; left is -1 in front of the first piece
 
     def normalise(self, text: str) -> str:
@@ -102,52 +103,73 @@ class Transducer:
             known = self.pairs[key] = self.merged(a + b) == [a, b]
         return known
 
+    def _into(self, part: str, j: int) -> list[tuple[int, int]]:
+        """Arcs (from, symbol) of the lattice into position ``j``, the shortest first."""
+        arcs, into = self.arcs, []
+        for i in range(j - 1, -1, -1):
+            piece = arcs.get(part[i:j])
+            if piece is None:
+                break
+            if piece >= 0:
+                into.append((i, piece))
+        if not into or into[0][0] < j - 1:  # no piece for the character alone
+            into.insert(0, (j - 1, self.size + ord(part[j - 1])))
+        return into
+
+    def _admitted(self, part: str, j: int, last: list[int]) -> int:
+        """The symbol that ends a path to ``j``: the bigram acceptor lets just one through; the longest are tried first."""
+        pairs = self.pairs
+        for i, piece in reversed(self._into(part, j)):
+            left = last[i]
+            known = pairs.get(left << 21 | piece)
+            if known is None:
+                known = self._adjacent(left, piece) if left >= 0 else self._first(piece)
+            if known:
+                return piece
+        raise ValueError("no path")
+
     def path(self, part: str) -> tuple[int, ...]:
-        """Ids on the shortest path through the lattice of one part."""
-        n, bigrams = len(part), self.kind == _BPE
-        cost, last, back = [math.inf] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
-        cost[0] = 0.0
-        arcs, pairs, size = self.arcs, self.pairs, self.size
-        for i in range(n):
-            here, left = cost[i], last[i]
-            if here == math.inf:
-                continue
-            covered = False
-            for j in range(i + 1, n + 1):
-                piece = arcs.get(part[i:j])
+        """Ids on the shortest path through the lattice of one part.
+
+        What ends the path to a position depends on the text before it alone, so for a pair-merging model
+        it is remembered by that beginning, which many words share.
+        """
+        n, last = len(part), [-1]
+        if self.kind == _BPE:
+            ends = self.ends
+            for j in range(1, n + 1):
+                begin = part[:j] if j <= 24 else None
+                piece = ends.get(begin) if begin else None
                 if piece is None:
-                    break
-                if piece < 0:
-                    continue
-                covered = covered or j == i + 1
-                total = here + self.weight[piece]
-                if total < cost[j]:
-                    if bigrams:
-                        known = pairs.get(left << 21 | piece)
-                        if known is None:
-                            known = self._adjacent(left, piece) if left >= 0 else self._first(piece)
-                        if not known:
-                            continue
-                    cost[j], last[j], back[j] = total, piece, i
-            if not covered and here + self.missing < cost[i + 1]:
-                piece = size + ord(part[i])
-                if not bigrams or left < 0 or self._adjacent(left, piece):
-                    cost[i + 1], last[i + 1], back[i + 1] = here + self.missing, piece, i
+                    piece = self._admitted(part, j, last)
+                    if begin:
+                        if len(ends) >= _ENDS:
+                            ends.clear()
+                        ends[begin] = piece
+                last.append(piece)
+        else:
+            cost = [0.0]
+            for j in range(1, n + 1):
+                best, piece = min((cost[i] + (self.weight[p] if p < self.size else self.missing), p) for i, p in self._into(part, j))
+                cost.append(best)
+                last.append(piece)
         out: list[int] = []
         at = n
         while at > 0:
             piece = last[at]
-            if piece >= size:
-                char = chr(piece - size).encode("utf-8", "surrogatepass")
+            if piece >= self.size:
+                char = chr(piece - self.size).encode("utf-8", "surrogatepass")
                 out += [self.bytes[b] for b in reversed(char)] if self.fallback else [self.unknown]
+                at -= 1
             else:
                 out.append(piece)
-            at = back[at]
+                at -= len(self.pieces[piece])
         return tuple(reversed(out))
 
     def _first(self, piece: int) -> bool:
         """Whether merging a piece's own text gives the piece; kept beside the pairs."""
-        known = self.pairs[-1 << 21 | piece] = self.merged(self.pieces[piece]) == [self.pieces[piece]]
+        text = self._symbol(piece)
+        known = self.pairs[-1 << 21 | piece] = self.merged(text) == [text]
         return known
 
     def encode(self, text: str | None) -> array:
@@ -220,3 +242,23 @@ def decode(encoded: DataFrame, ids: str = "ids", path: str = MODEL_PATH, keep: l
             yield {"kept": part["kept"], "decoded": [machine.decode(x) for x in part["ids"]]}
 
     return map_chunks(rows, "ids", f"kept {kept}, decoded string", run).select("kept.*", "decoded")
+
+
+def transcode(docs: DataFrame, text: str = "text", path: str = MODEL_PATH, keep: list[str] | None = None) -> DataFrame:
+    """Encoding and decoding in one pass: the columns ``keep`` (default: all), ``ids`` and ``round_trip``.
+
+    ``round_trip`` tells whether the ids decode to the text (null: the empty text); columns of the two names are replaced.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(read_model(path))
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "round_trip")]
+    rows = docs.select(F.struct(*[docs[c] for c in keep]).alias("kept"), docs[text].alias("text"))
+    kept = rows.schema["kept"].dataType.simpleString()
+
+    def run(parts: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        machine = compiled(shared.value)
+        for part in parts:
+            ids = [machine.encode(t) for t in part["text"]]
+            same = [machine.decode(x) == (t or "") for x, t in zip(ids, part["text"])]
+            yield {"kept": part["kept"], "ids": _lists(ids), "round_trip": same}
+
+    return map_chunks(rows, "text", f"kept {kept}, ids array<int>, round_trip boolean", run).select("kept.*", "ids", "round_trip")
