@@ -36,9 +36,8 @@ def unseen_in_tests(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text, and whether they decode to it."""
-    decoded = pieces.decode(pieces.encode(docs, keep=["doc_id", "lang", "source", "n_chars", "text"]))
-    return decoded.select("doc_id", "lang", "source", "n_chars", "ids", F.size("ids").cast("long").alias("n_tokens"),
-                          (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    found = pieces.transcode(docs, keep=["doc_id", "lang", "source", "n_chars"])
+    return found.select("doc_id", "lang", "source", "n_chars", "ids", F.size("ids").cast("long").alias("n_tokens"), "round_trip")
 
 
 STAGES = [("quality", good_quality), ("language", known_language), ("near_dedup", one_of_each),
