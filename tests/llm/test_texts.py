@@ -256,3 +256,7 @@ def test_pipeline_stages_keep_clean_documents_and_columns(spark, tmp_path):
 
 def test_dedup_stage_default_is_five_words_at_eighty():
     assert (dedup.Settings().words, dedup.Settings().similarity) == (5, 80)
+
+
+def test_every_operator_has_its_query():
+    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 11))
