@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from roomfold.llm.arrow import map_chunks
 from roomfold.llm.linking import components
 from roomfold.llm.shingles import mix, shingle_sets
-from roomfold.llm.stages import stage
+from roomfold.llm.stages import likely_in, stage
 
 _STEP = 0x9E3779B97F4A7C15
 _GROUP = 40_000
@@ -31,9 +31,9 @@ class Settings:
     similarity: int = 80
     bands: int = 34
     rows: int = 6
-    #: Members and bytes of one block when a cluster is compared block by block.
-    block_rows: int = 256
-    block_bytes: int = 16_000_000
+    #: Members and shingles of one block when a cluster is compared block by block.
+    block_rows: int = 1024
+    block_shingles: int = 2_000_000
 
 
 def _signature_group(sets: list[np.ndarray], width: int) -> np.ndarray:
@@ -179,23 +179,14 @@ def _within_clusters(judged: DataFrame, settings: Settings) -> DataFrame:
     A cluster is dealt into blocks of bounded count and bytes; a task holds one block of unlinked members and one
     of any, and returns a spanning set of links, never the pairs.
     """
-    size = F.octet_length("text_u")
-    alone = ~F.col("linked")
-    sums = judged.groupBy("cluster").agg(
-        F.count("*").alias("_n"), F.sum(size).alias("_bytes"), F.count_if(alone).alias("_m"),
-        F.sum(F.when(alone, size)).alias("_loose")).where("_n > 1 and _m > 0")
-
-    def blocks(n: str, amount: str):
-        return F.greatest(F.ceil(F.col(n) / settings.block_rows), F.ceil(F.col(amount) / settings.block_bytes)).cast("int")
-
-    rows = judged.join(sums.select("cluster", blocks("_n", "_bytes").alias("_all"), blocks("_m", "_loose").alias("_few")), "cluster")
-    slot = F.xxhash64("u")
-    every = F.sequence(F.lit(0), F.col("_all") - 1)
-    few = F.sequence(F.lit(0), F.col("_few") - 1)
-    left = rows.where(alone).select("cluster", F.pmod(slot, "_few").cast("int").alias("i"), F.explode(every).alias("j"),
-                                    F.lit(True).alias("left"), "u", "linked", F.col("text_u").alias("text"))
-    right = rows.select("cluster", F.explode(few).alias("i"), F.pmod(slot, "_all").cast("int").alias("j"),
-                        F.lit(False).alias("left"), "u", "linked", F.col("text_u").alias("text"))
+    loose = judged.groupBy("cluster").agg(F.count("*").alias("_n"), F.count_if(~F.col("linked")).alias("_m")).where("_n > 1 and _m > 0")
+    rows = likely_in(judged, judged["cluster"], loose.select("cluster"))
+    own = F.pmod(F.xxhash64("u"), "blocks").cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = rows.where("not linked").select("cluster", own.alias("i"), every.alias("j"), F.lit(True).alias("left"), "u", "linked",
+                                           F.col("text_u").alias("text"))
+    right = rows.select("cluster", every.alias("i"), own.alias("j"), F.lit(False).alias("left"), "u", "linked",
+                        F.col("text_u").alias("text"))
 
     def compare(group: pa.Table) -> pa.Table:
         ids, side, linked = (group[n].to_pylist() for n in ("u", "left", "linked"))
@@ -225,7 +216,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     sketches = stage(sketch(docs, key, text, settings))
     classes = sketches.where("n_shingles > 0 and id is not null").groupBy("digest").agg(
-        F.min("id").alias("rep"), F.first("bands").alias("bands"))
+        F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
     rows = classes.select("rep", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.min("rep").alias("_a"), F.max("rep").alias("_b"), F.count("*").alias("size")).where("_a <> _b")
     members = stage(rows.join(shared.select("band", "size"), "band"))
@@ -234,13 +225,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
     best = F.struct("met", (-F.col("rep")).alias("back"))
     hubs = ranked.groupBy("band").agg(F.max(best).alias("hub"))
     placed = stage(members.select("band", "rep").join(hubs, "band").groupBy("rep").agg((-F.max("hub")["back"]).alias("cluster")))
-    homes = placed.union(placed.select(F.col("cluster").alias("rep"), "cluster")).groupBy("rep").agg(
-        F.collect_set("cluster").alias("clusters"))
-    texts = stage(docs.select(F.col(key).cast("long").alias("u"), F.col(text).alias("text")).where("text is not null").join(
-        homes.withColumnRenamed("rep", "u"), "u"))
-    centre = texts.where(F.array_contains("clusters", F.col("u"))).select(F.col("u").alias("cluster"), F.col("text").alias("text_v"))
-    around = texts.select("u", F.explode("clusters").alias("cluster"), F.col("text").alias("text_u")).where("u <> cluster")
-    judged = stage(verify(around.join(centre, "cluster"), settings))
+    counts = classes.select("rep", "n")
+    blocks = placed.join(counts, "rep").groupBy("cluster").agg(F.greatest(
+        F.ceil(F.count("*") / settings.block_rows), F.ceil(F.sum("n") / settings.block_shingles)).cast("int").alias("blocks"))
+    homes = placed.union(placed.select(F.col("cluster").alias("rep"), "cluster").distinct()).distinct().join(blocks, "cluster").groupBy(
+        F.col("rep").alias("u")).agg(F.collect_set(F.struct("cluster", "blocks")).alias("clusters"))
+    homes = stage(homes)
+    plain = docs.select(F.col(key).cast("long").alias("u"), F.col(text).alias("text")).where("text is not null")
+    texts = stage(likely_in(plain, plain["u"], homes.select("u")).join(homes.hint("merge"), "u"))
+    centre = texts.where(F.array_contains("clusters.cluster", F.col("u"))).select(F.col("u").alias("cluster"), F.col("text").alias("text_v"))
+    around = texts.select("u", F.explode("clusters").alias("c"), F.col("text").alias("text_u")).select(
+        "u", "c.cluster", "c.blocks", "text_u").where("u <> cluster")
+    judged = stage(verify(around.join(centre.hint("merge"), "cluster"), settings))
     links = judged.where("linked").select("u", F.col("cluster").alias("v")).union(_within_clusters(judged, settings))
     links = stage(links)
     groups = components(links)
