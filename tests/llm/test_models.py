@@ -240,3 +240,10 @@ def test_subwords_keep_every_word():
     for word in ("thing", "zwölf", "①𝔘", "a" * 500, "x'y-z"):
         ids = machine.word(lower_ascii(word))
         assert machine.encoder.decode(list(ids)) == " " + word
+
+
+def test_every_target_beyond_the_first_ids_of_a_text_has_seventeen_inputs():
+    shape = attention.Shape()
+    rows, _ = attention.cut_windows(np.arange(500), np.array([500]), shape)
+    least = min((row[:shape.window + 1 - shape.stride] >= 0).sum() for row in rows if row[0] >= 0)
+    assert least >= 17
