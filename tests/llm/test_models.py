@@ -247,3 +247,33 @@ def test_every_target_beyond_the_first_ids_of_a_text_has_seventeen_inputs():
     rows, _ = attention.cut_windows(np.arange(500), np.array([500]), shape)
     least = min((row[:shape.window + 1 - shape.stride] >= 0).sum() for row in rows if row[0] >= 0)
     assert least >= 17
+
+
+def test_weights_learn_from_every_training_window_however_rows_are_dealt(spark):
+    draw = random.Random(4)
+    rows = [(i, " ".join(["ab cd" if draw.random() < 0.5 else "ef gh" for _ in range(150)])) for i in range(240)]
+    rows += [(1001, "ab cd ef gh " * 40), (1002, "ab gh ef cd " * 40)]
+    settings = lm.Settings(shape=attention.Shape(batch=16, steps=5), train_texts=0, least_shards=2)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [{r.id: r.score for r in lm.score(docs.repartition(n), F.col("doc_id") < 1000, settings=settings).collect()} for n in (1, 5)]
+    # the same words, but pairs that the training texts never hold; no text is in the sample that training begins with
+    assert got[0][1001] > got[0][1002] + 40
+    assert all(got[1][i] == pytest.approx(s, rel=1e-3) for i, s in got[0].items())
+
+
+def test_classes_come_from_the_neighbours_of_every_training_row(spark):
+    with open(lm.RANKS_PATH, "rb") as file:
+        ranks = file.read()
+    texts = ["ab cd ef", None, "cd cd", "ab cd ef"]
+    rows = spark.createDataFrame([(i, True, t or "") for i, t in enumerate(texts)], "id long, training boolean, text string")
+    coded = lm._encoded(rows.repartition(3), ranks)
+    machine, shape = lm.subwords(ranks), attention.Shape(classes=8)
+    ids = [machine.text((t or "").encode().split()) for t in texts]
+    amounts = np.bincount(np.concatenate(ids), minlength=machine.size).astype(float)
+    frequent, side = attention.singles(amounts, shape), shape.classes // 2 + 1
+    want = np.zeros((machine.size, 2 * side))
+    for x in ids:
+        for a, b in zip(x, x[1:]):
+            want[a, frequent[b]] += 1
+            want[b, side + frequent[a]] += 1
+    assert (lm._neighbour_counts(coded, amounts, shape) == want).all()
