@@ -176,7 +176,7 @@ def region(found: list[Node], learned: dict[str, float]) -> tuple[int, int]:
 
 
 def main_text(html: str | None, learned: dict[str, float]) -> str:
-    """Blocks of the best region, one line each; a block or an article that the region touches is taken whole.
+    """Blocks of the best region, one line each, and the rest of each block or article that the region touches.
 
     Texts that stand in menus, headers, footers, sidebars, notices, adverts, forms or comments are left out.
     """
@@ -193,7 +193,7 @@ def main_text(html: str | None, learned: dict[str, float]) -> str:
         if node.breaks:
             blocks.append("".join(parts))
             parts = []
-        elif not node.dropped and (first <= i < last if not touched else node.content in touched):
+        elif not node.dropped and (first <= i < last or node.content in touched):
             parts.append(node.text)
     blocks.append("".join(parts))
     lines = (" ".join(b.split()) for b in blocks)

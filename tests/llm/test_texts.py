@@ -260,3 +260,8 @@ def test_dedup_stage_default_is_five_words_at_eighty():
 
 def test_every_operator_has_its_query():
     assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 11))
+
+
+def test_text_of_the_region_outside_a_touched_article_stays():
+    page = "<div>one two three four five six</div><article><p>a card</p></article><div>seven eight nine ten</div>"
+    assert extract.main_text(page, WEIGHTS) == "one two three four five six\na card\nseven eight nine ten"
