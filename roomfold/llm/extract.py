@@ -18,6 +18,8 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _PART = re.compile(r"[a-z]+|\d+")
+#: Compounds that only say that something stands elsewhere on the page or is missing.
+_COMPOUND = re.compile(r"(?<![a-z])(?:has|have|with|without|no|non|not)[-_]+[^\s]*")
 
 # Element kinds of HTML.
 _RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "xmp", "noembed", "noframes", "template"}
@@ -29,6 +31,7 @@ _CONTAINERS = {"article", "aside", "body", "center", "dialog", "div", "dl", "fie
                "head", "header", "html", "main", "menu", "nav", "ol", "section", "svg", "table", "tr", "td", "ul", "a",
                "button", "select", "object", "canvas", "math", "details", "span", "p", "h1", "h2", "h3", "h4", "h5", "h6"}
 _CONTENT = {"article", "main"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _KINDS = {
     "head": {"head"}, "nav": {"nav", "menu"}, "footer": {"footer"}, "aside": {"aside"},
     "form": {"form", "button", "select", "fieldset", "dialog"}, "media": {"svg", "object", "canvas"},
@@ -36,16 +39,19 @@ _KINDS = {
 _HINTS = {
     "nav": "nav navbar navigation menu breadcrumb breadcrumbs pager pagination toolbar skip masthead topbar",
     "footer": "footer footnav colophon copyright contentinfo",
-    "aside": "sidebar aside widget related recommended recommendations complementary teaser rail",
+    "aside": "sidebar aside widget related recommended recommendations complementary teaser rail discussion",
     "ad": "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner",
     "notice": "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe paywall",
     "form": "form search login signin signup",
     "share": "share sharing social follow",
-    "comment": "comment comments reply replies respond discussion disqus",
+    "comment": "comment comments reply replies respond disqus",
     "head": "hidden",
 }
 _TAG_KIND = {tag: kind for kind, tags in _KINDS.items() for tag in tags}
 _HINT_KIND = {word: kind for kind, words in _HINTS.items() for word in words.split()}
+#: What a hint weighs against the words below it inside an article, in units of one plain word; -inf where it always wins.
+_HINT_WEIGHT = {"nav": -20.0, "footer": -20.0, "aside": -20.0, "ad": -20.0, "share": -20.0, "form": -5.0, "notice": -3.0,
+                "comment": -math.inf, "head": -math.inf}
 
 #: Weights before anything is learned, in units of one plain word.
 PRIOR = {"word:plain": 1.0, "word:link": -0.5, "word:boilerplate": -2.0, "tag": -0.3}
@@ -65,31 +71,50 @@ class Node:
     content: int
 
 
-def _kind(tag: str, attributes: str, inside: int) -> str | None:
-    """Kind of boilerplate that an element announces by its name, role, class or id.
+def _kind(tag: str, attributes: str, inside: int) -> tuple[str | None, bool]:
+    """Kind of boilerplate that an element announces by its name, role, class or id, and whether it is only a hint.
 
-    A header counts as such only outside of articles.
+    A header counts as such only outside of articles. Names of headings and compounds such as has-sidebar say nothing.
     """
     kind = _TAG_KIND.get(tag) or ("nav" if tag == "header" and not inside else None)
-    if not attributes or tag in ("body", "html", "main"):
-        return kind
+    if kind or not attributes or tag in ("body", "html", "main"):
+        return kind, False
+    hint = None
     for name, value in _ATTRIBUTE.findall(attributes.lower()):
         value = value.strip("\"'")
         if name in ("class", "id", "role"):
-            for part in _PART.findall(value):
-                if part in _HINT_KIND:
-                    return kind or _HINT_KIND[part]
+            if tag not in _HEADINGS or name == "role":
+                for part in _PART.findall(_COMPOUND.sub(" ", value)):
+                    hint = hint or _HINT_KIND.get(part)
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (
                 name == "style" and "display:none" in value.replace(" ", "")):
-            return kind or "head"
-    return kind
+            return "head", False
+    return hint, hint is not None
 
 
 def nodes(html: str | None) -> list[Node]:
-    """Tags and texts in page order, each text with the context it stands in."""
+    """Tags and texts in page order, each text with the context it stands in.
+
+    A hint of a class, id or role is weighed against the words below it: inside an article it is overruled where
+    their sum with the weight of the hint is above zero, and on a page without words of an article where they are most of the plain words.
+    """
+    overruled: set[int] = set()
+    while True:
+        out, hints = _parse(html or "", overruled)
+        plain = sum(math.inf if n.content else n.words for n in out if n.feature == "word:plain" and n.words)
+        more = {at for at, kind, inside, words, links in hints if _HINT_WEIGHT[kind] > -math.inf and (
+            inside and words - 0.5 * links + _HINT_WEIGHT[kind] > 0 or words > plain + sum(h[3] for h in hints if h[0] != at))}
+        if not more:
+            return out
+        overruled |= more
+
+
+def _parse(page: str, overruled: set[int]) -> tuple[list[Node], list[list]]:
+    """The nodes, and the outermost elements with a hint: place, kind, content element, their words outside and inside of links."""
     out: list[Node] = []
-    page = html or ""
-    stack: list[tuple[str, str | None, int]] = []  # element, kind of boilerplate around it, content element around it
+    hints: list[list] = []
+    # element, kind of boilerplate around it, content element around it, the hint that the kind comes from
+    stack: list[tuple[str, str | None, int, list | None]] = []
     contents = 0
 
     def text(value: str) -> None:
@@ -100,13 +125,15 @@ def nodes(html: str | None) -> list[Node]:
         link = any(s[0] == "a" for s in stack[-4:])
         feature = f"word:{kind}" if kind else "word:link" if link else "word:plain"
         out.append(Node(feature, len(decoded.split()), decoded, kind is not None, False, stack[-1][2] if stack else 0))
+        if stack and stack[-1][3]:
+            stack[-1][3][4 if link else 3] += out[-1].words
 
     at = 0
     while True:
         match = _TOKEN.search(page, at)
         if match is None:
             text(page[at:])
-            return out
+            return out, hints
         text(page[at:match.start()])
         at = match.end()
         tag = (match[2] or match[5] or "").lower()
@@ -124,17 +151,25 @@ def nodes(html: str | None) -> list[Node]:
             if tag in names:
                 del stack[len(names) - 1 - names[::-1].index(tag):]
         elif tag in _CONTAINERS and tag not in _VOID and not (match[3] or match[6] or "").endswith("/"):
-            if tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or tag in ("div", "ul", "ol", "table", "section", "form"):
+            if tag == "p" or tag in _HEADINGS or tag in ("div", "ul", "ol", "table", "section", "form"):
                 while stack and stack[-1][0] in ("p", "span", "a"):  # a block ends an open paragraph
                     stack.pop()
-            around, inside = (stack[-1][1], stack[-1][2]) if stack else (None, 0)
-            kind = around or _kind(tag, match[3] or match[6] or "", inside)
+            around, inside, hint = stack[-1][1:] if stack else (None, 0, None)
+            own, hinted = _kind(tag, match[3] or match[6] or "", inside)
+            if hinted and match.start() in overruled:
+                own = None
+            elif around is None and hinted:
+                hint = [match.start(), own, inside, 0, 0]
+                hints.append(hint)
+            elif own and not hinted or own == "comment":
+                hint = None  # what is boilerplate by itself stays so below any hint
+            kind = around or own
             if tag in _CONTENT and not any(s[0] == "article" for s in stack):
                 contents += 1
                 inside = contents
                 if kind == around != "comment":
-                    kind = None  # a class of an outer element does not make an article boilerplate
-            stack.append((tag, kind, inside))
+                    kind = hint = None  # a class of an outer element does not make an article boilerplate
+            stack.append((tag, kind, inside, hint))
 
 
 def weights(counts: dict[str, tuple[int, int]], strength: float = 50.0) -> dict[str, float]:

@@ -265,3 +265,15 @@ def test_every_operator_has_its_query():
 def test_text_of_the_region_outside_a_touched_article_stays():
     page = "<div>one two three four five six</div><article><p>a card</p></article><div>seven eight nine ten</div>"
     assert extract.main_text(page, WEIGHTS) == "one two three four five six\na card\nseven eight nine ten"
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<article><p>a b</p><h2 id='related-work'>Related work</h2><p>c d</p><h2 id=search-methods>Search</h2><section id='discussion'><p>" + "w " * 30 + "</p></section>"
+     "<div class='notice'><p>mind the gap here</p></div></article>", "a b\nRelated work\nc d\nSearch\n" + ("w " * 30).strip() + "\nmind the gap here"),
+    ("<div class='has-sidebar'><p>a b c d</p></div>", "a b c d"), ("<div class='page no-sidebar'><p>a b c d</p></div>", "a b c d"),
+    ("<div class='sidebar-layout'><nav><a>m n</a></nav><p>" + "w " * 30 + "</p></div><p>x</p>", ("w " * 30).strip() + "\nx"),
+    ("<p>" + "w " * 30 + "</p><div class=sidebar><p>q q q</p></div>", ("w " * 30).strip()),
+    ("<article><p>a b</p><div class=comments><p>" + "w " * 60 + "</p></div></article>", "a b"),
+])
+def test_everyday_names_do_not_drop_text(page, text):
+    assert extract.main_text(page, WEIGHTS) == text
