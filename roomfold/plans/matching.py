@@ -54,7 +54,7 @@ def planar_fit(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("robust_planar_fit")
 def robust_planar_fit(spark: SparkSession, sf: str) -> DataFrame:
-    refit, _ = matching.robust_se2(planar_points(spark, sf), ["l_suppkey"], StitchConfig(ransac_iterations=100))
+    refit, _ = matching.robust_se2(planar_points(spark, sf), ["l_suppkey"], StitchConfig())
     return refit.select("l_suppkey", F.round("yaw", 3).alias("yaw"), F.round("tx", 3).alias("tx"), "support")
 
 
@@ -92,7 +92,7 @@ def keyframe_edges(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Motion keyframes, and neighbour edges whose fit differs slightly from the device poses."""
     from roomfold.session import cut
     posed = cut(FR.posed(spark, sf))
-    kept = folds.motion_keyframes(posed, ["capture_id"], FrameConfig(max_frames=12, min_translation=0.15, min_rotation=16.0)).filter("selected")
+    kept = folds.motion_keyframes(posed, ["capture_id"], FrameConfig(min_translation=0.15, min_rotation=16.0)).filter("selected")
     chosen = posed.join(kept, ["capture_id", "seq"]).select("capture_id", "seq", "pose", "k")
     from roomfold.operators.ordering import positions
     nodes = cut(positions(chosen, ["capture_id"], ["seq"], F.floor(F.col("seq") / 1000), "node").drop("seq").withColumnRenamed("node", "seq"))
@@ -110,7 +110,7 @@ def keyframe_edges(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 def drift_correction(spark: SparkSession, sf: str) -> DataFrame:
     nodes, records = keyframe_edges(spark, sf)
     edges = matching.graph_edges(records).select("capture_id", "source", "target", "transform", "information", "uncertain")
-    after = matching.correct_drift(nodes, edges, ["capture_id"], iterations=8)
+    after = matching.correct_drift(nodes, edges, ["capture_id"])
     out = matching.pose_corrections(nodes, after, ["capture_id"])
     return out.select("capture_id", "seq", F.round("translation_m", 4).alias("translation_m"), F.round("rotation_degrees", 3).alias("rotation_degrees"))
 
@@ -217,5 +217,5 @@ def extracted_planes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("room_geometry")
 def room_geometry(spark: SparkSession, sf: str) -> DataFrame:
-    rooms = planes.room_geometry(layered(spark, sf), ["capture_id"], GeometryConfig(max_planes=3, ransac_iterations=200))["rooms"]
+    rooms = planes.room_geometry(layered(spark, sf), ["capture_id"], GeometryConfig())["rooms"]
     return rooms.select("capture_id", "points", F.round("ceiling_height", 3).alias("ceiling_height"), F.round("floor_rmse", 4).alias("floor_rmse"), "codes")
