@@ -51,6 +51,19 @@ def _slot_minima(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, slots
     return used // slots, best[used]
 
 
+#: Items of smaller size classes are looked up by every shingle: few slot minima may miss one.
+_EVERY_BELOW = 16
+
+
+def _keys(size: int, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """What items and windows of a size class are looked up by: every shingle of small ones, slot minima of others."""
+    if size >= _EVERY_BELOW:
+        return _slot_minima(hashes, starts, ends, slots)
+    lengths = ends - starts
+    index = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths - starts, lengths)
+    return np.repeat(np.arange(len(starts)), lengths), hashes[index]
+
+
 def build_classes(ids: list[int], texts: list[str | None], settings: Settings) -> list[_Class]:
     """Items grouped by shingle width (shorter items have one shingle of all their words) and doubling sizes."""
     words, at = hashed_words(texts)
@@ -67,7 +80,7 @@ def build_classes(ids: list[int], texts: list[str | None], settings: Settings) -
     for group in groups.values():
         counts = np.array([len(s) for s in group.sets])
         ends = np.cumsum(counts)
-        group.owner, group.keys = _slot_minima(np.concatenate(group.sets), ends - counts, ends, settings.slots)
+        group.owner, group.keys = _keys(group.size, np.concatenate(group.sets), ends - counts, ends, settings.slots)
         order = np.argsort(group.keys, kind="stable")
         group.owner, group.keys = group.owner[order], group.keys[order]
     return [groups[k] for k in sorted(groups)]
@@ -78,7 +91,7 @@ def find(texts: list[str | None], classes: list[_Class], settings: Settings) ->
 
     For each size class the document is cut into windows of twice the class size, one class size apart,
     so an item's passage lies in a window not much larger than the item, whatever the document's length.
-    A window and an item that share a slot minimum are a candidate; the item's full set is then
+    A window and an item that share a key (see ``_keys``) are a candidate; the item's full set is then
     compared with the set of the whole document.
     """
     words, at = hashed_words(texts)
@@ -99,7 +112,7 @@ def find(texts: list[str | None], classes: list[_Class], settings: Settings) ->
         ends = np.minimum(starts + 2 * group.size, begin[1:][text_of])
         if not len(starts):
             continue
-        window, keys = _slot_minima(hashes, starts, ends, settings.slots)
+        window, keys = _keys(group.size, hashes, starts, ends, settings.slots)
         low, high = np.searchsorted(group.keys, keys, "left"), np.searchsorted(group.keys, keys, "right")
         for k in np.flatnonzero(high > low):
             for item in set(group.owner[low[k]:high[k]].tolist()):

@@ -277,3 +277,12 @@ def test_text_of_the_region_outside_a_touched_article_stays():
 ])
 def test_everyday_names_do_not_drop_text(page, text):
     assert extract.main_text(page, WEIGHTS) == text
+
+
+def test_items_of_one_shingle_are_found_at_every_place():
+    settings = decontaminate.Settings()
+    texts = [f"a{i} b{i} c{i} d{i} e{i} f{i}" for i in range(1500)]  # two shingles: the item's is the first or the last
+    for cut in (slice(0, 5), slice(1, 6)):
+        items = [" ".join(t.split()[cut]) for t in texts]
+        found = decontaminate.find(texts, decontaminate.build_classes(list(range(1500)), items, settings), settings)
+        assert sorted(found) == [(i, i, 1, 1) for i in range(1500)]
