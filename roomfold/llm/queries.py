@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from roomfold.llm import decontaminate, dedup, extract, langid, licenses, lm, pieces, quality, search, sharding, sql
+from roomfold.llm import (clusters, decontaminate, dedup, extract, langid, licenses, lm, mixing, negatives, pieces, quality, search,
+                          sharding, sql)
 from roomfold.plans.tables import table
 
 QUERIES = {}
-ORACLES = {"op3_near_dedup": sql.NEAR_DEDUP, "op7_decontamination": sql.DECONTAMINATION, "op9_exact_search": sql.EXACT_SEARCH}
+ORACLES = {"op3_near_dedup": sql.NEAR_DEDUP, "op7_decontamination": sql.DECONTAMINATION, "op9_exact_search": sql.EXACT_SEARCH,
+           "op11_centroid_clusters": sql.CENTROID_CLUSTERS, "op12_source_mix": sql.SOURCE_MIX, "op13_hard_negatives": sql.HARD_NEGATIVES}
 
 
 def query(fn):
@@ -92,3 +94,22 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lm.score(docs, ~lm.held_out(F.col("doc_id")))
     return found.select(F.col("id").alias("doc_id"), (~F.col("training")).alias("held_out"), "n_tokens", "n_known",
                         "train_tokens", "base_score", "score")
+
+
+@query
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centres = clusters.cluster(table(spark, sf_dir, "embeddings"))
+    return clusters.inertia(found, centres).select(
+        F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+@query
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=shifted)

@@ -33,3 +33,51 @@ EXACT_SEARCH = f"""WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents),
   FROM tf q JOIN df USING (word) JOIN tf t USING (word) JOIN w ON w.doc_id = t.doc_id, total WHERE q.doc_id % 20 = 0 GROUP BY 1, 2),
  ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM hits)
  SELECT query_id, rank::INTEGER AS rank, doc_id, round(score, 6) AS score FROM ranked WHERE rank <= 10"""
+
+
+def _rounds(k: int = 16, rounds: int = 3, width: int = 64) -> str:
+    """Centroids and assignments of every round, each measured against all."""
+    steps = [f"""x AS (SELECT vec_id, list_transform(embedding, lambda e: floor({width} * e::DOUBLE)::BIGINT) AS v FROM embeddings
+ WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+ c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, v FROM x ORDER BY c LIMIT {k})"""]
+    for t in range(rounds + 1):
+        steps.append(f"""a{t} AS MATERIALIZED (SELECT vec_id, any_value(x.v) AS v, min(struct_pack(d := list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, c := c.c)) AS best
+ FROM x, c{t} c GROUP BY 1)""")
+        if t < rounds:
+            steps.append(f"""s{t} AS (SELECT best.c AS c, i, sum(v[i]) AS s, count(*) AS n FROM a{t}, unnest(range(1, {width + 1})) u(i) GROUP BY 1, 2),
+ c{t + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.v, c.v) AS v FROM c{t} c LEFT JOIN
+ (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM s{t} GROUP BY 1) m ON m.c = c.c)""")
+    return ",\n ".join(steps)
+
+
+CENTROID_CLUSTERS = f"""WITH {_rounds()}
+ SELECT vec_id, best.c::INTEGER AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia,
+ (sum(best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM a3 JOIN c3 c ON c.c = best.c"""
+
+SOURCE_MIX = r"""WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+ md5('1:' || coalesce(source, '') || ':' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS k FROM documents),
+ s AS (SELECT source, sum(size)::BIGINT AS n, 1.0::DOUBLE + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM d GROUP BY 1),
+ fill(step, source, n, w, stops, level) AS (
+  SELECT 0, source, n, w, false, sum(n) OVER () / sum(w) OVER () FROM s
+  UNION ALL
+  SELECT step + 1, source, n, w, now, CASE WHEN sum(w) FILTER (NOT now) OVER () > 0 THEN
+   ((sum(n) OVER ())::DOUBLE - coalesce(sum(3.0::DOUBLE * n) FILTER (now) OVER (), 0)) / sum(w) FILTER (NOT now) OVER () ELSE 0 END
+  FROM (SELECT *, stops OR level * w >= 3.0 * n AS now FROM fill) WHERE step < 30),
+ t AS (SELECT source, n, CASE WHEN stops THEN 3.0::DOUBLE * n ELSE level * w END AS target FROM fill WHERE step = 30),
+ b AS (SELECT *, CASE WHEN n > 0 THEN least(round(target)::BIGINT // n, 3) ELSE 0 END AS times FROM t),
+ o AS (SELECT d.*, n, target, times, round(target)::BIGINT - times * n AS rest,
+  sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING) - size AS before
+  FROM d JOIN b ON b.source IS NOT DISTINCT FROM d.source)
+ SELECT doc_id, size::BIGINT AS size, n AS source_size, target, (times * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM o"""
+
+HARD_NEGATIVES = """WITH x AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda e: floor(256 * e::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+ p AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM x a, x b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+ pos AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM p WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+ SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INTEGER AS rank,
+  id AS negative_id, positive_score, score AS negative_score FROM pos JOIN p USING (anchor_id)
+ WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+ QUALIFY rank <= 10"""
