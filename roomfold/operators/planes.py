@@ -12,6 +12,8 @@ from roomfold.config import GeometryConfig
 from roomfold.functions.scores import plane_quality
 from roomfold.operators.clouds import convex_hulls, covariance, least_axis, moment_sums
 from roomfold.operators.ordering import best_per_group
+from roomfold.operators.quantiles import weighted_quantiles
+from roomfold.operators.rings import first_fit_spots, numbered, trace_rings
 from roomfold.session import cut, fresh
 
 SUMS = ["n", "sx", "sy", "sz", "sxx", "syy", "szz", "sxy", "sxz", "syz"]
@@ -169,6 +171,14 @@ def extract_planes(points: DataFrame, keys: list[str], cfg: GeometryConfig = Geo
     return out
 
 
+def plane_budget_issues(points: DataFrame, members: DataFrame, keys: list[str], cfg: GeometryConfig = GeometryConfig()) -> DataFrame:
+    """Rooms whose search ended at ``max_planes`` with enough points left for another plane."""
+    found = members.groupBy(*keys).agg(F.max("plane_no").alias("_last"), F.count("*").alias("_in"))
+    left = points.groupBy(*keys).agg(F.count("*").alias("_all")).join(found.filter(F.col("_last") >= cfg.max_planes), keys)
+    return left.withColumn("points_left", F.col("_all") - F.col("_in")).filter(
+        F.col("points_left") >= max(cfg.min_plane_inliers, 3)).select(*keys, F.lit("PLANE_BUDGET_REACHED").alias("code"), "points_left")
+
+
 def horizontal(degrees: float) -> Column:
     return F.abs(F.col("nz")) >= math.cos(math.radians(degrees))
 
@@ -185,7 +195,7 @@ def choose_floor(planes: DataFrame, points: DataFrame, keys: list[str], cfg: Geo
     # Points meet the few horizontal planes of their room.
     heights = points.join(flat.select(*keys, "plane_no", "nx", "ny", "nz", "offset"), keys).withColumn(
         "_d", F.col("x") * F.col("nx") + F.col("y") * F.col("ny") + F.col("z") * F.col("nz") + F.col("offset"))
-    base = heights.groupBy(*keys, "plane_no").agg(F.percentile("_d", F.lit(cfg.quantile)).alias("_base"))
+    base = weighted_quantiles(heights, [*keys, "plane_no"], "_d", {"_base": cfg.quantile}, 0.05).drop("n")
     low = flat.join(base, [*keys, "plane_no"]).filter(F.abs("_base") <= cfg.floor_tolerance).drop("_base")
     return best_per_group(low, keys, [(F.col("area") * F.col("n")).desc(), F.col("cz"), F.col("plane_no")])
 
@@ -232,18 +242,15 @@ def descriptors(members: DataFrame, planes: DataFrame, sizes: DataFrame, keys: l
     dx = F.when(upright, -F.col("ny") / F.nullif(horizontal_norm, F.lit(0.0))).otherwise(-F.col("ny"))
     dy = F.when(upright, F.col("nx") / F.nullif(horizontal_norm, F.lit(0.0))).otherwise(F.col("nx"))
     named = planes.withColumn("dx", dx).withColumn("dy", dy)
-    joined = members.join(named.select(*plane, "dx", "dy"), plane).withColumn("_t", F.col("x") * F.col("dx") + F.col("y") * F.col("dy"))
-    ends = F.array(F.lit(cfg.quantile), F.lit(1 - cfg.quantile))
-    extent = joined.groupBy(*plane).agg(
-        F.percentile("_t", ends).alias("_ts"), F.percentile("z", ends).alias("_zs"), (F.max("x") - F.min("x")).alias("_px"), (F.max("y") - F.min("y")).alias("_py"))
-    out = named.join(extent, plane).join(sizes, keys)
+    joined = members.join(named.select(*plane, "dx", "dy"), plane).withColumn("t", F.col("x") * F.col("dx") + F.col("y") * F.col("dy"))
+    extent = joined.groupBy(*plane).agg((F.max("x") - F.min("x")).alias("_px"), (F.max("y") - F.min("y")).alias("_py"))
+    out = named.join(extent, plane).join(_ends(joined, plane, ["t", "z"], cfg.quantile), plane).join(sizes, keys)
     kind = F.when(upright, "vertical").when(horizontal(cfg.horizontal_degrees), "horizontal").otherwise("other")
     return (out.withColumn("orientation", kind)
-            .withColumn("t0", F.col("_ts")[0]).withColumn("t1", F.col("_ts")[1]).withColumn("z0", F.col("_zs")[0]).withColumn("z1", F.col("_zs")[1])
             .withColumn("width", F.when(upright, F.col("t1") - F.col("t0")).otherwise(F.hypot("_px", "_py")))
             .withColumn("height_coverage", F.col("z1") - F.col("z0")).withColumn("inlier_ratio", F.col("n") / F.col("points"))
             .withColumn("orientation_degrees", F.pmod(F.degrees(F.atan2("dy", "dx")), F.lit(360.0)))
-            .withColumn("quality", plane_quality(F.col("rmse"), cfg.ransac_distance)).drop("_ts", "_zs", "_px", "_py"))
+            .withColumn("quality", plane_quality(F.col("rmse"), cfg.ransac_distance)).drop("_px", "_py"))
 
 
 def select_walls(described: DataFrame, keys: list[str], cfg: GeometryConfig = GeometryConfig()) -> tuple[DataFrame, DataFrame]:
@@ -254,48 +261,70 @@ def select_walls(described: DataFrame, keys: list[str], cfg: GeometryConfig = Ge
     return upright.filter(~bad), rejected
 
 
+def _ends(df: DataFrame, keys: list[str], values: list[str], q: float) -> DataFrame:
+    """``<value>0`` and ``<value>1``: the trimmed ends of every value, exact for groups of any size."""
+    out = None
+    for v in values:
+        one = weighted_quantiles(df, keys, v, {f"{v}0": q, f"{v}1": 1 - q}, 0.05).drop("n")
+        out = one if out is None else out.join(one, keys)
+    return out
+
+
+def _mergeable(fitted: DataFrame, members: DataFrame, keys: list[str], cfg: GeometryConfig) -> DataFrame:
+    """Pairs of walls of a room that are coplanar and whose trimmed extents touch along the first wall and in height."""
+    plane = [*keys, "plane_no"]
+    side = lambda s: fitted.select(*keys, *[F.col(c).alias(f"{s}_{c}") for c in ("plane_no", "nx", "ny", "nz", "cx", "cy", "cz", "offset")])
+    pairs = side("a").join(side("b"), keys).filter(F.col("a_plane_no") < F.col("b_plane_no"))
+    turn = F.abs(F.col("a_nx") * F.col("b_nx") + F.col("a_ny") * F.col("b_ny") + F.col("a_nz") * F.col("b_nz"))
+    gap = lambda p, q: F.abs(F.col(f"{p}_nx") * F.col(f"{q}_cx") + F.col(f"{p}_ny") * F.col(f"{q}_cy") + F.col(f"{p}_nz") * F.col(f"{q}_cz") + F.col(f"{p}_offset"))
+    close = pairs.filter((turn >= math.cos(math.radians(cfg.merge_degrees))) & (F.greatest(gap("a", "b"), gap("b", "a")) <= cfg.merge_distance))
+    norm = F.hypot("a_nx", "a_ny")
+    axis = cut(close.select(*keys, "a_plane_no", "b_plane_no", (-F.col("a_ny") / norm).alias("dx"), (F.col("a_nx") / norm).alias("dy")))
+    if axis.isEmpty():
+        return axis.select(*keys, "a_plane_no", "b_plane_no")
+    both = axis.select("*", F.explode(F.array("a_plane_no", "b_plane_no")).alias("plane_no")).join(members, plane).withColumn(
+        "t", F.col("x") * F.col("dx") + F.col("y") * F.col("dy"))
+    spans = _ends(both, [*keys, "a_plane_no", "b_plane_no", "plane_no"], ["t", "z"], cfg.quantile)
+    return spans.groupBy(*keys, "a_plane_no", "b_plane_no").agg(
+        (F.max("t0") - F.min("t1")).alias("_tg"), (F.max("z0") - F.min("z1")).alias("_hg")).filter(
+        F.greatest("_tg", "_hg") <= cfg.merge_gap).select(*keys, "a_plane_no", "b_plane_no")
+
+
+def disjoint_pairs(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """A maximal set of pairs of every room without a plane in common, taken in order.
+
+    The planes of a room are bounded by the plane budget, and so is the list that is folded.
+    """
+    listed = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("a_plane_no").cast("int").alias("a"), F.col("b_plane_no").cast("int").alias("b")))).alias("_p"))
+    empty = F.lit(None).cast("array<struct<a:int,b:int>>")
+    taken = F.aggregate("_p", F.coalesce(empty, F.array().cast("array<struct<a:int,b:int>>")), lambda acc, p: F.when(
+        F.exists(acc, lambda q: (q["a"] == p["a"]) | (q["a"] == p["b"]) | (q["b"] == p["a"]) | (q["b"] == p["b"])), acc).otherwise(
+        F.concat(acc, F.array(p))))
+    return listed.select(*keys, F.explode(taken).alias("_q")).select(*keys, F.col("_q.a").alias("a_plane_no"), F.col("_q.b").alias("b_plane_no"))
+
+
 def merge_walls(walls: DataFrame, members: DataFrame, keys: list[str], cfg: GeometryConfig = GeometryConfig(),
-                max_rounds: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Merge coplanar, touching walls until none is left; moments add, so planes are refitted without rescans.
+                max_rounds: int = 40) -> tuple[DataFrame, DataFrame]:
+    """Merge coplanar, touching walls until none is left.
 
-    Returns merged planes and members renumbered to the surviving plane. A room has at most
-    ``max_planes`` walls, hence few pairs; each round merges the first pair of every room.
+    Returns merged planes and members renumbered to the surviving plane, each point once. A merge forest grows by rounds: every room takes a
+    maximal set of disjoint pairs, the later plane of a pair goes into the earlier one, and what two planes share counts
+    once in the refit. Each round at least halves the walls that still find a partner.
     """
     plane = [*keys, "plane_no"]
-    alive = cut(walls.select(*plane, *SUMS))
-    mapping = cut(walls.select(*plane).withColumn("into", F.col("plane_no")))
-    sets = cut(members.join(walls.select(*plane), plane, "left_semi"))
+    sets = cut(members.join(walls.select(*plane), plane, "left_semi").select(*plane, "point_id", "x", "y", "z").dropDuplicates([*plane, "point_id"]))
+    fitted = cut(fit_planes(sets, plane))
     for _ in range(max_rounds):
-        fitted = cut(fit_moments(alive))
-        current = sets.join(mapping, plane).drop("plane_no").withColumnRenamed("into", "plane_no").dropDuplicates([*plane, "point_id"])
-        side = lambda s: fitted.select(*keys, *[F.col(c).alias(f"{s}_{c}") for c in ("plane_no", "nx", "ny", "nz", "cx", "cy", "cz", "offset")])
-        pairs = side("a").join(side("b"), keys).filter(F.col("a_plane_no") < F.col("b_plane_no"))
-        turn = F.abs(F.col("a_nx") * F.col("b_nx") + F.col("a_ny") * F.col("b_ny") + F.col("a_nz") * F.col("b_nz"))
-        gap = lambda p, q: F.abs(F.col(f"{p}_nx") * F.col(f"{q}_cx") + F.col(f"{p}_ny") * F.col(f"{q}_cy") + F.col(f"{p}_nz") * F.col(f"{q}_cz") + F.col(f"{p}_offset"))
-        close = cut(pairs.filter((turn >= math.cos(math.radians(cfg.merge_degrees))) & (F.greatest(gap("a", "b"), gap("b", "a")) <= cfg.merge_distance)))
-        if close.isEmpty():
-            break
-        norm = F.hypot("a_nx", "a_ny")
-        axis = close.select(*keys, "a_plane_no", "b_plane_no", (-F.col("a_ny") / norm).alias("dx"), (F.col("a_nx") / norm).alias("dy"))
-        both = axis.select("*", F.explode(F.array("a_plane_no", "b_plane_no")).alias("plane_no")).join(current, plane).withColumn(
-            "_t", F.col("x") * F.col("dx") + F.col("y") * F.col("dy"))
-        ends = F.array(F.lit(cfg.quantile), F.lit(1 - cfg.quantile))
-        spans = both.groupBy(*keys, "a_plane_no", "b_plane_no", "plane_no").agg(F.percentile("_t", ends).alias("t"), F.percentile("z", ends).alias("h"))
-        opened = spans.groupBy(*keys, "a_plane_no", "b_plane_no").agg(
-            (F.max(F.col("t")[0]) - F.min(F.col("t")[1])).alias("_tg"), (F.max(F.col("h")[0]) - F.min(F.col("h")[1])).alias("_hg"))
-        chosen = cut(best_per_group(opened.filter(F.greatest("_tg", "_hg") <= cfg.merge_gap), keys, [F.col("a_plane_no"), F.col("b_plane_no")])
-                     .select(*keys, "a_plane_no", "b_plane_no"))
+        chosen = cut(disjoint_pairs(_mergeable(fitted, sets, keys, cfg), keys))
         if chosen.isEmpty():
-            break
+            return fitted, sets
         step = chosen.select(*keys, F.col("b_plane_no").alias("plane_no"), F.col("a_plane_no").alias("_to"))
-        moved = alive.join(step, plane, "left").withColumn("plane_no", F.coalesce("_to", "plane_no")).drop("_to")
-        alive = cut(moved.groupBy(*plane).agg(*[F.sum(c).alias(c) for c in SUMS]))
-        renamed = step.select(*keys, F.col("plane_no").alias("into"), "_to")
-        mapping = cut(mapping.join(renamed, [*keys, "into"], "left").withColumn("into", F.coalesce("_to", "into")).select(*plane, "into"))
-    else:
-        raise ValueError("walls did not settle; raise max_rounds")
-    current = sets.join(mapping, plane).drop("plane_no").withColumnRenamed("into", "plane_no").dropDuplicates([*plane, "point_id"])
-    return cut(fit_moments(alive)), current
+        touched = step.select(*plane).unionByName(step.select(*keys, F.col("_to").alias("plane_no")))
+        moved = sets.join(touched, plane, "left_semi").join(step, plane, "left").withColumn("plane_no", F.coalesce("_to", "plane_no")).drop("_to")
+        joined = cut(moved.dropDuplicates([*plane, "point_id"]).select(*sets.columns))
+        sets = cut(sets.join(touched, plane, "left_anti").unionByName(joined))
+        fitted = cut(fitted.join(touched, plane, "left_anti").unionByName(fit_planes(joined, plane)))
+    raise ValueError("walls did not settle; raise max_rounds")
 
 
 def wall_segments(described: DataFrame, keys: list[str]) -> DataFrame:
@@ -327,66 +356,73 @@ def wall_crossings(segments: DataFrame, keys: list[str], cfg: GeometryConfig = G
         (F.col("a_y0") + F.col("_t") * uy).alias("y"), F.least("a_quality", "b_quality").alias("quality"))
 
 
+def _corners(crossings: DataFrame, keys: list[str], cfg: GeometryConfig) -> tuple[DataFrame, DataFrame]:
+    """Corners (``corner``, ``x``, ``y``) and which walls meet in each (``corner``, ``wall_no``)."""
+    hits = cut(numbered(crossings, keys, ["a_wall_no", "b_wall_no"]))
+    homes = first_fit_spots(hits, keys, cfg.corner_merge)
+    corners = hits.join(homes.filter("spot = n").select(*keys, "n"), [*keys, "n"]).select(*keys, F.col("n").alias("corner"), "x", "y")
+    meets = hits.join(homes, [*keys, "n"]).select(*keys, F.col("spot").alias("corner"), F.explode(F.array("a_wall_no", "b_wall_no")).alias("wall_no")).distinct()
+    return cut(corners), cut(meets)
+
+
+def half_edges(meets: DataFrame, walls: DataFrame, keys: list[str]) -> DataFrame:
+    """Both directions of every wall of the regular rooms: ``edge``, ``next``, ``wall_no`` and the corners ``at`` and ``to``.
+
+    A room is regular if it has three corners or more, two walls meet in each and each wall has two of them.
+    """
+    by_corner = meets.groupBy(*keys, "corner").agg(F.count("*").alias("_n"), F.min("wall_no").alias("_w0"), F.max("wall_no").alias("_w1"))
+    by_wall = walls.select(*keys, "wall_no").join(meets, [*keys, "wall_no"], "left").groupBy(*keys, "wall_no").agg(
+        F.count("corner").alias("_n"), F.min("corner").alias("_c0"), F.max("corner").alias("_c1"))
+    whole = by_corner.groupBy(*keys).agg(F.count("*").alias("_corners"), F.max(F.abs(F.col("_n") - 2)).alias("_off"))
+    ends = by_wall.groupBy(*keys).agg(F.max(F.abs(F.col("_n") - 2)).alias("_ends_off"))
+    regular = whole.join(ends, keys).filter("_corners >= 3 AND _off = 0 AND _ends_off = 0").select(*keys)
+    sides = by_wall.join(regular, keys, "left_semi")
+    both = sides.select(*keys, (2 * F.col("wall_no")).alias("edge"), "wall_no", F.col("_c0").alias("at"), F.col("_c1").alias("to")).unionByName(
+        sides.select(*keys, (2 * F.col("wall_no") + 1).alias("edge"), "wall_no", F.col("_c1").alias("at"), F.col("_c0").alias("to")))
+    onward = by_corner.select(*keys, F.col("corner").alias("to"), "_w0", "_w1")
+    turned = both.join(onward, [*keys, "to"]).withColumn("_other", F.when(F.col("wall_no") == F.col("_w0"), F.col("_w1")).otherwise(F.col("_w0")))
+    first = by_wall.select(*keys, F.col("wall_no").alias("_other"), "_c0")
+    return turned.join(first, [*keys, "_other"]).select(
+        *keys, "edge", (2 * F.col("_other") + F.when(F.col("_c0") == F.col("to"), 0).otherwise(1)).alias("next"), "wall_no", "at", "to")
+
+
+def _crossing_rooms(ring: DataFrame, keys: list[str]) -> DataFrame:
+    """Rooms with two sides that are no neighbours and meet; a room has no more sides than the plane budget."""
+    one = ring.select(*keys, "size", "position", *[F.col(c).alias(f"a_{c}") for c in ("x0", "y0", "x1", "y1")])
+    two = ring.select(*keys, F.col("position").alias("_p"), *[F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")])
+    apart = (F.col("_p") > F.col("position") + 1) & ~((F.col("position") == 0) & (F.col("_p") == F.col("size") - 1))
+    turn = lambda s, t, e: ((F.col(f"{s}_x1") - F.col(f"{s}_x0")) * (F.col(f"{t}_y{e}") - F.col(f"{s}_y0"))
+                            - (F.col(f"{s}_y1") - F.col(f"{s}_y0")) * (F.col(f"{t}_x{e}") - F.col(f"{s}_x0")))
+    meet = (turn("a", "b", 0) * turn("a", "b", 1) <= 0) & (turn("b", "a", 0) * turn("b", "a", 1) <= 0)
+    return one.join(two, keys).filter(apart & meet).select(*keys).distinct()
+
+
 def close_polygons(segments: DataFrame, crossings: DataFrame, keys: list[str], cfg: GeometryConfig = GeometryConfig()) -> DataFrame:
     """Room polygon when corners and walls alternate in one simple ring; otherwise null.
 
-    A group is the walls of one room, at most the plane budget.
+    Walls are walked as half-edges in both directions; a room closes if each direction is one ring over all its
+    walls. The counter-clockwise one is the polygon, from the end of the lowest wall on.
     """
-    names = [f.name for f in segments.schema.fields if f.name in keys]
-    types = dict(segments.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in names) + ", corners int, ring array<struct<x:double,y:double>>, area double, closure_error double"
-    columns = [*names, "corners", "ring", "area", "closure_error"]
-
-    def close(walls: pd.DataFrame, hits: pd.DataFrame) -> pd.DataFrame:
-        corners: list[dict] = []
-        for row in hits.sort_values(["a_wall_no", "b_wall_no"]).itertuples():
-            spot = np.array([row.x, row.y])
-            home = next((c for c in corners if np.linalg.norm(c["p"] - spot) <= cfg.corner_merge), None)
-            if home is None:
-                corners.append({"p": spot, "walls": {row.a_wall_no, row.b_wall_no}})
-            else:
-                home["walls"] |= {row.a_wall_no, row.b_wall_no}
-        result = dict.fromkeys(columns)
-        result.update({k: walls[k].iloc[0] for k in names}, corners=len(corners))
-        at: dict[int, list[int]] = {}
-        for i, corner in enumerate(corners):
-            for wall in corner["walls"]:
-                at.setdefault(wall, []).append(i)
-        numbers = walls["wall_no"].tolist()
-        regular = (len(corners) >= 3 and all(len(c["walls"]) == 2 for c in corners)
-                   and all(len(at.get(w, [])) == 2 for w in numbers))
-        if regular:
-            start = numbers[0]
-            order, wall, here = [], start, at[start][0]
-            while True:  # alternate wall, corner, wall, ... until back at the start
-                order.append(here)
-                there = next(c for c in at[wall] if c != here)
-                wall = next(w for w in corners[there]["walls"] if w != wall)
-                here = there
-                if wall == start:
-                    break
-            ring = np.array([corners[i]["p"] for i in order])
-            sides = np.linalg.norm(np.roll(ring, -1, axis=0) - ring, axis=1)
-            area = float((ring[:, 0] * np.roll(ring[:, 1], -1) - ring[:, 1] * np.roll(ring[:, 0], -1)).sum() / 2.0)
-            if len(ring) == len(numbers) and sides.min() > cfg.corner_merge and abs(area) >= cfg.min_polygon_area and simple(ring):
-                ring = ring if area > 0 else ring[::-1]
-                gaps = [min(np.hypot(*(corners[i]["p"] - end)) for end in ((row.x0, row.y0), (row.x1, row.y1)))
-                        for row in walls.itertuples() for i in at[row.wall_no]]
-                result.update(ring=[{"x": x, "y": y} for x, y in ring], area=abs(area), closure_error=float(max(gaps)))
-        return pd.DataFrame([result], columns=columns)
-
-    def simple(ring: np.ndarray) -> bool:
-        n = len(ring)
-        side = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
-        for i in range(n):
-            for j in range(i + 2, n - (i == 0)):
-                a, b, c, d = ring[i], ring[(i + 1) % n], ring[j], ring[(j + 1) % n]
-                if side(a, b, c) * side(a, b, d) <= 0 and side(c, d, a) * side(c, d, b) <= 0:
-                    return False
-        return True
-
-    return segments.groupBy(*keys).cogroup(fresh(crossings).groupBy(*keys)).applyInPandas(
-        lambda a, b: close(a, b) if len(a) else pd.DataFrame(columns=columns), schema)
+    walls = cut(segments.select(*keys, "wall_no", "x0", "y0", "x1", "y1"))
+    corners, meets = _corners(crossings, keys, cfg)
+    edges = cut(half_edges(meets, walls, keys))
+    spot = lambda name, s: corners.select(*keys, F.col("corner").alias(name), F.col("x").alias(f"x{s}"), F.col("y").alias(f"y{s}"))
+    placed = edges.join(trace_rings(edges, keys), [*keys, "edge"]).join(spot("at", 0), [*keys, "at"]).join(spot("to", 1), [*keys, "to"])
+    placed = cut(placed.select(*keys, "edge", "wall_no", "ring", "size", "position", "x0", "y0", "x1", "y1"))
+    numbers = walls.groupBy(*keys).agg(F.count("*").alias("_walls"))
+    measured = placed.groupBy(*keys, "ring").agg(
+        F.first("size").alias("_size"), F.min(F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).alias("_side"),
+        (F.sum(F.col("x0") * F.col("y1") - F.col("x1") * F.col("y0")) / 2).alias("area"),
+        F.array_sort(F.collect_list(F.struct("position", F.col("x0").alias("x"), F.col("y0").alias("y")))).alias("_ring"))
+    good = cut(measured.join(numbers, keys).filter((F.col("_size") == F.col("_walls")) & (F.col("_side") > cfg.corner_merge) & (F.col("area") >= cfg.min_polygon_area)))
+    crossed = _crossing_rooms(placed.join(good.select(*keys, "ring"), [*keys, "ring"], "left_semi"), keys)
+    seen = walls.select(*keys, "wall_no", *[F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")])
+    miss = F.least(F.hypot(F.col("x0") - F.col("_x0"), F.col("y0") - F.col("_y0")), F.hypot(F.col("x0") - F.col("_x1"), F.col("y0") - F.col("_y1")))
+    errors = placed.join(seen, [*keys, "wall_no"]).groupBy(*keys).agg(F.max(miss).alias("closure_error"))
+    rings = good.join(crossed, keys, "left_anti").join(errors, keys).select(
+        *keys, F.transform("_ring", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("ring"), "area", "closure_error")
+    counts = corners.groupBy(*keys).agg(F.count("*").cast("int").alias("corners"))
+    return numbers.select(*keys).join(counts, keys, "left").fillna({"corners": 0}).join(rings, keys, "left")
 
 
 def room_geometry(points: DataFrame, keys: list[str], cfg: GeometryConfig = GeometryConfig()) -> dict[str, DataFrame]:
@@ -403,8 +439,7 @@ def room_geometry(points: DataFrame, keys: list[str], cfg: GeometryConfig = Geom
     level_members = cut(transform_points(members, leveling, keys, "leveling"))
     refit = cut(cut(fit_planes(level_members, plane)).join(planes.select(*plane, "area"), plane))
     floors = refit.join(source_floor.select(*plane), plane, "left_semi")
-    tops = level_points.groupBy(*keys).agg(F.percentile("z", F.lit(1 - cfg.quantile)).alias("top"), F.count("*").alias("points"))
-    tops = cut(tops)
+    tops = cut(weighted_quantiles(level_points, keys, "z", {"top": 1 - cfg.quantile}, 0.05).withColumnRenamed("n", "points"))
     sizes = tops.select(*keys, "points")
     ceilings = cut(choose_ceiling(refit, floors, tops, keys, cfg))
     taken = floors.select(*plane).unionByName(ceilings.select(*plane))
@@ -423,7 +458,9 @@ def room_geometry(points: DataFrame, keys: list[str], cfg: GeometryConfig = Geom
              .join(segments.groupBy(*keys).agg(F.count("*").alias("walls")), keys, "left")
              .withColumn("explained_ratio", F.col("explained") / F.col("points"))
              .withColumn("merged_walls", F.col("_eligible") - F.col("walls")).drop("_eligible"))
+    issues = cut(plane_budget_issues(points, members, keys, cfg))
     codes = F.array_compact(F.array(F.when(F.col("ceiling_height").isNull(), F.lit("CEILING_UNAVAILABLE")),
-                                    F.when(F.col("ring").isNull(), F.lit("POLYGON_UNAVAILABLE"))))
-    return {"rooms": rooms.withColumn("codes", codes), "planes": refit, "floors": floors, "ceilings": ceilings,
+                                    F.when(F.col("ring").isNull(), F.lit("POLYGON_UNAVAILABLE")), F.col("_budget")))
+    rooms = rooms.join(issues.select(*keys, F.col("code").alias("_budget")), keys, "left")
+    return {"rooms": rooms.withColumn("codes", codes).drop("_budget"), "issues": issues, "planes": refit, "floors": floors, "ceilings": ceilings,
             "segments": segments, "leveling": leveling, "members": level_members}

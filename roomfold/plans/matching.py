@@ -211,7 +211,7 @@ def layered(spark: SparkSession, sf: str) -> DataFrame:
 # The two layers are exact planes, so the first two extracted planes are the two layers, larger first.
 @query("extracted_planes", """SELECT l_suppkey AS capture_id, count(*) AS inliers FROM lineitem WHERE l_returnflag IN ('A', 'R') OR floor(l_tax * 35000) <= 25 OR floor(l_tax * 35000) >= 2775 GROUP BY 1""")
 def extracted_planes(spark: SparkSession, sf: str) -> DataFrame:
-    members = planes.extract_planes(layered(spark, sf), ["capture_id"], GeometryConfig(max_planes=2, ransac_iterations=200))
+    members = planes.extract_planes(layered(spark, sf), ["capture_id"], GeometryConfig())
     return members.groupBy("capture_id").agg(F.count("*").alias("inliers"))
 
 
