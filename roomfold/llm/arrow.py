@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +14,29 @@ from pyspark.sql.types import _parse_datatype_string
 #: Bytes of text that a kernel sees at once; one longer text comes alone.
 CHUNK_CHARS = 1 << 20
 
+#: How to give up what the kernels of a module remember from task to task in one Python worker.
+_MEMORIES: dict[str, Callable[[], None]] = {}
+
+
+def remembers(module: str, forget: Callable[[], None]) -> None:
+    """Declare that kernels of ``module`` keep tables between tasks; they go when a kernel of another module starts."""
+    _MEMORIES[module] = forget
+
+
+def _enter(module: str) -> None:
+    """Workers serve all stages of a job, so one that starts another kernel must not hold the tables of the last."""
+    for other, forget in _MEMORIES.items():
+        if other != module:
+            forget()
+
+
+def _leave() -> None:
+    """Hand freed memory back, which Arrow and the C library would keep for a next task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_CHARS) -> Iterator[dict[str, list]]:
     """Columns as lists, cut so that the texts (or lists) of a chunk have about ``limit`` bytes (or entries)."""
@@ -35,11 +59,14 @@ def map_chunks(df: DataFrame, text: str, schema: str,
                kernel: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]]) -> DataFrame:
     """``mapInArrow`` for a kernel that turns chunks of columns into columns of ``schema``."""
     arrow = to_arrow_schema(_parse_datatype_string(schema))
+    module = kernel.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _enter(module)
         for out in kernel(chunks(batches, text)):
             yield pa.RecordBatch.from_arrays([
                 c if isinstance(c := out[f.name], pa.Array) else pa.array(c, type=f.type) for f in arrow], schema=arrow)
+        _leave()
 
     return df.mapInArrow(run, schema)
 

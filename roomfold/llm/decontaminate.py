@@ -162,7 +162,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id",
         "id is not null and text is not null").distinct()
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("text is not null")
     schema = "id long, item_id long, shared long, n_item long"
-    found = spark.createDataFrame([], schema)
+    found = rows.where("false").selectExpr("id", "id AS item_id", "id AS shared", "id AS n_item")
     for ids, texts in _blocks(items, settings.block_words):
         shared = spark.sparkContext.broadcast(build_classes(ids, texts, settings))
 

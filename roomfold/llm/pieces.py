@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from roomfold.llm.arrow import map_chunks
+from roomfold.llm.arrow import map_chunks, remembers
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -197,6 +197,9 @@ def compiled(data: bytes) -> Transducer:
     return Transducer(data)
 
 
+remembers(__name__, compiled.cache_clear)
+
+
 def read_model(path: str = MODEL_PATH) -> bytes:
     with open(path, "rb") as file:
         return file.read()
