@@ -7,7 +7,7 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -47,11 +47,16 @@ _HINTS = {
     "comment": "comment comments reply replies respond disqus",
     "head": "hidden",
 }
+# Words that with a hint make a name of a part of a page (ad-box), where others make another name (related-work).
+_LAYOUT = set("area bar block body bottom box btn button buttons column container content footer form fixed group header icons inner item items "
+              "layout left links list module outer panel popup post posts primary right row secondary section slot sticky stories text thread top "
+              "tree unit widget wrap wrapper".split())
+# Hints that are also everyday names of parts of an article.
+_EVERYDAY = {"notice", "notices", "alert", "discussion", "search"}
+# Headings that open the comments of readers.
+_COMMENTS = re.compile(r"(?:\d+\s+)?(?:reader |user |recent |latest )?(?:comments?|responses|replies)(?:\s*\(?\d+\)?)?:?|leave a (?:comment|reply)|join the (?:discussion|conversation)")
 _TAG_KIND = {tag: kind for kind, tags in _KINDS.items() for tag in tags}
 _HINT_KIND = {word: kind for kind, words in _HINTS.items() for word in words.split()}
-#: What a hint weighs against the words below it inside an article, in units of one plain word; -inf where it always wins.
-_HINT_WEIGHT = {"nav": -20.0, "footer": -20.0, "aside": -20.0, "ad": -20.0, "share": -20.0, "form": -5.0, "notice": -3.0,
-                "comment": -math.inf, "head": -math.inf}
 
 #: Weights before anything is learned, in units of one plain word.
 PRIOR = {"word:plain": 1.0, "word:link": -0.5, "word:boilerplate": -2.0, "tag": -0.3}
@@ -71,6 +76,16 @@ class Node:
     content: int
 
 
+def _hint(value: str, inside: int) -> str | None:
+    """Kind that a class, id or role hints at: one of its names holds nothing but words of hints and of layout."""
+    for name in _COMPOUND.sub(" ", value).split():
+        parts = [p for p in _PART.findall(name) if not p.isdigit()]
+        found = [p for p in parts if p in _HINT_KIND and not (inside and p in _EVERYDAY)]
+        if found and all(p in _LAYOUT or p in _HINT_KIND for p in parts):
+            return _HINT_KIND[found[0]]
+    return None
+
+
 def _kind(tag: str, attributes: str, inside: int) -> tuple[str | None, bool]:
     """Kind of boilerplate that an element announces by its name, role, class or id, and whether it is only a hint.
 
@@ -84,8 +99,7 @@ def _kind(tag: str, attributes: str, inside: int) -> tuple[str | None, bool]:
         value = value.strip("\"'")
         if name in ("class", "id", "role"):
             if tag not in _HEADINGS or name == "role":
-                for part in _PART.findall(_COMPOUND.sub(" ", value)):
-                    hint = hint or _HINT_KIND.get(part)
+                hint = hint or _hint(value, inside)
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (
                 name == "style" and "display:none" in value.replace(" ", "")):
             return "head", False
@@ -95,44 +109,64 @@ def _kind(tag: str, attributes: str, inside: int) -> tuple[str | None, bool]:
 def nodes(html: str | None) -> list[Node]:
     """Tags and texts in page order, each text with the context it stands in.
 
-    A hint of a class, id or role is weighed against the words below it: inside an article it is overruled where
-    their sum with the weight of the hint is above zero, and on a page without words of an article where they are most of the plain words.
+    A hint of a class, id or role holds inside an article whatever its words. On a page without words of an article, an
+    element that holds most plain words of the page is no boilerplate, whatever its name.
     """
-    overruled: set[int] = set()
-    while True:
-        out, hints = _parse(html or "", overruled)
-        plain = sum(math.inf if n.content else n.words for n in out if n.feature == "word:plain" and n.words)
-        more = {at for at, kind, inside, words, links in hints if _HINT_WEIGHT[kind] > -math.inf and (
-            inside and words - 0.5 * links + _HINT_WEIGHT[kind] > 0 or words > plain + sum(h[3] for h in hints if h[0] != at))}
-        if not more:
-            return out
-        overruled |= more
+    page = html or ""
+    out, hints = _parse(page, frozenset())
+    if any(n.content and n.words and n.feature == "word:plain" for n in out):
+        return out
+    plain = sum(n.words for n in out if n.feature == "word:plain") + sum(words for _, outer, words in hints if outer)
+    overruled = frozenset(at for at, _, words in hints if 2 * words > plain)
+    return _parse(page, overruled)[0] if overruled else out
+
+
+class _Open:
+    """An open element: its kind of boilerplate, its article, and for a hint the words outside of links so far."""
 
+    __slots__ = ("tag", "kind", "content", "place", "outer", "words")
 
-def _parse(page: str, overruled: set[int]) -> tuple[list[Node], list[list]]:
-    """The nodes, and the outermost elements with a hint: place, kind, content element, their words outside and inside of links."""
+    def __init__(self, tag: str, kind: str | None, content: int, place: int | None, outer: bool, words: int):
+        self.tag, self.kind, self.content, self.place, self.outer, self.words = tag, kind, content, place, outer, words
+
+
+def _parse(page: str, overruled: frozenset[int]) -> tuple[list[Node], list[tuple[int, bool, int]]]:
+    """The nodes, and the elements that only hints make boilerplate: place, whether outermost, words outside of links.
+
+    Each tag is looked at once and an element is left once, so the time is linear in the page.
+    """
     out: list[Node] = []
-    hints: list[list] = []
-    # element, kind of boilerplate around it, content element around it, the hint that the kind comes from
-    stack: list[tuple[str, str | None, int, list | None]] = []
-    contents = 0
+    hints: list[tuple[int, bool, int]] = []
+    stack: list[_Open] = []
+    depth: defaultdict[str, int] = defaultdict(int)
+    contents = counted = 0
+    heading: int | None = None  # first node of an open heading
 
     def text(value: str) -> None:
+        nonlocal counted
         if not value:
             return
         decoded = entities.unescape(value)
-        kind = stack[-1][1] if stack else None
-        link = any(s[0] == "a" for s in stack[-4:])
+        top = stack[-1] if stack else None
+        kind = top.kind if top else None
+        link = any(s.tag == "a" for s in stack[-4:])
         feature = f"word:{kind}" if kind else "word:link" if link else "word:plain"
-        out.append(Node(feature, len(decoded.split()), decoded, kind is not None, False, stack[-1][2] if stack else 0))
-        if stack and stack[-1][3]:
-            stack[-1][3][4 if link else 3] += out[-1].words
+        out.append(Node(feature, len(decoded.split()), decoded, kind is not None, False, top.content if top else 0))
+        counted += 0 if link else out[-1].words
+
+    def leave() -> None:
+        gone = stack.pop()
+        depth[gone.tag] -= 1
+        if gone.place is not None:
+            hints.append((gone.place, gone.outer, counted - gone.words))
 
     at = 0
     while True:
         match = _TOKEN.search(page, at)
         if match is None:
             text(page[at:])
+            while stack:
+                leave()
             return out, hints
         text(page[at:match.start()])
         at = match.end()
@@ -141,35 +175,44 @@ def _parse(page: str, overruled: set[int]) -> tuple[list[Node], list[list]]:
             continue
         closing = bool(match[1] or match[4])
         out.append(Node(f"tag:{tag if tag in _KNOWN_TAGS else 'other'}", 0, " " if tag in ("br", "td", "th") else "",
-                        stack[-1][1] is not None if stack else False, tag not in _INLINE, stack[-1][2] if stack else 0))
+                        stack[-1].kind is not None if stack else False, tag not in _INLINE, stack[-1].content if stack else 0))
         if tag in _RAW:
             if not closing:
                 end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
         elif closing:
-            names = [s[0] for s in stack]
-            if tag in names:
-                del stack[len(names) - 1 - names[::-1].index(tag):]
+            if depth[tag] > 0:
+                while stack[-1].tag != tag:
+                    leave()
+                leave()
+            if tag in _HEADINGS and heading is not None:
+                said = " ".join("".join(n.text for n in out[heading:]).lower().split())
+                if _COMMENTS.fullmatch(said) and stack and stack[-1].kind is None:
+                    # what the heading opens, to the end of the element around it
+                    out[heading:] = [replace(n, feature="word:comment" if n.words else n.feature, dropped=True) for n in out[heading:]]
+                    stack[-1].kind = "comment"
+                heading = None
         elif tag in _CONTAINERS and tag not in _VOID and not (match[3] or match[6] or "").endswith("/"):
             if tag == "p" or tag in _HEADINGS or tag in ("div", "ul", "ol", "table", "section", "form"):
-                while stack and stack[-1][0] in ("p", "span", "a"):  # a block ends an open paragraph
-                    stack.pop()
-            around, inside, hint = stack[-1][1:] if stack else (None, 0, None)
+                while stack and stack[-1].tag in ("p", "span", "a"):  # a block ends an open paragraph
+                    leave()
+            if tag in _HEADINGS:
+                heading = len(out) - 1
+            around, inside = (stack[-1].kind, stack[-1].content) if stack else (None, 0)
             own, hinted = _kind(tag, match[3] or match[6] or "", inside)
+            place = None
             if hinted and match.start() in overruled:
                 own = None
-            elif around is None and hinted:
-                hint = [match.start(), own, inside, 0, 0]
-                hints.append(hint)
-            elif own and not hinted or own == "comment":
-                hint = None  # what is boilerplate by itself stays so below any hint
+            elif hinted and all(s.kind is None or s.place is not None for s in stack[-1:]):
+                place = match.start()
             kind = around or own
-            if tag in _CONTENT and not any(s[0] == "article" for s in stack):
+            if tag in _CONTENT and not depth["article"]:
                 contents += 1
                 inside = contents
                 if kind == around != "comment":
-                    kind = hint = None  # a class of an outer element does not make an article boilerplate
-            stack.append((tag, kind, inside, hint))
+                    kind = None  # a class of an outer element does not make an article boilerplate
+            stack.append(_Open(tag, kind, inside, place, place is not None and around is None, counted))
+            depth[tag] += 1
 
 
 def weights(counts: dict[str, tuple[int, int]], strength: float = 50.0) -> dict[str, float]:
@@ -262,10 +305,10 @@ def extract(pages: DataFrame, learned: dict[str, float], key: str = "page_id", h
     """``id``, the columns ``keep`` and ``text``: the article's blocks in page order, joined by line feeds.
 
     A null, empty or content-free page gives an empty text; repeated rows each get theirs; unclosed and
-    unknown tags are tolerated. Character references are decoded and white space inside a block becomes
+    unknown tags are tolerated. Long pages take time in proportion. A kept column of the name ``id`` or ``text`` is left out. Character references are decoded and white space inside a block becomes
     one space. The weights (one number per feature) travel with the tasks.
     """
-    keep = keep or []
+    keep = [c for c in keep or [] if c not in ("id", "text")]
     rows = pages.select(F.struct(F.col(key).alias("id"), *[F.col(c) for c in keep]).alias("kept"), F.col(html).alias("html"))
     kept = rows.schema["kept"].dataType.simpleString()
 

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -259,7 +260,7 @@ def test_dedup_stage_default_is_five_words_at_eighty():
 
 
 def test_every_operator_has_its_query():
-    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 14))
 
 
 def test_text_of_the_region_outside_a_touched_article_stays():
@@ -286,3 +287,34 @@ def test_items_of_one_shingle_are_found_at_every_place():
         items = [" ".join(t.split()[cut]) for t in texts]
         found = decontaminate.find(texts, decontaminate.build_classes(list(range(1500)), items, settings), settings)
         assert sorted(found) == [(i, i, 1, 1) for i in range(1500)]
+
+
+LONG = " ".join(f"w{i}" for i in range(200))
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<article><p>a b</p><div class='ad'><p>{LONG}</p></div><p>c</p></article>", "a b\nc"),
+    (f"<article><p>a b</p><div class='sidebar'>{LONG}</div><div class='share-buttons'>{LONG}</div><div role=contentinfo>{LONG}</div></article>", "a b"),
+    (f"<article><p>{LONG}</p></article><section><h2>Comments</h2><article><p>{LONG}</p></article><article>no</article></section>", LONG),
+    (f"<article><p>a b c</p><section><h3>3 Comments</h3><article><p>{LONG}</p></article></section><p>d</p></article>", "a b c\nd"),
+    (f"<article><p>a b c</p><h2>Leave a reply</h2><div>{LONG}</div></article><div class='comment-list'><article>{LONG}</article></div>", "a b c"),
+    (f"<article><h1>Comments on the law</h1><p>{LONG}</p></article>", f"Comments on the law\n{LONG}"),
+    (f"<article><p>a</p><div class='related-work'>{LONG}</div><div class='related-posts'>x y</div></article>", f"a\n{LONG}"),
+])
+def test_boilerplate_inside_articles_goes_whatever_its_length(page, text):
+    assert extract.main_text(page, WEIGHTS) == text
+
+
+def test_pages_of_many_tags_take_linear_time():
+    began = time.time()
+    page = "<article>" + "<div class='ad'>buy it</div><p>w</p>" * 50_000 + "</article>"
+    assert extract.main_text(page, WEIGHTS) == "\n".join("w" * 50_000)
+    assert extract.main_text("<div class=ad>" * 50_000 + "a b c" + "</div>" * 50_000, WEIGHTS) == "a b c"
+    assert extract.main_text("<div>" * 50_000 + "a b c" + "</div>" * 50_000 + "</i>" * 50_000, WEIGHTS) == "a b c"
+    assert time.time() - began < 20
+
+
+def test_kept_columns_may_clash(spark):
+    pages = spark.createDataFrame([(1, "<p>a b</p>", "t", 2, "u")], "page_id long, html string, text string, id int, url string")
+    found = extract.extract(pages, {}, keep=["url", "text", "id"])
+    assert found.columns == ["id", "url", "text"] and tuple(found.collect()[0]) == (1, "u", "a b")
