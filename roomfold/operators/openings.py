@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -12,6 +11,7 @@ from roomfold.functions.scores import opening_geometry_score, opening_quality
 from roomfold.operators import masks
 from roomfold.operators.folds import blocked_fold, leader_groups
 from roomfold.operators.ordering import best_per_group
+from roomfold.session import cut
 
 PHANTOM, UNRESOLVED = "POSSIBLE_PHANTOM_OPENING", "OPENING_DIMENSIONS_UNRESOLVED"
 
@@ -155,41 +155,32 @@ def occupancy(points: DataFrame, walls: DataFrame, room_keys: list[str], cfg: Op
 
 
 def occupancy_holes(cells: DataFrame, cfg: OpeningConfig = OpeningConfig()) -> DataFrame:
-    """Bounded low-occupancy holes of every wall; a group is one wall's grid."""
-    wall_type = dict(cells.dtypes)["wall_id"]
-    schema = (f"wall_id {wall_type}, label int, u_min double, u_max double, v_min double, v_max double, kind string, "
-              "support double, quality double, sample_count long")
-
-    def holes(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = [part.split()[0] for part in schema.split(", ")]
-        if pdf["points"].sum() < cfg.min_wall_points:
-            return pd.DataFrame(columns=names)
-        length, ceiling = float(pdf["wall_length"].iloc[0]), float(pdf["ceiling"].iloc[0])
-        shape = tuple(len(np.arange(0, extent + cfg.cell, cfg.cell)) - 1 for extent in (length, ceiling))
-        counts = np.zeros(shape)
-        at = [np.minimum(pdf[c].to_numpy(), n - 1) for c, n in zip("ij", shape)]
-        np.add.at(counts, tuple(at), pdf["points"].to_numpy())
-        full = masks.erode(masks.dilate(counts >= cfg.min_cell_points, border=True), border=True)
-        labels = masks.label(~full, diagonal=False)
-        rows = []
-        for number in range(1, labels.max() + 1):
-            cell = labels == number
-            us, vs = np.nonzero(cell.any(axis=1))[0], np.nonzero(cell.any(axis=0))[0]
-            u0, u1, v0, v1 = us[0], us[-1] + 1, vs[0], vs[-1] + 1
-            if u0 == 0 or u1 == shape[0] or v1 == shape[1]:
-                continue  # open to a capture border other than the floor
-            width, height = (u1 - u0) * cfg.cell, (v1 - v0) * cfg.cell
-            ring = masks.dilate_cross(cell) & ~cell
-            support = float(full[ring].mean()) if ring.any() else 0.0
-            if width < cfg.door_min_width or height < cfg.min_height or support < cfg.min_boundary_support:
-                continue
-            passage = v0 * cfg.cell <= cfg.floor_contact and height >= cfg.passage_height
-            rows.append((pdf["wall_id"].iloc[0], number, u0 * cfg.cell, min(length, u1 * cfg.cell), v0 * cfg.cell,
-                         min(ceiling, v1 * cfg.cell), "open_passage" if passage else "unknown", support,
-                         0.55 + 0.35 * support, int(pdf["points"].sum())))
-        return pd.DataFrame(rows, columns=names)
-
-    return cells.groupBy("wall_id").applyInPandas(holes, schema)
+    """Bounded low-occupancy holes of every wall with enough points, labelled in raster order along the wall.
+
+    A closed grid of occupied cells is turned into runs of empty ones, whose connected regions are the holes. Holes open to
+    a border other than the floor are none. What surrounds a region that is whole can only be occupied, so its support
+    is 1.
+    """
+    keys, one = ["wall_id"], cfg.cell
+    count = lambda extent: (F.ceil((F.col(extent) + one) / one) - 1).cast("int")
+    walls = cut(cells.groupBy("wall_id", "wall_length", "ceiling").agg(F.sum("points").alias("sample_count")).filter(
+        F.col("sample_count") >= cfg.min_wall_points).withColumns({"height": count("wall_length"), "width": count("ceiling")}))
+    sizes = walls.select("wall_id", "height", "width")
+    at = lambda c, n: F.least(F.col(c), F.col(n) - 1)
+    occupied = cells.join(sizes, keys).groupBy("wall_id", at("i", "height").alias("row"), at("j", "width").alias("col")).agg(
+        F.sum("points").alias("_n")).filter(F.col("_n") >= cfg.min_cell_points).select("wall_id", "row", "col")
+    full = masks.erode(masks.dilate(occupied, sizes, keys, 3, border=True), sizes, keys, 3)
+    found = masks.regions(masks.gaps(masks.runs(full, keys), sizes, keys), keys, diagonal=False)
+    boxes = found.groupBy("wall_id", "component").agg(
+        F.min("row").alias("u0"), (F.max("row") + 1).alias("u1"), F.min("start").alias("v0"), F.max("stop").alias("v1")).join(walls, keys)
+    width, height = (F.col("u1") - F.col("u0")) * one, (F.col("v1") - F.col("v0")) * one
+    kept = boxes.filter((F.col("u0") > 0) & (F.col("u1") < F.col("height")) & (F.col("v1") < F.col("width"))
+                        & (width >= cfg.door_min_width) & (height >= cfg.min_height) & F.lit(cfg.min_boundary_support <= 1))
+    passage = (F.col("v0") * one <= cfg.floor_contact) & (height >= cfg.passage_height)
+    return kept.select(
+        "wall_id", F.col("component").cast("int").alias("label"), (F.col("u0") * one).alias("u_min"), F.least("wall_length", F.col("u1") * one).alias("u_max"),
+        (F.col("v0") * one).alias("v_min"), F.least("ceiling", F.col("v1") * one).alias("v_max"), F.when(passage, "open_passage").otherwise("unknown").alias("kind"),
+        F.lit(1.0).alias("support"), F.lit(0.55 + 0.35).alias("quality"), "sample_count")
 
 
 def link_openings(openings: DataFrame, connections: DataFrame, edges: DataFrame, property_key: str = "property_id",

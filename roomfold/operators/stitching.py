@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from roomfold.config import StitchConfig
 from roomfold.functions import rigid
-from roomfold.operators import graph, polygons
+from roomfold.operators import footprint, graph, polygons
 
 KEY = graph.KEY
 
@@ -41,26 +39,6 @@ def overlaps(placed: DataFrame, cfg: StitchConfig = StitchConfig()) -> DataFrame
         ((F.col("_m.overlap_area") > cfg.max_overlap_area) & (ratio > cfg.max_overlap_ratio)).alias("material"))
 
 
-def union_areas(placed: DataFrame) -> DataFrame:
-    """Union area per property; a property's rooms are measured together."""
-    rings = placed.groupBy(KEY).agg(F.collect_list("ring").alias("_rings"))
-    return rings.select(KEY, polygons.union_area("_rings").alias("union_area"))
-
-
-def footprints(placed: DataFrame) -> DataFrame:
-    """Outline rings and union area per property (a property's rooms are traced together)."""
-    key_type = dict(placed.dtypes)[KEY]
-    schema = f"{KEY} {key_type}, union_area double, outlines array<array<array<double>>>"
-
-    def trace(pdf: pd.DataFrame) -> pd.DataFrame:
-        rings = [polygons.as_array(r) for r in pdf.sort_values("room_id")["ring"]]
-        loops = polygons.outline_pieces(rings)
-        return pd.DataFrame([{KEY: pdf[KEY].iloc[0], "union_area": polygons.slab_area(rings, 1),
-                              "outlines": [[list(p) for p in loop] for loop in loops]}])
-
-    return placed.select(KEY, "room_id", "ring").groupBy(KEY).applyInPandas(trace, schema)
-
-
 def footprint_parts(placed: DataFrame, pairs: DataFrame) -> DataFrame:
     """Number of separate footprint parts: rooms are joined by shared area or shared boundary."""
     touching = pairs.filter("overlap_area > 1e-9 OR shared_length > 1e-9").select(
@@ -140,7 +118,7 @@ def stitch(rooms: DataFrame, evidence: DataFrame, cfg: StitchConfig = StitchConf
         F.count_if("material").alias("material_overlaps"), F.sum("overlap_area").alias("overlap_total"),
         F.max("overlap_area").alias("max_overlap"))
     residual = poses.groupBy(KEY).agg(F.max("rms").alias("layout_residual"))
-    union = union_areas(placed)
+    union = footprint.union_areas(placed, [KEY])
     facts = totals
     for part in (gaps, cycles, material, residual, union, footprint_parts(placed, pairs)):
         facts = facts.join(part, KEY, "left")
@@ -149,5 +127,5 @@ def stitch(rooms: DataFrame, evidence: DataFrame, cfg: StitchConfig = StitchConf
     rejected = judged.filter("NOT accepted").select(KEY, "connection_id", "rejection_reason").unionByName(
         checked.filter("NOT retained").select(KEY, "connection_id", F.lit("cycle_inconsistent").alias("rejection_reason")))
     return {"evidence": judged, "roots": roots, "tree": tree, "initial": initial, "checked": checked,
-            "retained": retained, "rejected": rejected, "transforms": poses, "placed": placed, "overlaps": pairs, "footprints": footprints(placed),
+            "retained": retained, "rejected": rejected, "transforms": poses, "placed": placed, "overlaps": pairs, "footprints": footprint.footprints(placed, [KEY]),
             "verdict": verdicts(facts, cfg), "quality": room_quality(placed, retained)}

@@ -135,7 +135,44 @@ def wall_occupancy(spark: SparkSession, sf: str) -> DataFrame:
     return openings.occupancy(spark_points(spark, sf), walls, ["room_id"], OpeningConfig(cell=0.2)).select("wall_id", "i", "j", "points")
 
 
-@query("occupancy_holes")
+def _reach(source: str, keys: str, size: int) -> str:
+    """Each cell once for every window that holds it."""
+    low, high = size // 2 - size + 1, size // 2 + 1
+    return f"(SELECT {keys}, r + o AS r, c + p AS c FROM {source}, unnest(range({low}, {high})) x(o), unnest(range({low}, {high})) y(p))"
+
+
+def _dilated(source: str, keys: str, size: int) -> str:
+    return f"SELECT DISTINCT {keys}, r, c FROM {_reach(source, keys, size)} q JOIN grid USING ({keys}) WHERE r BETWEEN 0 AND h - 1 AND c BETWEEN 0 AND w - 1"
+
+
+def _eroded(source: str, keys: str, size: int) -> str:
+    b = size // 2
+    span = lambda n, i: f"(least({n} - 1, {i} - {b} + {size - 1}) - greatest(0, {i} - {b}) + 1)"
+    return (f"SELECT {keys}, r, c FROM (SELECT {keys}, r, c, count(*) AS n FROM {_reach(source, keys, size)} q GROUP BY ALL) q JOIN grid USING ({keys})"
+            f" WHERE r BETWEEN 0 AND h - 1 AND c BETWEEN 0 AND w - 1 AND n = {span('h', 'r')} * {span('w', 'c')}")
+
+
+def _labelled(source: str, keys: str, near: str, steps: int) -> str:
+    """Smallest cell of each region, handed on from neighbour to neighbour."""
+    same = " AND ".join(f"a.{k.strip()} = b.{k.strip()}" for k in keys.split(","))
+    return f"""link AS MATERIALIZED (SELECT {', '.join(f'a.{k.strip()}' for k in keys.split(','))}, a.r, a.c, b.r * 4096 + b.c AS spot FROM {source} a JOIN {source} b ON {same} AND {near}),
+ spread(step, {keys}, spot, label) AS (SELECT 0, {keys}, r * 4096 + c, r * 4096 + c FROM {source} UNION ALL
+  SELECT any_value(step) + 1, {keys}, link.r * 4096 + link.c, min(label) FROM spread JOIN link USING ({keys}, spot) WHERE step < {steps} GROUP BY {keys}, link.r, link.c),
+ region AS (SELECT {keys}, spot // 4096 AS r, spot % 4096 AS c, dense_rank() OVER (PARTITION BY {keys} ORDER BY label) AS component FROM spread WHERE step = {steps})"""
+
+
+@query("occupancy_holes", f"""WITH RECURSIVE hit AS (SELECT wall_id, len, (floor(u / 0.1))::INT AS i, (floor(wz / 0.1))::INT AS j FROM (SELECT w.wall_id, p.wz, len, (wx - x0) * ((x1 - x0) / len) + (wy - y0) * ((y1 - y0) / len) AS u,
+ abs((wx - x0) * (y1 - y0) - (wy - y0) * (x1 - x0)) / len AS d FROM {PT} p JOIN (SELECT *, sqrt((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0))::DOUBLE AS len FROM {W} w) w USING (room_id)) t
+ WHERE len >= 0.2 AND u BETWEEN 0 AND len AND wz BETWEEN 0 AND 2.5 AND d <= 0.18),
+ grid AS (SELECT wall_id, len, (ceil((len + 0.1::DOUBLE) / 0.1::DOUBLE) - 1)::INT AS h, (ceil((2.5::DOUBLE + 0.1::DOUBLE) / 0.1::DOUBLE) - 1)::INT AS w FROM hit GROUP BY 1, 2 HAVING count(*) >= 100),
+ cell AS (SELECT DISTINCT wall_id, least(i, h - 1) AS r, least(j, w - 1) AS c FROM hit JOIN grid USING (wall_id)),
+ wide AS MATERIALIZED ({_dilated('cell', 'wall_id', 3)} UNION SELECT wall_id, r, c FROM grid, unnest(range(0, h)) a(r), unnest(range(0, w)) b(c) WHERE r IN (0, h - 1) OR c IN (0, w - 1)),
+ solid AS MATERIALIZED ({_eroded('wide', 'wall_id', 3)}),
+ hole AS MATERIALIZED (SELECT wall_id, r, c FROM grid, unnest(range(0, h)) a(r), unnest(range(0, w)) b(c) WHERE NOT EXISTS (SELECT 1 FROM solid s WHERE s.wall_id = grid.wall_id AND s.r = a.r AND s.c = b.c)),
+ {_labelled('hole', 'wall_id', 'abs(a.r - b.r) + abs(a.c - b.c) <= 1', 150)},
+ box AS (SELECT wall_id, component, min(r) AS u0, max(r) + 1 AS u1, min(c) AS v0, max(c) + 1 AS v1 FROM region GROUP BY 1, 2)
+ SELECT wall_id, component::INTEGER AS label, round(u0 * 0.1::DOUBLE, 4) AS u_min, round(least(len, u1 * 0.1::DOUBLE), 4) AS u_max, round(v0 * 0.1::DOUBLE, 4) AS v_min, round(least(2.5::DOUBLE, v1 * 0.1::DOUBLE), 4) AS v_max, 1.0::DOUBLE AS support,
+ CASE WHEN v0 * 0.1::DOUBLE <= 0.22 AND (v1 - v0) * 0.1::DOUBLE >= 1.6 THEN 'open_passage' ELSE 'unknown' END AS kind FROM box JOIN grid USING (wall_id) WHERE u0 > 0 AND u1 < h AND v1 < w""")
 def occupancy_holes(spark: SparkSession, sf: str) -> DataFrame:
     walls = spark_walls(spark, sf).withColumn("ceiling", F.lit(2.5))
     cfg = OpeningConfig(cell=0.1, door_min_width=0.1, min_height=0.1, min_boundary_support=0.2)
@@ -150,7 +187,12 @@ def mask_pixels(spark: SparkSession, sf: str) -> DataFrame:
         F.max(F.col("l_discount") * 10).alias("probability"))
 
 
-@query("mask_components")
+@query("mask_components", f"""WITH RECURSIVE pixel AS (SELECT l_suppkey AS frame_id, (l_quantity - 1)::INT AS r, (l_partkey % 20)::INT AS c, max(l_discount * 10) AS p FROM lineitem GROUP BY 1, 2, 3),
+ grid AS (SELECT frame_id, max(r) + 1 AS h, max(c) + 1 AS w FROM pixel GROUP BY 1), raw AS (SELECT frame_id, r, c FROM pixel WHERE p >= 0.2),
+ m1 AS MATERIALIZED ({_eroded('raw', 'frame_id', 2)}), m2 AS MATERIALIZED ({_dilated('m1', 'frame_id', 2)}), m3 AS MATERIALIZED ({_dilated('m2', 'frame_id', 2)}), clean AS MATERIALIZED ({_eroded('m3', 'frame_id', 2)}),
+ {_labelled('clean', 'frame_id', 'abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1', 90)}
+ SELECT frame_id, component::INTEGER AS component, count(*) AS pixel_area, min(c)::INTEGER AS "left", min(r)::INTEGER AS top, (max(c) + 1)::INTEGER AS "right", (max(r) + 1)::INTEGER AS bottom,
+ round(median(coalesce(p, 0)), 6) AS semantic_score FROM region LEFT JOIN pixel USING (frame_id, r, c) GROUP BY 1, 2 HAVING count(*) >= 9""")
 def mask_components(spark: SparkSession, sf: str) -> DataFrame:
     pixels = masks.mask_components(mask_pixels(spark, sf), OpeningConfig(min_score=0.2, min_pixel_area=9, morphology=2))
     return masks.component_table(pixels).select("frame_id", "component", "pixel_area", "left", "top", "right", "bottom", F.round("semantic_score", 6).alias("semantic_score"))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from roomfold.config import StitchConfig
 from roomfold.functions import rigid
-from roomfold.operators import graph, polygons, stitching
+from roomfold.operators import footprint, graph, polygons, stitching
 from roomfold.plans import projections as P
 from roomfold.plans.registry import query
+from roomfold.session import cut
 
 EDGES = P.source("orders", P.EDGES)
 ROOMS = f"(SELECT DISTINCT property_id, room_id FROM (SELECT property_id, unnest([room_a, room_b]) AS room_id FROM {EDGES} e) t WHERE room_id <> 'm02')"
@@ -260,6 +261,31 @@ def layout_fallback(spark: SparkSession, sf: str) -> DataFrame:
         "property_id", F.round("total_floor_area", 2).alias("total_floor_area"), "coordinate_scope")
 
 
+# Rooms on whole metres, one per order, so that the twin can count the squares they cover.
+PLOTS = """SELECT o_custkey AS property_id, o_orderkey AS room_id, o_orderkey % 9 AS x, floor(o_totalprice)::BIGINT % 7 AS y, 1 + o_orderkey % 3 AS w, 1 + o_orderkey % 4 AS d FROM orders"""
+
+
+@query("property_footprints", f"""WITH c AS (SELECT DISTINCT property_id, i, j FROM (SELECT property_id, unnest(range(x, x + w)) AS i, y, d FROM ({PLOTS}) p) q, unnest(range(y, y + d)) t(j)),
+ v AS (SELECT property_id, i + a AS i, j + b AS j, count(*) AS n, sum((2 * a - 1) * (2 * b - 1)) AS s FROM c, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) t(a, b) GROUP BY 1, 2, 3),
+ corner AS (SELECT property_id, sum(CASE WHEN n IN (1, 3) THEN 1 WHEN n = 2 AND s <> 0 THEN 2 ELSE 0 END)::BIGINT AS corners,
+  (sum(CASE WHEN n = 1 THEN 1 WHEN n = 3 THEN -1 WHEN n = 2 AND s <> 0 THEN 2 ELSE 0 END) / 4)::BIGINT AS rings_less_holes FROM v GROUP BY 1),
+ side AS (SELECT property_id, count(*) AS shared FROM c JOIN c b USING (property_id) WHERE abs(c.i - b.i) + abs(c.j - b.j) = 1 GROUP BY 1),
+ size AS (SELECT property_id, count(*) AS cells FROM c GROUP BY 1)
+ SELECT property_id, cells::DOUBLE AS union_area, (4 * cells - coalesce(shared, 0))::DOUBLE AS perimeter, corners, rings_less_holes FROM size JOIN corner USING (property_id) LEFT JOIN side USING (property_id)""")
+def property_footprints(spark: SparkSession, sf: str) -> DataFrame:
+    """Covered area and outlines of every property's rooms."""
+    from roomfold.plans.tables import table
+    spot = lambda x, y: F.struct((F.col("x") + x).cast("double").alias("x"), (F.col("y") + y).cast("double").alias("y"))
+    plots = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("property_id"), F.col("o_orderkey").alias("room_id"), (F.col("o_orderkey") % 9).alias("x"),
+        (F.floor("o_totalprice") % 7).alias("y"), (1 + F.col("o_orderkey") % 3).alias("w"), (1 + F.col("o_orderkey") % 4).alias("d"))
+    placed = plots.select("property_id", "room_id", F.array(spot(0, 0), spot(F.col("w"), 0), spot(F.col("w"), F.col("d")), spot(0, F.col("d"))).alias("ring"))
+    rings = footprint.outlines(cut(footprint.slabs(placed, ["property_id"])), ["property_id"])
+    return rings.groupBy("property_id").agg(
+        F.round(F.sum("area"), 6).alias("union_area"), F.round(F.sum("perimeter"), 6).alias("perimeter"), F.sum(F.size("outline")).alias("corners"),
+        F.sum(F.signum("area")).cast("bigint").alias("rings_less_holes"))
+
+
 @query("property_layout")
 def property_layout(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship layout: every step from evidence to verdict for all properties."""

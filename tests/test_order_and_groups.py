@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from roomfold.config import FrameConfig, PhotoConfig, VideoConfig
 from roomfold.operators import clouds, folds, masks, quantiles
 from roomfold.operators.ordering import positions
+from tests import brute_grids
 
 
 def poses(xs):
@@ -97,12 +98,44 @@ def test_normals_of_a_plane(spark):
     assert np.allclose(out[["nx", "ny", "nz"]], np.array([-.5, 0, 1]) / np.sqrt(1.25), atol=1e-6)
 
 
-def test_labels_and_morphology():
-    mask = np.array([[1, 0, 0, 1], [0, 1, 0, 1], [0, 0, 0, 0], [1, 1, 0, 0]], bool)
-    assert masks.label(mask, diagonal=False).max() == 4 and masks.label(mask, diagonal=True).max() == 3
+def grids():
+    draw = np.random.default_rng(8)
+    spiral = np.zeros((9, 9), bool)
+    for k in range(0, 5, 2):
+        spiral[k, k:9 - k] = spiral[k:9 - k, 8 - k] = spiral[8 - k, k:9 - k] = spiral[k + 2:9 - k, k] = True
+        if k:
+            spiral[k, k - 1] = True
     solid = np.ones((6, 6), bool)
     solid[3, 3] = False
-    assert masks.erode(masks.dilate(solid, border=True), border=True).all()
     spur = np.zeros((6, 6), bool)
     spur[2, 2] = True
-    assert not masks.dilate(masks.erode(spur)).any()
+    out = {"spiral": spiral, "solid": solid, "spur": spur, "empty": np.zeros((3, 4), bool), "line": np.ones((1, 7), bool)}
+    return out | {f"noise{i}": draw.random((12 + i, 15)) < 0.2 + 0.1 * i for i in range(6)}
+
+
+def cell_rows(out, keys=("g",)):
+    found = {}
+    for r in out.collect():
+        found.setdefault(r.g, set()).add((r.row, r.col))
+    return found
+
+
+def set_cells(mask):
+    return set(zip(*(a.tolist() for a in np.nonzero(mask))))
+
+
+def test_labels_and_morphology(spark):
+    every = grids()
+    cells = spark.createDataFrame([(name, r, c) for name, m in every.items() for r, c in set_cells(m)], "g string, row int, col int")
+    sizes = spark.createDataFrame([(name, *m.shape) for name, m in every.items()], "g string, height int, width int")
+    for size in (2, 3):
+        for border in (False, True):
+            got = cell_rows(masks.dilate(cells, sizes, ["g"], size, border))
+            assert {n: got.get(n, set()) for n in every} == {n: set_cells(brute_grids.dilate(m, size, border)) for n, m in every.items()}
+        got = cell_rows(masks.erode(cells, sizes, ["g"], size))
+        assert {n: got.get(n, set()) for n in every} == {n: set_cells(brute_grids.erode(m, size)) for n, m in every.items()}
+    for diagonal in (False, True):
+        for source, unset in ((masks.runs(cells, ["g"]), False), (masks.gaps(masks.runs(cells, ["g"]), sizes, ["g"]), True)):
+            want = {(n, r, c, int(k)) for n, m in every.items() for lab in [brute_grids.label(~m if unset else m, diagonal)] for (r, c), k in np.ndenumerate(lab) if k}
+            got = {(x.g, x.row, c, x.component) for x in masks.regions(source, ["g"], diagonal).collect() for c in range(x.start, x.stop)}
+            assert got == want
