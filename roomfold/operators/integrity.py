@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from roomfold.functions.rigid import is_finite
 from roomfold.schemas import IDENTIFIER, SCHEMA_VERSION_RULE, UNIT_BY_KIND
+from roomfold.session import cut
 
 KEY = "capture_id"
 
@@ -191,6 +192,66 @@ def unknown_keys(raw: DataFrame, text: str, known: list[str], key: str = KEY) ->
                  b.select(F.col(key).alias(KEY), F.lit("schema_version").alias("rule_id"), version.alias("entity_id"))])
 
 
+def schema_paths(schema: T.StructType) -> list[tuple[str, str]]:
+    """(path, kind) of everything a closed schema declares; list entries are written [], keys of maps are free."""
+    out: list[tuple[str, str]] = []
+
+    def walk(path: str, kind: T.DataType) -> None:
+        if isinstance(kind, T.StructType):
+            out.append((path, "object"))
+            for f in kind.fields:
+                walk(f"{path}.{f.name}" if path else f.name, f.dataType)
+        elif isinstance(kind, T.ArrayType):
+            out.append((path, "array"))
+            walk(f"{path}[]", kind.elementType)
+        else:
+            out.append((path, "map" if isinstance(kind, T.MapType) else "scalar"))
+
+    walk("", schema)
+    return out
+
+
+def json_paths(raw: DataFrame, text: str, schema: T.StructType, key: str = KEY) -> DataFrame:
+    """Every path of JSON documents down to the first one the schema does not know: ``path`` with the places in lists, ``shape``
+    without, the ``kind`` found and the one ``declared`` (null: unknown).
+
+    Documents are parsed once into variants and opened level by level, all together; a level is written before the next one
+    opens its objects and lists, and there are no more levels than the schema is deep. Text that is no JSON has one row of kind null.
+    """
+    known = raw.sparkSession.createDataFrame(schema_paths(schema), "shape string, declared string")  # as large as the schema
+    start = raw.select(F.col(key).alias(KEY), F.lit("").alias("path"), F.lit("").alias("shape"), F.try_parse_json(text).alias("value"))
+    name = F.schema_of_variant("value")
+    kind = F.when(F.col("value").isNull(), F.lit(None)).when(name.startswith("OBJECT"), "object").when(name.startswith("ARRAY"), "array").when(name == "VOID", "null").otherwise("scalar")
+    level, found = start, []
+    while True:
+        placed = cut(level.join(F.broadcast(known), "shape", "left").withColumn("kind", kind))
+        found.append(placed.drop("value"))
+        inside = placed.filter((F.col("kind") == F.col("declared")) & F.col("kind").isin("object", "array")).drop("kind", "declared")
+        if inside.isEmpty():
+            break
+        opened = raw.sparkSession.sql(f"SELECT {KEY}, path, shape, t.pos AS pos, t.key AS name, t.value AS value FROM {{inside}}, LATERAL variant_explode(value) AS t", inside=inside)
+        dot = F.when(F.col("path") == "", F.col("name")).otherwise(F.concat("path", F.lit("."), "name"))
+        flat = F.when(F.col("shape") == "", F.col("name")).otherwise(F.concat("shape", F.lit("."), "name"))
+        level = opened.select(KEY, F.when(F.col("name").isNull(), F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(dot).alias("path"),
+                              F.when(F.col("name").isNull(), F.concat("shape", F.lit("[]"))).otherwise(flat).alias("shape"), "value")
+    return reduce(DataFrame.unionByName, found)
+
+
+def nested_unknown_keys(raw: DataFrame, text: str, schema: T.StructType, key: str = KEY) -> DataFrame:
+    """Violations of a closed schema at all depths: unknown keys, values of another kind than declared, text that is no JSON, other versions.
+
+    A null value is allowed everywhere but for the document itself; what lies below an unknown key is not looked at.
+    """
+    paths = cut(json_paths(raw, text, schema, key))
+    seen = F.when(F.col("path") == "", F.when(F.col("kind").isNull(), "malformed_document").when(F.col("kind") != "object", "wrong_kind")).when(
+        F.col("declared").isNull(), "unknown_key").when(
+        (F.col("kind") != "null") & (F.col("kind") != F.when(F.col("declared") == "map", "object").otherwise(F.col("declared"))), "wrong_kind")
+    faults = paths.select(KEY, seen.alias("rule_id"), F.when(F.col("path") == "", "$").otherwise(F.col("path")).alias("entity_id")).filter("rule_id IS NOT NULL")
+    version = F.get_json_object(text, "$.schema_version")
+    other = raw.filter(version.isNotNull() & (version != SCHEMA_VERSION_RULE) & F.try_parse_json(text).isNotNull())
+    return faults.unionByName(other.select(F.col(key).alias(KEY), F.lit("schema_version").alias("rule_id"), version.alias("entity_id")))
+
+
 def flatten_documents(documents: DataFrame) -> dict[str, DataFrame]:
     """Entity tables of nested result documents."""
     base = documents.withColumn(KEY, F.col("capture.capture_id"))

@@ -103,11 +103,11 @@ w AS (SELECT capture_id, seq, true AS selected, px, py, yaw, 1 AS kept FROM s WH
  UNION ALL
  SELECT s.capture_id, s.seq, sel, CASE WHEN sel THEN s.px ELSE w.px END, CASE WHEN sel THEN s.py ELSE w.py END,
   CASE WHEN sel THEN s.yaw ELSE w.yaw END, w.kept + sel::INT
- FROM w JOIN s ON s.capture_id = w.capture_id AND s.seq = w.seq + 1, LATERAL (SELECT w.kept < 12 AND
+ FROM w JOIN s ON s.capture_id = w.capture_id AND s.seq = w.seq + 1, LATERAL (SELECT w.kept < 80 AND
   (sqrt((s.px - w.px) * (s.px - w.px) + (s.py - w.py) * (s.py - w.py)) >= 0.15 OR degrees(abs(s.yaw - w.yaw)) >= 16) AS sel) c)
 SELECT capture_id, seq, selected FROM w""")
 def motion_keyframes(spark: SparkSession, sf: str) -> DataFrame:
-    cfg = FrameConfig(max_frames=12, min_translation=0.15, min_rotation=16.0)
+    cfg = FrameConfig(min_translation=0.15, min_rotation=16.0)
     return folds.motion_keyframes(posed(spark, sf), ["capture_id"], cfg)
 
 
@@ -122,13 +122,13 @@ w AS (SELECT capture_id, seq, NULL::DOUBLE AS visual_change, r AS rejection_reas
  FROM w JOIN s ON s.capture_id = w.capture_id AND s.seq = w.seq + 1,
   LATERAL (SELECT abs(s.k - w.last_k)::DOUBLE * 1.0 AS d) a,
   LATERAL (SELECT CASE WHEN s.k < 12 THEN 'dark' WHEN s.value < 30 THEN 'blur'
-   WHEN w.kept > 0 AND s.t - w.last_t < 0.5 THEN 'time' WHEN d < 8 THEN 'duplicate' WHEN w.kept >= 20 THEN 'budget' END AS r) c)
+   WHEN w.kept > 0 AND s.t - w.last_t < 0.5 THEN 'time' WHEN d < 8 THEN 'duplicate' WHEN w.kept >= 60 THEN 'budget' END AS r) c)
 SELECT capture_id, seq, round(visual_change, 6) AS visual_change, rejection_reason FROM w""")
 def visual_keyframes(spark: SparkSession, sf: str) -> DataFrame:
     base = sequenced(spark, sf).select(
         "capture_id", "seq", F.col("k").cast("double").alias("brightness"), F.col("value").alias("blur"),
         (F.col("seq") / 3.0).alias("ts"), F.array_repeat(F.col("k").cast("double"), 12).alias("thumb"))
-    out = folds.visual_keyframes(base, ["capture_id"], VideoConfig(max_keyframes=20, duplicate=8.0, min_gap=0.5))
+    out = folds.visual_keyframes(base, ["capture_id"], VideoConfig(duplicate=8.0, min_gap=0.5))
     return out.withColumn("visual_change", F.round("visual_change", 6))
 
 

@@ -8,6 +8,7 @@ from roomfold.config import ConfidenceConfig
 from roomfold.operators import documents as docs, integrity, measurements as ops
 from roomfold.plans.registry import query
 from roomfold.plans.tables import table
+from roomfold.schemas import result_schema
 
 TIER = "CASE o_orderstatus WHEN 'F' THEN 'lidar' WHEN 'O' THEN 'photo' ELSE 'video' END"
 WALL_ID = "concat('w:', l_orderkey, '.', l_linenumber, '.', l_partkey, '.', l_suppkey)"
@@ -235,3 +236,26 @@ def closed_schema(spark: SparkSession, sf: str) -> DataFrame:
     text = F.when(F.col("value") > 100, F.regexp_replace("props", "^\\{\"k\": ([0-9]+)", '{"schema_version": "0.$1", "k": $1')).otherwise(F.col("props"))
     raw = table(spark, sf, "events").select("event_id", text.alias("body"))
     return integrity.unknown_keys(raw, "body", ["schema_version", "capture", "property"], "event_id")
+
+
+# One document per order, its line items as walls. Planted: keys outside the schema at three depths, an object where a list belongs,
+# broken text and another version.
+_LINES = "SELECT l_orderkey, l_linenumber, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) - 1 AS place FROM lineitem"
+
+
+@query("nested_unknown_keys", f"""WITH d AS (SELECT * FROM orders WHERE o_orderkey % 50 <> 0), w AS (SELECT q.* FROM ({_LINES}) q JOIN d ON l_orderkey = o_orderkey)
+ SELECT o_orderkey AS capture_id, 'unknown_key' AS rule_id, 'capture.device' AS entity_id FROM d WHERE o_orderkey % 3 = 0
+ UNION ALL SELECT l_orderkey, 'unknown_key', concat('property.rooms[0].walls[', place, '].colour') FROM w WHERE l_returnflag = 'A'
+ UNION ALL SELECT l_orderkey, 'unknown_key', concat('property.rooms[0].walls[', place, '].length.precision') FROM w WHERE l_linenumber = 3
+ UNION ALL SELECT o_orderkey, 'wrong_kind', 'damages' FROM d WHERE o_orderstatus = 'F'
+ UNION ALL SELECT o_orderkey, 'schema_version', '0.9' FROM d WHERE o_orderpriority LIKE '1%'
+ UNION ALL SELECT o_orderkey, 'malformed_document', '$' FROM orders WHERE o_orderkey % 50 = 0""")
+def nested_unknown_keys(spark: SparkSession, sf: str) -> DataFrame:
+    lines = table(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", """concat('{"wall_id": "w', l_linenumber, '", "length": {"value": ', l_quantity,
+        CASE WHEN l_linenumber = 3 THEN ', "precision": {"digits": [2]}' ELSE '' END, '}', CASE WHEN l_returnflag = 'A' THEN ', "colour": null' ELSE '' END, '}') AS wall""")
+    walls = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_extendedprice", "wall"))).alias("w"))
+    text = F.expr("""concat('{"schema_version": "', CASE WHEN o_orderpriority LIKE '1%' THEN '0.9' ELSE '1.0.0' END, '", "capture": {"capture_id": "c', o_orderkey, '"',
+        CASE WHEN o_orderkey % 3 = 0 THEN ', "device": "x"' ELSE '' END, ', "metadata": {"any key": "[1]"}}, "damages": ', CASE WHEN o_orderstatus = 'F' THEN '{}' ELSE '[]' END,
+        ', "property": {"confidence": null, "rooms": [{"room_id": "r", "walls": [', coalesce(array_join(w.wall, ', '), ''), ']}]}', CASE WHEN o_orderkey % 50 = 0 THEN '' ELSE '}' END)""")
+    raw = table(spark, sf, "orders").join(walls, "o_orderkey", "left").select("o_orderkey", text.alias("body"))
+    return integrity.nested_unknown_keys(raw, "body", result_schema(), "o_orderkey")
