@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from roomfold.config import StitchConfig
 from roomfold.functions import rigid
 from roomfold.operators.ordering import best_per_group, top_per_group
+from roomfold.operators.rings import trace_rings
 from roomfold.session import cut, fresh
 
 KEY = "property_id"
@@ -110,20 +111,37 @@ def choose_root(rooms: DataFrame, edges: DataFrame) -> DataFrame:
                                           F.col("room_id")]).select(KEY, F.col("room_id").alias("root"))
 
 
-def spanning_edges(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """Maximum spanning forest: an edge joins two groups that no better edge joined before.
+def _forest(rows: pd.DataFrame) -> pd.DataFrame:
+    """Maximum spanning forest of one property of bounded size: better edges first, each joining two groups."""
+    parent: dict = {}
 
-    Each round takes the best edge of every group of rooms, by (score, smaller connection id), and merges
-    the groups it joins; groups at least halve in number, and no property is gathered in one row.
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    rows = rows.sort_values(["score", "connection_id"], ascending=[False, True])
+    keep = []
+    for u, v in zip(rows["room_a"].tolist(), rows["room_b"].tolist()):
+        a, b = find(u), find(v)
+        keep.append(a != b)
+        parent[a] = b
+    return rows.loc[keep, [KEY, "connection_id"]]
+
+
+def _forest_rounds(ends: DataFrame, max_rounds: int) -> list[DataFrame]:
+    """The same for properties of any size: every group of rooms takes its best edge, and groups so joined become one.
+
+    Groups at least halve in number, and no property is gathered in one row.
     """
-    ends = cut(edges.select(KEY, "connection_id", "room_a", "room_b", "score"))
     alive = ends.select(KEY, "connection_id", "score", F.col("room_a").alias("ga"), F.col("room_b").alias("gb"))
     chosen = []
     rank = [F.col("score").desc(), F.col("connection_id")]
     for _ in range(max_rounds):
         alive = cut(alive.filter("ga <> gb"))
         if alive.isEmpty():
-            break
+            return chosen
         sides = alive.withColumn("g", F.explode(F.array("ga", "gb")))
         best = cut(best_per_group(sides, [KEY, "g"], rank).select(KEY, "connection_id", "ga", "gb").distinct())
         chosen.append(best.select(KEY, "connection_id"))
@@ -132,16 +150,66 @@ def spanning_edges(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         label = lambda g: merged.select(KEY, F.col("room_id").alias(g), F.col("component").alias(f"_{g}"))
         alive = alive.join(label("ga"), [KEY, "ga"]).join(label("gb"), [KEY, "gb"]).select(
             KEY, "connection_id", "score", F.col("_ga").alias("ga"), F.col("_gb").alias("gb"))
-    else:
-        raise ValueError("spanning forest did not settle; raise max_rounds")
-    tree = ends.select(KEY, "connection_id").limit(0)
-    for part in chosen:
-        tree = tree.unionByName(part)
+    raise ValueError("spanning forest did not settle; raise max_rounds")
+
+
+def spanning_edges(edges: DataFrame, max_rounds: int = 40, small: int = 20_000) -> DataFrame:
+    """Maximum spanning forest: an edge joins two groups that no better edge joined before, by (score, smaller connection id).
+
+    Properties of at most ``small`` edges are joined up one by one, each in its group; larger ones go through rounds over rows. Both
+    give the same edges.
+    """
+    ends = cut(edges.select(KEY, "connection_id", "room_a", "room_b", "score"))
+    large = cut(ends.groupBy(KEY).agg(F.count("*").alias("_n")).filter(F.col("_n") > small).select(KEY))
+    types = dict(ends.dtypes)
+    tree = ends.join(large, KEY, "left_anti").groupBy(KEY).applyInPandas(_forest, f"{KEY} {types[KEY]}, connection_id {types['connection_id']}")
+    if not large.isEmpty():
+        for part in _forest_rounds(ends.join(large, KEY, "left_semi"), max_rounds):
+            tree = tree.unionByName(part)
     return edges.join(tree.distinct(), [KEY, "connection_id"], "left_semi")
 
 
-def layout(roots: DataFrame, tree: DataFrame, max_levels: int = 200) -> DataFrame:
-    """Room-to-property transform by composing tree edges outwards from the root, level by level."""
+def rooted(steps: DataFrame, roots: DataFrame) -> DataFrame:
+    """``room_id``, ``parent`` and the ``step`` from it, for all rooms that the tree joins to the root.
+
+    The tree is walked around as one ring of directed edges: behind an edge comes the next one, in a fixed turn, from the room it leads to. Seen
+    from the root, an edge leads outwards if its ring position comes before that of its opposite. Rings are put in order by pointer
+    jumping, so a tree of n rooms takes log2(n) rounds whatever its depth.
+    """
+    turn = Window.partitionBy(KEY, "at").orderBy("to")
+    ring = turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    out = cut(steps.select(KEY, "at", "to", F.coalesce(F.lead("to").over(turn), F.first("to").over(ring)).alias("after"), F.first("to").over(ring).alias("first")))
+    name = lambda a, b: F.struct(F.col(a).alias("at"), F.col(b).alias("to"))
+    links = out.select(KEY, name("at", "to").alias("edge"), F.col("to").alias("_at"), F.col("at").alias("_to")).join(
+        out.select(KEY, F.col("at").alias("_at"), F.col("to").alias("_to"), "after"), [KEY, "_at", "_to"]).select(KEY, "edge", name("_at", "after").alias("next"))
+    traced = cut(trace_rings(links, [KEY]).select(KEY, "ring", "size", "position", F.col("edge.at").alias("at"), F.col("edge.to").alias("to")))
+    begin = out.join(roots.select(KEY, F.col("root").alias("at")), [KEY, "at"]).filter("to = first").select(KEY, "at", "to").join(
+        traced, [KEY, "at", "to"]).select(KEY, "ring", F.col("position").alias("_p0"))
+    placed = traced.join(begin, [KEY, "ring"]).withColumn("rank", F.pmod(F.col("position") - F.col("_p0"), F.col("size"))).select(KEY, "at", "to", "rank")
+    back = placed.select(KEY, F.col("to").alias("at"), F.col("at").alias("to"), F.col("rank").alias("_back"))
+    outward = placed.join(back, [KEY, "at", "to"]).filter("rank < _back").select(KEY, "at", "to")
+    return steps.join(outward, [KEY, "at", "to"]).select(KEY, F.col("to").alias("room_id"), F.col("at").alias("parent"), "step")
+
+
+def _deep_layout(roots: DataFrame, steps: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """Poses of all rooms: each knows the transform from an ancestor, and takes over that of the ancestor's ancestor in every round."""
+    top = roots.select(KEY, F.col("root").alias("room_id"), F.col("root").alias("above"), rigid.identity(3).alias("pose"))
+    state = cut(rooted(steps, roots).select(KEY, "room_id", F.col("parent").alias("above"), F.col("step").alias("pose")).unionByName(top))
+    for _ in range(max_rounds):
+        if state.join(roots, KEY).filter("above <> root").isEmpty():
+            return state.select(KEY, "room_id", "pose")
+        higher = state.select(KEY, F.col("room_id").alias("above"), F.col("above").alias("_above"), F.col("pose").alias("_pose"))
+        state = cut(state.join(higher, [KEY, "above"]).select(
+            KEY, "room_id", F.col("_above").alias("above"), rigid.compose(F.col("_pose"), F.col("pose"), 3).alias("pose")))
+    raise ValueError("layout did not settle; raise max_rounds")
+
+
+def layout(roots: DataFrame, tree: DataFrame, levels: int = 12) -> DataFrame:
+    """Room-to-property transform by composing tree edges outwards from the root.
+
+    Shallow trees are placed level by level; properties that are deeper than ``levels`` are placed by pointer jumping, in
+    a number of rounds that grows with the logarithm of their rooms.
+    """
     forward = tree.select(KEY, F.col("room_a").alias("at"), F.col("room_b").alias("to"), F.col("relative_transform").alias("step"))
     backward = tree.select(KEY, F.col("room_b").alias("at"), F.col("room_a").alias("to"),
                            rigid.invert(F.col("relative_transform"), 3).alias("step"))
@@ -149,7 +217,7 @@ def layout(roots: DataFrame, tree: DataFrame, max_levels: int = 200) -> DataFram
     frontier = cut(roots.select(KEY, F.col("root").alias("room_id"), F.lit(None).cast(
         roots.schema["root"].dataType).alias("parent"), rigid.identity(3).alias("pose")))
     placed = [frontier]
-    for _ in range(max_levels):
+    for _ in range(levels):
         reached = frontier.join(steps, (steps[KEY] == frontier[KEY]) & (steps["at"] == frontier["room_id"])
                                 & (frontier["parent"].isNull() | (steps["to"] != frontier["parent"])))
         frontier = cut(reached.select(frontier[KEY], F.col("to").alias("room_id"), F.col("at").alias("parent"),
@@ -157,12 +225,15 @@ def layout(roots: DataFrame, tree: DataFrame, max_levels: int = 200) -> DataFram
         if frontier.isEmpty():
             break
         placed.append(frontier)
-    else:
-        raise ValueError("layout did not settle; raise max_levels")
     out = placed[0]
     for level in placed[1:]:
         out = out.unionByName(level)
-    return out.select(KEY, "room_id", "pose")
+    out = out.select(KEY, "room_id", "pose")
+    if frontier.isEmpty():
+        return out
+    deep = cut(frontier.select(KEY).distinct())
+    rest = _deep_layout(cut(roots.join(deep, KEY, "left_semi")), cut(steps.join(deep, KEY, "left_semi")))
+    return out.join(deep, KEY, "left_anti").unionByName(rest)
 
 
 def edge_residuals(edges: DataFrame, poses: DataFrame) -> DataFrame:
