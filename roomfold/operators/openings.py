@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from roomfold.config import OpeningConfig
 from roomfold.functions.camera import segment_distance, wall_local
 from roomfold.functions.scores import opening_geometry_score, opening_quality
 from roomfold.operators import masks
-from roomfold.operators.folds import blocked_fold, leader_groups
+from roomfold.operators.folds import leader_groups
 from roomfold.operators.ordering import best_per_group
 from roomfold.session import cut
 
@@ -184,12 +183,12 @@ def occupancy_holes(cells: DataFrame, cfg: OpeningConfig = OpeningConfig()) -> D
 
 
 def link_openings(openings: DataFrame, connections: DataFrame, edges: DataFrame, property_key: str = "property_id",
-                  cfg: OpeningConfig = OpeningConfig(), block_rows: int = 50_000) -> DataFrame:
+                  cfg: OpeningConfig = OpeningConfig()) -> DataFrame:
     """Connected room behind each opening: nearest boundary within tolerance, each connection used once.
 
     ``openings`` has room_id, mx, my (midpoint) and ordinal; ``edges`` are polygon edges per
-    room. Distances are found by joins; only the exclusive choice is folded, in opening order,
-    over the connections within tolerance. An opening without any keeps its row, unlinked.
+    room. Distances are found by joins. In opening order, each takes the nearest connection within tolerance that is
+    left; an opening without any keeps its row, unlinked.
     """
     p = property_key
     free = connections.filter("opening_id IS NULL")
@@ -200,30 +199,35 @@ def link_openings(openings: DataFrame, connections: DataFrame, edges: DataFrame,
     reach = pairs.join(other, [p, "other"]).withColumn("_d", segment_distance(
         F.col("mx"), F.col("my"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")))
     gaps = reach.groupBy(p, "opening_id", "ordinal", "connection_id", "connection_order", "other").agg(F.min("_d").alias("_d"))
-    # An opening takes its nearest free connection if that lies within tolerance; farther ones are never taken.
-    near = gaps.filter(F.col("_d") <= cfg.boundary_tolerance).groupBy(p, "opening_id", "ordinal").agg(F.array_sort(F.collect_list(F.struct(
-        F.col("_d").alias("d"), F.col("connection_order").cast("double").alias("o"), F.col("connection_id").cast("string").alias("c"),
-        F.col("other").cast("string").alias("r")))).alias("options"))
-    options = near.withColumn("seq", F.col("ordinal"))
-
-    def step(pdf: pd.DataFrame, state: dict | None) -> tuple[pd.DataFrame, dict]:
-        taken = set(state["taken"]) if state else set()
-        rows = []
-        for opening, choices in zip(pdf["opening_id"], pdf["options"]):
-            left = [o for o in choices if o["c"] not in taken]
-            if left:
-                taken.add(left[0]["c"])
-                rows.append((opening, left[0]["c"], left[0]["r"], left[0]["d"]))
-            else:
-                rows.append((opening, None, None, None))
-        out = pd.DataFrame(rows, columns=["opening_id", "connection_id", "linked_room", "distance"])
-        return out, {"taken": sorted(taken), "closed": False}
-
-    kind = dict(openings.dtypes)["opening_id"]
-    linked = blocked_fold(options, [p], "seq", step,
-                          f"opening_id {kind}, connection_id string, linked_room string, distance double",
-                          "taken array<string>, closed boolean", block_rows)
-    return openings.select(p, "opening_id").join(linked, [p, "opening_id"], "left")
+    near = gaps.filter(F.col("_d") <= cfg.boundary_tolerance).select(
+        p, "opening_id", "ordinal", F.col("connection_id").cast("string").alias("connection_id"), F.col("other").cast("string").alias("linked_room"),
+        F.col("_d").alias("distance"), F.col("connection_order").cast("double").alias("_o"))
+    linked = exclusive_choices(near, [p], "opening_id", "connection_id", ["ordinal", "opening_id"], ["distance", "_o", "connection_id"])
+    return openings.select(p, "opening_id").join(linked.drop("ordinal", "_o"), [p, "opening_id"], "left")
+
+
+def exclusive_choices(options: DataFrame, keys: list[str], chooser: str, chosen: str, turn: list[str], taste: list[str], max_rounds: int = 1000) -> DataFrame:
+    """The option rows that are taken if choosers, in the order ``turn``, each take the first option by ``taste`` whose ``chosen`` is left.
+
+    Settled side by side in rounds: a chooser takes its first option as soon as no earlier open chooser has that one among its
+    own options. What is taken leaves all other lists. At least the first open chooser of every group is settled in a round.
+    """
+    open_, taken = cut(options), []
+    for _ in range(max_rounds):
+        if open_.isEmpty():
+            break
+        rank = F.struct(*turn)
+        first = open_.groupBy(*keys, chosen).agg(F.min(rank).alias("_first"))
+        best = best_per_group(open_, [*keys, chooser], [F.col(c) for c in taste])
+        won = cut(best.join(first, [*keys, chosen]).filter(rank == F.col("_first")).drop("_first").select(*options.columns))
+        taken.append(won)
+        open_ = cut(open_.join(won.select(*keys, chooser), [*keys, chooser], "left_anti").join(won.select(*keys, chosen), [*keys, chosen], "left_anti"))
+    else:
+        raise ValueError("choices did not settle; raise max_rounds")
+    out = options.limit(0)
+    for part in taken:
+        out = out.unionByName(part)
+    return out
 
 
 def typed_connections(connections: DataFrame, links: DataFrame, openings: DataFrame, property_key: str = "property_id") -> DataFrame:

@@ -222,7 +222,7 @@ LINKS = P.source("orders", P.EDGES)
 RING = "(VALUES (0, 0, 4, 0), (4, 0, 4, 3), (4, 3, 0, 3), (0, 3, 0, 0)) r(ax, ay, bx, by_)"
 
 
-@query("opening_links", f"""WITH RECURSIVE e AS (SELECT *, (connection_id * 7 % 50) / 10.0::DOUBLE AS mx, (connection_id * 3 % 40) / 10.0::DOUBLE AS my FROM {LINKS} x),
+OPENING_LINKS = f"""WITH RECURSIVE e AS (SELECT *, (connection_id * 7 % 50) / 10.0::DOUBLE AS mx, (connection_id * 3 % 40) / 10.0::DOUBLE AS my FROM {LINKS} x),
  o AS (SELECT *, row_number() OVER (PARTITION BY property_id ORDER BY connection_id) AS n FROM e),
  g AS (SELECT o.property_id, o.connection_id AS opening_id, o.n, c.connection_id, CASE WHEN c.room_a = o.room_a THEN c.room_b ELSE c.room_a END AS other,
   greatest(0.0, least(abs(o.mx - 0), abs(o.mx - 4), abs(o.my - 0), abs(o.my - 3))) AS inner_d, o.mx, o.my FROM o JOIN {LINKS} c ON c.property_id = o.property_id AND (c.room_a = o.room_a OR c.room_b = o.room_a)),
@@ -232,7 +232,10 @@ RING = "(VALUES (0, 0, 4, 0), (4, 0, 4, 3), (4, 3, 0, 3), (0, 3, 0, 0)) r(ax, ay
  w AS (SELECT property_id, 0::BIGINT AS n, []::BIGINT[] AS taken, NULL::BIGINT AS opening_id, NULL::BIGINT AS connection_id, NULL::VARCHAR AS linked_room FROM (SELECT DISTINCT property_id FROM e) q
  UNION ALL SELECT l.property_id, l.n, CASE WHEN pick.d <= 0.25 THEN list_append(w.taken, pick.c) ELSE w.taken END, l.opening_id, CASE WHEN pick.d <= 0.25 THEN pick.c END, CASE WHEN pick.d <= 0.25 THEN pick.r END
  FROM w JOIN l ON l.property_id = w.property_id AND l.n = w.n + 1, LATERAL (SELECT list_filter(l.opts, lambda q: NOT list_contains(w.taken, q.c))[1] AS pick) p)
- SELECT * FROM (SELECT property_id, opening_id, nullif(concat('', connection_id), '') AS connection_id, linked_room FROM w WHERE n > 0) z""")
+ SELECT * FROM (SELECT property_id, opening_id, nullif(concat('', connection_id), '') AS connection_id, linked_room FROM w WHERE n > 0) z"""
+
+
+@query("opening_links", OPENING_LINKS)
 def opening_links(spark: SparkSession, sf: str) -> DataFrame:
     from roomfold.operators.ordering import positions
     rows = P.edges(spark, sf)
@@ -385,3 +388,24 @@ def concealed_flags(spark: SparkSession, sf: str) -> DataFrame:
 def best_of_group(spark: SparkSession, sf: str) -> DataFrame:
     out = best_per_group(table(spark, sf, "lineitem"), ["l_suppkey"], [F.col("l_extendedprice").desc(), F.col("l_orderkey"), F.col("l_linenumber")])
     return out.select("l_suppkey", "l_orderkey", "l_linenumber", F.round("l_extendedprice", 2).alias("l_extendedprice"))
+
+
+@query("typed_connections", f"""WITH l AS (SELECT * FROM ({OPENING_LINKS}) q WHERE connection_id IS NOT NULL),
+ t AS (SELECT l.property_id, l.connection_id, concat('', l.opening_id) AS opening_id, CASE l.opening_id % 3 WHEN 0 THEN 'door' WHEN 1 THEN 'open_passage' ELSE 'window' END AS type FROM l)
+ SELECT c.property_id, concat('', c.connection_id) AS connection_id, t.opening_id, CASE WHEN type IN ('door', 'open_passage') THEN type ELSE 'inferred' END AS connection_type
+ FROM {LINKS} c LEFT JOIN t ON t.property_id = c.property_id AND t.connection_id = concat('', c.connection_id)""")
+def typed_connections(spark: SparkSession, sf: str) -> DataFrame:
+    """Connections with the opening linked to them and, for doors and passages, its type."""
+    links = P.edges(spark, sf).select("property_id", "connection_id", F.lit(None).cast("string").alias("opening_id"), F.lit("inferred").alias("connection_type"))
+    kind = F.when(F.col("opening_id") % 3 == 0, "door").when(F.col("opening_id") % 3 == 1, "open_passage").otherwise("window")
+    doors = P.edges(spark, sf).select("property_id", F.col("connection_id").alias("opening_id")).withColumn("type", kind)
+    return openings.typed_connections(links, opening_links(spark, sf), doors).select("property_id", "connection_id", "opening_id", "connection_type")
+
+
+@query("opening_ids", f"""WITH f AS (SELECT wall_id % 4 AS property_id, wall_id, group_no, count(*) AS members, min({{'u': u_min, 'o': ordinal}}) AS first FROM {GROUPED} g GROUP BY 1, 2, 3)
+ SELECT property_id, wall_id, group_no, members, concat('detected:', wall_id, ':', CASE WHEN n < 10 THEN '0' ELSE '' END, n) AS opening_id
+ FROM (SELECT *, row_number() OVER (PARTITION BY property_id ORDER BY wall_id, first) AS n FROM f) t""")
+def opening_ids(spark: SparkSession, sf: str) -> DataFrame:
+    members = grouped(spark, sf).withColumn("property_id", F.col("wall_id") % 4)
+    fused = members.groupBy("property_id", "wall_id", "group_no").agg(F.count("*").alias("members"))
+    return openings.number_openings(fused, members, ["property_id"]).select("property_id", "wall_id", "group_no", "members", "opening_id")

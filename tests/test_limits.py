@@ -61,17 +61,34 @@ def test_clusters_ignore_block_size_and_islands(spark, block):
     assert [got[i] for i in range(60)] == want
 
 
-@pytest.mark.parametrize("block", [1, 2, 16, 50_000])
-def test_opening_links_ignore_block_size(spark, block):
+def test_opening_links_without_a_partner_keep_their_row(spark):
     doors = spark.createDataFrame([("p", f"o{i}", "lonely" if i < 2 else f"r{i}", i, 0.0, 0.0) for i in range(6)],
                                   "property_id string, opening_id string, room_id string, ordinal long, mx double, my double")
     links = spark.createDataFrame([("p", f"c{i}", i, f"r{i}", "hall", None) for i in range(2, 6)],
                                   "property_id string, connection_id string, connection_order long, room_a string, room_b string, opening_id string")
     edges = spark.createDataFrame([("p", "hall", 0.0, -1.0, 0.0, 1.0)], "property_id string, room_id string, x0 double, y0 double, x1 double, y1 double")
-    got = {r.opening_id: r.connection_id for r in openings.link_openings(doors, links, edges, cfg=OpeningConfig(), block_rows=block).collect()}
+    got = {r.opening_id: r.connection_id for r in openings.link_openings(doors, links, edges, cfg=OpeningConfig()).collect()}
     assert got == {"o0": None, "o1": None} | {f"o{i}": f"c{i}" for i in range(2, 6)}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_exclusive_choices_equal_taking_turns(spark, seed):
+    draw = random.Random(seed)
+    rows = [(g, i, c, draw.choice([0.1, 0.2, 0.3])) for g in range(4) for i in range(12) for c in draw.sample(range(10), draw.randrange(5))]
+    rows += [(9, i, c, 0.1 * c) for i in range(6) for c in range(6)]  # everyone wants the same
+    want = set()
+    for g in {r[0] for r in rows}:
+        gone = set()
+        for i in range(12):
+            left = sorted((d, c) for h, j, c, d in rows if h == g and j == i and c not in gone)
+            if left:
+                gone.add(left[0][1])
+                want.add((g, i, left[0][1]))
+    options = spark.createDataFrame(rows, "g int, who int, what int, d double")
+    got = openings.exclusive_choices(options, ["g"], "who", "what", ["who"], ["d", "what"]).collect()
+    assert {(r.g, r.who, r.what) for r in got} == want and len(got) == len(want)
+
+
 def test_one_document_however_many_walls(spark):
     walls = spark.range(150).select(F.lit("p").alias("property_id"), F.lit("r").alias("room_id"), F.format_string("w%03d", "id").alias("wall_id"),
                                     *[F.lit(1.0).alias(c) for c in ("x0", "y0", "x1", "y1", "length")])
