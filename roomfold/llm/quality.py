@@ -160,14 +160,15 @@ def features(rows: np.ndarray, shapes: list[np.ndarray], bits: int) -> tuple[np.
     return np.array(offsets), np.concatenate(buckets), np.concatenate(values)
 
 
-def _descend(offsets: np.ndarray, buckets: np.ndarray, values: np.ndarray, target: np.ndarray, settings: Settings) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by Adagrad over all rows."""
+def _descend(offsets: np.ndarray, buckets: np.ndarray, values: np.ndarray, target: np.ndarray, times: np.ndarray,
+             settings: Settings) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels by Adagrad over all rows, each counted ``times`` times."""
     weights, bias = np.zeros(1 << settings.bits), 0.0
     seen, seen_bias = np.full(len(weights), 1e-6), 1e-6
     row = np.repeat(np.arange(len(target)), np.diff(offsets))
     for _ in range(settings.descent_rounds):
         score = np.bincount(row, values * weights[buckets], len(target)) + bias
-        error = (1 / (1 + np.exp(-np.clip(score, -40, 40))) - target) / max(len(target), 1)
+        error = (1 / (1 + np.exp(-np.clip(score, -40, 40))) - target) * times / max(times.sum(), 1)
         slope = np.bincount(buckets, values * error[row], len(weights)) + 1e-6 * weights
         seen += slope**2
         seen_bias += error.sum()**2
@@ -180,8 +181,9 @@ def train(docs: DataFrame, text: str = "text", settings: Settings = Settings())
     """Fit the labellers' accuracies on the vote patterns of all texts, then the scorer on posterior labels.
 
     At most 3 ** labellers patterns are counted; about ``train_rows`` rows, chosen by a hash of the text,
-    give sparse features for the scorer. Null and blank texts take no part. On an empty table every text
-    gets the score of an undecided one.
+    give sparse features for the scorer. A text that repeats comes to the scorer once, with the number of its rows as
+    its weight, so the sample stays bounded whatever repeats. Null and blank texts take no part, long texts are measured
+    whole. On an empty table every text gets the score of an undecided one.
     """
     rows = docs.select(F.col(text).alias("text")).where("text is not null")
 
@@ -204,7 +206,8 @@ def train(docs: DataFrame, text: str = "text", settings: Settings = Settings())
     ill = np.einsum("c,cl->l", prior[1:], table[1:, :, BAD]) / prior[1:].sum()
     rates = {name: (float(ill[i]), float(table[0, i, BAD])) for i, name in enumerate(LABELLERS)}
     share = min(1.0, settings.train_rows / counts.sum())
-    sample = rows.where((F.xxhash64("text").bitwiseAND(F.lit((1 << 24) - 1))) < F.lit(int(share * (1 << 24)) + 1))
+    chosen = rows.where((F.xxhash64("text").bitwiseAND(F.lit((1 << 24) - 1))) < F.lit(int(share * (1 << 24)) + 1))
+    sample = chosen.groupBy("text").agg(F.count("*").alias("n"))
 
     def featurise(parts: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for part in parts:
@@ -212,14 +215,14 @@ def train(docs: DataFrame, text: str = "text", settings: Settings = Settings())
             offsets, buckets, values = features(found, shapes, settings.bits)
             marks = [posterior.get(tuple(v)) for v in votes(found).tolist()]
             keep = [i for i, m in enumerate(marks) if m is not None]
-            yield {"target": [marks[i] for i in keep], "bucket": [buckets[offsets[i]:offsets[i + 1]].tolist() for i in keep],
+            yield {"target": [marks[i] for i in keep], "times": [part["n"][i] for i in keep], "bucket": [buckets[offsets[i]:offsets[i + 1]].tolist() for i in keep],
                    "value": [values[offsets[i]:offsets[i + 1]].tolist() for i in keep]}
 
-    got = map_chunks(sample, "text", "target double, bucket array<int>, value array<double>", featurise).toArrow()
+    got = map_chunks(sample, "text", "target double, times long, bucket array<int>, value array<double>", featurise).toArrow()
     lists = got["bucket"].combine_chunks()
     offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
     flat = lambda name: np.array([v for x in got[name].to_pylist() for v in x])
-    weights, bias = _descend(offsets, flat("bucket").astype(np.int64), flat("value"), got["target"].to_numpy(), settings)
+    weights, bias = _descend(offsets, flat("bucket").astype(np.int64), flat("value"), got["target"].to_numpy(), got["times"].to_numpy().astype(float), settings)
     return Model(float(prior[0]), rates, weights, bias, settings)
 
 

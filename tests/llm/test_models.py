@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -96,6 +97,112 @@ def test_quality_agrees_with_labels(spark):
     assert got.get((1, False), 0) <= 0.02 * got[1, True] and got.get((0, True), 0) <= 0.15 * got[0, False]
 
 
+def plain_measures(text):
+    """The eight measures of one text, None where undefined."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    if not w:
+        return [None] * 8
+    letters, digits = [c for c in text if c.isalpha()], [c for c in text if c.isdigit()]
+    low = text.translate({i: i + 32 for i in range(65, 91)})
+    w = re.findall(r"[^\x20\x09-\x0D]+", low)
+    triples = [tuple(w[i:i + 3]) for i in range(len(w) - 2)]
+    lines = [x.rstrip() for x in text.split("\n")]
+    lines = [x for x in lines if x]
+    return [sum(text.count(c) for c in quality._SYMBOLS) / len(w), sum(c.isupper() for c in letters) / len(letters) if len(letters) >= 10 else None,
+            1 - len(set(triples)) / len(triples) if len(w) >= 20 else None, 1 - len(set(lines)) / len(lines) if len(lines) >= 4 else None,
+            text.count("|") / len(w), text.count("!") / len(w), sum(x[-1] not in ".!?\"')]…»”:" for x in lines) / len(lines),
+            len(digits) / (len(letters) + len(digits)) if len(letters) + len(digits) >= 30 else None]
+
+
+def plain_votes(text):
+    return tuple(quality.ABSTAIN if m is None else quality.BAD if m > most else quality.FINE
+                 for m, most in zip(plain_measures(text), quality.LABELLERS.values()))
+
+
+def plain_em(rows, rounds, most_wrong):
+    """P(good) of every row, one row, class and labeller at a time."""
+    n, classes = len(rows[0]), len(rows[0]) + 1
+    share = [[0.1 if quality.BAD in v else 1.0] + [0.9 * (x == quality.BAD) / max(v.count(quality.BAD), 1) for x in v] for v in rows]
+    for _ in range(rounds):
+        prior = [(sum(s[c] for s in share) + 0.01) / (len(rows) + 0.01 * classes) for c in range(classes)]
+        ill = [[0.0] * n for _ in range(classes)]
+        for c in range(classes):
+            for j in range(n):
+                seen = [sum(s[c] for s, v in zip(share, rows) if v[j] == vote) + 0.05 for vote in (0, 1)]
+                rate = seen[quality.BAD] / sum(seen)
+                ill[c][j] = min(rate, most_wrong) if c == 0 else rate
+        for i, v in enumerate(rows):
+            odds = [prior[c] * math.prod(1.0 if x == quality.ABSTAIN else ill[c][j] if x == quality.BAD else 1 - ill[c][j] for j, x in enumerate(v)) for c in range(classes)]
+            share[i] = [o / sum(odds) for o in odds]
+    return [s[0] for s in share]
+
+
+def plain_features(text, bits):
+    """{bucket: value} of one text; buckets that meet add up."""
+    def mixed(x):
+        x &= 2**64 - 1
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+        return (x ^ x >> 31) >> (64 - bits)
+
+    kinds = [int(quality._classes()[ord(c)]) for c in text]
+    run = [k + 1 for i, k in enumerate(kinds) if i == 0 or k != kinds[i - 1]]
+    grams = Counter()
+    for order in (2, 3):
+        for i in range(len(run) - order + 1):
+            code = run[i]
+            for k in run[i + 1:i + order]:
+                code = code * 131 + k
+            grams[mixed(code + (order << 32))] += 1
+    size = max(math.sqrt(sum(grams.values())), 1e-9)
+    out = Counter()
+    for b, n in grams.items():
+        out[b] += math.sqrt(n) / size
+    steps = [0.001, 0.01, 0.03, 0.06, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
+    for j, m in enumerate(plain_measures(text)):
+        out[mixed((j + 1 << 40) + (99 if m is None else sum(s < m for s in steps)))] += 0.5
+    return out
+
+
+def plain_scorer(rows, targets, bits, rounds):
+    weights, seen, bias, seen_bias = {}, {}, 0.0, 1e-6
+    every = set().union(*rows)
+    weights = dict.fromkeys(every, 0.0)
+    seen = dict.fromkeys(every, 1e-6)
+    probability = lambda r: 1 / (1 + math.exp(-(sum(weights[b] * v for b, v in r.items()) + bias)))
+    for _ in range(rounds):
+        errors = [(probability(r) - t) / len(rows) for r, t in zip(rows, targets)]
+        slope = {b: 1e-6 * weights[b] for b in every}
+        for r, e in zip(rows, errors):
+            for b, v in r.items():
+                slope[b] += v * e
+        for b in every:
+            seen[b] += slope[b]**2
+            weights[b] -= 0.5 * slope[b] / math.sqrt(seen[b])
+        seen_bias += sum(errors)**2
+        bias -= 0.5 * sum(errors) / math.sqrt(seen_bias)
+    return [probability(r) for r in rows]
+
+
+def test_quality_equals_a_plain_model(spark):
+    draw = random.Random(11)
+    good = [". ".join(" ".join("".join(draw.choice("abcdefg") for _ in range(draw.randrange(2, 8))) for _ in range(9)).capitalize() for _ in range(3)) + "." for _ in range(40)]
+    bad = [draw.choice(["BUY NOW!!! ", "| 12 | 34 | ", "<<##>> {} ", "menu\nmenu\nmenu\nmenu\n"]) * draw.randrange(3, 9) + draw.choice(good)[:30] for _ in range(40)]
+    texts = good + bad + [bad[0]] * 12 + [good[1]] * 7  # repeats weigh as often as they occur
+    settings = quality.Settings(train_rows=10**6, em_rounds=8, descent_rounds=15)
+    model = quality.train(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), settings=settings)
+    rows = [plain_votes(t) for t in texts]
+    assert [tuple(v) for v in quality.votes(quality.measures(texts)[0]).tolist()] == rows
+    posterior = plain_em(rows, 8, settings.most_wrong)
+    patterns = sorted(set(rows))
+    counts = np.array([rows.count(p) for p in patterns], float)
+    ours = dict(zip(patterns, quality.fit_labellers(np.array(patterns), counts, 8, settings.most_wrong)[2]))
+    assert [ours[r] for r in rows] == pytest.approx(posterior, abs=1e-9)
+    want = plain_scorer([plain_features(t, settings.bits) for t in texts], posterior, settings.bits, 15)
+    assert quality.scores(texts, model) == pytest.approx(want, abs=1e-6)
+    assert min(want[:40]) > max(want[40:80])
+
+
 def test_quality_of_odd_rows(spark):
     rows = [(1, None, "x"), (2, " \n", "x"), (3, "It is a fine day and the sun shines on us. " * 3, "x"), (3, "It is a fine day and the sun shines on us. " * 3, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, quality_keep string")
