@@ -97,6 +97,23 @@ def sparse_observations(spark: SparkSession, sf: str) -> DataFrame:
     return sparse.observations(images).select("capture_id", "image_id", F.round("ox", 2).alias("ox"), "point_id")
 
 
+# Image lists as text: each order is a header line and its observations, with comments, blank observations and blank noise between; a
+# capture's file comes in pieces.
+@query("sparse_images", """SELECT o_custkey % 40 AS capture_id, o_orderkey::INTEGER AS image_id, (o_orderkey % 5)::INTEGER AS camera_id,
+ concat(CASE WHEN o_orderkey % 23 = 0 THEN '../' ELSE '' END, 'im ', o_orderkey, '.jpg') AS filename, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE concat('5 6 ', o_custkey) END AS observations,
+ o_orderkey % 23 <> 0 AND o_orderkey % 17 <> 0 AS posed, CASE WHEN o_orderkey % 23 <> 0 AND o_orderkey % 17 <> 0 THEN -o_orderkey::DOUBLE END AS x FROM orders""")
+def sparse_images(spark: SparkSession, sf: str) -> DataFrame:
+    parts = table(spark, sf, "orders").selectExpr("o_custkey % 40 AS capture_id", "cast(floor(o_orderkey / 700) AS bigint) AS split", "o_orderkey", """array(
+        CASE WHEN o_orderkey % 7 = 0 THEN '# comment' END,
+        concat(o_orderkey, CASE WHEN o_orderkey % 17 = 0 THEN ' 2 0 0 0 ' ELSE ' 1 0 0 0 ' END, o_orderkey, ' 0 0 ', o_orderkey % 5, CASE WHEN o_orderkey % 23 = 0 THEN ' ../im ' ELSE ' im ' END, o_orderkey, '.jpg'),
+        CASE WHEN o_orderkey % 4 = 0 THEN ' ' ELSE concat('5 6 ', o_custkey, ' ') END, CASE WHEN o_orderkey % 3 = 0 THEN '' END) AS t""")
+    lines = parts.select("capture_id", "split", "o_orderkey", F.posexplode("t").alias("p", "line")).filter("line IS NOT NULL").select(
+        "capture_id", "split", (F.col("o_orderkey") * 4 + F.col("p")).alias("row"), "line")
+    found = sparse.images(lines)
+    return found.select("capture_id", "image_id", "camera_id", "filename", "observations", F.col("camera_to_world").isNotNull().alias("posed"),
+                        F.round(F.col("camera_to_world")[3], 6).alias("x"))
+
+
 @query("match_statistics", """SELECT l_suppkey AS capture_id, count(*) FILTER (WHERE l_quantity > 25) AS matched_pairs, coalesce(sum(l_quantity) FILTER (WHERE l_quantity > 25), 0)::BIGINT AS inlier_matches FROM lineitem GROUP BY 1""")
 def match_statistics(spark: SparkSession, sf: str) -> DataFrame:
     items = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("capture_id"), F.col("l_partkey").alias("image_id"), F.when(F.col("l_quantity") > 25, F.col("l_quantity")).otherwise(0).cast("long").alias("rows"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from roomfold.functions import rigid
+from roomfold.session import cut
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -39,7 +40,33 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
         F.get(f, F.lit(7)).cast("double").alias("reprojection_error"))
 
 
+def placed_lines(lines: DataFrame) -> DataFrame:
+    """Lines that are no comments, with ``blank``, their number ``k`` in the file, that of the last blank line so far (``run``) and ``following``.
+
+    ``lines`` has capture_id, split, row and line: pieces of a file in order and the order inside a piece. Lines are numbered inside their
+    piece and shifted by the counts of the pieces before, so no task holds a file; only one row per piece is ordered per file.
+    """
+    base = cut(lines.filter(~F.col("line").startswith("#")).select("capture_id", "split", "row", F.trim("line").alias("line")))
+    piece, file = Window.partitionBy("capture_id", "split").orderBy("row"), Window.partitionBy("capture_id").orderBy("split")
+    local = base.withColumn("blank", F.col("line") == "").withColumn("_k", F.row_number().over(piece)).withColumn(
+        "_run", F.max(F.when(F.col("blank"), F.col("_k"))).over(piece)).withColumn("_next", F.lead("line").over(piece))
+    totals = local.groupBy("capture_id", "split").agg(
+        F.count("*").alias("_n"), F.max(F.when(F.col("blank"), F.col("_k"))).alias("_last"), F.min(F.struct("_k", "line")).alias("_first"))
+    before = file.rowsBetween(Window.unboundedPreceding, -1)
+    shifts = totals.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn(
+        "_blank", F.max(F.col("_before") + F.col("_last")).over(before)).withColumn("_then", F.lead("_first.line").over(file))
+    joined = local.join(shifts.select("capture_id", "split", "_before", "_blank", "_then"), ["capture_id", "split"])
+    return joined.select("capture_id", "line", "blank", (F.col("_before") + F.col("_k")).alias("k"),
+                         F.coalesce(F.col("_before") + F.col("_run"), "_blank", F.lit(0)).alias("run"), F.coalesce("_next", "_then", F.lit("")).alias("following"))
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """Registered images of text files, one model per folder."""
+    lines = _lines(spark, path)
+    return images(lines.select("capture_id", F.col("n.split").alias("split"), F.col("n.row").alias("row"), "line"))
+
+
+def images(lines: DataFrame) -> DataFrame:
     """Registered images: a header line, then its observation line, which may be empty.
 
     Comments are dropped. A blank line either is the empty observation of the header before it or is
@@ -47,14 +74,8 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     are not blank, headers and observations alternate from the first one on. Poses are inverted to
     camera-to-world; a quaternion off unit length or an unsafe file name leaves the pose null.
     """
-    in_file = Window.partitionBy("capture_id").orderBy("n")
-    lines = _lines(spark, path).filter(~F.col("line").startswith("#")).withColumn("k", F.row_number().over(in_file))
-    blank = F.trim("line") == ""
-    placed = lines.withColumn("blank", blank).withColumn(
-        "run", F.coalesce(F.max(F.when(blank, F.col("k"))).over(in_file), F.lit(0))).withColumn(
-        "observations", F.coalesce(F.lead(F.trim("line")).over(in_file), F.lit("")))
-    paired = placed.filter(~F.col("blank") & ((F.col("k") - F.col("run")) % 2 == 1)).withColumn(
-        "f", F.split(F.trim("line"), "\\s+", 10))
+    paired = placed_lines(lines).filter(~F.col("blank") & ((F.col("k") - F.col("run")) % 2 == 1)).withColumn(
+        "f", F.split("line", "\\s+", 10))
     f = F.col("f")
     q = [F.get(f, F.lit(i)).cast("double") for i in (2, 3, 4, 1)]
     t = tuple(F.get(f, F.lit(i)).cast("double") for i in (5, 6, 7))
@@ -62,7 +83,7 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     safe = ~F.get(f, F.lit(9)).contains("/") & ~F.get(f, F.lit(9)).isin(".", "..")
     return paired.select(
         "capture_id", F.get(f, F.lit(0)).cast("int").alias("image_id"), F.get(f, F.lit(8)).cast("int").alias("camera_id"), F.get(f, F.lit(9)).alias("filename"),
-        F.when(unit & safe, rigid.invert(rigid.quaternion_pose(tuple(q), t))).alias("camera_to_world"), "observations")
+        F.when(unit & safe, rigid.invert(rigid.quaternion_pose(tuple(q), t))).alias("camera_to_world"), F.col("following").alias("observations"))
 
 
 def model_faults(images: DataFrame, cameras: DataFrame) -> DataFrame:

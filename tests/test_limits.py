@@ -142,3 +142,15 @@ def test_sparse_lines_pair_whatever_is_blank(spark, tmp_path):
     images, cameras = sparse.read_images(spark, str(folder / "images.txt")), sparse.read_cameras(spark, str(folder / "cameras.txt"))
     assert {r.code for r in sparse.model_faults(images, cameras).collect()} == {"SPARSE_OBSERVATIONS_MALFORMED", "SPARSE_CAMERA_UNSUPPORTED"}
     assert sparse.registered_frames(images, cameras).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_image_lines_pair_across_pieces_of_a_file(spark, size):
+    draw = random.Random(6)
+    text, want = [], {}
+    for i in range(60):
+        text += draw.choice([[], ["# note"], [""], ["", " "]]) if i and want[i - 1] != "" or not i else draw.choice([[], ["# note"], [""]])
+        want[i] = draw.choice(["", f"1 2 {i}"])
+        text += [f"{i} 1 0 0 0 0 0 0 1 a.jpg", want[i]]
+    lines = spark.createDataFrame([("c", n // size, n, line) for n, line in enumerate(text)], "capture_id string, split long, row long, line string")
+    assert {r.image_id: r.observations for r in sparse.images(lines).collect()} == want
