@@ -196,3 +196,19 @@ def camera_up(spark: SparkSession, sf: str) -> DataFrame:
                    zero, zero, one, zero, zero, zero, zero, one)
     out = up_prior(P.frames(spark, sf).withColumn("pose", pose), ["capture_id"], VideoConfig().up_coherence)
     return out.select("capture_id", F.round("coherence", 6).alias("coherence"), "resolved")
+
+
+@query("levelled_poses", f"""WITH u AS (SELECT capture_id, ux / n AS ux, uy / n AS uy FROM (SELECT *, sqrt(ux * ux + uy * uy) AS n FROM (SELECT capture_id, avg(-cos(k * 0.03::DOUBLE)) AS ux,
+ avg(-sin(k * 0.03::DOUBLE)) AS uy FROM {FRAMES} f GROUP BY 1) a) b WHERE n >= 0.7)
+ SELECT f.capture_id, frame_id, 1.4::DOUBLE AS x, round(uy * value / 1000 - ux * k / 200.0::DOUBLE, 6) AS y, round(ux * value / 1000 + uy * k / 200.0::DOUBLE, 6) AS height,
+ round(ux * cos(k * 0.03::DOUBLE) + uy * sin(k * 0.03::DOUBLE), 6) AS down FROM {FRAMES} f JOIN u ON u.capture_id = f.capture_id""")
+def levelled_poses(spark: SparkSession, sf: str) -> DataFrame:
+    """Camera poses turned so that the agreed up direction of their capture is +Z; captures without one have none."""
+    from roomfold.operators.planes import up_prior, up_rotation
+    angle = F.col("k") * 0.03
+    zero, one = F.lit(0.0), F.lit(1.0)
+    pose = F.array(F.sin(angle), F.cos(angle), zero, F.col("value") / 1000, -F.cos(angle), F.sin(angle), zero, F.col("k") / 200.0, zero, zero, one, F.lit(1.4), zero, zero, zero, one)
+    poses = P.frames(spark, sf).withColumn("pose", pose).select("capture_id", "frame_id", "pose")
+    turn = up_rotation(up_prior(poses, ["capture_id"], VideoConfig().up_coherence).filter("resolved"))
+    out = ops.level_poses(poses, turn, ["capture_id"])
+    return out.select("capture_id", "frame_id", *[F.round(F.col("pose")[i], 6).alias(n) for i, n in ((3, "x"), (7, "y"), (11, "height"), (9, "down"))])

@@ -191,6 +191,14 @@ def weak_room_scales(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Plane moments of the clutter, floor and ceiling layers of every supplier cloud.
+@query("vertical_agreement", """SELECT l_suppkey AS capture_id, l_linenumber AS pair, count(*) FILTER (WHERE abs(l_discount * 5) <= 0.36) AS metric_inliers,
+ count(*) FILTER (WHERE abs(l_discount * 5) <= 0.36) >= 12 AS supported FROM lineitem GROUP BY 1, 2""")
+def vertical_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    """Inliers of a pair that agree in height too, and whether enough are left."""
+    inliers = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("capture_id"), F.col("l_linenumber").alias("pair"), F.lit(0.0).alias("az"), (F.col("l_discount") * 5).alias("bz"))
+    return matching.vertical_agreement(inliers, ["capture_id", "pair"])
+
+
 @query("plane_fits", """SELECT l_suppkey AS capture_id, l_returnflag AS plane_no, count(*) AS n, round(avg(l_quantity / 10), 6) AS cx, round(avg(l_discount * 40), 6) AS cy,
  0::DOUBLE AS tilt, round(CASE l_returnflag WHEN 'A' THEN 0 WHEN 'R' THEN -2.8 ELSE -1.5 END, 6)::DOUBLE AS "offset" FROM lineitem GROUP BY 1, 2""")
 def plane_fits(spark: SparkSession, sf: str) -> DataFrame:
