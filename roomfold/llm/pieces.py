@@ -21,6 +21,8 @@ _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 _UNIGRAM, _BPE = 1, 2
 #: Remembered paths, piece pairs and beginnings of one Python worker; beyond that the memory starts afresh.
 _PATHS, _PAIRS, _ENDS = 200_000, 400_000, 500_000
+#: Characters of a part up to which its beginnings are remembered.
+_SHORT = 24
 
 
 class Transducer:
@@ -128,25 +130,40 @@ class Transducer:
                 return piece
         raise ValueError("no path")
 
-    def path(self, part: str) -> tuple[int, ...]:
-        """Ids on the shortest path through the lattice of one part.
+    def _end(self, begin: str) -> int:
+        """The symbol that ends the path through a beginning of a few characters.
 
-        What ends the path to a position depends on the text before it alone, so for a pair-merging model
-        it is remembered by that beginning, which many words share.
+        It depends on that text alone, so it is remembered, and many words share it. Only the positions that an arc
+        leads back to are looked at.
         """
+        piece = self.ends.get(begin)
+        if piece is not None:
+            return piece
+        pairs = self.pairs
+        for i, piece in reversed(self._into(begin, len(begin))):
+            left = self._end(begin[:i]) if i else -1
+            known = pairs.get(left << 21 | piece)
+            if known is None:
+                known = self._adjacent(left, piece) if i else self._first(piece)
+            if known:
+                if len(self.ends) >= _ENDS:
+                    self.ends.clear()
+                self.ends[begin] = piece
+                return piece
+        raise ValueError("no path")
+
+    def path(self, part: str) -> tuple[int, ...]:
+        """Ids on the shortest path through the lattice of one part."""
         n, last = len(part), [-1]
+        if self.kind == _BPE and n <= _SHORT:
+            out, at = [], n
+            while at > 0:
+                piece = self._end(part[:at])
+                at -= self._emit(piece, out)
+            return tuple(reversed(out))
         if self.kind == _BPE:
-            ends = self.ends
             for j in range(1, n + 1):
-                begin = part[:j] if j <= 24 else None
-                piece = ends.get(begin) if begin else None
-                if piece is None:
-                    piece = self._admitted(part, j, last)
-                    if begin:
-                        if len(ends) >= _ENDS:
-                            ends.clear()
-                        ends[begin] = piece
-                last.append(piece)
+                last.append(self._admitted(part, j, last))
         else:
             cost = [0.0]
             for j in range(1, n + 1):
@@ -156,16 +173,18 @@ class Transducer:
         out: list[int] = []
         at = n
         while at > 0:
-            piece = last[at]
-            if piece >= self.size:
-                char = chr(piece - self.size).encode("utf-8", "surrogatepass")
-                out += [self.bytes[b] for b in reversed(char)] if self.fallback else [self.unknown]
-                at -= 1
-            else:
-                out.append(piece)
-                at -= len(self.pieces[piece])
+            at -= self._emit(last[at], out)
         return tuple(reversed(out))
 
+    def _emit(self, piece: int, out: list[int]) -> int:
+        """Append the ids of a symbol, last one first; how many characters it stands for."""
+        if piece < self.size:
+            out.append(piece)
+            return len(self.pieces[piece])
+        char = chr(piece - self.size).encode("utf-8", "surrogatepass")
+        out += [self.bytes[b] for b in reversed(char)] if self.fallback else [self.unknown]
+        return 1
+
     def _first(self, piece: int) -> bool:
         """Whether merging a piece's own text gives the piece; kept beside the pairs."""
         text = self._symbol(piece)
