@@ -16,8 +16,6 @@ from roomfold.operators.quantiles import weighted_quantiles
 from roomfold.operators.rings import first_fit_spots, numbered, trace_rings
 from roomfold.session import cut, fresh
 
-SUMS = ["n", "sx", "sy", "sz", "sxx", "syy", "szz", "sxy", "sxz", "syz"]
-
 
 def up_prior(poses: DataFrame, keys: list[str], minimum: float, pose: str = "pose") -> DataFrame:
     """Mean camera-up direction per capture and whether cameras agree on it."""

@@ -4,7 +4,6 @@ import math
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from roomfold.config import GeometryConfig
 from roomfold.operators import planes
