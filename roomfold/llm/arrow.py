@@ -30,7 +30,7 @@ def _enter(module: str) -> None:
             forget()
 
 
-def _leave() -> None:
+def leave() -> None:
     """Hand freed memory back, which Arrow and the C library would keep for a next task."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -66,7 +66,7 @@ def map_chunks(df: DataFrame, text: str, schema: str,
         for out in kernel(chunks(batches, text)):
             yield pa.RecordBatch.from_arrays([
                 c if isinstance(c := out[f.name], pa.Array) else pa.array(c, type=f.type) for f in arrow], schema=arrow)
-        _leave()
+        leave()
 
     return df.mapInArrow(run, schema)
 
