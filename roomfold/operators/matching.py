@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from roomfold.config import FrameConfig, StitchConfig
 from roomfold.functions import rigid
 from roomfold.functions.scores import connection_score, visual_score
+from roomfold.operators.clouds import block_cells
 from roomfold.operators.ordering import top_per_group
 from roomfold.session import fresh
 
@@ -247,22 +248,22 @@ def score_pairs(pairs: DataFrame, cfg: StitchConfig = StitchConfig()) -> DataFra
 def loop_candidates(frames: DataFrame, keys: list[str], cfg: FrameConfig = FrameConfig(), seq: str = "seq", pose: str = "pose") -> DataFrame:
     """Earlier frames close in space and direction, at least the separation back, nearest few per frame.
 
-    Camera centres meet over grid cells of the search radius; keyframes are at least the
-    keyframe distance or turn apart, so a cell holds a bounded number of them.
+    Camera centres meet in cells of four search radii. A frame asks in its own cell and is found in the few that its
+    radius touches; the pairs of a cell are ranked where they meet.
     """
-    r = cfg.loop_radius
+    r, cells = cfg.loop_radius, ["_x", "_y", "_z"]
     base = frames.select(*keys, seq, pose, *[F.col(pose)[i].alias(f"p{c}") for c, i in zip("xyz", (3, 7, 11))])
-    later = base
-    for c in "xyz":
-        later = later.withColumn("_o", F.explode(F.sequence(F.lit(-1), F.lit(1)))) \
-            .withColumn(f"_{c}", F.floor(F.col(f"p{c}") / r) + F.col("_o")).drop("_o")
-    earlier = base.select(*keys, F.col(seq).alias("source"), F.col(pose).alias("_pose"), *[F.col(f"p{c}").alias(f"q{c}") for c in "xyz"],
-                          *[F.floor(F.col(f"p{c}") / r).alias(f"_{c}") for c in "xyz"])
+    home, touched = block_cells([F.col(f"p{c}") for c in "xyz"], r, cells, 4)
+    later = base.select("*", *home)
+    earlier = base.select(*keys, F.col(seq).alias("source"), F.col(pose).alias("_pose"), *[F.col(f"p{c}").alias(f"q{c}") for c in "xyz"], *touched)
+    for c in cells:
+        earlier = earlier.withColumn(c, F.explode(c))
     d2 = sum(((F.col(f"p{c}") - F.col(f"q{c}")) * (F.col(f"p{c}") - F.col(f"q{c}")) for c in "yz"), (F.col("px") - F.col("qx")) * (F.col("px") - F.col("qx")))
-    pairs = later.join(earlier, [*keys, "_x", "_y", "_z"]).filter(F.col(seq) - F.col("source") >= cfg.loop_min_separation)
+    # Merged, not broadcast: the optimizer does not count the copies that explode makes.
+    pairs = later.join(earlier.hint("merge"), [*keys, *cells]).filter(F.col(seq) - F.col("source") >= cfg.loop_min_separation)
     near = pairs.withColumn("distance", F.sqrt(d2)).filter((F.col("distance") <= r) & (
         rigid.relative_rotation_degrees(F.col("_pose"), F.col(pose)) <= cfg.loop_max_rotation))
-    top = top_per_group(near, [*keys, seq], [F.col("distance"), F.col("source")], cfg.max_loops_per_frame)
+    top = top_per_group(near.drop("_pose", pose), [*keys, *cells, seq], [F.col("distance"), F.col("source")], cfg.max_loops_per_frame)
     return top.select(*keys, "source", F.col(seq).alias("target"), "distance")
 
 

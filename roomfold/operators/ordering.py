@@ -21,7 +21,8 @@ def positions(df: DataFrame, keys: list[str], order: list[str], bucket: Column,
         offsets = offsets.withColumn(total, F.sum("_n").over(Window.partitionBy(*keys)))
     local = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     ranked = slots.withColumn("_local", F.row_number().over(local) - 1)
-    return (ranked.join(offsets.drop("_n"), [*keys, "_bucket"])
+    # Merged: bucket counts grow with the rows and would go through the driver.
+    return (ranked.join(offsets.drop("_n").hint("merge"), [*keys, "_bucket"])
             .withColumn(name, (F.col("_before") + F.col("_local")).cast("long"))
             .drop("_bucket", "_local", "_before"))
 

@@ -1,10 +1,13 @@
 """Neighbour searches against all pairs, and what they may not send to the driver."""
 
+import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from roomfold.operators import clouds
+from roomfold.config import FrameConfig
+from roomfold.operators import clouds, matching, ordering
 
 
 def cloud(spark, seed, n=120):
@@ -30,3 +33,18 @@ def test_neighbour_search_broadcasts_no_copies(spark):
     points = cloud(spark, 7)[1]
     plan = clouds.nearest_in_radius(points, ["g"], "point_id", 0.6, 5)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
+
+
+def test_loops_equal_all_pairs_and_nothing_is_broadcast(spark):
+    draw = random.Random(3)
+    at = {(g, n): (0.05 * draw.randint(-9, 9), 0.05 * draw.randint(-9, 9), 1.4) for g in ("a", "b") for n in range(80)}
+    rows = [(g, n, [1.0, 0.0, 0.0, x, 0.0, 1.0, 0.0, y, 0.0, 0.0, 1.0, z, 0.0, 0.0, 0.0, 1.0]) for (g, n), (x, y, z) in at.items()]
+    frames = ordering.positions(spark.createDataFrame(rows, "g string, n long, pose array<double>"), ["g"], ["n"], F.floor(F.col("n") / 7))
+    cfg = FrameConfig(loop_radius=0.12)
+    out = matching.loop_candidates(frames, ["g"], cfg)
+    want = set()
+    for (g, n), p in at.items():
+        near = sorted((math.dist(p, at[g, m]), m) for m in range(n - cfg.loop_min_separation + 1) if math.dist(p, at[g, m]) <= 0.12)
+        want |= {(g, m, n) for _, m in near[:cfg.max_loops_per_frame]}
+    assert {(r.g, r.source, r.target) for r in out.collect()} == want and want
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
