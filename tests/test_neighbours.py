@@ -35,6 +35,14 @@ def test_neighbour_search_broadcasts_no_copies(spark):
     assert "Broadcast" not in plan
 
 
+def test_outliers_go_and_nothing_is_broadcast(spark):
+    rows = [("a", i, (i % 5) * 0.25, (i // 5 % 5) * 0.25, (i // 25) * 0.25) for i in range(100)] + [("a", 100, 9.0, 9.0, 9.0)]
+    points = spark.createDataFrame(rows, "g string, point_id long, x double, y double, z double")
+    kept = clouds.drop_outliers(points, ["g"], "point_id", 8, 1.5, 0.3)
+    assert sorted(r.point_id for r in kept.collect()) == list(range(100))
+    assert "Broadcast" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
 def test_loops_equal_all_pairs_and_nothing_is_broadcast(spark):
     draw = random.Random(3)
     at = {(g, n): (0.05 * draw.randint(-9, 9), 0.05 * draw.randint(-9, 9), 1.4) for g in ("a", "b") for n in range(80)}
