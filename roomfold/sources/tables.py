@@ -28,10 +28,10 @@ def read_result_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_results(documents: DataFrame, path: str, check: bool = True) -> None:
-    """One key-sorted JSON line per document, nulls kept; invalid documents stop the write."""
+    """One key-sorted JSON line per document, nulls kept, in gzipped files; invalid documents stop the write."""
     if check and not validate_documents(documents).isEmpty():
         raise ValueError("result documents violate integrity rules; see validate_documents")
-    to_sorted_json(documents).select(F.col("json").alias("value")).write.mode("overwrite").text(path)
+    to_sorted_json(documents).select(F.col("json").alias("value")).write.mode("overwrite").option("compression", "gzip").text(path)
 
 
 def write_measurements(rows: DataFrame, path: str) -> None:
