@@ -35,9 +35,9 @@ def write_results(documents: DataFrame, path: str, check: bool = True) -> None:
 
 
 def write_measurements(rows: DataFrame, path: str) -> None:
-    """CSV with eleven fixed columns and empty fields for unknown values."""
+    """Gzipped CSV with eleven fixed columns and empty fields for unknown values."""
     body = rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in MEASUREMENT_COLUMNS])
-    body.write.mode("overwrite").option("header", "true").option("emptyValue", "").option("nullValue", "").csv(path)
+    body.write.mode("overwrite").option("header", "true").option("emptyValue", "").option("nullValue", "").option("compression", "gzip").csv(path)
 
 
 def read_measurements(spark: SparkSession, path: str) -> DataFrame:

@@ -18,3 +18,13 @@ def test_result_files_are_small_and_whole(spark, tmp_path):
     again = tables.read_result_lines(spark, str(tmp_path / "out"))
     assert {r[0] for r in again.select("capture.capture_id").collect()} == {f"c{i}" for i in range(500)}
     assert size * 5 < tables.to_sorted_json(docs).agg(F.sum(F.octet_length("json"))).first()[0]
+
+
+def test_measurement_files_are_small_and_whole(spark, tmp_path):
+    rows = spark.range(2000).select(*[F.concat(F.lit(f"{c}:"), "id").alias(c) if c == "measurement_id" else F.lit(None).cast("string").alias(c)
+                                      for c in schemas.MEASUREMENT_COLUMNS]).coalesce(1)
+    tables.write_measurements(rows, str(tmp_path / "out"))
+    size = sum(p.stat().st_size for p in (tmp_path / "out").glob("part-*"))
+    again = tables.read_measurements(spark, str(tmp_path / "out"))
+    assert again.columns == list(schemas.MEASUREMENT_COLUMNS) and again.select("measurement_id").distinct().count() == 2000
+    assert size * 3 < 2000 * len("measurement_id:1000,,,,,,,,,,")
