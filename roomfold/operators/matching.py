@@ -408,6 +408,84 @@ def planar_refinement(refined: DataFrame, cfg: StitchConfig = StitchConfig()) ->
     return refined.withColumn("relative_transform", F.when(good, rigid.se2(m[3], m[7], F.atan2(m[4], m[0]))).otherwise(F.col("planar_initial")))
 
 
+def _log_rotations(r: np.ndarray) -> np.ndarray:
+    """Rotation vectors of a stack of rotations."""
+    angle = np.arccos(np.clip((np.trace(r, axis1=-2, axis2=-1) - 1) / 2, -1, 1))
+    skew = np.stack([r[..., 2, 1] - r[..., 1, 2], r[..., 0, 2] - r[..., 2, 0], r[..., 1, 0] - r[..., 0, 1]], -1)
+    small = angle < 1e-8
+    return skew * np.where(small, 0.5, angle / np.where(small, 1.0, 2 * np.sin(angle)))[..., None]
+
+
+def _anchored(count: int, i: np.ndarray, j: np.ndarray) -> bool:
+    """Whether the given edges join every node to the first one."""
+    label = np.arange(count)
+    while True:
+        low = np.minimum(label[i], label[j])
+        after = label.copy()
+        np.minimum.at(after, i, low)
+        np.minimum.at(after, j, low)
+        after = after[after]
+        if (after == label).all():
+            return not label.any()
+        label = after
+
+
+def _settle(poses: np.ndarray, i: np.ndarray, j: np.ndarray, transform: np.ndarray, information: np.ndarray, uncertain: np.ndarray, iterations: int) -> np.ndarray:
+    """Damped Gauss-Newton over all edges of a capture at once, the first pose fixed.
+
+    Normal equations are solved directly where edges of full rank and weight tie every pose to the first; otherwise
+    some direction is free and the shortest step is taken.
+    """
+    count, size = len(poses), 6 * len(poses)
+    back = np.linalg.inv(transform)
+    nudges = np.array([_twist(v) for v in 1e-6 * np.eye(6)])
+    unnudge = np.linalg.inv(nudges)
+    values = np.linalg.eigvalsh((information + information.transpose(0, 2, 1)) / 2)
+    sound = ~uncertain & (values[:, 0] > 1e-9 * values[:, -1])
+    direct = _anchored(count, i[sound], j[sound])
+    scale = np.trace(information, axis1=1, axis2=2) / 6
+
+    def vector(d):
+        return np.concatenate([_log_rotations(d[..., :3, :3]), d[..., :3, 3]], -1)
+
+    def gaps(p):
+        between = np.linalg.inv(p[j]) @ p[i]
+        return between, vector(back @ between)
+
+    def costs(e):
+        return np.einsum("ea,eab,eb->e", e, information, e)
+
+    weights, damping = np.ones(len(i)), 1e-6
+    for _ in range(iterations):
+        between, e = gaps(poses)
+        cost = costs(e)
+        # loops that keep disagreeing lose their weight
+        weights[uncertain] = (scale[uncertain] / (scale[uncertain] + cost[uncertain])) ** 2
+        ends = [(i, (vector((back @ between)[:, None] @ nudges) - e[:, None]).transpose(0, 2, 1) / 1e-6),
+                (j, (vector(back[:, None] @ unnudge @ between[:, None]) - e[:, None]).transpose(0, 2, 1) / 1e-6)]
+        h, g = np.zeros((count, count, 6, 6)), np.zeros((count, 6))
+        for a, ja in ends:
+            pull = weights[:, None, None] * ja.transpose(0, 2, 1) @ information
+            np.add.at(g, a, np.einsum("eab,eb->ea", pull, e))
+            for b, jb in ends:
+                np.add.at(h, (a, b), pull @ jb)
+        matrix = h.transpose(0, 2, 1, 3).reshape(size, size)[6:, 6:] + damping * np.eye(size - 6)
+        right = -g.reshape(-1)[6:]
+        step = np.zeros(0) if count < 2 else np.linalg.solve(matrix, right) if direct else np.linalg.lstsq(matrix, right, rcond=None)[0]
+        trial = poses.copy()
+        for k in range(1, count):
+            trial[k] = poses[k] @ _twist(step[6 * k - 6:6 * k])
+        if (weights * costs(gaps(trial)[1])).sum() <= (weights * cost).sum():
+            poses, damping = trial, max(damping / 10, 1e-12)
+            if np.abs(step).max(initial=0) < 1e-8:
+                break
+        else:
+            damping *= 100
+            if damping > 1e8:
+                break
+    return poses
+
+
 def correct_drift(frames: DataFrame, edges: DataFrame, keys: list[str], iterations: int = 50) -> DataFrame:
     """Pose graph with the first frame fixed: neighbour and accepted loop edges, weak priors for rejected neighbours.
 
@@ -419,66 +497,18 @@ def correct_drift(frames: DataFrame, edges: DataFrame, keys: list[str], iteratio
     schema = ", ".join(f"{k} {types[k]}" for k in names) + ", seq long, pose array<double>"
     columns = [*names, "seq", "pose"]
 
-    def log_rotation(r):
-        angle = np.arccos(np.clip((np.trace(r) - 1) / 2, -1, 1))
-        skew = np.array([r[2, 1] - r[1, 2], r[0, 2] - r[2, 0], r[1, 0] - r[0, 1]])
-        return skew / 2 if angle < 1e-8 else skew * angle / (2 * np.sin(angle))
-
     def solve(nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         if nodes.empty:
             return pd.DataFrame(columns=columns)
         nodes = nodes.sort_values("seq")
-        poses = np.array([np.array(m).reshape(4, 4) for m in nodes["pose"]])
-        where = {s: i for i, s in enumerate(nodes["seq"])}
-        usable = [r for r in links.itertuples() if r.source in where and r.target in where]
-        edges_ = [(where[r.source], where[r.target], np.array(r.transform).reshape(4, 4), np.array(r.information).reshape(6, 6), bool(r.uncertain)) for r in usable]
-
-        def error(p, i, j, t):
-            d = np.linalg.inv(t) @ np.linalg.inv(p[j]) @ p[i]
-            return np.concatenate([log_rotation(d[:3, :3]), d[:3, 3]])
-
-        def total(p, weights):
-            return sum(w * error(p, i, j, t) @ info @ error(p, i, j, t) for (i, j, t, info, _), w in zip(edges_, weights))
-
-        weights = np.ones(len(edges_))
-        damping = 1e-6
-        for _ in range(iterations if edges_ else 0):
-            size = 6 * len(poses)
-            h, g = np.zeros((size, size)), np.zeros(size)
-            for n, (i, j, t, info, uncertain) in enumerate(edges_):
-                e = error(poses, i, j, t)
-                if uncertain:  # loops that keep disagreeing lose their weight
-                    scale = np.trace(info) / 6
-                    weights[n] = (scale / (scale + e @ info @ e)) ** 2
-                jac = {}
-                for node in (i, j):
-                    block = np.zeros((6, 6))
-                    for k in range(6):
-                        step = np.zeros(6)
-                        step[k] = 1e-6
-                        moved = poses.copy()
-                        moved[node] = poses[node] @ _twist(step)
-                        block[:, k] = (error(moved, i, j, t) - e) / 1e-6
-                    jac[node] = block
-                for a, ja in jac.items():
-                    g[6 * a:6 * a + 6] += weights[n] * ja.T @ info @ e
-                    for b, jb in jac.items():
-                        h[6 * a:6 * a + 6, 6 * b:6 * b + 6] += weights[n] * ja.T @ info @ jb
-            free = slice(6, size)
-            base = total(poses, weights)
-            step = np.linalg.lstsq(h[free, free] + damping * np.eye(size - 6), -g[free], rcond=None)[0] if size > 6 else np.zeros(0)
-            trial = poses.copy()
-            for k in range(1, len(poses)):
-                trial[k] = poses[k] @ _twist(step[6 * k - 6:6 * k])
-            if total(trial, weights) <= base:
-                poses, damping = trial, max(damping / 10, 1e-12)
-                if np.abs(step).max(initial=0) < 1e-8:
-                    break
-            else:
-                damping *= 100
-                if damping > 1e8:
-                    break
-        out = pd.DataFrame({"seq": nodes["seq"].to_numpy(), "pose": [list(p.ravel()) for p in poses]})
+        poses = np.array(nodes["pose"].tolist(), float).reshape(-1, 4, 4)
+        seqs = nodes["seq"].to_numpy()
+        used = links[links["source"].isin(seqs) & links["target"].isin(seqs)]
+        if len(used):
+            poses = _settle(poses, np.searchsorted(seqs, used["source"].to_numpy()), np.searchsorted(seqs, used["target"].to_numpy()),
+                            np.array(used["transform"].tolist(), float).reshape(-1, 4, 4), np.array(used["information"].tolist(), float).reshape(-1, 6, 6),
+                            used["uncertain"].to_numpy(bool), iterations)
+        out = pd.DataFrame({"seq": seqs, "pose": list(poses.reshape(-1, 16))})
         for k in names:
             out[k] = nodes[k].iloc[0]
         return out[columns]
