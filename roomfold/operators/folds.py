@@ -9,11 +9,16 @@ state can no longer change (``closed``) its remaining blocks run side by side.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Callable, Iterator
+from operator import add
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from roomfold.config import FrameConfig, PhotoConfig, VideoConfig
 from roomfold.operators.ordering import positions, top_per_group
@@ -58,6 +63,13 @@ def blocked_fold(df: DataFrame, keys: list[str], seq: str, step: Step, out_schem
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
         return run(pdf, None)
 
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A group that has a single block: nothing is left for a later turn."""
+        rows, _ = step(pdf.sort_values(seq, kind="stable"), None)
+        for k in key_order:
+            rows[k] = pdf[k].iloc[0]
+        return rows[[*key_order, *out_cols]]
+
     def later(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty:
             return pd.DataFrame(columns=columns)
@@ -65,8 +77,7 @@ def blocked_fold(df: DataFrame, keys: list[str], seq: str, step: Step, out_schem
 
     blocks = df.withColumn("_block", F.floor(F.col(seq) / block_rows))
     if not blocks.agg(F.max("_block")).first()[0]:
-        done = df.groupBy(*keys).applyInPandas(first, schema)
-        return done.filter(~F.col("_is_state")).select(*key_order, *out_cols)
+        return df.groupBy(*keys).applyInPandas(whole, f"{key_schema}, {out_schema}")
 
     # A group's n-th block that has rows is its n-th turn, wherever it starts and whatever gaps it has.
     turns = blocks.select(*keys, "_block").distinct().withColumn(
@@ -215,6 +226,10 @@ def select_photos(df: DataFrame, keys: list[str], cfg: PhotoConfig = PhotoConfig
             .select(*keys, seq, "selected", "rejection_reason"))
 
 
+#: Cells a trace wider than the radius, so that rounding leaves no two cells between spots within it.
+MARGIN = 1 + 1e-9
+
+
 def islands(spots: DataFrame, keys: list[str], coords: list[str], radius: float) -> DataFrame:
     """Adds ``_island``: spots of different islands lie further apart than ``radius``.
 
@@ -224,7 +239,7 @@ def islands(spots: DataFrame, keys: list[str], coords: list[str], radius: float)
     out = spots.withColumn("_island", F.lit(0).cast("long"))
     for c in coords:
         owner = [*keys, "_island"]
-        cell = F.floor(F.col(c) / radius)
+        cell = F.floor(F.col(c) / (radius * MARGIN))
         order = Window.partitionBy(*owner).orderBy("_cell")
         cells = out.select(*owner, cell.alias("_cell")).distinct()
         starts = cells.withColumn("_new", (F.col("_cell") - F.lag("_cell").over(order) > 1).cast("int"))
@@ -236,52 +251,58 @@ def islands(spots: DataFrame, keys: list[str], coords: list[str], radius: float)
     return out
 
 
+def leader_spots(df: DataFrame, keys: list[str], coords: list[str], order: list[str], radius: float,
+                 bucket: str, block_rows: int = 50_000) -> DataFrame:
+    """First-fit inside islands that no radius bridges: every distinct coordinate with ``local_no`` and ``opens``.
+
+    Rows with equal coordinates always share a group, so each distinct coordinate is folded once, at the place of its
+    earliest row (``_first``, ``_b``). Islands stream through the tasks one after another; across blocks of rows only the leaders
+    of one island are kept, in cells of one radius, so a spot looks at the leaders beside it only.
+    """
+    spots = cut(df.groupBy(*keys, *coords).agg(
+        F.min(F.struct(F.col(bucket).alias("b"), *[F.col(o) for o in order])).alias("_first")))
+    owner = [*keys, "_island"]
+    turn = F.row_number().over(Window.partitionBy(*owner).orderBy("_first"))
+    ranked = islands(spots, keys, coords, radius).select(*owner, *coords, "_first", (turn == 1).alias("_start"))
+    side, around = radius * MARGIN, list(itertools.product((-1, 0, 1), repeat=len(coords)))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, cells = 0, {}
+        for batch in (b.slice(i, block_rows) for b in batches for i in range(0, b.num_rows, block_rows)):
+            points = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in coords], axis=1)
+            places = np.floor(points / side).astype(np.int64).tolist()
+            starts = batch.column("_start").to_numpy(zero_copy_only=False).tolist()
+            labels, opened = [], []
+            for point, place, start in zip(points.tolist(), places, starts):
+                if start:
+                    count, cells = 0, {}
+                found = 0
+                for step in around:
+                    for number, other in cells.get(tuple(map(add, place, step)), ()):
+                        gap = abs(point[0] - other[0]) if len(point) == 1 else math.sqrt(sum((a - b) * (a - b) for a, b in zip(point, other)))
+                        if gap <= radius and not 0 < found < number:
+                            found = number
+                if not found:
+                    count += 1
+                    cells.setdefault(tuple(place), []).append((count, point))
+                labels.append(found or count)
+                opened.append(not found)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(labels, pa.int64()), pa.array(opened, pa.bool_())],
+                                             names=[*batch.schema.names[:-1], "local_no", "opens"])
+
+    schema = StructType([*ranked.schema.fields[:-1], StructField("local_no", LongType()), StructField("opens", BooleanType())])
+    return cut(ranked.mapInArrow(fold, schema).withColumn("_b", F.col("_first.b")))
+
+
 def leader_groups(df: DataFrame, keys: list[str], coords: list[str], order: list[str], radius: float,
                   bucket: str, block_rows: int = 50_000) -> DataFrame:
     """First-fit groups: join the earliest group whose *first member* is within ``radius``.
 
-    Rows with equal coordinates always share a group, so each distinct coordinate is
-    folded once, at the place of its earliest row; ``bucket`` names a column that does
-    not decrease along ``order`` and spreads the ranking of a large key. Islands that no
-    radius bridges are folded side by side, each with its own leaders; groups are then
-    numbered over the whole key in the order of their leaders. Returns the distinct
-    coordinates with group_no (1-based, in creation order) and is_leader order.
+    ``bucket`` names a column that does not decrease along ``order`` and spreads the ranking of a large key. Groups are
+    numbered over the whole key in the order of their leaders. Returns the distinct coordinates with group_no (1-based, in
+    creation order) and whether they open their group.
     """
-    spots = df.groupBy(*keys, *coords).agg(
-        F.min(F.struct(F.col(bucket).alias("b"), *[F.col(o) for o in order])).alias("_first"))
-    parted = islands(spots.withColumn("_b", F.col("_first.b")), keys, coords, radius)
-    ranked = positions(parted, [*keys, "_island"], ["_first"], F.col("_b"), "_pos")
-
-    def step(pdf: pd.DataFrame, state: dict | None) -> tuple[pd.DataFrame, dict]:
-        width = len(coords)
-        leaders = list(np.asarray(state["leaders"], dtype=float).reshape(-1, width)) if state else []
-        stack = np.empty((max(16, 2 * len(leaders)), width))
-        if leaders:
-            stack[:len(leaders)] = leaders
-        count = len(leaders)
-        points = pdf[coords].to_numpy(dtype=float)
-        labels = np.empty(len(points), dtype=np.int64)
-        opened = np.zeros(len(points), bool)
-        for i, point in enumerate(points):
-            away = stack[:count] - point
-            gap = np.abs(away)[:, 0] if width == 1 else np.linalg.norm(away, axis=1)
-            near = np.flatnonzero(gap <= radius)
-            if len(near):
-                labels[i] = near[0] + 1
-            else:
-                if count == len(stack):
-                    stack = np.concatenate((stack, np.empty_like(stack)))
-                stack[count] = point
-                count += 1
-                labels[i], opened[i] = count, True
-        rows = pdf[coords].copy()
-        rows["local_no"], rows["opens"] = labels, opened
-        return rows, {"leaders": list(stack[:count].ravel()), "closed": False}
-
-    folded = cut(blocked_fold(ranked.select(*keys, "_island", "_pos", *coords), [*keys, "_island"], "_pos", step,
-                              ", ".join(f"{c} double" for c in coords) + ", local_no long, opens boolean",
-                              "leaders array<double>, closed boolean", block_rows))
-    leaders = folded.filter("opens").join(parted.select(*keys, *coords, "_first", "_b"), [*keys, *coords])
-    numbered = positions(leaders, keys, ["_first"], F.col("_b"), "_no").select(
+    folded = leader_spots(df, keys, coords, order, radius, bucket, block_rows)
+    numbered = positions(folded.filter("opens"), keys, ["_first"], F.col("_b"), "_no").select(
         *keys, "_island", "local_no", (F.col("_no") + 1).alias("group_no"))
     return folded.join(numbered, [*keys, "_island", "local_no"]).select(*keys, *coords, "group_no", "opens")

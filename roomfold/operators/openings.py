@@ -8,7 +8,7 @@ from roomfold.config import OpeningConfig
 from roomfold.functions.camera import segment_distance, wall_local
 from roomfold.functions.scores import opening_geometry_score, opening_quality
 from roomfold.operators import masks
-from roomfold.operators.folds import leader_groups
+from roomfold.operators.folds import MARGIN, leader_groups, leader_spots
 from roomfold.operators.ordering import best_per_group
 from roomfold.session import cut
 
@@ -122,24 +122,23 @@ def number_openings(fused: DataFrame, members: DataFrame, keys: list[str]) -> Da
 def keep_new_holes(holes: DataFrame, accepted: DataFrame, keys: list[str], cfg: OpeningConfig = OpeningConfig()) -> DataFrame:
     """Occupancy holes that no accepted candidate, nor an earlier kept hole, already covers.
 
-    Range anti join on grid cells of the merge distance, then first-fit over the rest.
+    Range anti join on grid cells of the merge distance, then first-fit over the rest. Only distinct centres meet; of holes
+    with one centre the earliest is kept.
     """
     cell = cfg.merge_distance
+    wide = cell * MARGIN
     centre = lambda df: df.withColumn("center", (F.col("u_min") + F.col("u_max")) / 2)
-    near = centre(accepted).select(*keys, F.col("center").alias("_c"), F.explode(F.sequence(F.lit(-1), F.lit(1))).alias("_d")) \
-        .withColumn("_cell", F.floor(F.col("_c") / cell) + F.col("_d")).drop("_d")
-    left = centre(holes).withColumn("_cell", F.floor(F.col("center") / cell))
+    near = centre(accepted).select(*keys, F.col("center").alias("_c")).distinct().select(
+        *keys, "_c", F.explode(F.sequence(F.lit(-1), F.lit(1))).alias("_d")).withColumn("_cell", F.floor(F.col("_c") / wide) + F.col("_d")).drop("_d")
+    left = centre(holes).groupBy(*keys, "center").agg(F.min("ordinal").alias("ordinal")).withColumn("_cell", F.floor(F.col("center") / wide))
     right = near.select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.col("_cell").alias("_rc"), "_c")
     same = [F.col(k) == F.col(f"_r_{k}") for k in keys]
     clash = (F.col("_cell") == F.col("_rc")) & (F.abs(F.col("center") - F.col("_c")) <= cell)
     for test in same:
         clash = clash & test
     fresh = left.join(right, clash, "left_anti").drop("_cell").withColumn("_slot", F.floor(F.col("ordinal") / 1024))
-    groups = leader_groups(fresh, keys, ["center"], ["ordinal"], cell, "_slot")
-    opened = groups.filter("opens").select(*keys, "center")
-    firsts = fresh.groupBy(*keys, "center").agg(F.min("ordinal").alias("ordinal"))
-    return fresh.join(firsts.join(opened, [*keys, "center"], "left_semi"), [*keys, "center", "ordinal"], "left_semi") \
-        .drop("center", "_slot")
+    opened = leader_spots(fresh, keys, ["center"], ["ordinal"], cell, "_slot").filter("opens").select(*keys, "center", F.col("_first.ordinal").alias("ordinal"))
+    return centre(holes).join(opened, [*keys, "center", "ordinal"], "left_semi").drop("center")
 
 
 def occupancy(points: DataFrame, walls: DataFrame, room_keys: list[str], cfg: OpeningConfig = OpeningConfig()) -> DataFrame:

@@ -139,3 +139,12 @@ def test_labels_and_morphology(spark):
             want = {(n, r, c, int(k)) for n, m in every.items() for lab in [brute_grids.label(~m if unset else m, diagonal)] for (r, c), k in np.ndenumerate(lab) if k}
             got = {(x.g, x.row, c, x.component) for x in masks.regions(source, ["g"], diagonal).collect() for c in range(x.start, x.stop)}
             assert got == want
+
+
+def test_many_small_islands_are_folded_in_few_tasks(spark):
+    import time
+    walls = spark.range(20_000).selectExpr("id AS w", "explode(array(0.0D, 0.5D, 0.6D, 3.0D)) AS c").selectExpr("w", "c", "cast(10 * c AS int) AS o", "0 AS b")
+    start = time.time()
+    out = folds.leader_groups(walls, ["w"], ["c"], ["o"], .25, "b").groupBy("c").agg(F.min("group_no").alias("low"), F.max("group_no").alias("high"), F.count("*").alias("n"))
+    assert sorted(map(tuple, out.collect())) == [(0.0, 1, 1, 20_000), (0.5, 2, 2, 20_000), (0.6, 2, 2, 20_000), (3.0, 3, 3, 20_000)]
+    assert time.time() - start < 40
