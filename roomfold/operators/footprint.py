@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from roomfold.operators import polygons
 from roomfold.operators.rings import trace_rings
-from roomfold.session import cut
+from roomfold.session import grown
 
 #: Gaps narrower than this count as none, in metres.
 TOLERANCE = 1e-7
@@ -36,12 +36,12 @@ def slabs(placed: DataFrame, keys: list[str], stripe: float = 2.0) -> DataFrame:
 
     ``placed`` has ``room_id`` and simple ``ring``; rings of no extent cover nothing.
     """
-    edges = cut(polygons.edges(placed, [*keys, "room_id"], "ring").select(
+    edges = grown(polygons.edges(placed, [*keys, "room_id"], "ring").select(
         *keys, "room_id", *[F.round(c, 9).alias(c) for c in ("x0", "y0", "x1", "y1")]))
     sloped = edges.filter("x0 <> x1").select(*keys, "room_id", F.least("x0", "x1").alias("xl"), F.greatest("x0", "x1").alias("xr"), "x0", "y0",
                                              ((F.col("y1") - F.col("y0")) / (F.col("x1") - F.col("x0"))).alias("slope"))
     last = F.greatest(F.ceil(F.col("xr") / stripe) - 1, F.floor(F.col("xl") / stripe))
-    struck = cut(sloped.withColumn("stripe", F.explode(F.sequence(F.floor(F.col("xl") / stripe), last))))
+    struck = grown(sloped.withColumn("stripe", F.explode(F.sequence(F.floor(F.col("xl") / stripe), last))))
     found = edges.select(*keys, F.col("x0").alias("x")).unionByName(_crossings(edges, keys, stripe)).withColumn("x", F.round("x", 9))
     # an abscissa on a border belongs to both stripes, which the borders themselves take care of
     events = found.withColumn("stripe", F.floor(F.col("x") / stripe)).unionByName(struck.select(*keys, "stripe").distinct().select(
@@ -64,9 +64,9 @@ def slabs(placed: DataFrame, keys: list[str], stripe: float = 2.0) -> DataFrame:
     return piles.select(*keys, "xa", "xb", F.col("_l.ya").alias("la"), F.col("_l.yb").alias("lb"), F.col("_h.ha").alias("ha"), F.col("_h.hb").alias("hb"))
 
 
-def union_areas(placed: DataFrame, keys: list[str]) -> DataFrame:
-    """Area that the rooms of a property cover together."""
-    return slabs(placed, keys).groupBy(*keys).agg(F.sum(
+def union_areas(placed: DataFrame, keys: list[str], stacks: DataFrame | None = None) -> DataFrame:
+    """Area that the rooms of a property cover together; ``stacks`` are its slabs, if they are there already."""
+    return (slabs(placed, keys) if stacks is None else stacks).groupBy(*keys).agg(F.sum(
         (F.col("xb") - F.col("xa")) * (F.col("ha") + F.col("hb") - F.col("la") - F.col("lb")) / 2).alias("union_area"))
 
 
@@ -99,12 +99,12 @@ def outlines(stacks: DataFrame, keys: list[str]) -> DataFrame:
     high = stacks.select(*keys, F.col("xb").alias("px"), F.col("hb").alias("py"), F.col("xa").alias("qx"), F.col("ha").alias("qy"))
     pieces = low.unionByName(high).unionByName(_upright(stacks, keys)).withColumn("_p", _corner("px", "py")).withColumn("_q", _corner("qx", "qy")).filter(
         "_p <> _q")
-    pieces = cut(pieces.withColumn("edge", F.xxhash64("_p", "_q")))
+    pieces = grown(pieces.withColumn("edge", F.xxhash64("_p", "_q")))
     onward = pieces.select(*keys, F.col("_p").alias("_q"), F.col("edge").alias("next"), (F.col("qx") - F.col("px")).alias("_ox"), (F.col("qy") - F.col("py")).alias("_oy"))
     ix, iy = F.col("qx") - F.col("px"), F.col("qy") - F.col("py")
     turn = F.atan2(ix * F.col("_oy") - iy * F.col("_ox"), ix * F.col("_ox") + iy * F.col("_oy"))
     # a corner has one way on, or two where rings touch
-    links = cut(pieces.join(onward, [*keys, "_q"]).withColumn("_turn", turn).groupBy(*keys, "edge").agg(
+    links = grown(pieces.join(onward, [*keys, "_q"]).withColumn("_turn", turn).groupBy(*keys, "edge").agg(
         F.max(F.struct(F.round("_turn", 9).alias("turn"), "next")).alias("_n"), F.first("px").alias("px"), F.first("py").alias("py"),
         F.first("qx").alias("qx"), F.first("qy").alias("qy")).select(*keys, "edge", F.col("_n.next").alias("next"), F.col("_n.turn").alias("turn"), "px", "py", "qx", "qy"))
     traced = trace_rings(links, keys).join(links.drop("next"), [*keys, "edge"])
@@ -115,9 +115,9 @@ def outlines(stacks: DataFrame, keys: list[str]) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(bent)), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("outline"))
 
 
-def footprints(placed: DataFrame, keys: list[str]) -> DataFrame:
+def footprints(placed: DataFrame, keys: list[str], stacks: DataFrame | None = None) -> DataFrame:
     """``union_area`` and ``outlines`` of every property; outlines go by their area, the largest first, holes last."""
-    stacks = cut(slabs(placed, keys))
+    stacks = grown(slabs(placed, keys)) if stacks is None else stacks
     rings = outlines(stacks, keys).groupBy(*keys).agg(F.sum("area").alias("union_area"), F.transform(
         F.array_sort(F.collect_list(F.struct((-F.col("area")).alias("back"), "ring", "outline"))), lambda r: r["outline"]).alias("outlines"))
     return rings

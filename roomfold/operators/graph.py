@@ -10,7 +10,7 @@ from roomfold.config import StitchConfig
 from roomfold.functions import rigid
 from roomfold.operators.ordering import best_per_group, top_per_group
 from roomfold.operators.rings import trace_rings
-from roomfold.session import cut, fresh
+from roomfold.session import fresh, grown
 
 KEY = "property_id"
 
@@ -41,7 +41,7 @@ def screen_evidence(evidence: DataFrame, rooms: DataFrame, cfg: StitchConfig = S
     An existing rejection reason is kept, except for unknown rooms. Where ``max_pairs`` is set, at most so
     many rows of a property stay accepted, the best scores first; the others are rejected for the budget.
     """
-    known = rooms.select(KEY, "room_id").distinct()
+    known = rooms.select(KEY, "room_id").distinct().hint("merge")
     side = lambda name: known.select(KEY, F.col("room_id").alias(name), F.lit(True).alias(f"_{name}"))
     joined = evidence.join(side("room_a"), [KEY, "room_a"], "left").join(side("room_b"), [KEY, "room_b"], "left")
     reason = (F.when(F.col("_room_a").isNull() | F.col("_room_b").isNull(), "unknown_room")
@@ -51,7 +51,7 @@ def screen_evidence(evidence: DataFrame, rooms: DataFrame, cfg: StitchConfig = S
     judged = joined.withColumn("rejection_reason", reason).drop("_room_a", "_room_b")
     if cfg.max_pairs:
         best = top_per_group(judged.filter("rejection_reason IS NULL"), [KEY], [F.col("score").desc(), F.col("ordinal")], cfg.max_pairs)
-        kept = best.select(KEY, "ordinal", F.lit(True).alias("_kept"))
+        kept = best.select(KEY, "ordinal", F.lit(True).alias("_kept")).hint("merge")
         judged = judged.join(kept, [KEY, "ordinal"], "left").withColumn("rejection_reason", F.when(
             F.col("_kept").isNull(), F.coalesce("rejection_reason", F.lit("pair_budget")))).drop("_kept")
     return judged.withColumn("accepted", F.col("rejection_reason").isNull())
@@ -78,14 +78,14 @@ def components(rooms: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
     Minimum labels spread along edges and every label then jumps to its own label,
     which shortens long chains; all properties advance together until nothing changes.
     """
-    links = cut(_both_ways(edges))
-    labels = cut(rooms.select(KEY, F.col("room_id").alias("u")).distinct().withColumn("label", F.col("u")))
+    links = grown(_both_ways(edges))
+    labels = grown(rooms.select(KEY, F.col("room_id").alias("u")).distinct().withColumn("label", F.col("u")))
     for _ in range(max_rounds):
         heard = links.join(labels.withColumnRenamed("u", "v"), [KEY, "v"]).groupBy(KEY, "u").agg(F.min("label").alias("_h"))
         spread = labels.join(heard, [KEY, "u"], "left").select(
             KEY, "u", F.col("label").alias("_old"), F.least("label", F.coalesce("_h", "label")).alias("label"))
         target = spread.select(KEY, F.col("u").alias("label"), F.col("label").alias("_far"))
-        jumped = cut(spread.join(target, [KEY, "label"], "left").select(
+        jumped = grown(spread.join(target.hint("merge"), [KEY, "label"], "left").select(
             KEY, "u", "_old", F.least("label", F.coalesce("_far", "label")).alias("label")))
         if jumped.filter("label <> _old").isEmpty():
             break
@@ -106,7 +106,7 @@ def choose_root(rooms: DataFrame, edges: DataFrame) -> DataFrame:
     """Root by (degree, summed score, area) descending, then room id."""
     ends = edges.select(KEY, F.explode(F.array("room_a", "room_b")).alias("room_id"), "score")
     degree = ends.groupBy(KEY, "room_id").agg(F.count("*").alias("degree"), F.sum("score").alias("total"))
-    scored = rooms.join(degree, [KEY, "room_id"], "left").fillna({"degree": 0, "total": 0.0})
+    scored = rooms.join(degree.hint("merge"), [KEY, "room_id"], "left").fillna({"degree": 0, "total": 0.0})
     return best_per_group(scored, [KEY], [F.col("degree").desc(), F.col("total").desc(), F.col("area").desc(),
                                           F.col("room_id")]).select(KEY, F.col("room_id").alias("root"))
 
@@ -139,11 +139,11 @@ def _forest_rounds(ends: DataFrame, max_rounds: int) -> list[DataFrame]:
     chosen = []
     rank = [F.col("score").desc(), F.col("connection_id")]
     for _ in range(max_rounds):
-        alive = cut(alive.filter("ga <> gb"))
+        alive = grown(alive.filter("ga <> gb"))
         if alive.isEmpty():
             return chosen
         sides = alive.withColumn("g", F.explode(F.array("ga", "gb")))
-        best = cut(best_per_group(sides, [KEY, "g"], rank).select(KEY, "connection_id", "ga", "gb").distinct())
+        best = grown(best_per_group(sides, [KEY, "g"], rank).select(KEY, "connection_id", "ga", "gb").distinct())
         chosen.append(best.select(KEY, "connection_id"))
         groups = alive.select(KEY, F.explode(F.array("ga", "gb")).alias("room_id")).distinct()
         merged = components(groups, best.select(KEY, F.col("ga").alias("room_a"), F.col("gb").alias("room_b")))
@@ -159,14 +159,14 @@ def spanning_edges(edges: DataFrame, max_rounds: int = 40, small: int = 20_000)
     Properties of at most ``small`` edges are joined up one by one, each in its group; larger ones go through rounds over rows. Both
     give the same edges.
     """
-    ends = cut(edges.select(KEY, "connection_id", "room_a", "room_b", "score"))
-    large = cut(ends.groupBy(KEY).agg(F.count("*").alias("_n")).filter(F.col("_n") > small).select(KEY))
+    ends = grown(edges.select(KEY, "connection_id", "room_a", "room_b", "score"))
+    large = grown(ends.groupBy(KEY).agg(F.count("*").alias("_n")).filter(F.col("_n") > small).select(KEY))
     types = dict(ends.dtypes)
     tree = ends.join(large, KEY, "left_anti").groupBy(KEY).applyInPandas(_forest, f"{KEY} {types[KEY]}, connection_id {types['connection_id']}")
     if not large.isEmpty():
         for part in _forest_rounds(ends.join(large, KEY, "left_semi"), max_rounds):
             tree = tree.unionByName(part)
-    return edges.join(tree.distinct(), [KEY, "connection_id"], "left_semi")
+    return edges.join(tree.distinct().hint("merge"), [KEY, "connection_id"], "left_semi")
 
 
 def rooted(steps: DataFrame, roots: DataFrame) -> DataFrame:
@@ -178,28 +178,28 @@ def rooted(steps: DataFrame, roots: DataFrame) -> DataFrame:
     """
     turn = Window.partitionBy(KEY, "at").orderBy("to")
     ring = turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    out = cut(steps.select(KEY, "at", "to", F.coalesce(F.lead("to").over(turn), F.first("to").over(ring)).alias("after"), F.first("to").over(ring).alias("first")))
+    out = grown(steps.select(KEY, "at", "to", F.coalesce(F.lead("to").over(turn), F.first("to").over(ring)).alias("after"), F.first("to").over(ring).alias("first")))
     name = lambda a, b: F.struct(F.col(a).alias("at"), F.col(b).alias("to"))
     links = out.select(KEY, name("at", "to").alias("edge"), F.col("to").alias("_at"), F.col("at").alias("_to")).join(
         out.select(KEY, F.col("at").alias("_at"), F.col("to").alias("_to"), "after"), [KEY, "_at", "_to"]).select(KEY, "edge", name("_at", "after").alias("next"))
-    traced = cut(trace_rings(links, [KEY]).select(KEY, "ring", "size", "position", F.col("edge.at").alias("at"), F.col("edge.to").alias("to")))
+    traced = grown(trace_rings(links, [KEY]).select(KEY, "ring", "size", "position", F.col("edge.at").alias("at"), F.col("edge.to").alias("to")))
     begin = out.join(roots.select(KEY, F.col("root").alias("at")), [KEY, "at"]).filter("to = first").select(KEY, "at", "to").join(
         traced, [KEY, "at", "to"]).select(KEY, "ring", F.col("position").alias("_p0"))
     placed = traced.join(begin, [KEY, "ring"]).withColumn("rank", F.pmod(F.col("position") - F.col("_p0"), F.col("size"))).select(KEY, "at", "to", "rank")
     back = placed.select(KEY, F.col("to").alias("at"), F.col("at").alias("to"), F.col("rank").alias("_back"))
-    outward = placed.join(back, [KEY, "at", "to"]).filter("rank < _back").select(KEY, "at", "to")
+    outward = placed.join(back.hint("merge"), [KEY, "at", "to"]).filter("rank < _back").select(KEY, "at", "to")
     return steps.join(outward, [KEY, "at", "to"]).select(KEY, F.col("to").alias("room_id"), F.col("at").alias("parent"), "step")
 
 
 def _deep_layout(roots: DataFrame, steps: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Poses of all rooms: each knows the transform from an ancestor, and takes over that of the ancestor's ancestor in every round."""
     top = roots.select(KEY, F.col("root").alias("room_id"), F.col("root").alias("above"), rigid.identity(3).alias("pose"))
-    state = cut(rooted(steps, roots).select(KEY, "room_id", F.col("parent").alias("above"), F.col("step").alias("pose")).unionByName(top))
+    state = grown(rooted(steps, roots).select(KEY, "room_id", F.col("parent").alias("above"), F.col("step").alias("pose")).unionByName(top))
     for _ in range(max_rounds):
         if state.join(roots, KEY).filter("above <> root").isEmpty():
             return state.select(KEY, "room_id", "pose")
         higher = state.select(KEY, F.col("room_id").alias("above"), F.col("above").alias("_above"), F.col("pose").alias("_pose"))
-        state = cut(state.join(higher, [KEY, "above"]).select(
+        state = grown(state.join(higher, [KEY, "above"]).select(
             KEY, "room_id", F.col("_above").alias("above"), rigid.compose(F.col("_pose"), F.col("pose"), 3).alias("pose")))
     raise ValueError("layout did not settle; raise max_rounds")
 
@@ -213,14 +213,14 @@ def layout(roots: DataFrame, tree: DataFrame, levels: int = 12) -> DataFrame:
     forward = tree.select(KEY, F.col("room_a").alias("at"), F.col("room_b").alias("to"), F.col("relative_transform").alias("step"))
     backward = tree.select(KEY, F.col("room_b").alias("at"), F.col("room_a").alias("to"),
                            rigid.invert(F.col("relative_transform"), 3).alias("step"))
-    steps = cut(forward.unionByName(backward))
-    frontier = cut(roots.select(KEY, F.col("root").alias("room_id"), F.lit(None).cast(
+    steps = grown(forward.unionByName(backward))
+    frontier = grown(roots.select(KEY, F.col("root").alias("room_id"), F.lit(None).cast(
         roots.schema["root"].dataType).alias("parent"), rigid.identity(3).alias("pose")))
     placed = [frontier]
     for _ in range(levels):
         reached = frontier.join(steps, (steps[KEY] == frontier[KEY]) & (steps["at"] == frontier["room_id"])
                                 & (frontier["parent"].isNull() | (steps["to"] != frontier["parent"])))
-        frontier = cut(reached.select(frontier[KEY], F.col("to").alias("room_id"), F.col("at").alias("parent"),
+        frontier = grown(reached.select(frontier[KEY], F.col("to").alias("room_id"), F.col("at").alias("parent"),
                                       rigid.compose(F.col("pose"), F.col("step"), 3).alias("pose")))
         if frontier.isEmpty():
             break
@@ -231,8 +231,8 @@ def layout(roots: DataFrame, tree: DataFrame, levels: int = 12) -> DataFrame:
     out = out.select(KEY, "room_id", "pose")
     if frontier.isEmpty():
         return out
-    deep = cut(frontier.select(KEY).distinct())
-    rest = _deep_layout(cut(roots.join(deep, KEY, "left_semi")), cut(steps.join(deep, KEY, "left_semi")))
+    deep = grown(frontier.select(KEY).distinct())
+    rest = _deep_layout(grown(roots.join(deep, KEY, "left_semi")), grown(steps.join(deep, KEY, "left_semi")))
     return out.join(deep, KEY, "left_anti").unionByName(rest)
 
 
@@ -240,7 +240,7 @@ def edge_residuals(edges: DataFrame, poses: DataFrame) -> DataFrame:
     """Disagreement (dx, dy, dyaw) of every edge with the two poses it connects."""
     a = poses.select(KEY, F.col("room_id").alias("room_a"), F.col("pose").alias("_pa"))
     b = poses.select(KEY, F.col("room_id").alias("room_b"), F.col("pose").alias("_pb"))
-    both = edges.join(a, [KEY, "room_a"]).join(b, [KEY, "room_b"])
+    both = edges.join(a.hint("merge"), [KEY, "room_a"]).join(b.hint("merge"), [KEY, "room_b"])
     both = both.withColumn("_rel", rigid.compose(rigid.invert(F.col("_pa"), 3), F.col("_pb"), 3))
     both = both.withColumn("_delta", rigid.compose(rigid.invert(F.col("relative_transform"), 3), F.col("_rel"), 3))
     x, y, yaw = rigid.se2_components(F.col("_delta"))
@@ -252,7 +252,7 @@ def edge_residuals(edges: DataFrame, poses: DataFrame) -> DataFrame:
 def check_cycles(edges: DataFrame, tree: DataFrame, poses: DataFrame, threshold: float) -> DataFrame:
     """Tree edges stay; other edges stay while their cycle residual is within the threshold."""
     in_tree = tree.select(KEY, "connection_id", F.lit(True).alias("_tree"))
-    judged = edge_residuals(edges, poses).join(in_tree, [KEY, "connection_id"], "left")
+    judged = edge_residuals(edges, poses).join(in_tree.hint("merge"), [KEY, "connection_id"], "left")
     on_tree = F.coalesce("_tree", F.lit(False))
     return judged.withColumn("in_tree", on_tree).withColumn("retained", on_tree | (F.col("residual") <= threshold)).drop("_tree")
 
@@ -336,6 +336,6 @@ def refine_layout(poses: DataFrame, edges: DataFrame, roots: DataFrame,
                 zip(state[:, 0], state[:, 1], np.cos(state[:, 2]), np.sin(state[:, 2]))]
         return pd.DataFrame({KEY: node_rows[KEY].iloc[0], "room_id": ids, "pose": rows, "rms": rms})
 
-    nodes = poses.join(roots, KEY)
+    nodes = poses.join(roots.hint("merge"), KEY)
     used = edges.select(KEY, "connection_id", "room_a", "room_b", "relative_transform", "score")
     return nodes.groupBy(KEY).cogroup(fresh(used).groupBy(KEY)).applyInPandas(solve, schema)

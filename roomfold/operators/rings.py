@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from roomfold.session import cut
+from roomfold.session import grown
 
 
 def trace_rings(links: DataFrame, keys: list[str], max_rounds: int = 40) -> DataFrame:
@@ -15,11 +15,11 @@ def trace_rings(links: DataFrame, keys: list[str], max_rounds: int = 40) -> Data
     task. ``ring`` is the smallest edge of the ring, which has position 0.
     """
     first = F.struct(F.col("edge").alias("id"), F.lit(0).cast("long").alias("on"))
-    state = cut(links.select(*keys, "edge", F.col("next").alias("jump"), first.alias("least")))
+    state = grown(links.select(*keys, "edge", F.col("next").alias("jump"), first.alias("least")))
     for k in range(max_rounds):
         ahead = state.select(*keys, F.col("edge").alias("jump"), F.col("jump").alias("_jump"), F.col("least").alias("_least"))
         later = F.struct(F.col("_least.id").alias("id"), (F.col("_least.on") + F.lit(1 << k)).alias("on"))
-        step = cut(state.join(ahead, [*keys, "jump"]).select(
+        step = grown(state.join(ahead, [*keys, "jump"]).select(
             *keys, "edge", F.col("_jump").alias("jump"), F.least("least", later).alias("least"), (later < F.col("least")).alias("_new")))
         state = step.drop("_new")
         if step.filter("_new").isEmpty():
@@ -38,13 +38,13 @@ def first_fit_spots(spots: DataFrame, keys: list[str], tolerance: float, max_rou
     Taken in the order of ``n`` a spot is kept unless a kept one lies close. All spots are settled side by side: one is
     settled as soon as every closer-ranked neighbour is. Neighbours are found on grid cells of the tolerance.
     """
-    base = cut(spots.select(*keys, "n", "x", "y"))
+    base = grown(spots.select(*keys, "n", "x", "y"))
     cell = [F.floor(F.col(c) / tolerance).alias(f"_c{c}") for c in "xy"]
     around = base.select(*keys, F.col("n"), "x", "y", *cell)
     for c in "xy":
         around = around.withColumn("_d", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn(f"_c{c}", F.col(f"_c{c}") + F.col("_d")).drop("_d")
     other = base.select(*keys, F.col("n").alias("m"), F.col("x").alias("_x"), F.col("y").alias("_y"), *cell)
-    near = cut(around.join(other, [*keys, "_cx", "_cy"]).filter(
+    near = grown(around.join(other, [*keys, "_cx", "_cy"]).filter(
         (F.col("m") < F.col("n")) & (F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y")) <= tolerance)).select(*keys, "n", "m"))
     state = base.select(*keys, "n", F.lit(None).cast(dict(base.dtypes)["n"]).alias("spot"))
     for _ in range(max_rounds):
@@ -52,7 +52,7 @@ def first_fit_spots(spots: DataFrame, keys: list[str], tolerance: float, max_rou
             F.min(F.when(F.col("_s") == F.col("m"), F.col("m"))).alias("_kept"), F.min(F.when(F.col("_s").isNull(), F.col("m"))).alias("_open"))
         fits = F.when(F.col("_kept").isNotNull() & (F.col("_open").isNull() | (F.col("_open") > F.col("_kept"))), F.col("_kept"))
         alone = F.when(F.col("_kept").isNull() & F.col("_open").isNull(), F.col("n"))
-        state = cut(state.join(seen, [*keys, "n"], "left").select(*keys, "n", F.coalesce("spot", fits, alone).alias("spot")))
+        state = grown(state.join(seen, [*keys, "n"], "left").select(*keys, "n", F.coalesce("spot", fits, alone).alias("spot")))
         if state.filter("spot IS NULL").isEmpty():
             return state
     raise ValueError("spots did not settle; raise max_rounds")

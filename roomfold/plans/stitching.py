@@ -9,7 +9,7 @@ from roomfold.functions import rigid
 from roomfold.operators import footprint, graph, polygons, stitching
 from roomfold.plans import projections as P
 from roomfold.plans.registry import query
-from roomfold.session import cut
+from roomfold.session import grown
 
 EDGES = P.source("orders", P.EDGES)
 ROOMS = f"(SELECT DISTINCT property_id, room_id FROM (SELECT property_id, unnest([room_a, room_b]) AS room_id FROM {EDGES} e) t WHERE room_id <> 'm02')"
@@ -130,9 +130,8 @@ def room_layout(spark: SparkSession, sf: str) -> DataFrame:
  SELECT connection_id, connection_id IN (SELECT connection_id FROM tree) AS in_tree, round(r, 6) + 0 AS residual,
  connection_id IN (SELECT connection_id FROM tree) OR r <= 0.35 AS retained FROM (SELECT *, sqrt(ex * ex + ey * ey + (least(eq, 4 - eq) * pi() / 2) ^ 2) AS r FROM d) t""")
 def cycle_check(spark: SparkSession, sf: str) -> DataFrame:
-    from roomfold.session import cut
-    edges = cut(accepted(spark, sf))
-    tree = cut(graph.spanning_edges(edges))
+    edges = grown(accepted(spark, sf))
+    tree = grown(graph.spanning_edges(edges))
     poses = graph.layout(graph.choose_root(rooms(spark, sf), edges), tree)
     out = graph.check_cycles(edges, tree, poses, 0.35)
     return out.select("connection_id", "in_tree", (F.round("residual", 6) + 0.0).alias("residual"), "retained")
@@ -280,7 +279,7 @@ def property_footprints(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_custkey").alias("property_id"), F.col("o_orderkey").alias("room_id"), (F.col("o_orderkey") % 9).alias("x"),
         (F.floor("o_totalprice") % 7).alias("y"), (1 + F.col("o_orderkey") % 3).alias("w"), (1 + F.col("o_orderkey") % 4).alias("d"))
     placed = plots.select("property_id", "room_id", F.array(spot(0, 0), spot(F.col("w"), 0), spot(F.col("w"), F.col("d")), spot(0, F.col("d"))).alias("ring"))
-    rings = footprint.outlines(cut(footprint.slabs(placed, ["property_id"])), ["property_id"])
+    rings = footprint.outlines(grown(footprint.slabs(placed, ["property_id"])), ["property_id"])
     return rings.groupBy("property_id").agg(
         F.round(F.sum("area"), 6).alias("union_area"), F.round(F.sum("perimeter"), 6).alias("perimeter"), F.sum(F.size("outline")).alias("corners"),
         F.sum(F.signum("area")).cast("bigint").alias("rings_less_holes"))
@@ -289,6 +288,6 @@ def property_footprints(spark: SparkSession, sf: str) -> DataFrame:
 @query("property_layout")
 def property_layout(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship layout: every step from evidence to verdict for all properties."""
-    out = stitching.stitch(rooms(spark, sf), evidence(spark, sf))["verdict"]
+    out = stitching.stitch(rooms(spark, sf), evidence(spark, sf), outlined=False)["verdict"]
     return out.select("property_id", "rooms", "placed", "unplaced", "valid_layout", "codes", "footprint_parts",
                       *[F.round(c, 4).alias(c) for c in ("total_area", "union_area", "cycle_error", "layout_residual", "max_overlap")])

@@ -59,3 +59,25 @@ def test_forests_of_small_and_large_properties_agree(spark):
                 group = {k: group[a] if v == old else v for k, v in group.items()}
     for small in (20_000, 0):
         assert {(r.property_id, r.connection_id) for r in graph.spanning_edges(edges, small=small).collect()} == want
+
+
+def test_layouts_broadcast_no_table_that_grows(spark, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+    from roomfold.operators import stitching
+    plans, write = [], DataFrameWriter.parquet
+
+    def parquet(self, *args, **kwargs):
+        plans.append(self._df._jdf.queryExecution().sparkPlan().toString())
+        return write(self, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    square = [{"x": 0.0, "y": 0.0}, {"x": 3.0, "y": 0.0}, {"x": 3.0, "y": 3.0}, {"x": 0.0, "y": 3.0}]
+    rooms = spark.createDataFrame([("p", r, square, 9.0) for r in "abc"], "property_id string, room_id string, ring array<struct<x:double,y:double>>, area double")
+    step = [1.0, 0.0, 3.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
+    links = spark.createDataFrame([("p", i, a, b, 0.9, i, step, True, None) for i, (a, b) in enumerate(("ab", "bc"))], "property_id string, connection_id long, room_a string, "
+                                  "room_b string, score double, ordinal long, relative_transform array<double>, accepted boolean, rejection_reason string")
+    verdict = stitching.stitch(rooms, links)["verdict"]
+    plans.append(verdict._jdf.queryExecution().sparkPlan().toString())
+    row = verdict.first()
+    assert (row.placed, row.unplaced, row.footprint_parts) == (3, 0, 1) and abs(row.union_area - 27) < 1e-6
+    assert len(plans) > 10 and not [p for p in plans if "Broadcast" in p]
