@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from roomfold.config import StitchConfig
 from roomfold.functions import rigid
+from roomfold.operators.groups import map_groups
 from roomfold.operators.ordering import best_per_group, top_per_group
 from roomfold.operators.rings import trace_rings
 from roomfold.session import fresh, grown
@@ -111,23 +113,25 @@ def choose_root(rooms: DataFrame, edges: DataFrame) -> DataFrame:
                                           F.col("room_id")]).select(KEY, F.col("room_id").alias("root"))
 
 
-def _forest(rows: pd.DataFrame) -> pd.DataFrame:
-    """Maximum spanning forest of one property of bounded size: better edges first, each joining two groups."""
-    parent: dict = {}
+def _forest(edges: pa.Table, bounds: np.ndarray) -> pa.Table:
+    """Maximum spanning forests of properties of bounded size, whose better edges come first, each joining two groups."""
+    keep = []
+    firsts, seconds = edges["room_a"].to_pylist(), edges["room_b"].to_pylist()
+    for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        parent: dict = {}
 
-    def find(x):
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+        def find(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
 
-    rows = rows.sort_values(["score", "connection_id"], ascending=[False, True])
-    keep = []
-    for u, v in zip(rows["room_a"].tolist(), rows["room_b"].tolist()):
-        a, b = find(u), find(v)
-        keep.append(a != b)
-        parent[a] = b
-    return rows.loc[keep, [KEY, "connection_id"]]
+        for i in range(low, high):
+            a, b = find(firsts[i]), find(seconds[i])
+            if a != b:
+                keep.append(i)
+                parent[a] = b
+    return edges.take(pa.array(keep, pa.int64()))
 
 
 def _forest_rounds(ends: DataFrame, max_rounds: int) -> list[DataFrame]:
@@ -156,13 +160,14 @@ def _forest_rounds(ends: DataFrame, max_rounds: int) -> list[DataFrame]:
 def spanning_edges(edges: DataFrame, max_rounds: int = 40, small: int = 20_000) -> DataFrame:
     """Maximum spanning forest: an edge joins two groups that no better edge joined before, by (score, smaller connection id).
 
-    Properties of at most ``small`` edges are joined up one by one, each in its group; larger ones go through rounds over rows. Both
+    Properties of at most ``small`` edges are joined up one by one, many in one pass; larger ones go through rounds over rows. Both
     give the same edges.
     """
     ends = grown(edges.select(KEY, "connection_id", "room_a", "room_b", "score"))
     large = grown(ends.groupBy(KEY).agg(F.count("*").alias("_n")).filter(F.col("_n") > small).select(KEY))
     types = dict(ends.dtypes)
-    tree = ends.join(large, KEY, "left_anti").groupBy(KEY).applyInPandas(_forest, f"{KEY} {types[KEY]}, connection_id {types['connection_id']}")
+    tree = map_groups(ends.join(large, KEY, "left_anti"), [KEY], f"{KEY} {types[KEY]}, connection_id {types['connection_id']}", _forest,
+                      [F.nanvl(F.col("score").cast("double"), F.lit(None)).desc_nulls_last(), F.col("connection_id").asc_nulls_last()])
     if not large.isEmpty():
         for part in _forest_rounds(ends.join(large, KEY, "left_semi"), max_rounds):
             tree = tree.unionByName(part)
