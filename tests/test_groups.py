@@ -1,10 +1,11 @@
 """Many groups share one pass of a Python kernel; none is cut."""
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from roomfold.operators import graph
+from roomfold.operators import clouds, graph
 from roomfold.operators.groups import map_groups, runs
 
 
@@ -44,3 +45,19 @@ def test_forest_takes_no_pass_for_each_property(spark):
     tree = graph.spanning_edges(edges)
     assert "FlatMapGroupsInPandas" not in plan(tree)
     assert {r.connection_id for r in tree.collect()} == {3 * p + i for p in range(50) for i in (0, 2)}
+
+
+def test_hulls_share_a_pass(spark):
+    draw = np.random.default_rng(8)
+    sizes = [1, 2, 3, 40, 5_000, 1_000, 7, 60]
+    spots = [np.round(draw.normal(size=(n, 2)), 1 if i % 2 else 6) for i, n in enumerate(sizes)] + [np.repeat([[1.0, 2.0], [1.0, 4.0], [1.0, 3.0]], 9, axis=0)]
+    rows = pd.DataFrame([(g if g else None, *p) for g, points in enumerate(spots) for p in points], columns=["g", "x", "y"]).sample(frac=1, random_state=1)
+    df = spark.createDataFrame(rows.astype({"g": "Int64"}).astype(object).where(rows.notna(), None).values.tolist(), "g long, x double, y double").repartition(3)
+    out = clouds.convex_hulls(df, ["g"], "x", "y")
+    assert "FlatMapGroupsInPandas" not in plan(out)
+    got = {r.g or 0: r for r in out.collect()}
+    assert len(got) == len(spots)
+    for g, points in enumerate(spots):
+        ring = clouds.hull_vertices(points)
+        assert got[g].ring == ring.tolist() and got[g].hull_area == clouds.ring_area(ring)
+        assert [got[g].min_x, got[g].min_y, got[g].max_x, got[g].max_y] == [*points.min(axis=0), *points.max(axis=0)]
