@@ -6,11 +6,14 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from roomfold.config import GeometryConfig
 from roomfold.functions.scores import plane_quality
 from roomfold.operators.clouds import convex_hulls, covariance, least_axis, moment_sums
+from roomfold.operators.groups import map_groups
 from roomfold.operators.ordering import best_per_group
 from roomfold.operators.quantiles import weighted_quantiles
 from roomfold.operators.rings import first_fit_spots, numbered, trace_rings
@@ -125,11 +128,7 @@ def _score(remaining: DataFrame, hypotheses: DataFrame, keys: list[str], distanc
         if points.empty or planes.empty:
             return pd.DataFrame(columns=[*names, "hypothesis", "hits"])
         model = planes[["hx", "hy", "hz", "hd"]].to_numpy()
-        xyz = points[["x", "y", "z"]].to_numpy()
-        hits = np.zeros(len(model), dtype=np.int64)
-        for start in range(0, len(xyz), 4096):
-            gap = xyz[start:start + 4096] @ model[:, :3].T + model[:, 3]
-            hits += (np.abs(gap) <= distance).sum(axis=0)
+        hits = _hits(points[["x", "y", "z"]].to_numpy(), model[:, :3], model[:, 3], distance)
         out = pd.DataFrame({"hypothesis": planes["hypothesis"].to_numpy(), "hits": hits})
         for k in names:
             out[k] = points[k].iloc[0]
@@ -139,13 +138,91 @@ def _score(remaining: DataFrame, hypotheses: DataFrame, keys: list[str], distanc
     return partial.groupBy(*keys, "hypothesis").agg(F.sum("hits").alias("hits"))
 
 
-def extract_planes(points: DataFrame, keys: list[str], cfg: GeometryConfig = GeometryConfig()) -> DataFrame:
+def _hash_next(value: int | np.ndarray, held: np.ndarray) -> np.ndarray:
+    """``held`` joined by one more int, as ``xxhash64`` of a further column joins it."""
+    p1, p2, p3, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    h = (held + p5 + np.uint64(4)) ^ (np.atleast_1d(value).astype(np.int64).view(np.uint64) & np.uint64(0xFFFFFFFF)) * p1
+    h = (h << np.uint64(23) | h >> np.uint64(41)) * p2 + p3
+    h = (h ^ h >> np.uint64(33)) * p2
+    h = (h ^ h >> np.uint64(29)) * p3
+    return h ^ h >> np.uint64(32)
+
+
+def _room_hypotheses(held: np.ndarray, xyz: np.ndarray, iterations: int, seed: int, round_no: int) -> tuple[np.ndarray, np.ndarray]:
+    """Normals and offsets that ``_hypotheses`` finds for one room; points come in the order of their ids."""
+    want, n = 3 * iterations, len(xyz)
+    draws = min(math.ceil(1.5 * want / max(n, 3)), want) if max(n, 3) < want else 1
+    draw, point = np.repeat(np.arange(draws), n), np.tile(np.arange(n), draws)
+    h = _hash_next(draw, _hash_next(round_no, _hash_next(seed, held))[point]) & np.uint64((1 << 40) - 1)
+    h = h.astype(float) / float(1 << 40)
+    near = np.flatnonzero(h <= (want * 1.5 + 50) / len(h))
+    point = point[near[np.lexsort((point[near], h[near], draw[near]))[:want]]]
+    p, q, r = (xyz[point[i:len(point) // 3 * 3:3]] for i in range(3))
+    a, b = q - p, r - p
+    cross = np.column_stack([a[:, 1] * b[:, 2] - a[:, 2] * b[:, 1], a[:, 2] * b[:, 0] - a[:, 0] * b[:, 2], a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0]])
+    size = np.sqrt(cross[:, 0] * cross[:, 0] + cross[:, 1] * cross[:, 1] + cross[:, 2] * cross[:, 2])
+    good = size > 1e-9
+    normal, p = cross[good] / size[good, None], p[good]
+    return normal, -(normal[:, 0] * p[:, 0] + normal[:, 1] * p[:, 1] + normal[:, 2] * p[:, 2])
+
+
+def _hits(xyz: np.ndarray, normal: np.ndarray, offset: np.ndarray, distance: float) -> np.ndarray:
+    """Points within ``distance`` of every plane."""
+    hits = np.zeros(len(normal), dtype=np.int64)
+    for start in range(0, len(xyz), 4096):
+        hits += (np.abs(xyz[start:start + 4096] @ normal.T + offset) <= distance).sum(axis=0)
+    return hits
+
+
+def _small_rooms(points: DataFrame, keys: list[str], cfg: GeometryConfig) -> DataFrame:
+    """Members of the planes of rooms of bounded size: the rounds of a room run where its points are, which are shuffled once."""
+    rows = points.withColumn("_hash", F.xxhash64("point_id"))
+    least = max(cfg.min_plane_inliers, 3)
+
+    def search(table: pa.Table, bounds: np.ndarray) -> pa.Table:
+        held = table["_hash"].to_numpy().view(np.uint64)
+        xyz = np.column_stack([table[c].to_numpy().astype(float) for c in "xyz"])
+        whole = ~np.logical_or.reduce([pc.is_null(table[c]).to_numpy() for c in "xyz"])
+        plane = np.zeros(len(table), np.int32)
+        for low, high in zip(bounds[:-1], bounds[1:]):
+            left = np.arange(low, high)
+            for number in range(1, cfg.max_planes + 1):
+                if len(left) < least:
+                    break
+                spots = xyz[left]
+                normal, offset = _room_hypotheses(held[left], spots, cfg.ransac_iterations, cfg.seed, number)
+                hits = _hits(spots, normal, offset, cfg.ransac_distance)
+                if not len(hits) or hits.max() < cfg.min_plane_inliers:
+                    break
+                best = hits.argmax()
+                (nx, ny, nz), d = normal[best], offset[best]
+                inside = np.abs(spots[:, 0] * nx + spots[:, 1] * ny + spots[:, 2] * nz + d) <= cfg.ransac_distance
+                plane[left[inside]] = number
+                left = left[~inside & whole[left]]
+        found = np.flatnonzero(plane)
+        return table.take(pa.array(found)).append_column("plane_no", pa.array(plane[found]))
+
+    types = dict(points.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in points.columns) + ", plane_no int"
+    return map_groups(rows, keys, schema, search, ["point_id"])
+
+
+def extract_planes(points: DataFrame, keys: list[str], cfg: GeometryConfig = GeometryConfig(), small: int = 50_000) -> DataFrame:
     """Members (plane_no, point) of successive best planes of every room.
 
-    All rooms advance together: one plane per round, its inliers leave, and a room stops
-    below the inlier minimum. Rounds are bounded by ``max_planes``.
+    One plane per round, its inliers leave, and a room stops below the inlier minimum; rounds are bounded by ``max_planes``.
+    Rooms of at most ``small`` points are searched many in one pass; larger ones advance together, by rounds over rows. Both find the same planes.
     """
-    remaining = cut(points.select(*keys, "point_id", "x", "y", "z"))
+    points = cut(points.select(*keys, "point_id", "x", "y", "z"))
+    large = cut(points.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > small).select(*keys))
+    if large.isEmpty():
+        return _small_rooms(points, keys, cfg)
+    rest = _small_rooms(points.join(large, keys, "left_anti").select(*points.columns), keys, cfg)
+    return rest.unionByName(_large_rooms(points.join(large, keys, "left_semi"), keys, cfg))
+
+
+def _large_rooms(remaining: DataFrame, keys: list[str], cfg: GeometryConfig) -> DataFrame:
+    """The same for rooms of any size: a round scores all rooms over blocks of their points, side by side."""
     found = []
     for number in range(1, cfg.max_planes + 1):
         active = remaining.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") >= max(cfg.min_plane_inliers, 3))

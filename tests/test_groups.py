@@ -5,7 +5,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from roomfold.operators import clouds, graph
+from roomfold.config import GeometryConfig
+from roomfold.operators import clouds, graph, planes
 from roomfold.operators.groups import map_groups, runs
 
 
@@ -61,3 +62,21 @@ def test_hulls_share_a_pass(spark):
         ring = clouds.hull_vertices(points)
         assert got[g].ring == ring.tolist() and got[g].hull_area == clouds.ring_area(ring)
         assert [got[g].min_x, got[g].min_y, got[g].max_x, got[g].max_y] == [*points.min(axis=0), *points.max(axis=0)]
+
+
+def test_small_and_large_rooms_have_the_same_planes(spark):
+    draw = np.random.default_rng(4)
+    rows = []
+    for room, n in (("a", 700), ("b", 260), ("c", 90), (None, 400)):
+        flat = draw.uniform(0, 4, (n, 3))
+        flat[:n // 2, 2], flat[n // 2:n // 4 * 3, 0] = 0.0, 2.5
+        rows += [(room, i, *map(float, p)) for i, p in enumerate(flat)]
+    points = spark.createDataFrame(rows, "room string, point_id long, x double, y double, z double").filter("room IS NOT NULL")
+    cfg = GeometryConfig(ransac_iterations=200, min_plane_inliers=40)
+    small = planes.extract_planes(points, ["room"], cfg)
+    assert "FlatMapCoGroupsInPandas" not in plan(small)
+    listed = lambda df: sorted((r.room, r.point_id, r.plane_no) for r in df.collect())
+    found = listed(small)
+    assert {(r, p) for r, _, p in found} >= {("a", 1), ("a", 2), ("b", 1), ("b", 2), ("c", 1)}
+    assert listed(planes.extract_planes(points, ["room"], cfg, small=0)) == found
+    assert listed(planes.extract_planes(points, ["room"], cfg, small=300)) == found
