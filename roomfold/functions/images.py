@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F, types as T
@@ -35,12 +37,21 @@ STATISTICS = T.StructType([
     T.StructField("thumb", T.ArrayType(T.DoubleType()))])
 
 
+#: Images whose results are held at once; a thumbnail takes far more room than a small image.
+PIECE = 256
+
+
+def statistics_of(images: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    for grey, height, width in images:
+        for start in range(0, len(grey), PIECE):
+            rows = []
+            for pixels, h, w in zip(*(c.iloc[start:start + PIECE] for c in (grey, height, width))):
+                image = np.asarray(pixels, dtype=float).reshape(int(h), int(w))
+                rows.append((laplacian_variance(image), float(image.mean()), float(image.std()), not image.any(), thumbnail(image).ravel()))
+            yield pd.DataFrame(rows, columns=["blur", "brightness", "contrast", "all_zero", "thumb"])
+
+
 @F.pandas_udf(STATISTICS)
-def grey_statistics(grey: pd.Series, height: pd.Series, width: pd.Series) -> pd.DataFrame:
-    """Sharpness, mean, spread, all-zero test and a 64 x 48 area thumbnail per image."""
-    rows = []
-    for pixels, h, w in zip(grey, height, width):
-        image = np.asarray(pixels, dtype=float).reshape(int(h), int(w))
-        rows.append((laplacian_variance(image), float(image.mean()), float(image.std()), not image.any(),
-                     thumbnail(image).ravel().tolist()))
-    return pd.DataFrame(rows, columns=["blur", "brightness", "contrast", "all_zero", "thumb"])
+def grey_statistics(images: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """Sharpness, mean, spread, all-zero test and a 64 x 48 area thumbnail per image, returned in pieces of bounded size."""
+    return statistics_of(images)

@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from roomfold.config import GeometryConfig
+from roomfold.functions import images
 from roomfold.operators import clouds, graph, planes
 from roomfold.operators.groups import map_groups, runs
 
@@ -80,3 +81,15 @@ def test_small_and_large_rooms_have_the_same_planes(spark):
     assert {(r, p) for r, _, p in found} >= {("a", 1), ("a", 2), ("b", 1), ("b", 2), ("c", 1)}
     assert listed(planes.extract_planes(points, ["room"], cfg, small=0)) == found
     assert listed(planes.extract_planes(points, ["room"], cfg, small=300)) == found
+
+
+def test_image_statistics_come_in_pieces():
+    draw = np.random.default_rng(2)
+    grey = [draw.integers(0, 255, 12).astype(float) for _ in range(700)]
+    batch = (pd.Series(grey), pd.Series([3] * 700), pd.Series([4] * 700))
+    out = list(images.statistics_of(iter([batch, batch])))
+    assert max(map(len, out)) <= images.PIECE and sum(map(len, out)) == 1_400
+    rows = pd.concat(out, ignore_index=True)
+    for i in (0, 699, 700, 1_399):
+        image = grey[i % 700].reshape(3, 4)
+        assert rows["brightness"][i] == image.mean() and np.array_equal(rows["thumb"][i], images.thumbnail(image).ravel())
