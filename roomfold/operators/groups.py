@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Rows that a kernel sees at once, and one group more at most.
-ROWS = 50_000
+#: Rows and bytes that a kernel sees at once, and one group more at most.
+ROWS, BYTES = 50_000, 16 << 20
 
 
 def begins(table: pa.Table, keys: list[str]) -> np.ndarray:
@@ -27,20 +28,21 @@ def begins(table: pa.Table, keys: list[str]) -> np.ndarray:
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = ROWS) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole groups of rows that come sorted by group, with the bounds of their groups."""
-    held, count, wanted = [], 0, rows
+    load = lambda part: max(part.num_rows / rows, part.nbytes / BYTES)
+    held, full, wanted = [], 0.0, 1.0
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
-        count += batch.num_rows
-        if count >= wanted:
+        full += load(batch)
+        if full >= wanted:
             table = pa.Table.from_batches(held).combine_chunks()
             bounds = begins(table, keys)
             if len(bounds) > 1:  # the last group may go on
                 yield table.slice(0, bounds[-1]), bounds
                 table = table.slice(bounds[-1])
-            held, count = table.to_batches(), len(table)
-            wanted = max(rows, 2 * count)
+            held, full = table.to_batches(), load(table)
+            wanted = max(1.0, 2 * full)
     if held:
         table = pa.Table.from_batches(held).combine_chunks()
         yield table, np.append(begins(table, keys), len(table))
@@ -60,3 +62,17 @@ def map_groups(df: DataFrame, keys: list[str], schema: str, kernel: Callable[[pa
             yield from kernel(table, bounds).select(arrow.names).cast(arrow).combine_chunks().to_batches(max_chunksize=ROWS)
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def map_frames(df: DataFrame, keys: list[str], schema: str, kernel: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """``kernel`` over the rows of each group as a frame, for groups that a caller bounds; many share one table on the way in and out."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(table: pa.Table, bounds: np.ndarray) -> pa.Table:
+        frame = table.to_pandas()
+        out = [kernel(frame.iloc[a:b].reset_index(drop=True)) for a, b in zip(bounds[:-1], bounds[1:])]
+        out = [part[arrow.names] for part in out if len(part)]
+        columns = {f.name: pa.array(np.concatenate([part[f.name].to_numpy() for part in out]), f.type, from_pandas=True) for f in arrow} if out else {}
+        return pa.table(columns, schema=arrow) if out else arrow.empty_table()
+
+    return map_groups(df, keys, schema, run)

@@ -12,6 +12,7 @@ from roomfold.config import FrameConfig, StitchConfig
 from roomfold.functions import rigid
 from roomfold.functions.scores import connection_score, visual_score
 from roomfold.operators.clouds import block_cells
+from roomfold.operators.groups import map_frames
 from roomfold.operators.ordering import top_per_group
 from roomfold.session import fresh
 
@@ -143,7 +144,7 @@ def verify_pairs(matches: DataFrame, pair: list[str], cfg: StitchConfig = Stitch
         out["inlier"] = inside
         return out
 
-    return matches.select(*names, "match_id", "ax", "ay", "bx", "by").groupBy(*pair).applyInPandas(check, schema)
+    return map_frames(matches.select(*names, "match_id", "ax", "ay", "bx", "by"), pair, schema, check)
 
 
 PLANAR = ["_sn", "_sbx", "_sby", "_sax", "_say", "_cc", "_cs"]
