@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from roomfold.config import FrameConfig, PhotoConfig, VideoConfig
+from roomfold.operators.groups import map_frames
 from roomfold.operators.ordering import positions, top_per_group
 from roomfold.session import cut, fresh, stage_path
 
@@ -77,7 +78,7 @@ def blocked_fold(df: DataFrame, keys: list[str], seq: str, step: Step, out_schem
 
     blocks = df.withColumn("_block", F.floor(F.col(seq) / block_rows))
     if not blocks.agg(F.max("_block")).first()[0]:
-        return df.groupBy(*keys).applyInPandas(whole, f"{key_schema}, {out_schema}")
+        return map_frames(df, keys, f"{key_schema}, {out_schema}", whole)
 
     # A group's n-th block that has rows is its n-th turn, wherever it starts and whatever gaps it has.
     turns = blocks.select(*keys, "_block").distinct().withColumn(
@@ -195,20 +196,24 @@ def select_photos(df: DataFrame, keys: list[str], cfg: PhotoConfig = PhotoConfig
     """
 
     def step(pdf: pd.DataFrame, state: dict | None) -> tuple[pd.DataFrame, dict]:
-        chosen = [np.asarray(t, dtype=float) for t in state["thumbs"]] if state else []
         thumbs = np.vstack(pdf["thumb"].to_numpy()).astype(float)
+        before = state["thumbs"] if state else []
+        chosen, count = np.empty((min(cfg.max_images, len(before) + len(thumbs)), thumbs.shape[1])), len(before)
+        for i, thumb in enumerate(before):
+            chosen[i] = thumb
         reasons = []
         for thumb in thumbs:
-            if any(np.mean(np.abs(thumb - other)) < cfg.duplicate for other in chosen):
+            if (np.abs(chosen[:count] - thumb).mean(axis=1) < cfg.duplicate).any():
                 reasons.append("near_duplicate")
-            elif len(chosen) < cfg.max_images:
-                chosen.append(thumb)
+            elif count < cfg.max_images:
+                chosen[count] = thumb
+                count += 1
                 reasons.append(None)
             else:
                 reasons.append("selection_budget")
         rows = pd.DataFrame({seq: pdf[seq].to_numpy(), "reason": reasons})
-        return rows, {"thumbs": [list(t) for t in chosen],
-                      "closed": len(chosen) >= cfg.max_images}
+        return rows, {"thumbs": [list(t) for t in chosen[:count]],
+                      "closed": count >= cfg.max_images}
 
     folded = blocked_fold(df.select(*keys, seq, "thumb"), keys, seq, step, f"{seq} long, reason string",
                           "thumbs array<array<double>>, closed boolean", block_rows)

@@ -5,9 +5,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from roomfold.config import GeometryConfig
+from roomfold.config import GeometryConfig, PhotoConfig
 from roomfold.functions import images
-from roomfold.operators import clouds, graph, planes
+from roomfold.operators import clouds, folds, graph, matching, planes
 from roomfold.operators.groups import map_groups, runs
 
 
@@ -93,3 +93,28 @@ def test_image_statistics_come_in_pieces():
     for i in (0, 699, 700, 1_399):
         image = grey[i % 700].reshape(3, 4)
         assert rows["brightness"][i] == image.mean() and np.array_equal(rows["thumb"][i], images.thumbnail(image).ravel())
+
+
+def test_photos_and_pairs_take_no_pass_for_each_group(spark):
+    rows = [(g, i, [float((7 * i + g) % 23)] * 4) for g in range(60) for i in range(20)]
+    photos = spark.createDataFrame(rows, "g long, seq long, thumb array<double>")
+    cfg = PhotoConfig(max_images=5)
+    out = folds.select_photos(photos, ["g"], cfg)
+    assert "FlatMapGroupsInPandas" not in plan(out)
+    got = {(r.g, r.seq): r.rejection_reason for r in out.collect()}
+    assert len(got) == len(rows)
+    for g in range(60):
+        chosen = []
+        for _, i, thumb in (r for r in rows if r[0] == g):
+            near = any(abs(thumb[0] - c) < cfg.duplicate for c in chosen)
+            want = "near_duplicate" if near else "selection_budget" if len(chosen) >= 5 else None
+            if want is None:
+                chosen.append(thumb[0])
+            if len(chosen) >= cfg.min_images:
+                assert got[g, i] == want
+    draw = np.random.default_rng(6)
+    pairs = pd.DataFrame([(g, i, *map(float, draw.uniform(0, 100, 2))) for g in range(30) for i in range(5 + g % 9)], columns=["g", "match_id", "ax", "ay"])
+    checked = matching.verify_pairs(spark.createDataFrame(pairs.assign(bx=pairs["ax"] + 3, by=pairs["ay"])), ["g"])
+    assert "FlatMapGroupsInPandas" not in plan(checked)
+    sizes = pairs.groupby("g").size()
+    assert all(r.inliers == (r.n if sizes[r.g] >= 8 else 0) for r in checked.groupBy("g").agg(F.count("*").alias("n"), F.count_if("inlier").alias("inliers")).collect())
