@@ -8,7 +8,7 @@ from roomfold.config import DamageConfig
 from roomfold.functions.camera import wall_local
 from roomfold.functions.scores import damage_quality
 from roomfold.operators.clouds import convex_hulls
-from roomfold.operators.folds import leader_groups
+from roomfold.operators.folds import leader_members
 from roomfold.operators.ordering import best_per_group
 
 # Repair actions per damage type, in order.
@@ -106,8 +106,7 @@ def cluster(candidates: DataFrame, keys: list[str], cfg: DamageConfig = DamageCo
     """First-fit groups per (surface, type): distance to the first member's centre, in candidate order."""
     group_keys = [*keys, "surface_id", "damage_type"]
     slotted = candidates.withColumn("_slot", F.floor(F.col("ordinal") / 4096))
-    groups = leader_groups(slotted, group_keys, ["center_u", "center_v"], ["ordinal"], cfg.merge_distance, "_slot", block_rows)
-    return candidates.join(groups.drop("opens"), [*group_keys, "center_u", "center_v"])
+    return leader_members(slotted, group_keys, ["center_u", "center_v"], ["ordinal"], cfg.merge_distance, "_slot", block_rows).drop("_slot")
 
 
 def fuse(members: DataFrame, keys: list[str], cfg: DamageConfig = DamageConfig()) -> DataFrame:

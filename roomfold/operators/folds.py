@@ -12,7 +12,8 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Callable, Iterator
-from operator import add
+from functools import reduce
+from operator import add, and_
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from roomfold.config import FrameConfig, PhotoConfig, VideoConfig
-from roomfold.operators.groups import map_frames
+from roomfold.operators.groups import map_frames, map_groups
 from roomfold.operators.ordering import positions, top_per_group
 from roomfold.session import cut, fresh, stage_path
 
@@ -311,3 +312,56 @@ def leader_groups(df: DataFrame, keys: list[str], coords: list[str], order: list
     numbered = positions(folded.filter("opens"), keys, ["_first"], F.col("_b"), "_no").select(
         *keys, "_island", "local_no", (F.col("_no") + 1).alias("group_no"))
     return folded.join(numbered, [*keys, "_island", "local_no"]).select(*keys, *coords, "group_no", "opens")
+
+
+def _side_by_side(points: list[np.ndarray], group: np.ndarray, radius: float) -> np.ndarray:
+    """First-fit numbers of spots that come by group and turn; every round settles one leader of each group.
+
+    The first open spot of a group leads, and it takes all open spots within the radius: their earlier leaders are further off.
+    """
+    number, label, left = 0, np.zeros(len(group), np.int64), np.arange(len(group))
+    while len(left):
+        number += 1
+        leads = np.append(True, group[1:] != group[:-1])
+        leader = np.maximum.accumulate(np.where(leads, np.arange(len(group)), 0))
+        gaps = [p - p[leader] for p in points]
+        gap = np.abs(gaps[0]) if len(gaps) == 1 else np.sqrt(sum(g * g for g in gaps))
+        taken = leads | (gap <= radius)
+        label[left[taken]] = number
+        left, group, points = left[~taken], group[~taken], [p[~taken] for p in points]
+    return label
+
+
+def leader_members(df: DataFrame, keys: list[str], coords: list[str], order: list[str], radius: float,
+                   bucket: str, block_rows: int = 50_000, small: int = 20_000) -> DataFrame:
+    """Rows of ``df`` with the ``group_no`` of ``leader_groups``; rows without key or coordinates have none and are left out.
+
+    Keys of at most ``small`` rows go through one sort and one pass, many of them at a time; larger ones take ``leader_groups``.
+    """
+    known = df.filter(reduce(and_, [F.col(c).isNotNull() for c in (*keys, *coords)]))
+    large = cut(known.groupBy(*keys).count().filter(F.col("count") > small).select(*keys))
+
+    def settle(table: pa.Table, bounds: np.ndarray) -> pa.Table:
+        points = [table[c].to_numpy().astype(float) for c in coords]
+        group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        alike = np.lexsort((*points[::-1], group))  # stable: of equal coordinates the earliest row comes first
+        fresh = np.append(True, group[alike][1:] != group[alike][:-1])
+        for p in points:
+            ahead, back = p[alike][1:], p[alike][:-1]
+            fresh[1:] |= (ahead != back) & ~(np.isnan(ahead) & np.isnan(back))
+        first = alike[fresh]
+        turn = np.argsort(first)
+        spot = np.empty(len(group), np.int64)
+        spot[alike] = np.argsort(turn)[np.cumsum(fresh) - 1]
+        rows = first[turn]
+        label = _side_by_side([p[rows] for p in points], group[rows], radius)
+        return table.append_column("group_no", pa.array(label[spot]))
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in known.schema.fields)
+    whole = lambda rows: map_groups(rows, keys, f"{fields}, group_no long", settle, [bucket, *order, *coords])
+    if large.isEmpty():
+        return whole(known)
+    many = known.join(large, keys, "left_semi")
+    groups = leader_groups(many, keys, coords, order, radius, bucket, block_rows)
+    return whole(known.join(large, keys, "left_anti")).unionByName(
+        many.join(groups.drop("opens"), [*keys, *coords]).select(*known.columns, "group_no"))

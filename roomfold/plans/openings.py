@@ -336,7 +336,8 @@ def damage_candidates(spark: SparkSession, sf: str) -> DataFrame:
  LATERAL (SELECT list_position(list_transform(w.leaders, lambda c: sqrt((c.u - s.center_u) * (c.u - s.center_u) + (c.v - s.center_v) * (c.v - s.center_v)) <= 0.31), true) AS g) p)
  SELECT c.surface_id, c.damage_type, c.ordinal, w.group_no FROM {DCAND} c JOIN w USING (surface_id, damage_type, center_u, center_v)""")
 def damage_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    return damage.cluster(damage_candidates(spark, sf), [], DamageConfig(merge_distance=0.31)).select("surface_id", "damage_type", "ordinal", "group_no")
+    spots = damage_candidates(spark, sf).select("surface_id", "damage_type", "ordinal", "center_u", "center_v")
+    return damage.cluster(spots, [], DamageConfig(merge_distance=0.31)).select("surface_id", "damage_type", "ordinal", "group_no")
 
 
 DGROUP = """(SELECT l_suppkey // 4 AS property_id, l_suppkey AS surface_id, CASE l_returnflag WHEN 'A' THEN 'crack' WHEN 'R' THEN 'mold' ELSE 'hole' END AS damage_type, floor(l_quantity / 10)::BIGINT AS group_no,
