@@ -13,76 +13,75 @@ NORMAL_95 = 1.96
 MAD_TO_SIGMA = 1.4826
 
 
-def _entry(identifier: Column, room: Column, surface: Column, kind: str, value: Column, metadata: Column) -> Column:
-    number = lambda key: F.try_element_at(metadata, F.lit(key)).try_cast("double").alias(key)
-    return F.struct(
-        identifier.alias("measurement_id"), room.cast("string").alias("room_id"),
-        surface.cast("string").alias("surface_id"), F.lit(kind).alias("measurement_type"),
-        value["value"].alias("value"), value["unit"].alias("unit"), value["lower_bound"].alias("lower_bound"),
-        value["upper_bound"].alias("upper_bound"), value["confidence_level"].alias("confidence_level"),
-        value["confidence_method"].alias("confidence_method"),
-        number("area_mad_m2"), number("width_mad_m"), number("height_mad_m"),
-        number("residual_m"), number("surface_residual_m"))
+#: Dispersions and residuals that metadata may hold as text.
+SPREADS = ("area_mad_m2", "width_mad_m", "height_mad_m", "residual_m", "surface_residual_m")
 
 
-def _join(owner: Column, suffix: str) -> Column:
-    return F.concat(owner, F.lit(":" + suffix))
+#: Per family of owners: measurement type and, if the id is not the owner's own, its suffix, in the order of the parts.
+FAMILIES = {
+    "property": [("total_floor_area", "total_floor_area"), *[(f"property_{side}", f"property_{side}") for side in ("length", "width", "height")]],
+    "wall": [(f"wall_{part}", f"wall_{part}") for part in ("length", "height", "thickness", "orientation")],
+    "floor": [("floor_area", None)],
+    "ceiling": [("ceiling_height", "height"), ("ceiling_area", "area")],
+    "opening": [(kind, kind) for kind in ("opening_width", "opening_height", "sill_height", "opening_position")],
+    "damage": [(kind, kind) for kind in ("damage_area", "damage_length")],
+    "scope": [("scope_quantity", "quantity")],
+}
+MEASURED = ("value", "unit", "lower_bound", "upper_bound", "confidence_level", "confidence_method")
+
+
+def _owner(family: str, identifier: Column, room: Column, surface: Column, metadata: Column, *parts: Column) -> Column:
+    return F.struct(F.lit(family).alias("family"), identifier.alias("owner"), room.cast("string").alias("room_id"),
+                    surface.cast("string").alias("surface_id"), metadata.alias("metadata"), F.array(*parts).alias("parts"))
 
 
 def unpivot_results(documents: DataFrame) -> DataFrame:
     """One row per known measurement of every document.
 
-    All kinds are gathered in one array per document and exploded once, so each
-    document is read a single time and nothing is shuffled.
+    Owners of measurements are gathered in one array per document and exploded, then their
+    values, so each document is read a single time and nothing is shuffled.
     """
     none = F.lit(None).cast("string")
     prop = F.col("property")
-    meta = prop["metadata"]
-    own = [_entry(F.lit("property:total_floor_area"), none, none, "total_floor_area", prop["total_floor_area"], meta)]
-    for side in ("length", "width", "height"):
-        own.append(_entry(F.lit(f"property:property_{side}"), none, none, f"property_{side}",
-                          prop["bounding_dimensions"][side], meta))
+    own = F.array(_owner("property", F.lit("property"), none, none, prop["metadata"], prop["total_floor_area"],
+                         *[prop["bounding_dimensions"][side] for side in ("length", "width", "height")]))
 
     def walls(room: Column) -> Column:
-        return F.flatten(F.transform(room["walls"], lambda w: F.array(*[
-            _entry(_join(w["wall_id"], f"wall_{part}"), room["room_id"], w["wall_id"], f"wall_{part}", w[part],
-                   w["metadata"]) for part in ("length", "height", "thickness", "orientation")])))
+        return F.transform(room["walls"], lambda w: _owner(
+            "wall", w["wall_id"], room["room_id"], w["wall_id"], w["metadata"], w["length"], w["height"], w["thickness"], w["orientation"]))
 
     def surfaces(room: Column) -> Column:
         floor, ceiling = room["floor"], room["ceiling"]
         return F.array(
-            _entry(floor["surface_id"], room["room_id"], floor["surface_id"], "floor_area", floor["area"],
-                   floor["metadata"]),
-            _entry(_join(ceiling["surface_id"], "height"), room["room_id"], ceiling["surface_id"],
-                   "ceiling_height", ceiling["height"], ceiling["metadata"]),
-            _entry(_join(ceiling["surface_id"], "area"), room["room_id"], ceiling["surface_id"], "ceiling_area",
-                   ceiling["area"], ceiling["metadata"]))
-
-    def openings(o: Column) -> Column:
-        pairs = [("opening_width", "width"), ("opening_height", "height"), ("sill_height", "sill_height"),
-                 ("opening_position", "position_along_wall")]
-        return F.array(*[_entry(_join(o["opening_id"], kind), F.get(o["room_ids"], F.lit(0)), o["wall_id"], kind,
-                                o[part], o["metadata"]) for kind, part in pairs])
-
-    def damages(d: Column) -> Column:
-        return F.array(*[_entry(_join(d["damage_id"], kind), d["room_id"], d["surface_id"], kind, d[part],
-                                d["metadata"])
-                         for kind, part in (("damage_area", "metric_area"), ("damage_length", "metric_length"))])
-
-    def scope(s: Column) -> Column:
-        return _entry(_join(s["line_item_id"], "quantity"), s["room_id"], s["surface_id"], "scope_quantity",
-                      s["quantity"], s["metadata"])
-
-    empty = F.slice(F.array(*own), 1, 0)
-    rows = F.concat(
-        F.array(*own),
+            _owner("floor", floor["surface_id"], room["room_id"], floor["surface_id"], floor["metadata"], floor["area"]),
+            _owner("ceiling", ceiling["surface_id"], room["room_id"], ceiling["surface_id"], ceiling["metadata"], ceiling["height"], ceiling["area"]))
+
+    opening = lambda o: _owner("opening", o["opening_id"], F.get(o["room_ids"], F.lit(0)), o["wall_id"], o["metadata"],
+                               o["width"], o["height"], o["sill_height"], o["position_along_wall"])
+    damage = lambda d: _owner("damage", d["damage_id"], d["room_id"], d["surface_id"], d["metadata"], d["metric_area"], d["metric_length"])
+    scope = lambda s: _owner("scope", s["line_item_id"], s["room_id"], s["surface_id"], s["metadata"], s["quantity"])
+    empty = F.slice(own, 1, 0)
+    owners = F.concat(
+        own,
         F.coalesce(F.flatten(F.transform(prop["rooms"], lambda r: F.coalesce(walls(r), empty))), empty),
         F.coalesce(F.flatten(F.transform(prop["rooms"], surfaces)), empty),
-        F.coalesce(F.flatten(F.transform(prop["openings"], openings)), empty),
-        F.coalesce(F.flatten(F.transform(F.col("damages"), damages)), empty),
+        F.coalesce(F.transform(prop["openings"], opening), empty),
+        F.coalesce(F.transform(F.col("damages"), damage), empty),
         F.coalesce(F.transform(F.col("scope_line_items"), scope), empty))
-    return (documents.select(F.col("capture.capture_id").alias("capture_id"), F.col("capture.tier").alias("tier"),
-                             F.inline(F.filter(rows, lambda m: m["value"].isNotNull()))))
+    held = documents.select(F.col("capture.capture_id").alias("capture_id"), F.col("capture.tier").alias("tier"), F.inline(owners))
+    parts = held.select("*", F.posexplode("parts").alias("_at", "_part")).filter("_part.value IS NOT NULL")
+
+    def named(index: int) -> Column:
+        out = F.lit(None).cast("string")
+        for family, kinds in FAMILIES.items():
+            out = F.when(F.col("family") == family, F.get(F.array(*[F.lit(k[index]).cast("string") for k in kinds]), F.col("_at"))).otherwise(out)
+        return out
+
+    suffix = named(1)
+    return parts.select(
+        "capture_id", "tier", F.when(suffix.isNull(), F.col("owner")).otherwise(F.concat("owner", F.lit(":"), suffix)).alias("measurement_id"),
+        "room_id", "surface_id", named(0).alias("measurement_type"), *[F.col("_part")[c].alias(c) for c in MEASURED],
+        *[F.try_element_at("metadata", F.lit(key)).try_cast("double").alias(key) for key in SPREADS])
 
 
 def calibration_profiles(truth: DataFrame, cfg: ConfidenceConfig = ConfidenceConfig(), tier: str = "tier",
@@ -109,7 +108,8 @@ def apply_confidence(measures: DataFrame, profiles: DataFrame | None,
             .withColumn("profile_level", F.lit(None).cast("double"))
     else:
         wanted = profiles.select("tier", "measurement_type", "absolute_error", "profile_level")
-        joined = measures.join(wanted, ["tier", "measurement_type"], "left")
+        # As large as the closed lists of tiers and types; merged, all rows of a type would meet in one task.
+        joined = measures.join(F.broadcast(wanted), ["tier", "measurement_type"], "left")
     kind = F.col("measurement_type")
     mad = (F.when(kind.contains("area"), F.col("area_mad_m2"))
            .when(kind == "opening_width", F.col("width_mad_m")).otherwise(F.col("height_mad_m")))

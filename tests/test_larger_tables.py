@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roomfold.operators import folds
+from roomfold.plans import results
 
 
 @pytest.mark.parametrize("coords", [["u"], ["u", "v"]])
@@ -35,3 +36,31 @@ def test_small_keys_share_a_pass_and_number_alike(spark, coords, monkeypatch):
     monkeypatch.setattr(folds, "leader_groups", None)
     got = folds.leader_members(df, ["k"], coords, ["o"], .4, "b").collect()
     assert {r.o: r.group_no for r in got} == want
+
+
+def test_documents_shuffle_each_fact_once(spark):
+    plan = results.documents(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2  # orders and line items, once each
+
+
+def test_captures_without_parts_keep_their_documents(spark):
+    from roomfold.operators import documents, measurements
+    from roomfold.plans.results import measure
+    rooms = spark.createDataFrame([("a", "lidar", "ra"), ("b", "photo", "rb")], "capture_id string, tier string, room_id string").withColumn(
+        "floor_area", measure(F.lit(4.0), "m2"))
+    parts = spark.createDataFrame([("a", "w2", 2.0, True), ("a", "w1", 1.0, False)], "capture_id string, wall_id string, size double, door boolean")
+    wall = lambda e: F.struct(e["wall_id"].alias("wall_id"), measure(e["size"], "m").alias("length"), F.create_map(F.lit("residual_m"), F.lit("0.5")).alias("metadata"))
+    opening = lambda e: F.struct(F.concat(F.lit("o"), e["wall_id"]).alias("opening_id"), measure(e["size"], "m").alias("width"))
+    damage = lambda e: F.struct(e["wall_id"].alias("damage_id"))
+    whole = documents.assemble_results(rooms, parts, "wall_id", wall, (lambda e: e["door"], opening), (lambda e: e["size"] > 9, damage))
+    a, b = (r.property for r in whole.orderBy("capture.capture_id").collect())
+    assert [w.wall_id for w in a.rooms[0].walls] == ["w1", "w2"] and a.rooms[0].opening_ids == ["ow2"] and [o.opening_id for o in a.openings] == ["ow2"]
+    assert a.rooms[0].damage_ids is None and b.rooms[0].walls is None and b.openings is None
+    got = {(r.capture_id, r.measurement_id): (r.measurement_type, r.value, r.residual_m) for r in measurements.unpivot_results(whole).collect()}
+    assert got == {**{(c, i): (k, 4.0, None) for c in "ab" for i, k in (("property:total_floor_area", "total_floor_area"), (f"r{c}:floor", "floor_area"))},
+                   ("a", "w1:wall_length"): ("wall_length", 1.0, .5), ("a", "w2:wall_length"): ("wall_length", 2.0, .5), ("a", "ow2:opening_width"): ("opening_width", 2.0, None)}
+
+
+def test_intervals_do_not_shuffle_their_rows(spark):
+    plan = results.measurement_intervals(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
