@@ -16,16 +16,18 @@ METADATA = "w int, h int, dw int, dh int, K array<double>, poses array<array<dou
 def read_odometry(spark: SparkSession, path: str) -> DataFrame:
     """Camera rows per frame: blanks stripped, unusable frame ids skipped, a later repeat wins.
 
-    Column names are stripped too. ``_metadata`` row order inside a file is the block offset
+    A file belongs to the capture that its folder names, unless a column ``capture_id`` names one in each row; so files
+    need not be as many as captures. The rows of a capture lie in one file. Column names are stripped too. ``_metadata`` row order inside a file is the block offset
     plus the position in it, so the last repeat is well defined.
     """
     raw = spark.read.option("header", "true").option("ignoreLeadingWhiteSpace", "true").option("ignoreTrailingWhiteSpace", "true").csv(path)
     raw = raw.withColumn("_folder", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)) \
         .withColumn("_at", F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
     named = raw.select([F.col(f"`{c}`").alias(c.strip()) for c in raw.columns])
+    owner = F.trim("capture_id") if "capture_id" in named.columns else F.col("_folder")
     extra = [c for c in ("fx", "fy", "cx", "cy") if c in named.columns]
     typed = named.withColumn("frame", F.trim("frame").try_cast("int")).filter("frame IS NOT NULL")
-    last = typed.groupBy(F.col("_folder").alias("capture_id"), F.col("frame").alias("frame_id")).agg(
+    last = typed.groupBy(owner.alias("capture_id"), F.col("frame").alias("frame_id")).agg(
         F.max_by(F.struct(*[c for c in ODOMETRY[1:] + extra]), "_at").alias("r"))
     return last.select("capture_id", "frame_id", *[F.trim(f"r.{c}").try_cast("double").alias(c) for c in ODOMETRY[1:] + extra])
 
