@@ -6,8 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from roomfold.operators import folds
-from roomfold.plans import results
+from roomfold.operators import clouds, folds
+from roomfold.plans import results, sources
+from roomfold.sources import exports
 
 
 @pytest.mark.parametrize("coords", [["u"], ["u", "v"]])
@@ -64,3 +65,26 @@ def test_captures_without_parts_keep_their_documents(spark):
 def test_intervals_do_not_shuffle_their_rows(spark):
     plan = results.measurement_intervals(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan
+
+
+def test_odometry_of_many_captures_in_one_file(spark, tmp_path):
+    (tmp_path / "all.csv").write_text("capture_id, frame, x, y, z, qx, qy, qz, qw\n a,1,1,0,0,0,0,0,1\nb ,1,5,0,0,0,0,0,1\na,1,2,0,0,0,0,0,1\nb,x,9,0,0,0,0,0,1\n")
+    assert sorted((r.capture_id, r.frame_id, r.x) for r in exports.read_odometry(spark, str(tmp_path / "all.csv")).collect()) == [("a", 1, 2.0), ("b", 1, 5.0)]
+
+
+def test_odometry_writes_fewer_files_than_captures(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sources, "stage_path", lambda spark, name: str(tmp_path / name))
+    captures = sources.odometry_scan(spark, "/root/testdata/sf0.01").select("capture_id").distinct().count()
+    assert len(list(tmp_path.glob("odometry/**/part-*.csv"))) <= 8 < captures
+
+
+def test_neighbours_are_folded_where_they_are_found(spark):
+    draw = random.Random(5)
+    rows = [(g, i, *(0.25 * draw.randint(-6, 6) for _ in range(3))) for g in "ab" for i in range(150)] + [("c", 1, 0.0, 0.0, 0.0)]
+    points = spark.createDataFrame(rows, "g string, point_id long, x double, y double, z double")
+    near = clouds.nearest_in_radius(points, ["g"], "point_id", 0.6, 5).groupBy("g", "point_id").agg(F.count("*").alias("n"), F.sum(F.sqrt("d2")).alias("s"))
+    want = {(r.g, r.point_id): (r.n, round(r.s, 9)) for r in near.collect()}
+    folded = clouds.fold_in_radius(points, ["g"], "point_id", 0.6, 5, clouds.distances, "neighbours long, distance_sum double")
+    assert {(r.g, r.point_id): (r.neighbours, round(r.distance_sum, 9)) for r in folded.collect()} == want and len(want) == len(rows)
+    for out in (folded, clouds.point_normals(points, ["g"], "point_id", 0.6, 5)):  # nothing is grouped after the search
+        assert "Aggregate" not in out._jdf.queryExecution().executedPlan().toString()
