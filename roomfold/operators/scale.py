@@ -26,11 +26,13 @@ def correspondences(frames: DataFrame, observations: DataFrame, points: DataFram
                           F.col("camera_to_world").alias("pose"))
     near = points.filter(F.col("reprojection_error") <= cfg.max_reprojection)
     joined = observations.join(near, ["capture_id", "point_id"]).join(frame, ["capture_id", "image_id"])
-    camera = to_camera(F.col("pose"), F.col("px"), F.col("py"), F.col("pz"))
-    seen = (joined.withColumn("_cx", camera[0]).withColumn("_cy", camera[1]).withColumn("_cz", camera[2])
+    # Each step is one generated row, else its expressions are copied into every condition, and those into the join.
+    once = lambda df, **columns: df.select("*", F.inline(F.array(F.struct(*[v.alias(c) for c, v in columns.items()]))))
+    x, y, z = to_camera(F.col("pose"), F.col("px"), F.col("py"), F.col("pz"))
+    seen = (once(joined, _cx=x, _cy=y, _cz=z)
             .filter(is_finite(F.col("_cx")) & is_finite(F.col("_cy")) & is_finite(F.col("_cz")) & (F.col("_cz") > 0)))
     u, v = project((F.col("_cx"), F.col("_cy"), F.col("_cz")), F.col("fx"), F.col("fy"), F.col("cx"), F.col("cy"))
-    seen = seen.withColumn("_u", u).withColumn("_v", v)
+    seen = once(seen, _u=u, _v=v)
     border = cfg.border
     inside = (F.col("_u").between(border, F.col("width") - border) & (F.col("_u") < F.col("width") - border)
               & (F.col("_v") >= border) & (F.col("_v") < F.col("height") - border))
