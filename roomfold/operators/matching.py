@@ -6,13 +6,14 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from roomfold.config import FrameConfig, StitchConfig
 from roomfold.functions import rigid
 from roomfold.functions.scores import connection_score, visual_score
 from roomfold.operators.clouds import block_cells
-from roomfold.operators.groups import map_frames
+from roomfold.operators.groups import map_frames, map_groups
 from roomfold.operators.ordering import top_per_group
 from roomfold.session import fresh
 
@@ -202,22 +203,33 @@ def robust_se2(points: DataFrame, keys: list[str], cfg: StitchConfig = StitchCon
     wide = sums.filter((F.col("_sn") == 2) & (F.hypot(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")) >= 0.05))
     models = planar_fit(wide, group).drop("support")
     schema = ", ".join(f"{k} {types[k]}" for k in names) + ", hypothesis int, hits long"
-    salted = points.join(sizes, keys).withColumn("_salt", F.pmod(F.xxhash64("i"), F.col("_parts")).cast("int")).drop("_parts", "_size")
-    copies = models.join(sizes, keys).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts", "_size")
-
-    def count(rows: pd.DataFrame, trial: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or trial.empty:
-            return pd.DataFrame(columns=[*names, "hypothesis", "hits"])
-        c, s = np.cos(trial["yaw"].to_numpy()), np.sin(trial["yaw"].to_numpy())
-        bx, by, ax, ay = (rows[k].to_numpy()[:, None] for k in ("bx", "by", "ax", "ay"))
-        gap = np.hypot(bx * c - by * s + trial["tx"].to_numpy() - ax, bx * s + by * c + trial["ty"].to_numpy() - ay)
-        out = pd.DataFrame({"hypothesis": trial["hypothesis"].to_numpy(), "hits": (gap <= cfg.ransac_distance).sum(axis=0)})
-        for k in names:
-            out[k] = rows[k].iloc[0]
-        return out[[*names, "hypothesis", "hits"]]
-
-    hits = salted.groupBy(*keys, "_salt").cogroup(fresh(copies).groupBy(*keys, "_salt")).applyInPandas(count, schema) \
-        .groupBy(*group).agg(F.sum("hits").alias("hits"))
+    side = ["_a", "_b", "_c", "_d"]
+    laid = lambda df, hypothesis, *values: df.select(*keys, "_salt", hypothesis.alias("hypothesis"), *[v.cast("double").alias(c) for c, v in zip(side, values)])
+    salted = points.join(sizes, keys).withColumn("_salt", F.pmod(F.xxhash64("i"), F.col("_parts")).cast("int"))
+    copies = models.join(sizes, keys).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    # Points have no hypothesis; models bring yaw and shift.
+    both = laid(salted, F.lit(None).cast("int"), *[F.col(c) for c in ("bx", "by", "ax", "ay")]).unionByName(
+        laid(copies, F.col("hypothesis"), F.col("yaw"), F.col("tx"), F.col("ty"), F.lit(0.0)))
+
+    def count(table: pa.Table, bounds: np.ndarray) -> pa.Table:
+        values, point = np.stack([table[c].to_numpy() for c in side]), table["hypothesis"].is_null().to_numpy()
+        rows, hits = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for low, high in zip(bounds[:-1], bounds[1:]):
+            trial = low + np.flatnonzero(~point[low:high])
+            spots = values[:, low:high][:, point[low:high]]
+            if not len(trial) or not spots.shape[1]:
+                continue
+            (yaw, tx, ty), total = values[:3, trial], np.zeros(len(trial), np.int64)
+            c, s = np.cos(yaw), np.sin(yaw)
+            for start in range(0, spots.shape[1], 2000):  # bounds the products of points and models
+                bx, by, ax, ay = spots[:, start:start + 2000, None]
+                total += (np.hypot(bx * c - by * s + tx - ax, bx * s + by * c + ty - ay) <= cfg.ransac_distance).sum(axis=0)
+            rows.append(trial)
+            hits.append(total)
+        at = pa.array(np.concatenate(rows))
+        return pa.table({k: table[k].take(at) for k in (*names, "hypothesis")} | {"hits": pa.array(np.concatenate(hits))})
+
+    hits = map_groups(both, [*keys, "_salt"], schema, count).groupBy(*group).agg(F.sum("hits").alias("hits"))
     best = top_per_group(hits.filter(F.col("hits") >= cfg.min_inliers), keys, [F.col("hits").desc(), F.col("hypothesis")], 1)
     chosen = models.join(best, group).drop("hypothesis", "hits")
     first = points.join(chosen, keys).filter(_residual() <= cfg.ransac_distance).drop("yaw", "tx", "ty")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roomfold.operators import clouds, folds
-from roomfold.plans import results, sources
+from roomfold.plans import matching as matching_plans, results, sources
 from roomfold.sources import exports
 
 
@@ -88,3 +88,14 @@ def test_neighbours_are_folded_where_they_are_found(spark):
     assert {(r.g, r.point_id): (r.neighbours, round(r.distance_sum, 9)) for r in folded.collect()} == want and len(want) == len(rows)
     for out in (folded, clouds.point_normals(points, ["g"], "point_id", 0.6, 5)):  # nothing is grouped after the search
         assert "Aggregate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_planar_models_are_counted_without_frames_of_a_group(spark):
+    plan = matching_plans.robust_planar_fit(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroups" not in plan and "MapInArrow" in plan
+
+
+def test_projections_stay_out_of_join_conditions(spark):
+    plan = matching_plans.scale_correspondences(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert joins and not any("px" in line or "pose" in line for line in joins)
