@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from roomfold.operators import clouds, folds
+from roomfold.operators import clouds, folds, integrity
 from roomfold.plans import matching as matching_plans, results, sources
 from roomfold.sources import exports
 
@@ -99,3 +99,16 @@ def test_projections_stay_out_of_join_conditions(spark):
     plan = matching_plans.scale_correspondences(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join " in line]
     assert joins and not any("px" in line or "pose" in line for line in joins)
+
+
+def test_documents_are_searched_in_one_pass(spark):
+    from pyspark.sql import types as T
+    shape = T.StructType.fromDDL("schema_version string, a struct<b:array<struct<c:struct<d:int>>>, m:map<string,string>>, e int")
+    rows = [(1, '{"schema_version": "1.0.0", "a": {"b": [{"c": {"d": 1}}, {"c": {"x": [1]}}, 3], "m": {"q": "1"}}, "e": {}}'),
+            (2, '{"schema_version": 2, "a": {"b": {}, "m": [], "b2": null}, "e": null}'), (3, "null"), (4, "[1"), (5, None), (6, '{"a": {"b": [], "m": null}}'), (7, "{}")]
+    out = integrity.nested_unknown_keys(spark.createDataFrame(rows, "capture_id int, body string"), "body", shape)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and "FileScan" not in plan  # nothing is written and read back between the levels
+    assert sorted(map(tuple, out.collect())) == [
+        (1, "unknown_key", "a.b[1].c.x"), (1, "wrong_kind", "a.b[2]"), (1, "wrong_kind", "e"), (2, "schema_version", "2"), (2, "unknown_key", "a.b2"),
+        (2, "wrong_kind", "a.b"), (2, "wrong_kind", "a.m"), (3, "wrong_kind", "$"), (4, "malformed_document", "$"), (5, "malformed_document", "$")]
