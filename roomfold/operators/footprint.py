@@ -21,7 +21,7 @@ def _crossings(edges: DataFrame, keys: list[str], cell: float) -> DataFrame:
     """Abscissas where edges of two rooms cross; edges meet on the grid cells of their boxes."""
     span = lambda a, b: F.sequence(F.floor((F.least(a, b) - TOLERANCE) / cell), F.floor((F.greatest(a, b) + TOLERANCE) / cell))
     cells = edges.select(*keys, "room_id", "x0", "y0", "x1", "y1", F.explode(span("x0", "x1")).alias("_i"), span("y0", "y1").alias("_js")).withColumn(
-        "_j", F.explode("_js")).drop("_js")
+        "_j", F.explode("_js")).drop("_js").repartition(*keys, "_i", "_j")  # shuffled once for both sides
     other = cells.select(*keys, "_i", "_j", *[F.col(c).alias(f"b_{c}") for c in ("room_id", "x0", "y0", "x1", "y1")])
     met = cells.join(other, [*keys, "_i", "_j"]).filter(F.col("room_id") < F.col("b_room_id"))
     rx, ry, sx, sy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.col("b_x1") - F.col("b_x0"), F.col("b_y1") - F.col("b_y0")
@@ -107,7 +107,7 @@ def outlines(stacks: DataFrame, keys: list[str]) -> DataFrame:
     links = grown(pieces.join(onward, [*keys, "_q"]).withColumn("_turn", turn).groupBy(*keys, "edge").agg(
         F.max(F.struct(F.round("_turn", 9).alias("turn"), "next")).alias("_n"), F.first("px").alias("px"), F.first("py").alias("py"),
         F.first("qx").alias("qx"), F.first("qy").alias("qy")).select(*keys, "edge", F.col("_n.next").alias("next"), F.col("_n.turn").alias("turn"), "px", "py", "qx", "qy"))
-    traced = trace_rings(links, keys).join(links.drop("next"), [*keys, "edge"])
+    traced = trace_rings(links, keys, carry=["turn", "px", "py", "qx", "qy"])
     bent = F.when(F.abs("turn") > 1e-6, F.struct("position", F.col("qx").alias("x"), F.col("qy").alias("y")))
     return traced.groupBy(*keys, "ring").agg(
         (F.sum(F.col("px") * F.col("qy") - F.col("qx") * F.col("py")) / 2).alias("area"),

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from roomfold.operators import clouds, folds, integrity
+from roomfold.operators import clouds, folds, integrity, rings
 from roomfold.plans import matching as matching_plans, results, sources
 from roomfold.sources import exports
 
@@ -112,3 +112,19 @@ def test_documents_are_searched_in_one_pass(spark):
     assert sorted(map(tuple, out.collect())) == [
         (1, "unknown_key", "a.b[1].c.x"), (1, "wrong_kind", "a.b[2]"), (1, "wrong_kind", "e"), (2, "schema_version", "2"), (2, "unknown_key", "a.b2"),
         (2, "wrong_kind", "a.b"), (2, "wrong_kind", "a.m"), (3, "wrong_kind", "$"), (4, "malformed_document", "$"), (5, "malformed_document", "$")]
+
+
+def test_rings_of_small_groups_take_one_pass(spark, monkeypatch):
+    draw, rows = random.Random(4), []
+    for g in range(6):
+        names = draw.sample(range(-500, 500), 40)  # the same edges occur in several groups
+        while names:
+            ring = [names.pop() for _ in range(min(len(names), draw.choice([1, 2, 3, 7, 16])))]
+            rows += [(g, e, f, str(e)) for e, f in zip(ring, ring[1:] + ring[:1])]
+    rows += [(7, 1, 2, "1"), (7, 2, 3, "2"), (7, 9, 9, "9")]  # runs into an edge that is not there
+    links = spark.createDataFrame(rows, "g int, edge long, next long, note string").repartition(3)
+    take = lambda small: sorted(map(tuple, rings.trace_rings(links, ["g"], carry=["note"], small=small).collect()))
+    want = take(0)
+    assert take(20) == want and len(want) == len(rows) - 2
+    monkeypatch.setattr(rings, "grown", None)
+    assert take(100) == want
