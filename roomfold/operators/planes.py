@@ -424,7 +424,8 @@ def wall_crossings(segments: DataFrame, keys: list[str], cfg: GeometryConfig = G
     pairs = pairs.withColumn("_d", cross).filter(F.abs("_d") >= math.sin(math.radians(cfg.min_intersection_degrees)))
     wx, wy = F.col("b_x0") - F.col("a_x0"), F.col("b_y0") - F.col("a_y0")
     pairs = pairs.withColumn("_t", (wx * vy - wy * vx) / F.col("_d")).withColumn("_s", (wx * uy - wy * ux) / F.col("_d"))
-    ext = cfg.extension
+    # A crossing right at the reach counts, whatever the last digits of the fitted walls.
+    ext = cfg.extension + 1e-9
     near = lambda t, n: F.col(t).between(-ext, F.col(n) + ext) & (F.least(F.abs(t), F.abs(F.col(t) - F.col(n))) <= ext)
     return pairs.filter(near("_t", "a_length") & near("_s", "b_length")).select(
         *keys, "a_wall_no", "b_wall_no", "a_wall_id", "b_wall_id", (F.col("a_x0") + F.col("_t") * ux).alias("x"),

@@ -113,3 +113,10 @@ def test_plane_budget_leaves_an_issue(spark):
     issues = planes.plane_budget_issues(points, found, ["room"], cfg).collect()
     assert [(r.room, r.code, r.points_left) for r in issues] == [("r", "PLANE_BUDGET_REACHED", 300)]
     assert planes.plane_budget_issues(points, planes.extract_planes(points, ["room"], GeometryConfig(ransac_iterations=60)), ["room"]).count() == 0
+
+
+def test_a_crossing_right_at_the_reach_counts(spark):
+    rows = [("r", 1, "wall_01", 0.0, 0.0, 1.7, 0.0, 1.7, 0.9), ("r", 2, "wall_02", 2.0, 0.0, 2.0, 3.0, 3.0, 0.9),  # 2.0 - 1.7 > 0.3 in doubles
+            ("s", 1, "wall_01", 0.0, 0.0, 1.699, 0.0, 1.699, 0.9), ("s", 2, "wall_02", 2.0, 0.0, 2.0, 3.0, 3.0, 0.9)]
+    segments = spark.createDataFrame(rows, "room string, wall_no int, wall_id string, x0 double, y0 double, x1 double, y1 double, length double, quality double")
+    assert [(r.room, r.x, r.y) for r in planes.wall_crossings(segments, ["room"]).collect()] == [("r", 2.0, 0.0)]
