@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from roomfold.config import FrameConfig
 from roomfold.operators import clouds, matching, ordering
+from roomfold.plans import clouds as cloud_plans
 
 
 def cloud(spark, seed, n=120):
@@ -56,3 +57,15 @@ def test_loops_equal_all_pairs_and_nothing_is_broadcast(spark):
         want |= {(g, m, n) for _, m in near[:cfg.max_loops_per_frame]}
     assert {(r.g, r.source, r.target) for r in out.collect()} == want and want
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_all_neighbours_in_the_radius_count(spark, monkeypatch):
+    rows = [(1, 100 * x + 10 * y + z, 0.25 * x, 0.25 * y, 0.25 * z) for x in range(6) for y in range(6) for z in range(4)]
+    points = spark.createDataFrame(rows, "capture_id long, point_id long, x double, y double, z double")
+    monkeypatch.setattr(cloud_plans, "voxelised", lambda *_: points)
+    want = {}
+    for row in rows:
+        near = [math.dist(row[2:], other[2:]) for other in rows if math.dist(row[2:], other[2:]) <= 0.6]
+        want[row[1]] = (len(near), round(sum(near), 6))
+    out = {r.point_id: (r.neighbours, r.distance_sum) for r in cloud_plans.radius_neighbours(spark, "").collect()}
+    assert out == want and max(n for n, _ in want.values()) > 40
