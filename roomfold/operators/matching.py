@@ -261,23 +261,52 @@ def score_pairs(pairs: DataFrame, cfg: StitchConfig = StitchConfig()) -> DataFra
 def loop_candidates(frames: DataFrame, keys: list[str], cfg: FrameConfig = FrameConfig(), seq: str = "seq", pose: str = "pose") -> DataFrame:
     """Earlier frames close in space and direction, at least the separation back, nearest few per frame.
 
-    Camera centres meet in cells of four search radii. A frame asks in its own cell and is found in the few that its
-    radius touches; the pairs of a cell are ranked where they meet.
+    Camera centres are copied to the cells of four search radii that they touch. A task reads its cells one after another, a frame
+    is compared with all frames of its own cell in blocks, and only what it keeps leaves the task.
     """
-    r, cells = cfg.loop_radius, ["_x", "_y", "_z"]
-    base = frames.select(*keys, seq, pose, *[F.col(pose)[i].alias(f"p{c}") for c, i in zip("xyz", (3, 7, 11))])
-    home, touched = block_cells([F.col(f"p{c}") for c in "xyz"], r, cells, 4)
-    later = base.select("*", *home)
-    earlier = base.select(*keys, F.col(seq).alias("source"), F.col(pose).alias("_pose"), *[F.col(f"p{c}").alias(f"q{c}") for c in "xyz"], *touched)
+    r, limit, cells = cfg.loop_radius, cfg.max_loops_per_frame, ["_x", "_y", "_z"]
+    centre, turn = [f"_p{c}" for c in "xyz"], [f"_r{i}" for i in (0, 1, 2, 4, 5, 6, 8, 9, 10)]
+    base = frames.select(*keys, seq, *[F.col(pose)[i].alias(c) for c, i in zip(centre, (3, 7, 11))], *[F.col(pose)[int(c[2:])].alias(c) for c in turn])
+    home, touched = block_cells([F.col(c) for c in centre], r, cells, 4)
+    known = base.select("*", *[h.alias(f"_h{c}") for h, c in zip(home, cells)], *touched)
+    own = F.lit(True)
     for c in cells:
-        earlier = earlier.withColumn(c, F.explode(c))
-    d2 = sum(((F.col(f"p{c}") - F.col(f"q{c}")) * (F.col(f"p{c}") - F.col(f"q{c}")) for c in "yz"), (F.col("px") - F.col("qx")) * (F.col("px") - F.col("qx")))
-    # Merged, not broadcast: the optimizer does not count the copies that explode makes.
-    pairs = later.join(earlier.hint("merge"), [*keys, *cells]).filter(F.col(seq) - F.col("source") >= cfg.loop_min_separation)
-    near = pairs.withColumn("distance", F.sqrt(d2)).filter((F.col("distance") <= r) & (
-        rigid.relative_rotation_degrees(F.col("_pose"), F.col(pose)) <= cfg.loop_max_rotation))
-    top = top_per_group(near.drop("_pose", pose), [*keys, *cells, seq], [F.col("distance"), F.col("source")], cfg.max_loops_per_frame)
-    return top.select(*keys, "source", F.col(seq).alias("target"), "distance")
+        known, own = known.withColumn(c, F.explode(c)), own & (F.col(c) == F.col(f"_h{c}"))
+    copies = known.select(*keys, *cells, seq, *centre, *turn, own.alias("_asks"))
+    types = dict(copies.dtypes)
+    names = [f.name for f in copies.schema.fields if f.name in keys]
+
+    def nearest(table: pa.Table, bounds: np.ndarray) -> pa.Table:
+        x, y, z = (table[c].to_numpy() for c in centre)
+        turns, place = np.column_stack([table[c].to_numpy() for c in turn]), table[seq].to_numpy()
+        asks = table["_asks"].to_numpy(zero_copy_only=False)
+        target, source, gap = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
+        for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            asking, step = low + np.flatnonzero(asks[low:high]), max(1, 1_000_000 // (high - low))
+            for start in range(0, len(asking), step):
+                ask = asking[start:start + step]
+                dx, dy, dz = (v[ask, None] - v[None, low:high] for v in (x, y, z))
+                distance = np.sqrt(dx * dx + dy * dy + dz * dz)
+                angle = np.degrees(np.arccos(np.clip((turns[ask] @ turns[low:high].T - 1.0) / 2.0, -1.0, 1.0)))
+                back = place[ask, None] - place[None, low:high]
+                distance[~((distance <= r) & (angle <= cfg.loop_max_rotation) & (back >= cfg.loop_min_separation))] = np.inf
+                row = np.arange(len(ask))
+                for _ in range(min(limit, high - low)):
+                    best = distance.argmin(axis=1)  # rows come by position: of equal distances the earliest frame
+                    found = distance[row, best]
+                    hit = np.isfinite(found)
+                    if not hit.any():
+                        break
+                    target.append(ask[hit])
+                    source.append(low + best[hit])
+                    gap.append(found[hit])
+                    distance[row, best] = np.inf
+        at, of = (pa.array(np.concatenate(v)) for v in (target, source))
+        out = {k: table[k].take(at) for k in names} | {"source": table[seq].take(of), "target": table[seq].take(at)}
+        return pa.table(out | {"distance": pa.array(np.concatenate(gap))})
+
+    schema = ", ".join(f"`{k}` {types[k]}" for k in names) + f", source {types[seq]}, target {types[seq]}, distance double"
+    return map_groups(copies, [*keys, *cells], schema, nearest, [seq])
 
 
 def judge_registrations(records: DataFrame, cfg: FrameConfig = FrameConfig()) -> DataFrame:

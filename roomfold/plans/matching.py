@@ -27,10 +27,10 @@ def descriptor_matches(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("loop_candidates", f"""WITH f AS (SELECT capture_id, seq, value / 1000 AS px, k / 200.0::DOUBLE AS py, k * 0.004::DOUBLE AS yaw FROM {FR.SEQ} q),
  p AS (SELECT a.capture_id, b.seq AS source, a.seq AS target, sqrt((a.px - b.px) ^ 2 + (a.py - b.py) ^ 2) AS d FROM f a JOIN f b ON a.capture_id = b.capture_id AND a.seq - b.seq >= 8
- WHERE degrees(abs(a.yaw - b.yaw)) <= 12 AND (a.px - b.px) ^ 2 + (a.py - b.py) ^ 2 <= 0.0144),
+ WHERE degrees(abs(a.yaw - b.yaw)) <= 35 AND (a.px - b.px) ^ 2 + (a.py - b.py) ^ 2 <= 0.64),
  r AS (SELECT *, row_number() OVER (PARTITION BY capture_id, target ORDER BY d, source) AS n FROM p) SELECT capture_id, source, target, round(d, 6) AS distance FROM r WHERE n <= 2""")
 def loop_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    out = matching.loop_candidates(FR.posed(spark, sf), ["capture_id"], FrameConfig(loop_radius=0.12, loop_max_rotation=12.0))
+    out = matching.loop_candidates(FR.posed(spark, sf), ["capture_id"], FrameConfig())
     return out.select("capture_id", "source", "target", F.round("distance", 6).alias("distance"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from roomfold.config import FrameConfig
 from roomfold.operators import clouds, matching, ordering
-from roomfold.plans import clouds as cloud_plans
+from roomfold.plans import clouds as cloud_plans, matching as matching_plans
 
 
 def cloud(spark, seed, n=120):
@@ -69,3 +69,13 @@ def test_all_neighbours_in_the_radius_count(spark, monkeypatch):
         want[row[1]] = (len(near), round(sum(near), 6))
     out = {r.point_id: (r.neighbours, r.distance_sum) for r in cloud_plans.radius_neighbours(spark, "").collect()}
     assert out == want and max(n for n, _ in want.values()) > 40
+
+
+def test_loops_are_sought_over_the_whole_radius(spark, monkeypatch):
+    places = [(0.0, 0.0), *[(5.0 + i, 9.0) for i in range(8)], (0.79, 0.5), (0.0, 0.81), (0.6, 0.0)]
+    turned = [0.0] * 9 + [34.0, 0.0, 36.0]
+    spin = lambda t: (math.cos(math.radians(t)), math.sin(math.radians(t)))
+    rows = [(1, i, [c, -s, 0.0, x, s, c, 0.0, y - 0.5 * (i == 9), 0.0, 0.0, 1.0, 1.4, 0.0, 0.0, 0.0, 1.0]) for i, ((x, y), t) in enumerate(zip(places, turned)) for c, s in [spin(t)]]
+    monkeypatch.setattr(matching_plans.FR, "posed", lambda *_: spark.createDataFrame(rows, "capture_id long, seq long, pose array<double>"))
+    out = matching_plans.loop_candidates(spark, "").collect()
+    assert [(r.source, r.target, r.distance) for r in out] == [(0, 9, 0.79)]
