@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -12,7 +11,7 @@ from roomfold.functions import rigid
 from roomfold.operators.groups import map_groups
 from roomfold.operators.ordering import best_per_group, top_per_group
 from roomfold.operators.rings import trace_rings
-from roomfold.session import fresh, grown
+from roomfold.session import grown
 
 KEY = "property_id"
 
@@ -262,85 +261,142 @@ def check_cycles(edges: DataFrame, tree: DataFrame, poses: DataFrame, threshold:
     return judged.withColumn("in_tree", on_tree).withColumn("retained", on_tree | (F.col("residual") <= threshold)).drop("_tree")
 
 
+def _turn(angle: np.ndarray) -> np.ndarray:
+    """Transposed rotations."""
+    c, s = np.cos(angle), np.sin(angle)
+    return np.stack([np.stack([c, s], -1), np.stack([-s, c], -1)], -2)
+
+
+def _residuals(state: np.ndarray, a: np.ndarray, b: np.ndarray, goal: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weighted disagreement (layout, edge, 3) of stacked layouts with their edges; edges of weight zero are padding."""
+    row = np.arange(len(state))[:, None]
+    pa, pb = state[row, a], state[row, b]
+    rel = np.einsum("leij,lej->lei", _turn(pa[..., 2]), pb[..., :2] - pa[..., :2])
+    shift = np.einsum("leij,lej->lei", _turn(goal[..., 2]), rel - goal[..., :2])
+    angle = (pb[..., 2] - pa[..., 2] - goal[..., 2] + np.pi) % (2 * np.pi) - np.pi
+    return np.concatenate([shift, angle[..., None]], axis=2) * weight[..., None]
+
+
+def _jacobian(state: np.ndarray, a: np.ndarray, b: np.ndarray, slot: np.ndarray, goal: np.ndarray, weight: np.ndarray, free: int) -> np.ndarray:
+    """Derivatives (layout, 3 * edge, 3 * free room); ``slot`` numbers the free rooms of a layout, -1 is its root."""
+    count, edges = a.shape
+    row = np.arange(count)[:, None]
+    pa, pb = state[row, a], state[row, b]
+    outer = _turn(goal[..., 2])
+    inner = outer @ _turn(pa[..., 2])
+    spin = np.einsum("leij,lejk,lek->lei", outer, _turn(pa[..., 2] + np.pi / 2), pb[..., :2] - pa[..., :2])  # of the transposed rotation
+    out = np.zeros((count, edges, 3, free, 3))
+    for end, sign in ((a, -1.0), (b, 1.0)):
+        k = slot[row, end]
+        at, e = np.nonzero(k >= 0)
+        k = k[at, e]
+        out[at, e, :2, k, :2] += sign * inner[at, e]
+        out[at, e, 2, k, 2] += sign
+        if sign < 0:
+            out[at, e, :2, k, 2] += spin[at, e]
+    return (out * weight[:, :, None, None, None]).reshape(count, edges * 3, free * 3)
+
+
+def _settle(state: np.ndarray, slot: np.ndarray, a: np.ndarray, b: np.ndarray, goal: np.ndarray, weight: np.ndarray, free: int, max_iterations: int) -> np.ndarray:
+    """Huber-weighted Levenberg-Marquardt steps on stacked layouts; each has its own damping and stops by itself."""
+    def cost(f):
+        size = np.abs(f)
+        return np.where(size <= 1, f * f, 2 * size - 1).sum(axis=(1, 2))
+
+    state, open_ = state.copy(), np.arange(len(state))
+    f, damping = _residuals(state, a, b, goal, weight), np.full(len(state), 1e-6)
+    for _ in range(max_iterations):
+        if not len(open_):
+            break
+        here = [v[open_] for v in (state, a, b, goal, weight)]
+        jac = _jacobian(here[0], here[1], here[2], slot[open_], here[3], here[4], free)
+        flat = f[open_].reshape(len(open_), -1, 1)
+        robust = 1.0 / np.maximum(np.abs(flat), 1.0)
+        turned = jac.transpose(0, 2, 1)
+        move = np.linalg.solve(turned @ (robust * jac) + damping[open_, None, None] * np.eye(free * 3), -turned @ (robust * flat)).reshape(len(open_), free, 3)
+        steps = np.concatenate([move, np.zeros((len(open_), 1, 3))], axis=1)  # the root, at -1, stays
+        trial = here[0] + steps[np.arange(len(open_))[:, None], slot[open_]]
+        after = _residuals(trial, *here[1:])
+        good = cost(after) <= cost(f[open_])
+        kept, lost = open_[good], open_[~good]
+        state[kept], f[kept], damping[kept] = trial[good], after[good], np.maximum(damping[kept] / 10, 1e-12)
+        damping[lost] *= 10
+        open_ = np.concatenate([kept[np.abs(move[good]).max(axis=(1, 2)) >= 1e-10], lost[damping[lost] <= 1e6]])
+    return state
+
+
 def refine_layout(poses: DataFrame, edges: DataFrame, roots: DataFrame,
-                  cfg: StitchConfig = StitchConfig()) -> DataFrame:
+                  cfg: StitchConfig = StitchConfig(), work: int = 1_000_000) -> DataFrame:
     """Huber-weighted layout with the root fixed, plus the RMS residual per property.
 
-    A property's accepted edges are solved together.
+    A property's accepted edges are solved together. Properties of about the same size are stacked and take their steps side by
+    side, as many as keep ``work`` derivatives at once, or a single one of any size.
     """
-    room_type = dict(poses.dtypes)["room_id"]
-    schema = f"{KEY} {dict(poses.dtypes)[KEY]}, room_id {room_type}, pose array<double>, rms double"
-
-    def solve(node_rows: pd.DataFrame, edge_rows: pd.DataFrame) -> pd.DataFrame:
-        if node_rows.empty:
-            return pd.DataFrame(columns=[KEY, "room_id", "pose", "rms"])
-        node_rows = node_rows.sort_values("room_id")
-        ids = node_rows["room_id"].tolist()
-        state = np.array([[m[2], m[5], np.arctan2(m[3], m[0])] for m in node_rows["pose"]])
-        free = np.flatnonzero((node_rows["room_id"] != node_rows["root"]).to_numpy())
-        slot = {ids[i]: k for k, i in enumerate(free)}
-        where = {r: i for i, r in enumerate(ids)}
-        a = np.array([where[r] for r in edge_rows["room_a"]], dtype=int)
-        b = np.array([where[r] for r in edge_rows["room_b"]], dtype=int)
-        goal = np.array([[m[2], m[5], np.arctan2(m[3], m[0])] for m in edge_rows["relative_transform"]]).reshape(-1, 3)
-        weight = np.sqrt(np.maximum(edge_rows["score"].to_numpy(float), 1e-3))
-
-        def turn(angle):
-            c, s = np.cos(angle), np.sin(angle)
-            return np.stack([np.stack([c, s], -1), np.stack([-s, c], -1)], -2)  # transposed rotation
-
-        def residuals(s):
-            rel = np.einsum("eij,ej->ei", turn(s[a, 2]), s[b, :2] - s[a, :2])
-            shift = np.einsum("eij,ej->ei", turn(goal[:, 2]), rel - goal[:, :2])
-            angle = s[b, 2] - s[a, 2] - goal[:, 2]
-            angle = (angle + np.pi) % (2 * np.pi) - np.pi
-            return np.column_stack([shift, angle]) * weight[:, None]
-
-        def jacobian(s):
-            out = np.zeros((len(a), 3, len(free) * 3))
-            outer = turn(goal[:, 2])
-            inner = np.einsum("eij,ejk->eik", outer, turn(s[a, 2]))
-            quarter = turn(s[a, 2] + np.pi / 2)  # derivative of the transposed rotation
-            spin = np.einsum("eij,ejk,ek->ei", outer, quarter, s[b, :2] - s[a, :2])
-            for e in range(len(a)):
-                for node, sign in ((a[e], -1.0), (b[e], 1.0)):
-                    k = slot.get(ids[node])
-                    if k is None:
-                        continue
-                    out[e, :2, 3 * k:3 * k + 2] += sign * inner[e]
-                    out[e, 2, 3 * k + 2] += sign
-                    if sign < 0:
-                        out[e, :2, 3 * k + 2] += spin[e]
-            return out * weight[:, None, None]
-
-        def cost(f):
-            size = np.abs(f)
-            return float(np.where(size <= 1, f * f, 2 * size - 1).sum())
-
-        if len(free) and len(a):
-            damping, f = 1e-6, residuals(state)
-            for _ in range(cfg.max_iterations):
-                jac = jacobian(state).reshape(-1, len(free) * 3)
-                flat = f.ravel()
-                robust = 1.0 / np.maximum(np.abs(flat), 1.0)
-                normal = jac.T @ (robust[:, None] * jac)
-                move = np.linalg.solve(normal + damping * np.eye(len(normal)), -jac.T @ (robust * flat))
-                trial = state.copy()
-                trial[free] += move.reshape(-1, 3)
-                after = residuals(trial)
-                if cost(after) <= cost(f):
-                    state, f, damping = trial, after, max(damping / 10, 1e-12)
-                    if np.abs(move).max() < 1e-10:
-                        break
-                else:
-                    damping *= 10
-                    if damping > 1e6:
-                        break
-        rms = float(np.sqrt(np.mean(residuals(state) ** 2))) if len(a) else 0.0
-        rows = [[c, -s, x, s, c, y, 0.0, 0.0, 1.0] for x, y, c, s in
-                zip(state[:, 0], state[:, 1], np.cos(state[:, 2]), np.sin(state[:, 2]))]
-        return pd.DataFrame({KEY: node_rows[KEY].iloc[0], "room_id": ids, "pose": rows, "rms": rms})
-
-    nodes = poses.join(roots.hint("merge"), KEY)
-    used = edges.select(KEY, "connection_id", "room_a", "room_b", "relative_transform", "score")
-    return nodes.groupBy(KEY).cogroup(fresh(used).groupBy(KEY)).applyInPandas(solve, schema)
+    types = dict(poses.dtypes)
+    schema = f"{KEY} {types[KEY]}, room_id {types['room_id']}, pose array<double>, rms double"
+    spot = lambda m: [m[i].alias(f"m{i}") for i in (0, 2, 3, 5)]
+    nodes = poses.join(roots.hint("merge"), KEY).select(
+        KEY, F.lit(0).alias("kind"), F.col("room_id").alias("one"), F.when(F.col("room_id") == F.col("root"), F.col("root")).alias("two"), *spot(F.col("pose")), F.lit(1.0).alias("score"))
+    used = edges.select(KEY, F.lit(1).alias("kind"), F.col("room_a").alias("one"), F.col("room_b").alias("two"), *spot(F.col("relative_transform")), F.col("score").cast("double").alias("score"))
+
+    def solve(table: pa.Table, bounds: np.ndarray) -> pa.Table:
+        group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        is_node = table["kind"].to_numpy() == 0
+        own = group[is_node]
+        known = np.bincount(own, minlength=len(bounds) - 1) > 0  # properties without a pose have no layout
+        is_edge = ~is_node & known[group]
+        owner = group[is_edge]
+        one, two = (table[c].combine_chunks() for c in ("one", "two"))
+        codes = pa.concat_arrays([one, two]).dictionary_encode().indices.fill_null(-1).to_numpy().astype(np.int64).reshape(2, -1)
+        place = np.column_stack([table["m2"].to_numpy(), table["m5"].to_numpy(), np.arctan2(table["m3"].to_numpy(), table["m0"].to_numpy())])
+        weight = np.sqrt(np.maximum(table["score"].to_numpy()[is_edge], 1e-3))
+        wide = codes.max(initial=0) + 1
+        name = own * wide + codes[0, is_node]
+        order = np.argsort(name, kind="stable")
+        first = np.searchsorted(own, np.arange(len(bounds)))
+        start_edge = np.searchsorted(owner, np.arange(len(bounds)))
+
+        def index(code):
+            want = owner * wide + code
+            at = order[np.minimum(np.searchsorted(name[order], want), len(name) - 1)]
+            if (name[at] != want).any():
+                raise ValueError("an edge leads to a room without a pose")
+            return at - first[owner]
+
+        a, b = index(codes[0, is_edge]), index(codes[1, is_edge])
+        state, goal = place[is_node], place[is_edge]
+        loose = codes[1, is_node] < 0
+        so_far = np.cumsum(loose)
+        slot = np.where(loose, so_far - 1 - np.append(0, so_far)[first[own]], -1)
+        free, rooms, links = np.bincount(own, loose, len(bounds) - 1).astype(int), np.diff(first), np.diff(start_edge)
+        rms = np.zeros(len(bounds) - 1)
+        todo = np.flatnonzero(links > 0)
+        todo = todo[np.lexsort((links[todo], free[todo]))]
+        while len(todo):
+            load = 9 * np.maximum.accumulate(free[todo]) * np.maximum.accumulate(links[todo]) * np.arange(1, len(todo) + 1)
+            some, todo = np.split(todo, [max(1, int(np.searchsorted(load, work, side="right")))])
+            stacked = lambda values, begin, sizes, fill: _padded(values, begin[some], sizes[some], fill)
+            s, k = stacked(state, first, rooms, 0.0), stacked(slot, first, rooms, -1)
+            e = [stacked(v, start_edge, links, fill) for v, fill in ((a, 0), (b, 0), (goal, 0.0), (weight, 0.0))]
+            most = int(free[some].max())
+            done = _settle(s, k, *e, most, cfg.max_iterations) if most else s
+            f = _residuals(done, *e)
+            rms[some] = np.sqrt((f * f).sum(axis=(1, 2)) / (3 * links[some]))
+            inside = np.arange(done.shape[1])[None] < rooms[some][:, None]
+            state[(first[some][:, None] + np.arange(done.shape[1]))[inside]] = done[inside]
+        c, s = np.cos(state[:, 2]), np.sin(state[:, 2])
+        zero, unit = np.zeros(len(state)), np.ones(len(state))
+        flat = np.column_stack([c, -s, state[:, 0], s, c, state[:, 1], zero, zero, unit])
+        rows = pa.array(np.flatnonzero(is_node))
+        pose = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, 9), pa.int32()), pa.array(flat.ravel()))
+        return pa.table({KEY: table[KEY].take(rows), "room_id": one.take(rows), "pose": pose, "rms": pa.array(rms[own])})
+
+    return map_groups(nodes.unionByName(used), [KEY], schema, solve, ["kind", "one", "two"])
+
+
+def _padded(values: np.ndarray, begin: np.ndarray, sizes: np.ndarray, fill: float) -> np.ndarray:
+    """Runs of values stacked to the length of the longest."""
+    inside = np.arange(sizes.max(initial=0))[None] < sizes[:, None]
+    out = np.full((*inside.shape, *values.shape[1:]), fill, values.dtype)
+    out[inside] = values[(begin[:, None] + np.arange(inside.shape[1]))[inside]]
+    return out

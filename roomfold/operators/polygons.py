@@ -127,17 +127,105 @@ def overlap_area(a: np.ndarray, b: np.ndarray) -> float:
 PAIR = T.StructType([T.StructField(n, T.DoubleType()) for n in ("overlap_area", "shared_length")])
 
 
+def _crossings(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_crossing_xs`` of stacked pairs (pair, vertex, 2): the abscissae of all edge pairs, and which edges cross."""
+    r, s = np.roll(a, -1, axis=1) - a, np.roll(b, -1, axis=1) - b
+    cross = r[:, :, None, 0] * s[:, None, :, 1] - r[:, :, None, 1] * s[:, None, :, 0]
+    d = b[:, None] - a[:, :, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = (d[..., 0] * s[:, None, :, 1] - d[..., 1] * s[:, None, :, 0]) / cross
+        u = (d[..., 0] * r[:, :, None, 1] - d[..., 1] * r[:, :, None, 0]) / cross
+        hit = np.isfinite(t) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
+        return a[:, :, None, 0] + t * r[:, :, None, 0], hit
+
+
+def _span_tables(ring: np.ndarray, xs: np.ndarray) -> np.ndarray:
+    """``_span_table`` of stacked rings: (pair, line, span, 2)."""
+    nxt = np.roll(ring, -1, axis=1)
+    low, high = ring[:, None], nxt[:, None]
+    over = (low[..., 0] <= xs[..., None]) != (high[..., 0] <= xs[..., None])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        y = low[..., 1] + (xs[..., None] - low[..., 0]) / (high[..., 0] - low[..., 0]) * (high[..., 1] - low[..., 1])
+    y = np.where(over, y, np.inf)
+    if y.shape[2] % 2:
+        y = np.concatenate([y, np.full((*y.shape[:2], 1), np.inf)], axis=2)
+    return np.sort(y, axis=2).reshape(*y.shape[:2], -1, 2)
+
+
+def overlap_areas(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``overlap_area`` of stacked pairs; where edges don't cross, a slab has no width."""
+    x, hit = _crossings(a, b)
+    xs = np.concatenate([a[..., 0], b[..., 0], np.where(hit, x, a[:, :1, None, 0]).reshape(len(a), -1)], axis=1)
+    xs.sort(axis=1)
+    middle = (xs[:, :-1] + xs[:, 1:]) / 2.0
+    one, two = _span_tables(a, middle)[:, :, :, None], _span_tables(b, middle)[:, :, None]
+    with np.errstate(invalid="ignore"):
+        both = np.minimum(one[..., 1], two[..., 1]) - np.maximum(one[..., 0], two[..., 0])
+    return (np.nan_to_num(np.maximum(both, 0.0)).sum(axis=(2, 3)) * np.diff(xs, axis=1)).sum(axis=1)
+
+
+def shared_lengths(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
+    """``shared_length`` of stacked pairs."""
+    edge = np.roll(a, -1, axis=1) - a
+    length = np.linalg.norm(edge, axis=2)
+    real = length > tolerance
+    u = (edge / np.where(real, length, 1.0)[..., None])[:, :, None]
+    d = [v[:, None] - a[:, :, None] for v in (b, np.roll(b, -1, axis=1))]
+    off = [np.abs(v[..., 0] * u[..., 1] - v[..., 1] * u[..., 0]) for v in d]
+    along = [(v * u).sum(axis=3) for v in d]
+    both = np.minimum(length[..., None], np.maximum(*along)) - np.maximum(0.0, np.minimum(*along))
+    return np.where((np.maximum(*off) <= tolerance) & real[..., None], np.maximum(both, 0.0), 0.0).sum(axis=(1, 2))
+
+
+def boundary_gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``boundary_gap`` of stacked pairs."""
+    def least(points: np.ndarray, ring: np.ndarray) -> np.ndarray:
+        d = (np.roll(ring, -1, axis=1) - ring)[:, None]
+        away = points[:, :, None] - ring[:, None]
+        t = np.clip((away * d).sum(axis=3) / np.maximum((d * d).sum(axis=3), 1e-300), 0.0, 1.0)
+        return np.linalg.norm(away - t[..., None] * d, axis=3).min(axis=(1, 2))
+
+    return np.where(_crossings(a, b)[1].any(axis=(1, 2)), 0.0, np.minimum(least(a, b), least(b, a)))
+
+
+def _stacked(first: pd.Series, second: pd.Series, many, one, small: int = 64, work: int = 500_000) -> np.ndarray:
+    """``many`` of ring pairs stacked by their numbers of vertices, ``one`` of each pair with more than ``small`` pairs of edges."""
+    first, second = first.to_numpy(), second.to_numpy()
+    sizes = np.array([(len(p) // 2, len(q) // 2) for p, q in zip(first, second)]).reshape(-1, 2)
+    out = np.zeros(len(first))
+    for m, n in np.unique(sizes, axis=0).tolist():
+        at = np.flatnonzero((sizes == (m, n)).all(axis=1))
+        step = max(1, work // (m * n + m + n) // (m * n)) if m and n and m * n <= small else 1
+        for start in range(0, len(at), step):
+            rows = at[start:start + step]
+            a, b = (np.concatenate(v[rows]).reshape(len(rows), -1, 2).astype(float) for v in (first, second))
+            out[rows] = many(a, b) if 0 < m * n <= small else one(a[0], b[0])
+    return out
+
+
 @F.pandas_udf(PAIR)
-def pair_measures(first: pd.Series, second: pd.Series) -> pd.DataFrame:
-    """Overlap area and shared boundary length of ring pairs."""
-    rings = [(as_array(one), as_array(two)) for one, two in zip(first, second)]
-    return pd.DataFrame([(overlap_area(a, b), shared_length(a, b)) for a, b in rings], columns=["overlap_area", "shared_length"])
+def _pair_measures(first: pd.Series, second: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame({"overlap_area": _stacked(first, second, overlap_areas, overlap_area), "shared_length": _stacked(first, second, shared_lengths, shared_length)})
 
 
 @F.pandas_udf(T.DoubleType())
-def pair_gap(first: pd.Series, second: pd.Series) -> pd.Series:
+def _pair_gap(first: pd.Series, second: pd.Series) -> pd.Series:
+    return pd.Series(_stacked(first, second, boundary_gaps, boundary_gap))
+
+
+def _flat(ring: Column | str) -> Column:
+    """x and y of all vertices as one list."""
+    return F.flatten(F.transform(ring, lambda p: F.array(p["x"], p["y"])))
+
+
+def pair_measures(first: Column | str, second: Column | str) -> Column:
+    """Overlap area and shared boundary length of ring pairs."""
+    return _pair_measures(_flat(first), _flat(second))
+
+
+def pair_gap(first: Column | str, second: Column | str) -> Column:
     """Smallest distance between the boundaries of ring pairs."""
-    return pd.Series([boundary_gap(as_array(one), as_array(two)) for one, two in zip(first, second)], dtype=float)
+    return _pair_gap(_flat(first), _flat(second))
 
 
 def near_pairs(rooms: DataFrame, keys: list[str], room: str, ring: str, cell: float = 4.0) -> DataFrame:

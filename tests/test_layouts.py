@@ -81,3 +81,30 @@ def test_layouts_broadcast_no_table_that_grows(spark, monkeypatch):
     row = verdict.first()
     assert (row.placed, row.unplaced, row.footprint_parts) == (3, 0, 1) and abs(row.union_area - 27) < 1e-6
     assert len(plans) > 10 and not [p for p in plans if "Broadcast" in p]
+
+
+def test_stacked_layouts_equal_those_solved_alone(spark):
+    draw = random.Random(8)
+    poses, edges, roots, truth = [], [], [], {}
+    for p, n in enumerate([1, 2, 3, 3, 7, 7, 12, 30]):
+        rows, pose = random_tree(p, n, draw, 4)
+        for i in range(n // 2):  # loops that agree, some but for noise
+            a, b = draw.sample(range(n), 2)
+            rel = np.linalg.inv(pose[a]) @ pose[b] @ np.array(se2(*(draw.uniform(-0.02, 0.02) * (p % 2) for _ in range(3)))).reshape(3, 3)
+            rows.append((p, 1000 + i, f"r{a}", f"r{b}", draw.uniform(0.4, 1), rel.ravel().tolist()))
+        edges += rows
+        roots.append((p, "r0"))
+        for i, m in pose.items():
+            off = np.array(se2(*(0.0 if i == 0 else draw.uniform(-0.3, 0.3) for _ in range(3)))).reshape(3, 3)
+            poses.append((p, f"r{i}", (m @ off).ravel().tolist()))
+            truth[p, f"r{i}"] = m
+    frames = (spark.createDataFrame(poses, "property_id long, room_id string, pose array<double>"),
+              spark.createDataFrame(edges, EDGES.replace("property_id string", "property_id long")), spark.createDataFrame(roots, "property_id long, root string"))
+    read = lambda df: {(r.property_id, r.room_id): (np.array(r.pose).reshape(3, 3), r.rms) for r in df.collect()}
+    whole, alone = (graph.refine_layout(*frames, work=work) for work in (1_000_000, 1))
+    got, single = read(whole), read(alone)
+    assert got.keys() == single.keys() == truth.keys()
+    for key, (pose, rms) in got.items():
+        assert np.abs(pose - single[key][0]).max() < 1e-7 and abs(rms - single[key][1]) < 1e-7
+        assert np.abs(pose - truth[key]).max() < (0.2 if key[0] % 2 else 1e-6) and (key[0] % 2 == 1 or rms < 1e-6)
+    assert "InPandas" not in whole._jdf.queryExecution().executedPlan().toString()
